@@ -6,13 +6,14 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .similarity import sequence_ratio
 
 __all__ = ["fold_nfd", "html_unescape", "sequence_ratio", "split_sections"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_nfd(s: pd.Series) -> pd.Series:
     """Accent folding for scripts outside the translate table."""
     def one(x: str | None) -> str | None:
@@ -23,7 +24,7 @@ def fold_nfd(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """All named entities, where the common set of ``decode_entities`` is not enough."""
     return s.map(lambda x: None if x is None else html.unescape(x))

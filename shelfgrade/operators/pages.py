@@ -258,22 +258,25 @@ def select_first(html: Column | str, selectors: list[str], min_len: int = 1) ->
     return F.coalesce(*[text_of(s) for s in selectors])
 
 
+def _first_value(toks: Column, selector: str, value) -> Column:
+    hits = F.filter(toks, lambda t: _matches(t, selector))
+    return F.try_element_at(F.filter(F.transform(hits, value), lambda x: x.isNotNull()), F.lit(1))
+
+
 def select_price(html: Column | str, selectors: list[str]) -> Column:
+    """First price in an element of the first selector that holds one."""
     toks = token_array(html)
-    found = [F.try_element_at(F.filter(F.transform(F.filter(toks, lambda t, s=s: _matches(t, s)), lambda t: T.parse_brl(t["text"])), lambda p: p.isNotNull()), F.lit(1)) for s in selectors]
-    return F.coalesce(*found)
+    return F.coalesce(*[_first_value(toks, s, lambda t: T.parse_brl(t["text"])) for s in selectors])
 
 
 def select_image(html: Column | str, selectors: list[str]) -> Column:
-    toks = token_array(html)
-
+    """Image address of the first selector: lazy source before plain source, never a data URI."""
     def src(t: Column) -> Column:
         lazy, plain = F.nullif(attr(t["attrs"], "data-src"), F.lit("")), F.nullif(attr(t["attrs"], "src"), F.lit(""))
         return F.coalesce(lazy, F.when(~F.startswith(plain, F.lit("data:")), plain))
 
-    return F.coalesce(*[
-        F.try_element_at(F.filter(F.transform(F.filter(toks, lambda t, s=s: _matches(t, s)), src), lambda x: x.isNotNull()), F.lit(1))
-        for s in selectors])
+    toks = token_array(html)
+    return F.coalesce(*[_first_value(toks, s, src) for s in selectors])
 
 
 def meta_image(html: Column | str) -> Column:

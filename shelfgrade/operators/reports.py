@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from .windows import top_k
 
-N = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -16,7 +17,7 @@ def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
 def status_counts(products: DataFrame, *keys: str) -> DataFrame:
     s = F.col("verification_status")
     return products.groupBy(*keys).agg(
-        N.alias("total"), F.count_if(s == "verified_inci").alias("verified"),
+        _n().alias("total"), F.count_if(s == "verified_inci").alias("verified"),
         F.count_if(s == "catalog_only").alias("catalog_only"), F.count_if(s == "quarantined").alias("quarantined"))
 
 
@@ -33,19 +34,19 @@ def canonical_counts(products: DataFrame, foreign: str = "non_hair") -> DataFram
 
 def brand_quality(products: DataFrame, has_labels: Column) -> DataFrame:
     def share(cond: Column, name: str) -> Column:
-        return _pct(F.count_if(cond), N).alias(name)
+        return _pct(F.count_if(cond), _n()).alias(name)
 
     return products.groupBy("brand_slug").agg(
-        N.alias("products"), F.round(F.avg("confidence"), 2).alias("avg_confidence"),
+        _n().alias("products"), F.round(F.avg("confidence"), 2).alias("avg_confidence"),
         share(F.coalesce("description", F.lit("")) != "", "description_pct"),
         share(F.col("image_url_main").isNotNull(), "image_pct"),
         share(F.coalesce("product_category", F.lit("")) != "", "category_pct"), share(has_labels, "labels_pct"))
 
 
 def avg_list_size(bridge: DataFrame, products: DataFrame, product: str, brand: str) -> DataFrame:
-    per_product = bridge.groupBy(product).agg(N.alias("items"))
+    per_product = bridge.groupBy(product).agg(_n().alias("items"))
     return per_product.join(products.select(product, brand), product).groupBy(brand).agg(
-        N.alias("products"), F.round(F.avg("items"), 4).alias("avg_items"))
+        _n().alias("products"), F.round(F.avg("items"), 4).alias("avg_items"))
 
 
 def dashboard_kpis(products: DataFrame, foreign: str = "non_hair") -> DataFrame:
@@ -54,21 +55,21 @@ def dashboard_kpis(products: DataFrame, foreign: str = "non_hair") -> DataFrame:
 
     s = F.col("verification_status")
     return products.agg(
-        N.alias("total_products"), F.count_if(F.col("status_editorial") == "pendente").alias("pending_review"),
+        _n().alias("total_products"), F.count_if(F.col("status_editorial") == "pendente").alias("pending_review"),
         F.count_if(s == "quarantined").alias("quarantined"),
         F.count_if(F.col("status_publicacao") == "publicado").alias("published"),
         F.round(F.avg("confidence"), 1).alias("avg_confidence"),
-        _pct(F.count_if(filled("product_category") & (F.col("product_category") != foreign)), N).alias("category_pct"),
-        _pct(F.count_if(filled("description")), N).alias("description_pct"),
-        _pct(F.count_if(F.col("image_url_main").isNotNull()), N).alias("image_pct"),
-        _pct(F.count_if(filled("size_volume")), N).alias("volume_pct"),
-        _pct(F.count_if(s == "verified_inci"), N).alias("list_coverage"))
+        _pct(F.count_if(filled("product_category") & (F.col("product_category") != foreign)), _n()).alias("category_pct"),
+        _pct(F.count_if(filled("description")), _n()).alias("description_pct"),
+        _pct(F.count_if(F.col("image_url_main").isNotNull()), _n()).alias("image_pct"),
+        _pct(F.count_if(filled("size_volume")), _n()).alias("volume_pct"),
+        _pct(F.count_if(s == "verified_inci"), _n()).alias("list_coverage"))
 
 
 def list_summary(products: DataFrame) -> DataFrame:
     s = F.col("verification_status")
     return products.groupBy("brand_slug").agg(
-        N.alias("total"), F.count_if(s == "catalog_only").alias("pending"), F.count_if(s == "verified_inci").alias("verified"),
+        _n().alias("total"), F.count_if(s == "catalog_only").alias("pending"), F.count_if(s == "verified_inci").alias("verified"),
     ).withColumn("pct", _pct(F.col("verified"), F.col("total")))
 
 
@@ -95,7 +96,7 @@ def run_report(runs: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def seal_histogram(df: DataFrame, detected: str, inferred: str) -> DataFrame:
-    return df.select(F.explode(F.concat(detected, inferred)).alias("seal")).groupBy("seal").agg(N.alias("n"))
+    return df.select(F.explode(F.concat(detected, inferred)).alias("seal")).groupBy("seal").agg(_n().alias("n"))
 
 
 def products_with_seal(df: DataFrame, seal: str, detected: str, inferred: str) -> DataFrame:
@@ -104,17 +105,17 @@ def products_with_seal(df: DataFrame, seal: str, detected: str, inferred: str) -
 
 def audit_summary(events: DataFrame, ok: str, fail: str, kind: str = "event_type") -> DataFrame:
     n_ok, n_fail = F.count_if(F.col(kind) == ok), F.count_if(F.col(kind) == fail)
-    return events.agg(N.alias("total"), n_ok.alias("ok"), n_fail.alias("failed")).withColumn(
+    return events.agg(_n().alias("total"), n_ok.alias("ok"), n_fail.alias("failed")).withColumn(
         "fail_rate_pct", F.when(F.col("ok") + F.col("failed") > 0, F.round(F.col("failed") * 100 / (F.col("ok") + F.col("failed")), 1)))
 
 
 def top_actions(events: DataFrame, kind: str, n: int = 10) -> DataFrame:
-    return events.groupBy(F.coalesce(kind, F.lit("unknown")).alias("action")).agg(N.alias("n")).orderBy(F.desc("n"), "action").limit(n)
+    return events.groupBy(F.coalesce(kind, F.lit("unknown")).alias("action")).agg(_n().alias("n")).orderBy(F.desc("n"), "action").limit(n)
 
 
 def global_stats(products: DataFrame, coverage: DataFrame) -> DataFrame:
     """One row: rows, brands and the mean of the brands' rates."""
-    a = products.agg(F.lit(1).alias("_k"), N.alias("products"), F.countDistinct("brand_slug").alias("brands"))
+    a = products.agg(F.lit(1).alias("_k"), _n().alias("products"), F.countDistinct("brand_slug").alias("brands"))
     b = coverage.agg(F.lit(1).alias("_k"), F.round(F.avg("verified_rate"), 4).alias("mean_rate"))
     return a.join(b, "_k").drop("_k")
 
@@ -125,7 +126,7 @@ def gold_funnel(evaluated: DataFrame, *keys: str) -> DataFrame:
     errors = F.size(F.array_distinct(F.transform(
         F.filter("blockers", lambda b: b["severity"] == "error"), lambda b: b["field"])))
     return evaluated.groupBy(*keys).agg(
-        N.alias("total"), F.count_if(g == "gold").alias("gold"), F.count_if(g == "gold_candidate").alias("gold_candidate"),
+        _n().alias("total"), F.count_if(g == "gold").alias("gold"), F.count_if(g == "gold_candidate").alias("gold_candidate"),
         F.count_if(g == "catalog").alias("catalog"), F.count_if(g == "raw").alias("raw"),
         F.count_if(g == "gold_rejected").alias("gold_rejected"),
         F.count_if((g == "catalog") & (errors == 1)).alias("one_field_away"),
@@ -135,29 +136,29 @@ def gold_funnel(evaluated: DataFrame, *keys: str) -> DataFrame:
 def gold_gaps(evaluated: DataFrame) -> DataFrame:
     """Rows below gold per blocked field."""
     open_rows = evaluated.filter(~F.col("gold_status").isin("gold", "gold_rejected"))
-    return open_rows.select(F.explode(F.array_distinct(F.transform("blockers", lambda b: b["field"]))).alias("field")).groupBy("field").agg(N.alias("n"))
+    return open_rows.select(F.explode(F.array_distinct(F.transform("blockers", lambda b: b["field"]))).alias("field")).groupBy("field").agg(_n().alias("n"))
 
 
 def catalog_snapshot(products: DataFrame, *keys: str) -> DataFrame:
     def share(c: str) -> Column:
-        return _pct(F.count_if(~T.is_empty_value(c)), N, 2).alias(f"{c}_pct")
+        return _pct(F.count_if(~T.is_empty_value(c)), _n(), 2).alias(f"{c}_pct")
 
     s = F.col("verification_status")
     return products.groupBy(*keys).agg(
-        N.alias("total"), F.count_if(s == "catalog_only").alias("catalog_only"), F.count_if(s == "verified_inci").alias("verified"),
+        _n().alias("total"), F.count_if(s == "catalog_only").alias("catalog_only"), F.count_if(s == "verified_inci").alias("verified"),
         F.count_if(s == "quarantined").alias("quarantined"), share("price"), share("description"), share("size_volume"),
         share("product_category"))
 
 
 def ingredient_usage(ingredients: DataFrame, bridge: DataFrame, ident: str = "ingredient_id") -> DataFrame:
-    used = bridge.groupBy(ident).agg(N.alias("_n"))
+    used = bridge.groupBy(ident).agg(_n().alias("_n"))
     return ingredients.join(used, ident, "left").withColumn("usage", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def list_audit(products: DataFrame, audit_class: Column, brand: str = "brand_slug") -> DataFrame:
     c = F.col("_c")
     return products.withColumn("_c", audit_class).groupBy(brand).agg(
-        N.alias("total"), F.count_if(c == "already_verified").alias("already_verified"),
+        _n().alias("total"), F.count_if(c == "already_verified").alias("already_verified"),
         F.count_if(c == "extracted_rejected").alias("extracted_rejected"),
         F.count_if(c == "extraction_missed").alias("extraction_missed"),
         F.count_if(c == "no_inci_on_page").alias("no_inci_on_page"),
@@ -171,14 +172,16 @@ def audit_samples(products: DataFrame, audit_class: Column, brand: str, url: str
 
 def distribution(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """(dimension, value, n) for several classifications; array columns count each value."""
-    entries = F.flatten(F.array(*[
-        F.transform(values, lambda v, d=dim: F.struct(F.lit(d).alias("dimension"), v.alias("value"))) for dim, values in cols.items()]))
-    return df.select(F.explode(entries).alias("e")).groupBy("e.dimension", "e.value").agg(N.alias("n"))
+    def tagged(dim: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(dim).alias("dimension"), v.alias("value")))
+
+    entries = F.flatten(F.array(*[tagged(dim, values) for dim, values in cols.items()]))
+    return df.select(F.explode(entries).alias("e")).groupBy("e.dimension", "e.value").agg(_n().alias("n"))
 
 
 def label_report(df: DataFrame, detected: str, inferred: str) -> DataFrame:
     d, i = F.size(detected) > 0, F.size(inferred) > 0
-    return df.agg(N.alias("total"), F.count_if(d).alias("with_detected"), F.count_if(i).alias("with_inferred"),
+    return df.agg(_n().alias("total"), F.count_if(d).alias("with_detected"), F.count_if(i).alias("with_inferred"),
                   F.count_if(d & i).alias("with_both"), F.count_if(d | i).alias("with_any"))
 
 
@@ -196,41 +199,41 @@ def feedback_summary(feedback: DataFrame, rating: Column) -> DataFrame:
 
 
 def conversation_list(messages: DataFrame, thread: str, turn: str) -> DataFrame:
-    return messages.groupBy(thread).agg(N.alias("messages"), F.max(turn).alias("last_turn"))
+    return messages.groupBy(thread).agg(_n().alias("messages"), F.max(turn).alias("last_turn"))
 
 
 def repeat_questions(messages: DataFrame, text: str) -> DataFrame:
-    return messages.groupBy(T.query_hash(text).alias("query_hash")).agg(N.alias("n")).filter(F.col("n") > 1)
+    return messages.groupBy(T.query_hash(text).alias("query_hash")).agg(_n().alias("n")).filter(F.col("n") > 1)
 
 
 def brands_with_at_least(products: DataFrame, n: int, brand: str = "brand_slug") -> DataFrame:
-    return products.groupBy(brand).agg(N.alias("n")).filter(F.col("n") >= n)
+    return products.groupBy(brand).agg(_n().alias("n")).filter(F.col("n") >= n)
 
 
 def value_counts(df: DataFrame, col: Column, name: str) -> DataFrame:
-    return df.groupBy(col.alias(name)).agg(N.alias("n"))
+    return df.groupBy(col.alias(name)).agg(_n().alias("n"))
 
 
 def category_rules_view(rules: DataFrame) -> DataFrame:
     """Rules per category as one ordered text; the rule table is a small dimension."""
     line = F.concat("hair_type", F.lit("="), F.col("score").cast("string"))
-    return rules.groupBy("category").agg(N.alias("rules"), F.array_join(F.array_sort(F.collect_list(line)), ", ").alias("listing"))
+    return rules.groupBy("category").agg(_n().alias("rules"), F.array_join(F.array_sort(F.collect_list(line)), ", ").alias("listing"))
 
 
 def ingredient_catalog(ingredients: DataFrame, bridge: DataFrame, search: str | None, ident: str, name: str) -> DataFrame:
     hits = ingredients.filter(F.contains(F.lower(name), F.lit(search.lower()))) if search else ingredients
-    counts = bridge.groupBy(ident).agg(N.alias("_n"))
+    counts = bridge.groupBy(ident).agg(_n().alias("_n"))
     return hits.join(counts, ident, "left").withColumn("product_count", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def call_ledger(calls: DataFrame, budget: int, tokens_in: Column, tokens_out: Column) -> DataFrame:
-    return calls.agg(N.alias("calls"), F.sum(tokens_in).alias("tokens_in"), F.sum(tokens_out).alias("tokens_out")).withColumn(
+    return calls.agg(_n().alias("calls"), F.sum(tokens_in).alias("tokens_in"), F.sum(tokens_out).alias("tokens_out")).withColumn(
         "remaining", F.greatest(F.lit(0), F.lit(budget) - F.col("calls")))
 
 
 def source_stats(df: DataFrame, source: str, scraped: Column, with_list: Column) -> DataFrame:
     return df.groupBy(source).agg(
-        N.alias("discovered"), F.count_if(scraped).alias("scraped"), F.count_if(scraped & with_list).alias("with_list"),
+        _n().alias("discovered"), F.count_if(scraped).alias("scraped"), F.count_if(scraped & with_list).alias("with_list"),
         F.count_if(~scraped).alias("skipped"))
 
 
@@ -238,19 +241,19 @@ def multi_axis_counts(products: DataFrame) -> DataFrame:
     """Counts by brand, by status, by category, by brand and status, and in total, in one pass."""
     b, s, c = F.col("brand_slug"), F.col("verification_status"), F.col("product_category")
     sets = [[b], [s], [c], [b, s], []]
-    return products.groupingSets(sets, b, s, c).agg(F.grouping_id().alias("level"), N.alias("n"))
+    return products.groupingSets(sets, b, s, c).agg(F.grouping_id().alias("level"), _n().alias("n"))
 
 
 def approx_profile(products: DataFrame, name: str, url: str, number: str) -> DataFrame:
     return products.agg(
-        N.alias("n"), F.approx_count_distinct(name).alias("names"), F.approx_count_distinct(url).alias("urls"),
+        _n().alias("n"), F.approx_count_distinct(name).alias("names"), F.approx_count_distinct(url).alias("urls"),
         F.percentile_approx(number, [0.25, 0.5, 0.75], 10_000).alias("_p"),
     ).select("n", "names", "urls", F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"))
 
 
 def document_totals(docs: DataFrame, text: str) -> DataFrame:
     chars = F.sum(F.length(text))
-    return docs.agg(N.alias("documents"), chars.alias("chars"), F.sum(F.floor(F.length(text) / 4)).alias("token_estimate"))
+    return docs.agg(_n().alias("documents"), chars.alias("chars"), F.sum(F.floor(F.length(text) / 4)).alias("token_estimate"))
 
 
 # --- lists, pages, search -------------------------------------------------------------------
@@ -320,7 +323,7 @@ def gold_pool(products: DataFrame, hair_type: str | None = None, function: str |
 
 
 def enrichable_brands(products: DataFrame) -> DataFrame:
-    return products.filter(F.col("gold_status") == "catalog").groupBy("brand_slug").agg(N.alias("n")).orderBy(F.desc("n"), "brand_slug")
+    return products.filter(F.col("gold_status") == "catalog").groupBy("brand_slug").agg(_n().alias("n")).orderBy(F.desc("n"), "brand_slug")
 
 
 def next_wave(registry: DataFrame, counts: DataFrame, recipes: DataFrame, skip: DataFrame, size: int) -> DataFrame:

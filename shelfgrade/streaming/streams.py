@@ -6,13 +6,14 @@ Each function takes a streaming DataFrame and returns one, or starts a sink. The
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.windows import best_row
+
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -122,8 +123,6 @@ def upsert_stream(
     The batch is reduced to one row per key first. A batch id writes exactly its own version from the
     one before it, so a repeated batch gives the same folder. ``fan_out`` derives side tables.
     """
-    from ..operators.windows import best_row
-
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         one = best_row(batch, [key], newest)
@@ -137,17 +136,22 @@ def upsert_stream(
 
 
 def split_late(source: DataFrame, ts: str, delay_seconds: int, on_time: str, late: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Rows later than the delay behind the newest time of the earlier batches go to a side folder."""
-    seen: dict[str, datetime | None] = {"max": None}
+    """Rows later than the delay behind the newest time of the earlier batches go to a side folder.
 
+    The newest time is kept as one row per batch next to the output, so a restarted driver goes on from it.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        limit = seen["max"]
-        tagged = batch.withColumn("_late", F.lit(False) if limit is None else F.unix_micros(F.col(ts).cast("timestamp")) < F.lit(limit) - delay_seconds * 1_000_000)
+        spark = batch.sparkSession
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        before = None
+        if batch_id > 0:
+            before = spark.read.schema("newest BIGINT").parquet(f"{on_time}/_state/batch={batch_id - 1}").first()["newest"]
+        is_late = F.lit(False) if before is None else us < F.lit(before - delay_seconds * 1_000_000)
+        tagged = batch.withColumn("_late", is_late)
         tagged.filter(~F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
         tagged.filter(F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-        top = batch.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("m")).first()["m"]
-        if top is not None:
-            seen["max"] = top if limit is None else max(limit, top)
+        batch.agg(F.greatest(F.max(us), F.lit(before).cast("long")).alias("newest")).write.mode("overwrite").parquet(
+            f"{on_time}/_state/batch={batch_id}")
 
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
@@ -159,8 +163,6 @@ def latest_asof(events: DataFrame, revisions: DataFrame, key: str, ts: str, rev_
     Both sides are cut into time buckets. Inside a bucket the newest earlier revision is a window over
     (key, bucket); a table with one row per key and bucket carries the last value of older buckets.
     """
-    from pyspark.sql import Window as W
-
     def us(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp"))
 
