@@ -204,7 +204,7 @@ def _seal_sql() -> str:
     for seal, words in _SEALS:
         for rank, f in enumerate(("head", "body")):
             for i, w in enumerate(words):
-                parts.append(f"SELECT doc_id, '{seal}' AS seal, '{w}' AS keyword, '{f}' AS field, {rank} AS fr, {i} AS kr FROM f WHERE regexp_matches({f}, '(^|[^0-9a-z_à-öø-ÿ])({w})($|[^0-9a-z_à-öø-ÿ])')")
+                parts.append(f"SELECT doc_id, '{seal}' AS seal, '{w}' AS keyword, '{f}' AS field, {rank} AS fr, {i} AS kr FROM f WHERE regexp_matches({f}, '(^|[^0-9a-z_À-ÖØ-öø-ÿ])({w})($|[^0-9a-z_À-ÖØ-öø-ÿ])')")
     return " UNION ALL ".join(parts)
 
 

@@ -82,10 +82,30 @@ def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda of a higher-order function evaluates every outer expression it mentions for each element.
+    Binding the expression to a lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def mark_firsts(items: Column, key) -> Column:
+    """``array<struct<i, x, first>>`` in list order; ``first`` marks the first entry of each key. Sorts, so n log n."""
+    tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    return F.sort_array(let(F.sort_array(tagged), lambda s: F.transform(s, lambda e, j: F.struct(
+        e["i"].alias("i"), e["x"].alias("x"), F.coalesce(e["k"] != F.get(s, j - 1)["k"], F.lit(True)).alias("first")))))
+
+
+def first_by(items: Column, key) -> Column:
+    """First entry of each key, in list order."""
+    return F.transform(F.filter(mark_firsts(items, key), lambda m: m["first"]), lambda m: m["x"])
+
+
 def dedupe_ci(items: Column) -> Column:
     """First occurrences of an array of non-blank texts, compared without case."""
-    keys = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return first_by(items, F.lower)
 
 
 def split_list(col: Column | str) -> Column:
@@ -130,25 +150,25 @@ def valid_item(item: Column, in_section: Column, rules: ListRules = DEFAULT_RULE
 
 def has_repetition(items: Column) -> Column:
     """The first k entries come again as the next k, for some k from 3 to half the list."""
-    norm = F.transform(items, lambda x: strip_ws(F.lower(x)))
-    half = F.floor(F.size(items) / 2).cast("int")
-    sizes = F.when(half >= 3, F.sequence(F.lit(3), half)).otherwise(F.array().cast("array<int>"))
-    return F.exists(sizes, lambda k: F.slice(norm, F.lit(1), k) == F.slice(norm, k + 1, k))
+    def repeats(norm: Column) -> Column:
+        half = F.floor(F.size(norm) / 2).cast("int")
+        sizes = F.when(half >= 3, F.sequence(F.lit(3), half)).otherwise(F.array().cast("array<int>"))
+        return F.exists(sizes, lambda k: (F.get(norm, F.lit(0)) == F.get(norm, k)) & (
+            F.slice(norm, F.lit(1), k) == F.slice(norm, k + 1, k)))
+
+    return let(F.transform(items, lambda x: strip_ws(F.lower(x))), repeats)
 
 
 def has_concatenation(items: Column, rules: ListRules = DEFAULT_RULES) -> Column:
     """Two water entries that are not neighbours, or an entry that is a product heading."""
-    norm = F.transform(items, lambda x: strip_ws(F.lower(x)))
-    water = F.filter(
-        F.transform(norm, lambda x, i: F.when(x.isin(*rules.water), i)), lambda p: p.isNotNull()
-    )
-    gaps = F.zip_with(
-        F.slice(water, F.lit(2), F.greatest(F.size(water) - 1, F.lit(0))),
-        F.slice(water, F.lit(1), F.greatest(F.size(water) - 1, F.lit(0))),
-        lambda b, a: b - a,
-    )
     heading = r"^(" + "|".join(escape_regex(h) for h in rules.headings) + r")\s*:"
-    return F.exists(gaps, lambda g: g > 1) | F.exists(norm, lambda x: x.rlike(heading))
+
+    def joined(norm: Column) -> Column:
+        spots = F.filter(F.transform(norm, lambda x, i: F.when(x.isin(*rules.water), i)), lambda p: p.isNotNull())
+        apart = let(spots, lambda w: F.exists(F.transform(w, lambda p, i: p - F.get(w, i - 1)), lambda g: F.coalesce(g > 1, F.lit(False))))
+        return apart | F.exists(norm, lambda x: x.rlike(heading))
+
+    return let(F.transform(items, lambda x: strip_ws(F.lower(x))), joined)
 
 
 def validate_list(
@@ -157,37 +177,36 @@ def validate_list(
     """``struct<valid, cleaned, removed, reason>`` of one list.
 
     ``seen`` in the definition grows only by accepted entries, and an entry's acceptance depends on
-    its text and context alone, so "first occurrence of the key among the acceptable entries" is the
-    same rule without a loop. Case variants differ only in case, which acceptance ignores.
+    its text and context alone, so "first occurrence of the key, and acceptable" is the same rule
+    without a loop. Case variants differ only in case, which acceptance ignores.
     """
-    arr = _c(items)
     ctx = F.lit(in_section) if isinstance(in_section, bool) else in_section
-    neat = F.filter(F.transform(arr, strip_ws), lambda x: x != "")
-    ok = F.filter(neat, lambda x: valid_item(x, ctx, rules))
-    cleaned = dedupe_ci(ok)
-    keys = F.transform(neat, F.lower)
-    removed = F.filter(
-        neat,
-        lambda x, i: ~valid_item(x, ctx, rules) | (F.array_position(keys, F.lower(x)) != i + 1),
-    )
     least = F.when(ctx, F.lit(rules.min_in_section)).otherwise(F.lit(rules.min_plain))
     none = F.array().cast("array<string>")
-    broken = has_repetition(arr) | has_concatenation(arr, rules)
-    reason = (
-        F.when(has_repetition(arr), F.lit("repetition_detected"))
-        .when(has_concatenation(arr, rules), F.lit("concat_detected"))
-        .when(
-            F.size(cleaned) < least,
-            F.concat(F.lit("min_ingredients: only "), F.size(cleaned).cast("string"), F.lit(" valid terms")),
-        )
-        .otherwise(F.lit(""))
-    )
-    return F.struct(
-        (reason == "").alias("valid"),
-        F.when(broken, none).otherwise(cleaned).alias("cleaned"),
-        F.when(broken, none).otherwise(removed).alias("removed"),
-        reason.alias("reason"),
-    )
+
+    def judged(parts: Column) -> Column:
+        cleaned, rep, con = parts["cleaned"], parts["rep"], parts["con"]
+        reason = (
+            F.when(rep, F.lit("repetition_detected")).when(con, F.lit("concat_detected"))
+            .when(F.size(cleaned) < least,
+                  F.concat(F.lit("min_ingredients: only "), F.size(cleaned).cast("string"), F.lit(" valid terms")))
+            .otherwise(F.lit("")))
+        return F.struct(
+            (reason == "").alias("valid"), F.when(rep | con, none).otherwise(cleaned).alias("cleaned"),
+            F.when(rep | con, none).otherwise(parts["removed"]).alias("removed"), reason.alias("reason"))
+
+    def pick(marks: Column, taken: bool) -> Column:
+        return F.transform(F.filter(marks, lambda m: m["ok"] == F.lit(taken)), lambda m: m["x"])
+
+    def checked(arr: Column) -> Column:
+        neat = F.filter(F.transform(arr, strip_ws), lambda x: x != "")
+        marks = F.transform(mark_firsts(neat, F.lower), lambda m: F.struct(
+            m["x"].alias("x"), (m["first"] & valid_item(m["x"], ctx, rules)).alias("ok")))
+        return let(let(marks, lambda ms: F.struct(
+            pick(ms, True).alias("cleaned"), pick(ms, False).alias("removed"),
+            has_repetition(arr).alias("rep"), has_concatenation(arr, rules).alias("con"))), judged)
+
+    return let(_c(items), checked)
 
 
 def extract_and_validate(
@@ -195,8 +214,6 @@ def extract_and_validate(
 ) -> Column:
     """Cut, drop translations, split, validate; the same struct as :func:`validate_list`."""
     text = _c(raw)
-    cut = cut_markers(text, rules)
-    result = validate_list(split_list(strip_translations(cut, rules)), in_section, rules)
     none = F.array().cast("array<string>")
 
     def refused(reason: str) -> Column:
@@ -204,8 +221,12 @@ def extract_and_validate(
             F.lit(False).alias("valid"), none.alias("cleaned"), none.alias("removed"), F.lit(reason).alias("reason")
         )
 
+    def judged(cut: Column) -> Column:
+        result = validate_list(split_list(strip_translations(cut, rules)), in_section, rules)
+        return F.when(cut == "", refused("empty_after_cleaning")).otherwise(result)
+
     blank = text.isNull() | (strip_ws(text) == "")
-    return F.when(blank, refused("no_inci_text")).when(cut == "", refused("empty_after_cleaning")).otherwise(result)
+    return F.when(blank, refused("no_inci_text")).otherwise(let(cut_markers(text, rules), judged))
 
 
 def tokens_of(items: Column) -> Column:

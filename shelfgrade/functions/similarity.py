@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+from .lists import let
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -42,7 +44,7 @@ def best_ratio_udf(threshold: float):
 
 
 def sorted_words(col: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(col, r"\s+"), lambda w: w != "")), " ")
+    return F.array_join(F.sort_array(F.filter(F.split(col, r"\s+"), lambda w: w != "")), " ")
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -53,8 +55,8 @@ def length_bound(a: Column, b: Column) -> Column:
 
 def numbered_tokens(chars: Column) -> Column:
     """Array elements with their occurrence number, so that a bag becomes a set."""
-    return F.transform(
-        chars, lambda c, i: F.concat(c, F.lit("\x01"), F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+    return let(chars, lambda cs: F.transform(cs, lambda c, i: F.concat(
+        c, F.lit("\x01"), F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda d: d == c)).cast("string"))))
 
 
 def grams(text: Column, q: int) -> Column:

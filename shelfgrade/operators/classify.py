@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.lists import first_by, let
 from ..functions.text import _c
 from ..vocab import market as M
 
@@ -383,9 +384,8 @@ def detect_seals(
         plain = [M.plain(w) for w in words]
         pairs = []
         for f in fields:
-            found = F.regexp_extract(folded[f], T.boundary_pattern(sorted(plain, key=lambda w: -len(w))), 2)
             any_hit = folded[f].rlike(T.boundary_pattern(plain))
-            word = first_match([(folded[f].rlike(T.boundary_pattern([w])), F.lit(w)) for w in plain], found)
+            word = first_match([(folded[f].rlike(T.boundary_pattern([w])), F.lit(w)) for w in plain])
             pairs.append((any_hit, F.struct(F.lit(seal).alias("seal"), word.alias("keyword"), F.lit(f).alias("field"))))
         hits.append(first_match(pairs))
     return (
@@ -561,13 +561,10 @@ def allergens(items: Column | str, classes=M.ALLERGENS, severities: list[str] =
         x for n, (cls, sev) in index.items()
         for x in (F.lit(n), F.struct(F.lit(cls).alias("c"), F.lit(sev).alias("s"), F.lit(-order.get(sev, 0)).alias("r")))
     ])
-    keys = F.transform(_c(items), T.norm_entry)
-    firsts = F.filter(_c(items), lambda x, i: F.array_position(keys, T.norm_entry(x)) == i + 1)
-    hits = F.filter(
-        F.transform(firsts, lambda x: F.struct(T.strip_ws(x).alias("name"), F.try_element_at(lookup, T.norm_entry(x)).alias("m"))),
-        lambda h: h["m"].isNotNull(),
-    )
-    return F.array_sort(F.transform(hits, lambda h: F.struct(
+    known = F.transform(_c(items), lambda x: let(T.norm_entry(x), lambda k: F.struct(
+        T.strip_ws(x).alias("name"), k.alias("key"), F.try_element_at(lookup, k).alias("m"))))
+    hits = first_by(F.filter(known, lambda h: h["m"].isNotNull()), lambda h: h["key"])
+    return F.sort_array(F.transform(hits, lambda h: F.struct(
         h["m"]["r"].alias("rank"), F.lower(h["name"]).alias("sort_name"), h["name"].alias("ingredient"),
         h["m"]["c"].alias("allergen_class"), h["m"]["s"].alias("severity"))))
 
@@ -576,7 +573,7 @@ def allergen_summary(found: Column) -> Column:
     """``struct<count, worst, classes>`` of the result of :func:`allergens`."""
     return F.struct(
         F.size(found).alias("count"), F.try_element_at(found, F.lit(1))["severity"].alias("worst"),
-        F.array_sort(F.array_distinct(F.transform(found, lambda f: f["allergen_class"]))).alias("classes"),
+        F.sort_array(F.array_distinct(F.transform(found, lambda f: f["allergen_class"]))).alias("classes"),
     )
 
 
@@ -587,16 +584,17 @@ def routine_role(
 ) -> Column:
     """``struct<step, cleansing, insoluble_silicone, drying_alcohol>`` from exact entries of the list."""
     dry = [n for c, _s, names in M.ALLERGENS if c == "drying_alcohol" for n in names] if drying is None else drying
-    keys = F.transform(F.coalesce(_c(items), F.array().cast("array<string>")), T.norm_entry)
+    step = map_values(F.lower(F.coalesce(_c(function), F.lit(""))), steps)
 
-    def has(words: list[str]) -> Column:
-        return F.arrays_overlap(keys, F.array(*[F.lit(w.strip(" .,;:*")) for w in words]))
+    def role(keys: Column) -> Column:
+        def has(words: list[str]) -> Column:
+            return F.arrays_overlap(keys, F.array(*[F.lit(w.strip(" .,;:*")) for w in words]))
 
-    return F.struct(
-        map_values(F.lower(F.coalesce(_c(function), F.lit(""))), steps).alias("step"),
-        F.when(has(sulfates), F.lit("intensa")).when(has(mild), F.lit("suave")).alias("cleansing"),
-        has(insoluble).alias("insoluble_silicone"), has(dry).alias("drying_alcohol"),
-    )
+        return F.struct(
+            step.alias("step"), F.when(has(sulfates), F.lit("intensa")).when(has(mild), F.lit("suave")).alias("cleansing"),
+            has(insoluble).alias("insoluble_silicone"), has(dry).alias("drying_alcohol"))
+
+    return let(F.transform(F.coalesce(_c(items), F.array().cast("array<string>")), T.norm_entry), role)
 
 
 def intent(

@@ -63,7 +63,7 @@ def _prefix_keys(names: DataFrame, block: str, ident: str, threshold: float) ->
     ordered = (
         flat.join(rarity, ["kind", "tok"])
         .groupBy(block, ident, "s", "kind", "need")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda t: t["tok"]).alias("tokens"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "tok"))), lambda t: t["tok"]).alias("tokens"))
     )
     # A name's own bag bounds the collected list; no group grows with the data.
     prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.size("tokens") - F.col("need") + 2).cast("int"))

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.lists import dedupe_ci, first_by, let
 from ..functions.text import _c
 from ..functions.urls import canonical_url, host_allowed, url_host, url_origin
 from ..vocab import market as M
@@ -240,22 +241,21 @@ def select_first(html: Column | str, selectors: list[str], min_len: int = 1) ->
 
     The text of an element is its own text and that of the following tokens up to a tag of its kind.
     """
-    toks = token_array(html)
-
-    def text_of(sel: str) -> Column:
-        hits = F.filter(toks, lambda t: _matches(t, sel))
-
+    def found(toks: Column) -> Column:
         def body(h: Column) -> Column:
-            tail = F.filter(toks, lambda t: (t["pos"] > h["pos"]))
+            tail = F.filter(toks, lambda t: t["pos"] > h["pos"])
             ends = F.filter(tail, lambda t: t["tag"].isin(F.concat(F.lit("/"), h["tag"]), h["tag"]))
             stop = F.coalesce(F.try_element_at(ends, F.lit(1))["pos"], F.size(toks))
-            own = F.filter(toks, lambda t: (t["pos"] >= h["pos"]) & (t["pos"] < stop))
+            own = F.slice(toks, h["pos"] + 1, stop - h["pos"])
             return T.collapse_ws(F.array_join(F.transform(own, lambda t: t["text"]), " "))
 
-        texts = F.filter(F.transform(hits, body), lambda x: F.length(x) >= min_len)
-        return F.try_element_at(texts, F.lit(1))
+        def text_of(sel: str) -> Column:
+            texts = F.transform(F.filter(toks, lambda t: _matches(t, sel)), body)
+            return F.try_element_at(F.filter(texts, lambda x: F.length(x) >= min_len), F.lit(1))
 
-    return F.coalesce(*[text_of(s) for s in selectors])
+        return F.coalesce(*[text_of(s) for s in selectors])
+
+    return let(token_array(html), found)
 
 
 def _first_value(toks: Column, selector: str, value) -> Column:
@@ -265,8 +265,8 @@ def _first_value(toks: Column, selector: str, value) -> Column:
 
 def select_price(html: Column | str, selectors: list[str]) -> Column:
     """First price in an element of the first selector that holds one."""
-    toks = token_array(html)
-    return F.coalesce(*[_first_value(toks, s, lambda t: T.parse_brl(t["text"])) for s in selectors])
+    return let(token_array(html), lambda toks: F.coalesce(*[
+        _first_value(toks, s, lambda t: T.parse_brl(t["text"])) for s in selectors]))
 
 
 def select_image(html: Column | str, selectors: list[str]) -> Column:
@@ -275,8 +275,7 @@ def select_image(html: Column | str, selectors: list[str]) -> Column:
         lazy, plain = F.nullif(attr(t["attrs"], "data-src"), F.lit("")), F.nullif(attr(t["attrs"], "src"), F.lit(""))
         return F.coalesce(lazy, F.when(~F.startswith(plain, F.lit("data:")), plain))
 
-    toks = token_array(html)
-    return F.coalesce(*[_first_value(toks, s, src) for s in selectors])
+    return let(token_array(html), lambda toks: F.coalesce(*[_first_value(toks, s, src) for s in selectors]))
 
 
 def meta_image(html: Column | str) -> Column:
@@ -294,8 +293,7 @@ def image_texts(html: Column | str) -> Column:
         return F.array(T.strip_ws(attr(a, "alt")), T.strip_ws(attr(a, "title")), T.strip_ws(F.translate(F.when(F.contains(src, F.lit("/")), file).otherwise(src), "-_", "  ")))
 
     texts = F.filter(F.flatten(F.transform(imgs, parts)), lambda x: (x != "") & (F.length(x) < 200))
-    keys = F.transform(texts, F.lower)
-    return F.filter(texts, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return dedupe_ci(texts)
 
 
 def page_links(pages: DataFrame, domains: list[str] | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -350,8 +348,7 @@ def split_description(text: Column | str, markers: list[tuple[str, str]] = M.BLO
     fields = F.transform(titles, field)
     rows = F.zip_with(fields, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
     filled = F.filter(rows, lambda r: r["p"] != "")
-    order = F.transform(filled, lambda r: r["f"])
-    firsts = F.filter(filled, lambda r, i: F.array_position(order, r["f"]) == i + 1)
+    firsts = first_by(filled, lambda r: r["f"])
     lead = F.element_at(parts, 1)
     first = F.when(lead != "", F.array(F.struct(F.lit("description").alias("f"), lead.alias("p"))))
     both = F.concat(F.coalesce(first, F.array().cast("array<struct<f:string,p:string>>")), firsts)

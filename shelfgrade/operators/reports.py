@@ -217,7 +217,7 @@ def value_counts(df: DataFrame, col: Column, name: str) -> DataFrame:
 def category_rules_view(rules: DataFrame) -> DataFrame:
     """Rules per category as one ordered text; the rule table is a small dimension."""
     line = F.concat("hair_type", F.lit("="), F.col("score").cast("string"))
-    return rules.groupBy("category").agg(_n().alias("rules"), F.array_join(F.array_sort(F.collect_list(line)), ", ").alias("listing"))
+    return rules.groupBy("category").agg(_n().alias("rules"), F.array_join(F.sort_array(F.collect_list(line)), ", ").alias("listing"))
 
 
 def ingredient_catalog(ingredients: DataFrame, bridge: DataFrame, search: str | None, ident: str, name: str) -> DataFrame:
@@ -368,7 +368,7 @@ def newest(df: DataFrame, keys: list[str], when: str, tie: str, n: int) -> DataF
 def product_detail(products: DataFrame, evidence: DataFrame, key: str, issues: Column, cap: int = 50) -> DataFrame:
     """Each product with its issue report and its newest evidence, at most ``cap`` entries as shown on a page."""
     recent = newest(evidence, [key], "extracted_at", "evidence_id", cap).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "field_name", "raw_source_text"))).alias("evidence"))
+        F.sort_array(F.collect_list(F.struct("rank", "field_name", "raw_source_text"))).alias("evidence"))
     return products.withColumn("issues", issues).join(recent, key, "left")
 
 

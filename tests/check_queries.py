@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as entry  # noqa: E402
-from oracle import compare, connect  # noqa: E402
+from oracle import LAST, compare, connect  # noqa: E402
 from shelfgrade.session import build_session  # noqa: E402
 
 
@@ -21,7 +21,7 @@ def main() -> int:
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     con = connect(sf)
     qs, sql = entry.queries(), entry.oracle_sql()
-    names = [n for n in qs if not args or any(a in n for a in args)]
+    names = [n for n in qs if not args or any(a in n or entry.base.QUERIES[n].__module__.endswith('.' + a) for a in args)]
     bad = 0
     for n in names:
         start = time.time()
@@ -35,8 +35,9 @@ def main() -> int:
             if "-v" in sys.argv:
                 traceback.print_exc()
         took = time.time() - start
-        if diff or took > 8:
-            print(f"{'FAIL' if diff else 'slow'} {n} {took:.1f}s {diff or ''}", flush=True)
+        spark_s = LAST.get("spark", took) if n in sql else took
+        if diff or spark_s > 4:
+            print(f"{'FAIL' if diff else 'slow'} {n} {took:.1f}s (spark {spark_s:.1f}s) {diff or ''}", flush=True)
         bad += bool(diff)
     print(f"{len(names)} queries, {len([n for n in names if n in sql])} with SQL, {bad} differ")
     return bad

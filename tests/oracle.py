@@ -4,6 +4,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import time
 from pathlib import Path
 
 import duckdb
@@ -21,6 +22,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+LAST: dict[str, float] = {}
+
+
 def canon(v):
     if v is None:
         return "∅"
@@ -53,7 +57,9 @@ def rows_of(columns, rows):
 
 def compare(df, sql: str, con) -> str | None:
     """None when equal, else a short description of the difference."""
+    start = time.time()
     s_cols, s_rows, s_kinds = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    LAST["spark"] = time.time() - start
     cur = con.execute(sql)
     d_cols, d_rows, d_kinds = rows_of([c[0] for c in cur.description], cur.fetchall())
     if s_cols != d_cols:
