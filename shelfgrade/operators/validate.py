@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.lists import DEFAULT_RULES, ListRules, validate_list
+from ..functions.lists import DEFAULT_RULES, ListRules, let, validate_list
 from ..functions.text import _c
 from ..functions.urls import has_url, host_allowed
 from ..vocab import market as M
@@ -39,44 +39,50 @@ def _issue(cond: Column, field_name: str, code: str, severity: str, details: Col
     ))
 
 
-def _hits(items: Column, test) -> Column:
-    return F.filter(items, test)
+def list_issues(items: Column | str, r: FieldRules = FIELD_RULES) -> Column:
+    """Issues of an ingredient list; the counts behind them are taken once."""
+    def counted(arr: Column) -> Column:
+        norm = F.transform(arr, lambda x: T.strip_ws(F.lower(x)))
+        return let(norm, lambda ns: F.struct(
+            F.size(arr).alias("n"), F.exists(ns, lambda x: x.isin(r.anchors)).alias("anchored"),
+            F.size(F.filter(ns, lambda x: T.contains_any(x, r.marketing))).alias("ads"),
+            F.size(F.filter(ns, lambda x: T.contains_any(x, r.usage))).alias("use"),
+            F.size(F.filter(F.transform(arr, T.strip_ws), lambda x: (
+                (F.length(x) > 50) & x.rlike(r"\.\s+[A-Z]")) | (T.word_count(x) > 12))).alias("sentences"),
+            F.exists(arr, lambda x: x.rlike(r"\.\s*\*+[A-Z]") | F.lower(x).rlike(r"complex[*:\s]")).alias("complex"),
+            F.size(F.filter(ns, lambda x: x.rlike(r.pricing))).alias("prices")))
 
-
-def list_issues(items: Column | str, r: FieldRules = FIELD_RULES) -> list[Column]:
-    arr = _c(items)
-    norm = F.transform(arr, lambda x: T.strip_ws(F.lower(x)))
-    n = F.coalesce(F.size(arr), F.lit(0))
-    anchored = F.exists(norm, lambda x: x.isin(r.anchors))
-    ads = _hits(norm, lambda x: T.contains_any(x, r.marketing))
-    use = _hits(norm, lambda x: T.contains_any(x, r.usage))
-    sentences = _hits(
-        F.transform(arr, T.strip_ws),
-        lambda x: (x.rlike(r"\.\s+[A-Z]") & (F.length(x) > 50)) | (T.word_count(x) > 12),
-    )
-    complexes = _hits(arr, lambda x: x.rlike(r"\.\s*\*+[A-Z]") | F.lower(x).rlike(r"complex[*:\s]"))
-    prices = _hits(norm, lambda x: x.rlike(r.pricing))
-    has, n_ads, n_use = n > 0, F.size(ads), F.size(use)
-    only_ads = (n_ads > 0) & ~anchored
     f = "inci_ingredients"
-    return [
-        _issue(has & only_ads, f, "inci_is_marketing", "error"),
-        _issue(has & ~only_ads & (n_ads * 10 > n * 3), f, "inci_mixed_marketing", "warning"),
-        _issue(has & (n_use * 10 > n * 3), f, "inci_is_usage", "error"),
-        _issue(has & (n_use > 0) & (n_use * 10 <= n * 3), f, "inci_has_usage_text", "warning"),
-        _issue(has & (F.size(sentences) > 3), f, "inci_has_sentences", "warning"),
-        _issue(has & (F.size(complexes) > 0), f, "inci_marketing_complex", "info"),
-        _issue(has & (F.size(prices) >= 3), f, "inci_pricing_garbage", "error"),
-    ]
+    none = F.lit(None).cast("string")
+
+    def codes(c: Column) -> Column:
+        many_use, only_ads = c["use"] * 10 > c["n"] * 3, (c["ads"] > 0) & ~c["anchored"]
+        return F.array(
+            F.when(only_ads, F.lit("inci_is_marketing")),
+            F.when(~only_ads & (c["ads"] * 10 > c["n"] * 3), F.lit("inci_mixed_marketing")),
+            F.when(many_use, F.lit("inci_is_usage")), F.when((c["use"] > 0) & ~many_use, F.lit("inci_has_usage_text")),
+            F.when(c["sentences"] > 3, F.lit("inci_has_sentences")), F.when(c["complex"], F.lit("inci_marketing_complex")),
+            F.when(c["prices"] >= 3, F.lit("inci_pricing_garbage")))
+
+    # Severity of each code.
+    severity = {"inci_is_marketing": "error", "inci_is_usage": "error", "inci_pricing_garbage": "error", "inci_marketing_complex": "info"}
+    arr = _c(items)
+    found = F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, let(let(arr, counted), codes)).otherwise(F.array(*[none] * 7))
+    level = lambda code: C.first_match([(code == k, F.lit(v)) for k, v in severity.items()], F.lit("warning"))
+    rows = F.transform(F.array_compact(found), lambda code: F.struct(
+        F.lit(f).alias("field"), code.alias("code"), level(code).alias("severity"), F.lit("").alias("details")))
+    return rows
 
 
 def description_issues(description: Column | str) -> list[Column]:
     desc = T.strip_ws(F.coalesce(_c(description), F.lit("")))
-    parts = F.transform(F.split(desc, ","), T.strip_ws)
-    short = F.filter(parts, lambda p: (F.length(p) < 40) & (T.word_count(p) <= 5))
-    listy = (F.size(parts) > 10) & (F.size(short) * 10 > F.size(parts) * 7)
+
+    def listy(parts: Column) -> Column:
+        short = F.filter(parts, lambda p: (F.length(p) < 40) & (T.word_count(p) <= 5))
+        return (F.size(parts) > 10) & (F.size(short) * 10 > F.size(parts) * 7)
+
     return [
-        _issue(listy, "description", "desc_is_inci_list", "error"),
+        _issue(let(F.transform(F.split(desc, ","), T.strip_ws), listy), "description", "desc_is_inci_list", "error"),
         _issue((desc != "") & (F.length(desc) < 20) & ~desc.rlike(r"\p{L}"), "description", "desc_too_short", "warning"),
     ]
 
@@ -101,15 +107,16 @@ def field_issues(
         _issue(text(image) == "", "image_url_main", "image_missing", "warning"),
         _issue(text(ptype) == "", "product_type_normalized", "type_missing", "info"),
     ]
+    row_issues = F.array_compact(F.array(*issues))
     if items is not None:
-        issues += list_issues(items, rules)
+        row_issues = F.concat(row_issues, list_issues(items, rules))
+    issues = []
     if description is not None:
         issues += description_issues(description)
     if usage is not None:
         issues += usage_issues(usage, rules)
     if benefits is not None:
-        long = F.filter(_c(benefits), lambda b: F.length(T.strip_ws(b)) > 120)
-        issues.append(_issue(F.size(long) > 0, "benefits_claims", "benefits_too_long", "warning"))
+        issues.append(_issue(F.exists(_c(benefits), lambda b: F.length(T.strip_ws(b)) > 120), "benefits_claims", "benefits_too_long", "warning"))
     if price is not None:
         p = _c(price)
         cur = F.lit("") if currency is None else F.coalesce(_c(currency), F.lit(""))
@@ -117,7 +124,7 @@ def field_issues(
             _issue(p <= 0, "price", "price_invalid", "error"), _issue(p > 5000, "price", "price_outlier", "warning"),
             _issue(p.isNotNull() & (cur == ""), "currency", "price_no_currency", "warning"),
         ]
-    return F.array_compact(F.array(*issues))
+    return F.concat(row_issues, F.array_compact(F.array(*issues))) if issues else row_issues
 
 
 def field_score(issues: Column) -> Column:
@@ -145,44 +152,47 @@ def qa_gate(
     why = F.coalesce(reason, F.lit(""))
     blocked = F.startswith(why, F.lit("blocked:"))
     block_code = F.coalesce(F.nullif(F.regexp_replace(why, "^blocked:", ""), F.lit("")), F.lit("blocked"))
-    garbage = C.garbage_name(name, garbage_words, garbage_patterns)
-    nq = C.name_quality(name, rules.type_words)
-    name_fail = F.coalesce(garbage, F.when(
-        ~nq["valid"], F.concat(F.lit("name_low_quality:"), F.array_join(F.slice(nq["issues"], 1, 3), ","))))
-    domain_ok = F.coalesce(host_allowed(url, domains), F.lit(False))
-    image_ok = F.coalesce(image, F.lit("")) != ""
-    reason_fail = C.first_match([
+    nil, none = F.lit(""), F.array().cast("array<string>")
+    name_code = F.coalesce(
+        C.garbage_name(name, garbage_words, garbage_patterns),
+        let(C.name_quality(name, rules.type_words), lambda nq: F.when(
+            ~nq["valid"], F.concat(F.lit("name_low_quality:"), F.array_join(F.slice(nq["issues"], 1, 3), ",")))))
+    reason_code = C.first_match([
         (F.startswith(why, F.lit("non_hair:")), why), (why == "no_hair_keyword", F.lit("no_hair_keyword")),
         (why == "", F.lit("no_hair_relevance")),
     ])
-    failed = F.array_compact(F.array(
-        name_fail, F.when(~domain_ok, F.lit("domain_unofficial")), F.when(~image_ok, F.lit("no_image")), reason_fail))
-    passed = F.array_compact(F.array(
-        F.when(name_fail.isNull(), F.lit("name_valid")), F.when(domain_ok, F.lit("domain_valid")),
-        F.when(image_ok, F.lit("has_image")), F.when(reason_fail.isNull(), F.lit("hair_relevant"))))
-    formal = C.list_like(composition, False, rejection_verbs)
-    passed2 = F.when(formal, F.concat(passed, F.array(F.lit("composition_looks_like_inci")))).otherwise(passed)
-    check = validate_list(items, in_section, rules.lists)
-    none = F.array().cast("array<string>")
+    facts = F.struct(
+        name_code.alias("name"), reason_code.alias("reason"), F.coalesce(host_allowed(url, domains), F.lit(False)).alias("domain"),
+        (F.coalesce(image, F.lit("")) != "").alias("image"), C.list_like(composition, False, rejection_verbs).alias("formal"),
+        validate_list(items, in_section, rules.lists).alias("check"))
 
     def verdict(status: str, ok: Column, bad: Column, text: Column) -> Column:
         return F.struct(
             F.lit(status).alias("status"), ok.alias("passed"), bad.alias("failed"), text.alias("reason"))
 
-    nil = F.lit("")
-    return C.first_match(
-        [
-            (blocked, verdict("quarantined", none, F.array(block_code), block_code)),
-            (F.size(failed) > 0, verdict("quarantined", passed, failed, F.array_join(failed, "; "))),
-            (F.coalesce(F.size(items), F.lit(0)) <= 0, verdict("catalog_only", passed2, none, nil)),
-            (~check["valid"], verdict(
-                "quarantined", passed2, F.array(F.concat(F.lit("inci_invalid:"), check["reason"])), check["reason"])),
-            (confidence < min_conf, verdict(
-                "quarantined", F.concat(passed2, F.array(F.lit("inci_valid"))), F.array(F.lit("low_confidence")),
-                F.concat(F.lit("confidence "), confidence.cast("string"), F.lit(f" < {min_conf}")))),
-        ],
-        verdict("verified_inci", F.concat(passed2, F.array(F.lit("inci_valid"), F.lit("confidence_ok"))), none, nil),
-    )
+    def judged(v: Column) -> Column:
+        failed = F.array_compact(F.array(
+            v["name"], F.when(~v["domain"], F.lit("domain_unofficial")), F.when(~v["image"], F.lit("no_image")), v["reason"]))
+        passed = F.array_compact(F.array(
+            F.when(v["name"].isNull(), F.lit("name_valid")), F.when(v["domain"], F.lit("domain_valid")),
+            F.when(v["image"], F.lit("has_image")), F.when(v["reason"].isNull(), F.lit("hair_relevant"))))
+        more = F.when(v["formal"], F.concat(passed, F.array(F.lit("composition_looks_like_inci")))).otherwise(passed)
+        check = v["check"]
+        return C.first_match(
+            [
+                (blocked, verdict("quarantined", none, F.array(block_code), block_code)),
+                (F.size(failed) > 0, verdict("quarantined", passed, failed, F.array_join(failed, "; "))),
+                (F.coalesce(F.size(items), F.lit(0)) <= 0, verdict("catalog_only", more, none, nil)),
+                (~check["valid"], verdict(
+                    "quarantined", more, F.array(F.concat(F.lit("inci_invalid:"), check["reason"])), check["reason"])),
+                (confidence < min_conf, verdict(
+                    "quarantined", F.concat(more, F.array(F.lit("inci_valid"))), F.array(F.lit("low_confidence")),
+                    F.concat(F.lit("confidence "), confidence.cast("string"), F.lit(f" < {min_conf}")))),
+            ],
+            verdict("verified_inci", F.concat(more, F.array(F.lit("inci_valid"), F.lit("confidence_ok"))), none, nil),
+        )
+
+    return let(facts, judged)
 
 
 def known_ratio(products: DataFrame, key: str, items: str, dictionary: DataFrame, name: str, alias: str | None = None) -> DataFrame:
@@ -230,54 +240,65 @@ def gold_gate(
         c = F.lit(code) if isinstance(code, str) else code
         return F.when(cond, F.struct(c.alias("code"), F.lit(field_name).alias("field"), F.lit(severity).alias("severity")))
 
-    nq = C.name_quality(name, rules.type_words)
-    disq = [
-        blocker(F.coalesce(status == "quarantined", F.lit(False)), "quarantined", "verification_status"),
-        blocker(F.coalesce(hidden, F.lit(False)), "hidden", "is_hidden"),
-        blocker(F.startswith(F.coalesce(reason, F.lit("")), F.lit("non_hair")), "non_hair", "hair_relevance_reason"),
-        blocker(~nq["valid"], "name_low_quality", "product_name"),
-    ]
     f = "inci_ingredients"
-    has = F.coalesce(F.size(items), F.lit(0)) > 0
-    check = validate_list(items, False, rules.lists)
-    found = F.array_compact(F.array(*list_issues(items, rules)))
-    errors = F.filter(found, lambda i: i["severity"] == "error")
-    warns = F.filter(found, lambda i: i["severity"] == "warning")
-    clean = has & check["valid"] & (F.size(errors) == 0)
-    r = F.lit(None).cast("double") if ratio is None else ratio
-    g = F.lit(True) if grounded is None else F.coalesce(grounded, F.lit(True))
-    use_text = T.strip_ws(F.coalesce(usage, F.lit("")))
-    use_ok = real_usage(usage, rules)
-    desc = T.strip_ws(F.coalesce(description, F.lit("")))
-    long_enough = F.length(desc) >= rules.min_description
-    label = C.tab_noise(desc, rules.tab_labels)
-    desc_errors = F.filter(F.array_compact(F.array(*description_issues(desc))), lambda i: i["severity"] == "error")
-    required = [
-        blocker(~has, "inci_missing", f),
-        blocker(has & ~check["valid"], F.concat(F.lit("inci_invalid:"), check["reason"]), f),
-        blocker(has & check["valid"] & (F.size(errors) > 0), F.try_element_at(errors, F.lit(1))["code"], f),
-        blocker(clean & F.coalesce(r < hard_ratio, F.lit(False)), "inci_garbage", f),
-        blocker(~has_url(image), "image_missing", "image_url_main"),
-        blocker(~use_ok & (use_text == ""), "usage_missing", "usage_instructions"),
-        blocker(~use_ok & (use_text != ""), "usage_not_instructions", "usage_instructions"),
-        blocker(~long_enough, "desc_missing", "description"),
-        blocker(long_enough & label, "desc_is_label", "description"),
-        blocker(long_enough & ~label & (F.size(desc_errors) > 0), F.try_element_at(desc_errors, F.lit(1))["code"], "description"),
-        blocker(~F.coalesce(category_col.isin(rules.categories), F.lit(False)), "category_invalid", "product_category"),
-        blocker(F.coalesce(kit, F.lit(False)), "is_kit", "is_kit"),
-    ]
-    soft = [
-        blocker(clean & (F.size(warns) > 0), F.try_element_at(warns, F.lit(1))["code"], f, "warning"),
-        blocker(clean & F.coalesce((r >= hard_ratio) & (r < soft_ratio), F.lit(False)), "inci_low_known_ratio", f, "warning"),
-        blocker(clean & ~g, "inci_llm_only", f, "warning"),
-    ]
-    d, q, s = (F.array_compact(F.array(*x)) for x in (disq, required, soft))
-    tier = C.first_match([
-        (F.size(d) > 0, F.lit("raw")), (F.size(q) > 0, F.lit("catalog")), (F.size(s) > 0, F.lit("gold_candidate")),
-    ], F.lit("gold"))
-    return F.struct(
-        tier.alias("gold_status"), F.concat(d, q, s).alias("blockers"), nq["score"].alias("name_score"),
-        F.size(check["cleaned"]).alias("terms"))
+    desc_in = T.strip_ws(F.coalesce(description, F.lit("")))
+    # Everything the blockers ask for, computed once per row.
+    facts = F.struct(
+        C.name_quality(name, rules.type_words).alias("nq"), validate_list(items, False, rules.lists).alias("check"),
+        list_issues(items, rules).alias("found"), T.strip_ws(F.coalesce(usage, F.lit(""))).alias("use"),
+        real_usage(usage, rules).alias("use_ok"), (F.length(desc_in) >= rules.min_description).alias("long"),
+        C.tab_noise(desc_in, rules.tab_labels).alias("label"), F.array_compact(F.array(*description_issues(desc_in))).alias("desc"))
+
+    def codes(issues: Column, severity: str) -> Column:
+        return F.transform(F.filter(issues, lambda i: i["severity"] == severity), lambda i: i["code"])
+
+    def first(code_list: Column) -> Column:
+        return F.try_element_at(code_list, F.lit(1))
+
+    def judged(v: Column) -> Column:
+        nq, valid, use_ok, long, label = v["nq"], v["check"]["valid"], v["use_ok"], v["long"], v["label"]
+        errors, warns, desc_errors = codes(v["found"], "error"), codes(v["found"], "warning"), codes(v["desc"], "error")
+        has = F.coalesce(F.size(items), F.lit(0)) > 0
+        clean = has & valid & (F.size(errors) == 0)
+        r = F.lit(None).cast("double") if ratio is None else ratio
+        g = F.lit(True) if grounded is None else F.coalesce(grounded, F.lit(True))
+        disq = [
+            blocker(F.coalesce(status == "quarantined", F.lit(False)), "quarantined", "verification_status"),
+            blocker(F.coalesce(hidden, F.lit(False)), "hidden", "is_hidden"),
+            blocker(F.startswith(F.coalesce(reason, F.lit("")), F.lit("non_hair")), "non_hair", "hair_relevance_reason"),
+            blocker(~nq["valid"], "name_low_quality", "product_name"),
+        ]
+        required = [
+            blocker(~has, "inci_missing", f),
+            blocker(has & ~valid, F.concat(F.lit("inci_invalid:"), v["check"]["reason"]), f),
+            blocker(has & valid & (F.size(errors) > 0), first(errors), f),
+            blocker(clean & F.coalesce(r < hard_ratio, F.lit(False)), "inci_garbage", f),
+            blocker(~has_url(image), "image_missing", "image_url_main"),
+            blocker(~use_ok & (v["use"] == ""), "usage_missing", "usage_instructions"),
+            blocker(~use_ok & (v["use"] != ""), "usage_not_instructions", "usage_instructions"),
+            blocker(~long, "desc_missing", "description"),
+            blocker(long & label, "desc_is_label", "description"),
+            blocker(long & ~label & (F.size(desc_errors) > 0), first(desc_errors), "description"),
+            blocker(~F.coalesce(category_col.isin(rules.categories), F.lit(False)), "category_invalid", "product_category"),
+            blocker(F.coalesce(kit, F.lit(False)), "is_kit", "is_kit"),
+        ]
+        soft = [
+            blocker(clean & (F.size(warns) > 0), first(warns), f, "warning"),
+            blocker(clean & F.coalesce((r >= hard_ratio) & (r < soft_ratio), F.lit(False)), "inci_low_known_ratio", f, "warning"),
+            blocker(clean & ~g, "inci_llm_only", f, "warning"),
+        ]
+        return F.struct(
+            *[F.array_compact(F.array(*x)).alias(n) for n, x in (("d", disq), ("q", required), ("s", soft))],
+            nq["score"].alias("score"), F.size(v["check"]["cleaned"]).alias("terms"))
+
+    def verdict(b: Column) -> Column:
+        tier = C.first_match([
+            (F.size(b["d"]) > 0, F.lit("raw")), (F.size(b["q"]) > 0, F.lit("catalog")), (F.size(b["s"]) > 0, F.lit("gold_candidate")),
+        ], F.lit("gold"))
+        return F.struct(
+            tier.alias("gold_status"), F.concat(b["d"], b["q"], b["s"]).alias("blockers"), b["score"].alias("name_score"), b["terms"].alias("terms"))
+
+    return let(let(facts, judged), verdict)
 
 
 def apply_gold(df: DataFrame, evaluation: Column, now: Column | None = None) -> DataFrame:
