@@ -68,19 +68,21 @@ def gender_target(
     )
 
 
-def _word_hit(text: Column, padded: Column, word: str) -> Column:
-    """Short single words must stand alone; longer words and phrases may be part of a word."""
-    w = word.lower()
-    if " " in w or "-" in w or len(w) >= 6:
-        return F.contains(text, F.lit(w))
-    if w.replace("_", "a").isalnum():
-        return F.contains(padded, F.lit(f" {w} "))
-    return text.rlike(T.boundary_pattern([w]))
-
-
 def _first_word(text: Column, words: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, f"[^{T.WORD}]", " "), F.lit(" "))
-    return first_match([(_word_hit(text, padded, w), F.lit(w)) for w in words])
+    """First word of a long list that the text holds.
+
+    Short single words must stand alone, longer words and phrases may be part of a word. The list is one
+    literal array, so the generated code stays small whatever its length.
+    """
+    def whole(w: str) -> bool:
+        return len(w) < 6 and w.replace("_", "a").isalnum()
+
+    entries = F.array(*[F.struct(
+        F.lit(w.lower()).alias("word"), F.lit(f" {w.lower()} " if whole(w) else w.lower()).alias("needle"), F.lit(whole(w)).alias("whole"))
+        for w in words])
+    both = F.struct(text.alias("text"), F.concat(F.lit(" "), F.regexp_replace(text, f"[^{T.WORD}]", " "), F.lit(" ")).alias("padded"))
+    return let(both, lambda b: F.try_element_at(F.filter(entries, lambda e: F.contains(
+        F.when(e["whole"], b["padded"]).otherwise(b["text"]), e["needle"])), F.lit(1))["word"])
 
 
 def domain_relevance(

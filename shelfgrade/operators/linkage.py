@@ -126,37 +126,37 @@ def match_names(
     automatic threshold. Above the threshold with compatible types the match applies itself,
     otherwise it goes to review.
     """
-    def side(df: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-        d = df.select(brand, F.coalesce(F.col(name), F.lit("")).alias("_name"), *keep)
-        ident = F.xxhash64(brand, "_name")
-        d = d.withColumn("ident", ident)
-        distinct = d.select(brand, "_name", "ident").distinct().withColumns({
-            "forms": name_forms(F.col("_name"), F.col(brand)),
-            "vol": T.volume_units("_name"), "typ": C.by_substring(F.lower("_name"), types)})
-        return d, distinct
-
-    p_rows, p_names = side(products, [p_key])
-    e_rows, e_names = side(external, [e_key, source])
-    # One representative per external name: the preferred source, then the smallest key.
+    def side(df: DataFrame, keep: list[str]) -> DataFrame:
+        raw = F.coalesce(F.col(name), F.lit(""))
+        d = df.select(brand, *keep, name_forms(raw, F.col(brand)).alias("forms"), F.coalesce(T.volume_units(raw), F.lit(0.0)).alias("vol"),
+                      F.coalesce(C.by_substring(F.lower(raw), types), F.lit("")).alias("typ"))
+        return d.withColumn("ident", F.xxhash64("forms"))
+
+    def names(d: DataFrame) -> DataFrame:
+        return d.groupBy(brand, "ident").agg(F.first("forms").alias("forms"))
+
+    p_rows, e_rows = side(products, [p_key]), side(external, [e_key, source])
+    sig = [brand, "ident", "vol", "typ"]
+    # One representative per external spelling: the preferred source, then the smallest key.
     rank = F.when(F.col(source) == preferred, 0).otherwise(1) if preferred else F.lit(0)
-    rep = e_rows.withColumn("src_rank", rank).groupBy(brand, "ident").agg(
-        F.min(F.struct("src_rank", e_key)).alias("_r")).select(brand, F.col("ident").alias("right_id"), "_r")
-    hits = similar_names(p_names, e_names, brand, review)
-    pv = p_names.select(brand, F.col("ident").alias("left_id"), F.col("vol").alias("pvol"), F.col("typ").alias("ptyp"))
-    ev = e_names.select(brand, F.col("ident").alias("right_id"), F.col("vol").alias("evol"), F.col("typ").alias("etyp"))
-    clash = F.coalesce((F.col("pvol") != 0) & (F.col("evol") != 0) & (F.abs(F.col("pvol") - F.col("evol")) > 1e-6), F.lit(False))
+    e_sig = e_rows.withColumn("src_rank", rank).groupBy(*sig).agg(F.min(F.struct("src_rank", e_key)).alias("_r")).select(
+        brand, F.col("ident").alias("right_id"), F.col("vol").alias("evol"), F.col("typ").alias("etyp"), "_r")
+    p_sig = p_rows.select(*sig).distinct().withColumnRenamed("ident", "left_id")
+    hits = similar_names(names(p_rows), names(e_rows), brand, review)
+    clash = (F.col("vol") != 0) & (F.col("evol") != 0) & (F.abs(F.col("vol") - F.col("evol")) > 1e-6)
     scored = (
-        hits.join(pv, [brand, "left_id"]).join(ev, [brand, "right_id"]).join(rep, [brand, "right_id"])
+        hits.join(p_sig, [brand, "left_id"]).join(e_sig, [brand, "right_id"])
         .withColumn("score", F.when(clash, F.least("ratio", F.lit(auto - 0.01))).otherwise(F.col("ratio")))
-        .withColumn("type_match", F.coalesce(F.col("ptyp") == F.col("etyp"), F.lit(True)))
+        .withColumn("type_match", (F.col("typ") == "") | (F.col("etyp") == "") | (F.col("typ") == F.col("etyp")))
     )
+    left = [brand, "left_id", "vol", "typ"]
     best = best_row(
-        scored.select(brand, "left_id", "score", "type_match", F.col("_r.src_rank").alias("src_rank"),
-                      F.col(f"_r.{e_key}").alias(e_key), (-F.col("score")).alias("neg")),
-        [brand, "left_id"], [F.col("neg"), F.col("src_rank"), F.col(e_key)])
+        scored.select(*left, "score", "type_match", F.col("_r.src_rank").alias("src_rank"), F.col(f"_r.{e_key}").alias(e_key),
+                      (-F.col("score")).alias("neg")),
+        left, [F.col("neg"), F.col("src_rank"), F.col(e_key)])
     action = F.when((F.col("score") > auto) & F.col("type_match"), F.lit("auto_apply")).otherwise(F.lit("review"))
     return (
-        p_rows.select(brand, p_key, F.col("ident").alias("left_id")).join(best, [brand, "left_id"])
+        p_rows.select(p_key, *sig).withColumnRenamed("ident", "left_id").join(best, left)
         .select(p_key, brand, e_key, "score", action.alias("action"), "type_match")
     )
 
@@ -255,29 +255,30 @@ def identify(
         F.lit("match").alias("outcome"))
     open_q = queries.join(ean.select(q_key), q_key, "left_anti").filter(
         F.coalesce(F.col("product_name_text"), F.lit("")) != "")
-    q_names = open_q.select(
+    def with_forms(d: DataFrame) -> DataFrame:
+        plain, branded = name_forms(F.col("_name"), None), name_forms(F.col("_name"), F.col("block"))
+        return d.withColumn("forms", F.when(F.col("block") == "", plain).otherwise(branded)).withColumn("ident", F.xxhash64("forms"))
+
+    q_names = with_forms(open_q.select(
         q_key, F.coalesce(F.col("brand_slug"), F.lit("")).alias("block"), F.col("product_name_text").alias("_name"),
         (T.norm_ean("ean") != "").alias("_has_ean"),
         F.try_element_at(
             F.filter(F.split(T.fold("product_name_text"), r"\s+"), lambda w: F.length(w) > 3), F.lit(1)).alias("_word"),
-        F.coalesce(T.volume_units("volume_text"), T.volume_units("product_name_text")).alias("qvol"),
-    ).withColumn("ident", F.xxhash64("block", "_name"))
+        F.coalesce(T.volume_units("volume_text"), T.volume_units("product_name_text")).alias("qvol")))
     base = products.select(
         p_key, F.col("product_name").alias("_name"), (T.norm_ean("ean") != "").alias("_ean_there"),
         F.coalesce(T.volume_units("size_volume"), T.volume_units("product_name")).alias("pvol"),
         (F.array("brand_slug", F.lit("")) if without_brand else F.array("brand_slug")).alias("_blocks"))
-    pool = base.withColumn("block", F.explode("_blocks")).drop("_blocks").join(
-        q_names.select("block").distinct(), "block", "left_semi").withColumn("ident", F.xxhash64("block", "_name"))
+    pool = with_forms(base.withColumn("block", F.explode("_blocks")).drop("_blocks").join(
+        q_names.select("block").distinct(), "block", "left_semi"))
 
-    def forms(df: DataFrame) -> DataFrame:
-        plain, branded = name_forms(F.col("_name"), None), name_forms(F.col("_name"), F.col("block"))
-        return df.select("block", "ident", "_name").distinct().select(
-            "block", "ident", F.when(F.col("block") == "", plain).otherwise(branded).alias("forms"))
+    def names(d: DataFrame) -> DataFrame:
+        return d.groupBy("block", "ident").agg(F.first("forms").alias("forms"))
 
-    hits = similar_names(forms(q_names), forms(pool), "block", review)
+    hits = similar_names(names(q_names), names(pool), "block", review)
     pairs = (
-        hits.join(q_names.withColumnsRenamed({"ident": "left_id", "_name": "_qname"}), ["block", "left_id"])
-        .join(pool.withColumnRenamed("ident", "right_id"), ["block", "right_id"])
+        hits.join(q_names.drop("forms", "_name").withColumnRenamed("ident", "left_id"), ["block", "left_id"])
+        .join(pool.drop("forms").withColumnRenamed("ident", "right_id"), ["block", "right_id"])
     )
     allowed = (
         (F.col("block") != "") | (F.col("_has_ean") & F.col("_ean_there"))

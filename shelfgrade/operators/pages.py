@@ -185,7 +185,7 @@ def indexed_tabs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html:
 
 def faq_pairs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
     """Header and content blocks told apart by their class names."""
-    part = r"""(?is)<div[^>]*class\s*=\s*"([^"]*)"[^>]*>(.*?)(?=<div|</div)"""
+    part = r"""(?is)<div[^>]*class\s*=\s*"([^"]*)"[^>]*>(.*?)(?=<div|</div|$)"""
     d = pages.select(key, F.regexp_extract_all(without_scripts(html), F.lit(part), F.lit(0)).alias("divs"))
     blocks = F.transform("divs", lambda b, i: F.struct(
         i.alias("pos"), F.lower(F.regexp_extract(b, part, 1)).alias("cls"), F.coalesce(T.clean_text(F.regexp_extract(b, part, 2)), F.lit("")).alias("text")))

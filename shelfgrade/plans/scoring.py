@@ -22,6 +22,8 @@ def _rule_hits(entries: DataFrame, profiles: DataFrame, rules: DataFrame, produc
     """entries(product, idx, n, category) x the product's profiles x rules."""
     typed = profiles.select(product, "profile_id", F.explode("hair_types").alias("hair_type"))
     weighted = entries.filter(F.col("category").isNotNull()).withColumn("weight", position_weight(F.col("idx"), F.col("n")))
+    # Exact decimals: the sums do not depend on the order in which tasks add them up.
+    weighted = weighted.withColumn("weight", F.col("weight").cast("decimal(12,9)"))
     return weighted.join(typed, product).join(rules.select("category", "hair_type", "score"), ["category", "hair_type"])
 
 
@@ -41,8 +43,9 @@ def score_lists(
     sizes = entries.groupBy(product).agg(
         F.count(F.lit(1)).alias("items"), F.count("category").alias("categorized"))
     pairs = profiles.select(product, "profile_id").join(sizes, product)
-    base = F.greatest(F.col("_w"), F.lit(1.0)) if floor_weight else F.col("_w")
-    overall = F.when(F.coalesce("_w", F.lit(0.0)) > 0, F.col("_s") / base).otherwise(0.0)
+    total, weight = F.col("_s").cast("double"), F.coalesce(F.col("_w").cast("double"), F.lit(0.0))
+    base = F.greatest(weight, F.lit(1.0)) if floor_weight else weight
+    overall = F.when(weight > 0, total / base).otherwise(0.0)
     out = pairs.join(sums, [product, "profile_id"], "left").withColumn("overall", overall)
     return out.select(
         product, "profile_id", "items", "categorized", "overall",
@@ -78,10 +81,10 @@ def alternatives(
     best_tier = short.agg(F.min("_tier").alias("_tier"))
     short = short.join(best_tier, "_tier").filter((F.col("items") >= min_items) & (F.col("matched") >= min_matched))
     scored = entries.join(short.select("product_id"), "product_id").filter(F.col("category").isNotNull()).withColumn(
-        "weight", position_weight(F.col("idx"), F.col("n"))).join(rules.select("category", "hair_type", "score"), "category")
+        "weight", position_weight(F.col("idx"), F.col("n")).cast("decimal(12,9)")).join(rules.select("category", "hair_type", "score"), "category")
     per_type = scored.groupBy("product_id", "hair_type").agg(
         F.sum(F.col("score") * F.col("weight")).alias("_s"), F.sum("weight").alias("_w"))
     typed = profiles.select("profile_id", F.explode("hair_types").alias("hair_type"))
     totals = typed.join(per_type, "hair_type").groupBy("profile_id", "product_id").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
-    result = totals.withColumn("score", F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(0.0)).drop("_s", "_w")
+    result = totals.withColumn("score", F.when(F.col("_w") > 0, F.col("_s").cast("double") / F.col("_w").cast("double")).otherwise(0.0)).drop("_s", "_w")
     return top_k(result, ["profile_id"], [F.round("score", 6).desc(), F.col("product_id")], k)
