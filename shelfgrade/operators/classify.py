@@ -74,6 +74,9 @@ def _first_word(text: Column, words: list[str]) -> Column:
     Short single words must stand alone, longer words and phrases may be part of a word. The list is one
     literal array, so the generated code stays small whatever its length.
     """
+    if not words:
+        return F.lit(None).cast("string")
+
     def whole(w: str) -> bool:
         return len(w) < 6 and w.replace("_", "a").isalnum()
 
