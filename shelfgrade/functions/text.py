@@ -33,7 +33,9 @@ def _c(col: Column | str) -> Column:
 
 
 def strip_accents(col: Column | str) -> Column:
-    return F.translate(_c(col), _ACCENTED, _BASE)
+    """Base letters for accented ones; plain ASCII text, one byte per character, passes through."""
+    c = _c(col)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, _ACCENTED, _BASE))
 
 
 def strip_ws(col: Column | str) -> Column:

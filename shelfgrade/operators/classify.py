@@ -326,10 +326,12 @@ def brand_name_only(name: Column | str, slug: Column | str) -> Column:
 
 def tab_noise(content: Column | str, labels: list[str] = M.TAB_LABELS) -> Column:
     """The content is one tab caption, or its first 80 characters hold two of them."""
-    s = T.norm_label(F.coalesce(_c(content), F.lit("")))
-    head = F.left(s, F.lit(80))
-    hits = reduce(lambda a, b: a + b, [F.contains(head, F.lit(x)).cast("int") for x in labels])
-    return (s != "") & (s.isin(labels) | (hits >= 2))
+    def judged(s: Column) -> Column:
+        hits = let(F.left(s, F.lit(80)), lambda head: reduce(
+            lambda a, b: a + b, [F.contains(head, F.lit(x)).cast("int") for x in labels]))
+        return (s != "") & (s.isin(labels) | (hits >= 2))
+
+    return let(T.norm_label(F.coalesce(_c(content), F.lit(""))), judged)
 
 
 def list_like(text: Column | str, in_section: Column | bool = False, verbs: list[str] = M.REJECTION_VERBS) -> Column:
@@ -383,18 +385,19 @@ def detect_seals(
 
     Row-local: each seal is a CASE over fields and words; rows with hits are unpivoted at the end.
     """
-    folded = {f: T.strip_accents(F.lower(F.coalesce(F.col(f), F.lit("")))) for f in fields}
-    hits = []
-    for seal, words in seals:
-        plain = [M.plain(w) for w in words]
-        pairs = []
-        for f in fields:
-            any_hit = folded[f].rlike(T.boundary_pattern(plain))
-            word = first_match([(folded[f].rlike(T.boundary_pattern([w])), F.lit(w)) for w in plain])
-            pairs.append((any_hit, F.struct(F.lit(seal).alias("seal"), word.alias("keyword"), F.lit(f).alias("field"))))
-        hits.append(first_match(pairs))
+    folded = df.select(key, *[T.strip_accents(F.lower(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in fields])
+
+    def present(f: str, word: str) -> Column:
+        # The plain search is cheap and usually says no; the whole-word test decides.
+        return F.contains(F.col(f), F.lit(word)) & F.col(f).rlike(T.boundary_pattern([word]))
+
+    hits = [
+        first_match([
+            (present(f, M.plain(w)), F.struct(F.lit(seal).alias("seal"), F.lit(M.plain(w)).alias("keyword"), F.lit(f).alias("field")))
+            for f in fields for w in words])
+        for seal, words in seals]
     return (
-        df.select(key, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        folded.select(key, F.array(*hits).alias("hits")).select(key, F.explode("hits").alias("hit")).filter(F.col("hit").isNotNull())
         .select(
             key, "hit.seal", "hit.keyword", "hit.field",
             F.lit(method).alias("extraction_method"), F.concat(F.lit("label:"), F.col("hit.seal")).alias("field_name"),

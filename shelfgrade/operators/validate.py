@@ -138,8 +138,8 @@ def field_score(issues: Column) -> Column:
 
 def real_usage(usage: Column | str, rules: FieldRules = FIELD_RULES, min_len: int = 20) -> Column:
     """Long enough, with an action verb, and not a tab caption."""
-    s = T.strip_ws(F.coalesce(_c(usage), F.lit("")))
-    return (F.length(s) >= min_len) & T.contains_any(F.lower(s), rules.actions) & ~C.tab_noise(s, rules.tab_labels)
+    return let(T.strip_ws(F.coalesce(_c(usage), F.lit(""))), lambda s: (
+        (F.length(s) >= min_len) & T.contains_any(F.lower(s), rules.actions) & ~C.tab_noise(s, rules.tab_labels)))
 
 
 def qa_gate(
