@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lists import let
 from . import classify as C
 from .windows import best_row, top_k
 
@@ -40,8 +41,8 @@ def name_forms(name: Column, brand: Column | None) -> Column:
     return F.array(full, S.sorted_words(full), bare, S.sorted_words(bare))
 
 
-def _prefix_keys(names: DataFrame, block: str, ident: str, threshold: float) -> DataFrame:
-    """(block, key, ident): candidate keys of each name; two names at or above the threshold share one."""
+def _token_bags(names: DataFrame, block: str, ident: str, threshold: float) -> DataFrame:
+    """(block, ident, s, kind, need, tok): tokens of every form, with the number of tokens any partner must share."""
     half = threshold / 2
     least = threshold / (2 - threshold)
     forms = (
@@ -53,22 +54,24 @@ def _prefix_keys(names: DataFrame, block: str, ident: str, threshold: float) ->
     # The bound on shared tokens for the smallest partner a name can have.
     unigrams = forms.filter(F.col("len") <= SHORT).select(
         block, ident, "s", F.lit("c").alias("kind"), F.ceil(half * span - 1e-9).alias("need"),
-        S.numbered_tokens(chars).alias("tokens"))
+        F.explode(S.numbered_tokens(chars)).alias("tok"))
     bigrams = forms.filter(F.col("len") >= 9).select(
         block, ident, "s", F.lit("b").alias("kind"),
-        F.ceil((3 * half - 1) * span - 1 - 1e-9).alias("need"), S.numbered_tokens(S.grams(F.col("s"), 2)).alias("tokens"))
-    bags = unigrams.unionByName(bigrams)
-    flat = bags.select("*", F.explode("tokens").alias("tok"))
-    rarity = flat.groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("df"))
+        F.ceil((3 * half - 1) * span - 1 - 1e-9).alias("need"), F.explode(S.numbered_tokens(S.grams(F.col("s"), 2))).alias("tok"))
+    return unigrams.unionByName(bigrams)
+
+
+def _prefix_keys(bags: DataFrame, rarity: DataFrame, block: str, ident: str) -> DataFrame:
+    """(block, key, ident): candidate keys of each name. Both sides must be ordered by the same ``rarity``."""
     ordered = (
-        flat.join(rarity, ["kind", "tok"])
+        bags.join(rarity, ["kind", "tok"])
         .groupBy(block, ident, "s", "kind", "need")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "tok"))), lambda t: t["tok"]).alias("tokens"))
     )
     # A name's own bag bounds the collected list; no group grows with the data.
     prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.size("tokens") - F.col("need") + 2).cast("int"))
-    pairs = F.flatten(F.transform(prefix, lambda a, i: F.transform(
-        F.slice(prefix, i + 2, F.size(prefix)), lambda b: F.concat(F.least(a, b), F.lit("\x02"), F.greatest(a, b)))))
+    pairs = let(prefix, lambda p: F.flatten(F.transform(p, lambda a, i: F.transform(
+        F.slice(p, i + 2, F.size(p)), lambda b: F.concat(F.least(a, b), F.lit("\x02"), F.greatest(a, b))))))
     # Bags too small for a pair (names of up to three characters) are keyed on single tokens.
     keys = F.when((F.col("kind") == "c") & (F.length("s") <= 3), F.concat(F.col("tokens"), pairs)).otherwise(pairs)
     return ordered.select(block, ident, F.explode(F.array_distinct(keys)).alias("key"), "kind").select(
@@ -82,8 +85,10 @@ def similar_names(left: DataFrame, right: DataFrame, block: str, threshold: floa
     """
     if threshold < 0.75:
         raise ValueError("the candidate keys are exact only for thresholds of 0.75 and more")
-    lk = _prefix_keys(left, block, "ident", threshold).withColumnRenamed("ident", "left_id")
-    rk = _prefix_keys(right, block, "ident", threshold).withColumnRenamed("ident", "right_id")
+    lb, rb = _token_bags(left, block, "ident", threshold), _token_bags(right, block, "ident", threshold)
+    rarity = lb.select("kind", "tok").unionByName(rb.select("kind", "tok")).groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("df"))
+    lk = _prefix_keys(lb, rarity, block, "ident").withColumnRenamed("ident", "left_id")
+    rk = _prefix_keys(rb, rarity, block, "ident").withColumnRenamed("ident", "right_id")
     cand = lk.join(rk, [block, "key"]).select(block, "left_id", "right_id").distinct()
     lf = left.select(block, F.col("ident").alias("left_id"), F.col("forms").alias("lf"))
     rf = right.select(block, F.col("ident").alias("right_id"), F.col("forms").alias("rf"))
