@@ -54,28 +54,34 @@ def _script_bodies(html: Column, kind: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pat), F.lit(1))
 
 
+def jsonld_product(html: Column | str) -> Column:
+    """``struct<name, image, description, price, currency>`` of the first Product block; null without one."""
+    none = F.array().cast("array<variant>")
+
+    def items(body: Column) -> Column:
+        return let(F.try_parse_json(body), lambda v: F.when(
+            F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v)).otherwise(
+            F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)))
+
+    def get(item: Column, path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(item, path, kind)
+
+    def row(item: Column) -> Column:
+        image = F.coalesce(*[get(item, p) for p in (
+            "$.image[0].url", "$.image[0].contentUrl", "$.image[0].src", "$.image[0]", "$.image.url", "$.image.contentUrl", "$.image.src", "$.image")])
+        price = F.coalesce(*[F.nullif(get(item, p), F.lit("0")) for p in ("$.offers.price", "$.offers.lowPrice", "$.offers.offers[0].price")])
+        return F.struct(
+            get(item, "$.name").alias("name"), F.when(~F.startswith(image, F.lit("{")), image).alias("image"),
+            T.clean_text(get(item, "$.description")).alias("description"), price.try_cast("double").alias("price"),
+            F.when(price.isNotNull(), F.coalesce(get(item, "$.offers.priceCurrency"), F.lit("BRL"))).alias("currency"))
+
+    blocks = F.flatten(F.transform(_script_bodies(_c(html), r"application/ld\+json"), items))
+    products = F.filter(blocks, lambda i: F.coalesce(get(i, "$['@type']") == "Product", F.lit(False)))
+    return F.try_element_at(F.transform(F.slice(products, 1, 1), row), F.lit(1))
+
+
 def jsonld_products(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, name, image, description, price, currency) of the first Product block of a page."""
-    bodies = _script_bodies(F.col(html), r"application/ld\+json")
-    blocks = pages.select(key, F.posexplode(bodies).alias("block", "body")).withColumn("v", F.try_parse_json("body"))
-    alone = F.try_variant_get("v", "$", "map<string,variant>")
-    listed = F.try_variant_get("v", "$", "array<variant>")
-    items = blocks.withColumn("items", F.when(alone.isNotNull(), F.array("v")).otherwise(F.coalesce(listed, F.array().cast("array<variant>"))))
-    flat = items.select(key, "block", F.posexplode("items").alias("pos", "item"))
-    product = flat.filter(F.try_variant_get("item", "$['@type']", "string") == "Product")
-
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("item", path, kind)
-
-    image = F.coalesce(
-        get("$.image[0].url"), get("$.image[0].contentUrl"), get("$.image[0].src"), get("$.image[0]"),
-        get("$.image.url"), get("$.image.contentUrl"), get("$.image.src"), get("$.image"))
-    price = F.coalesce(*[F.nullif(get(p), F.lit("0")) for p in ("$.offers.price", "$.offers.lowPrice", "$.offers.offers[0].price")])
-    rows = product.select(
-        key, "block", "pos", get("$.name").alias("name"), F.when(~F.startswith(image, F.lit("{")), image).alias("image"),
-        T.clean_text(get("$.description")).alias("description"), price.try_cast("double").alias("price"),
-        F.when(price.isNotNull(), F.coalesce(get("$.offers.priceCurrency"), F.lit("BRL"))).alias("currency"))
-    return rows.groupBy(key).agg(F.min_by(F.struct("name", "image", "description", "price", "currency"), F.struct("block", "pos")).alias("p")).select(key, "p.*")
+    return pages.select(key, jsonld_product(html).alias("p")).filter(F.col("p").isNotNull()).select(key, "p.*")
 
 
 # Benefit keys of framework state, and marks of placeholder images.
@@ -83,27 +89,32 @@ BENEFIT_KEYS = ["productBenefits", "benefits", "keyBenefits", "whyChooseUs", "fe
 PLACEHOLDERS = ["thumbnail", "_icon.", "/icon.", "placeholder", "default.svg"]
 
 
-def embedded_state(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, name, inci_raw, description, benefits, image) from the framework state of a page."""
-    body = F.try_element_at(_script_bodies(F.col(html), "__NEXT_DATA__"), F.lit(1))
-    d = pages.select(key, F.try_parse_json(body).alias("v")).filter(F.col("v").isNotNull())
+def page_state(html: Column | str) -> Column:
+    """``struct<name, inci_raw, description, benefits, image>`` from the framework state; null without one."""
+    body = F.try_element_at(_script_bodies(_c(html), "__NEXT_DATA__"), F.lit(1))
     a, b = "$.props.pageProps.data.productCollection.items[0]", "$.props.pageProps.content.product"
 
-    def get(*paths: str) -> Column:
-        return F.coalesce(*[F.nullif(F.try_variant_get("v", p, "string"), F.lit("")) for p in paths])
+    def row(v: Column) -> Column:
+        def get(*paths: str) -> Column:
+            return F.coalesce(*[F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths])
+
+        def joined(path: str) -> Column:
+            return F.nullif(F.array_join(F.try_variant_get(v, path, "array<string>"), "; "), F.lit(""))
 
-    def joined(path: str) -> Column:
-        parts = F.try_variant_get("v", path, "array<string>")
-        return F.nullif(F.array_join(parts, "; "), F.lit(""))
+        paths = [f"{a}.{k}" for k in BENEFIT_KEYS] + [f"{b}.{k}" for k in ("benefits", "productBenefits", "features", "highlights")]
+        benefits = F.coalesce(*[x for p in paths for x in (joined(p), get(p))])
+        raw = get(f"{a}.packshot.url", f"{a}.packshot", f"{b}.image.fields.file.url", f"{b}.image")
+        image = F.when(F.startswith(raw, F.lit("//")), F.concat(F.lit("https:"), raw)).otherwise(raw)
+        return F.when(v.isNotNull(), F.struct(
+            get(f"{a}.productName", f"{b}.name").alias("name"), get(f"{a}.allIngredients", f"{b}.ingredients").alias("inci_raw"),
+            T.clean_text(get(f"{a}.productDescription")).alias("description"), T.clean_text(benefits).alias("benefits"),
+            F.when(~T.contains_any(F.lower(image), PLACEHOLDERS), image).alias("image")))
 
-    benefits = F.coalesce(*[x for k in BENEFIT_KEYS for x in (joined(f"{a}.{k}"), get(f"{a}.{k}"))],
-                          *[x for k in ("benefits", "productBenefits", "features", "highlights") for x in (joined(f"{b}.{k}"), get(f"{b}.{k}"))])
-    raw = get(f"{a}.packshot.url", f"{a}.packshot", f"{b}.image.fields.file.url", f"{b}.image")
-    image = F.when(F.startswith(raw, F.lit("//")), F.concat(F.lit("https:"), raw)).otherwise(raw)
-    return d.select(
-        key, get(f"{a}.productName", f"{b}.name").alias("name"), get(f"{a}.allIngredients", f"{b}.ingredients").alias("inci_raw"),
-        T.clean_text(get(f"{a}.productDescription")).alias("description"), T.clean_text(benefits).alias("benefits"),
-        F.when(~T.contains_any(F.lower(image), PLACEHOLDERS), image).alias("image"))
+    return let(F.try_parse_json(body), row)
+
+
+def embedded_state(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    return pages.select(key, page_state(html).alias("p")).filter(F.col("p").isNotNull()).select(key, "p.*")
 
 
 def _ordered_labels(labels: LabelMap) -> list[tuple[str, str]]:
@@ -119,103 +130,140 @@ def label_of(heading: Column, labels: LabelMap) -> Column:
     return C.first_match([(F.startswith(key, F.lit(lab)), F.lit(f)) for lab, f in _ordered_labels(labels)])
 
 
-def _sections_of(heads: DataFrame, key: str) -> DataFrame:
-    """Shared last step: reject noise, decide list or composition."""
-    ok = (F.col("content") != "") & ~C.tab_noise("content") & ~(F.col("tag").isin("button", "label") & (F.length("content") < 30))
-    return heads.filter(F.col("field").isNotNull() & ok).select(
-        key, "pos", "tag", C.list_or_composition("field", "content").alias("field"), "content", "source_label")
+def _found(pos: Column, tag: Column, label: Column, content: Column, labels: LabelMap) -> Column:
+    return F.struct(pos.alias("pos"), tag.alias("tag"), label_of(label, labels).alias("field"),
+                    F.coalesce(content, F.lit("")).alias("content"), label.alias("source_label"))
 
 
-def heading_sections(
-    pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html", headings: list[str] = HEADINGS
-) -> DataFrame:
-    """Labelled sections: the text between a labelled heading and the next heading, in document order.
+def _kept(found: Column) -> Column:
+    """Shared last step: drop unlabelled and noisy sections, decide list or composition."""
+    ok = F.filter(found, lambda s: s["field"].isNotNull() & (s["content"] != "") & ~C.tab_noise(s["content"]) & ~(
+        s["tag"].isin("button", "label") & (F.length(s["content"]) < 30)))
+    return F.transform(ok, lambda s: F.struct(
+        s["pos"].alias("pos"), s["tag"].alias("tag"), C.list_or_composition(s["field"], s["content"]).alias("field"),
+        s["content"].alias("content"), s["source_label"].alias("source_label")))
 
-    All inside the page's own row: no window, no shuffle.
-    """
-    d = pages.select(key, token_array(html).alias("toks"))
-    heads = F.filter("toks", lambda t: t["tag"].isin(headings) & (t["text"] != ""))
-    d = d.withColumn("heads", heads).filter(F.size("heads") > 0).withColumn(
-        "ends", F.transform("heads", lambda h, i: F.coalesce(
-            F.try_element_at(F.col("heads"), i + 2)["pos"], F.size("toks"))))
-    cut = d.select(key, "toks", F.explode(F.arrays_zip("heads", "ends")).alias("z")).select(
-        key, F.col("z.heads.pos").alias("pos"), F.col("z.heads.tag").alias("tag"), F.col("z.heads.text").alias("source_label"),
-        label_of(F.col("z.heads.text"), labels).alias("field"), "toks", F.col("z.ends").alias("stop"))
-    body = F.slice("toks", F.col("pos") + 2, F.greatest(F.col("stop") - F.col("pos") - 1, F.lit(0)))
-    text = T.collapse_ws(F.array_join(F.filter(F.transform(body, lambda t: t["text"]), lambda x: x != ""), " "))
-    return _sections_of(cut.filter(F.col("field").isNotNull()).withColumn("content", text).drop("toks"), key)
 
+def heading_section_array(toks: Column, labels: LabelMap, headings: list[str] = HEADINGS) -> Column:
+    """Labelled sections of a token array: the text between a labelled heading and the next heading."""
+    def cut(heads: Column) -> Column:
+        marked = F.transform(heads, lambda h, i: F.struct(
+            h["pos"].alias("pos"), h["tag"].alias("tag"), h["text"].alias("label"),
+            F.coalesce(F.get(heads, i + 1)["pos"], F.size(toks)).alias("stop"), label_of(h["text"], labels).alias("field")))
 
-def table_sections(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
+        def text(m: Column) -> Column:
+            body = F.slice(toks, m["pos"] + 2, F.greatest(m["stop"] - m["pos"] - 1, F.lit(0)))
+            return T.collapse_ws(F.array_join(F.filter(F.transform(body, lambda t: t["text"]), lambda x: x != ""), " "))
+
+        return F.transform(F.filter(marked, lambda m: m["field"].isNotNull()), lambda m: F.struct(
+            m["pos"].alias("pos"), m["tag"].alias("tag"), m["field"].alias("field"), text(m).alias("content"), m["label"].alias("source_label")))
+
+    heads = F.filter(toks, lambda t: t["tag"].isin(headings) & (t["text"] != ""))
+    return _kept(let(heads, cut))
+
+
+def table_section_array(html: Column | str, labels: LabelMap) -> Column:
     """Label and content from table rows: first cell and last cell."""
     rows = F.regexp_extract_all(without_scripts(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    d = pages.select(key, F.posexplode(rows).alias("pos", "row")).withColumn(
-        "cells", F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), T.clean_text))
-    d = d.filter(F.size("cells") >= 2).withColumns({
-        "source_label": F.element_at("cells", 1), "content": F.coalesce(F.element_at("cells", -1), F.lit("")), "tag": F.lit("td")})
-    return _sections_of(d.withColumn("field", label_of(F.col("source_label"), labels)), key)
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), T.clean_text))
+    wide = F.filter(F.transform(cells, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda r: F.size(r["c"]) >= 2)
+    return _kept(F.transform(wide, lambda r: _found(r["i"], F.lit("td"), F.element_at(r["c"], 1), F.element_at(r["c"], -1), labels)))
 
 
-def attribute_panels(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html", attribute: str = "headertitle") -> DataFrame:
+def panel_section_array(html: Column | str, labels: LabelMap, attribute: str = "headertitle") -> Column:
     """Panels that carry their title in an attribute."""
     pat = rf"""(?is)<([a-z][a-z0-9-]*)\b[^>]*\b{attribute}\s*=\s*"([^"]*)"[^>]*>(.*?)</\1\s*>"""
     whole = F.regexp_extract_all(without_scripts(html), F.lit(pat), F.lit(0))
-    d = pages.select(key, F.posexplode(whole).alias("pos", "panel")).select(
-        key, "pos", F.regexp_extract("panel", pat, 1).alias("tag"), F.regexp_extract("panel", pat, 2).alias("source_label"),
-        F.coalesce(T.clean_text(F.regexp_extract("panel", pat, 3)), F.lit("")).alias("content"))
-    return _sections_of(d.withColumn("field", label_of(F.col("source_label"), labels)), key)
+    return _kept(F.transform(whole, lambda p, i: _found(
+        i, F.regexp_extract(p, pat, 1), F.regexp_extract(p, pat, 2), T.clean_text(F.regexp_extract(p, pat, 3)), labels)))
 
 
-def indexed_tabs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The i-th tab label belongs to the panel numbered i."""
-    s = without_scripts(html)
-    nav = F.regexp_extract(s, r"""(?is)class\s*=\s*"[^"]*(?:tab.?nav|faq.?nav)[^"]*"[^>]*>(.*?)</(?:div|nav|ul)>""", 1)
-    tabs = F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<label\b[^>]*>(.*?)</label>"), F.lit(1)), T.clean_text)
+def tab_section_array(html: Column | str, labels: LabelMap) -> Column:
+    """The i-th tab label belongs to the first panel numbered i."""
     panel = r"""(?is)<(\w+)[^>]*class\s*=\s*"[^"]*(?:tab|faq)[_-](?:tab[_-])?panel[_-]{1,2}(\d+)[^"]*"[^>]*>(.*?)</\1>"""
-    found = F.regexp_extract_all(s, F.lit(panel), F.lit(0))
-    numbered = F.map_from_entries(F.transform(
-        F.filter(found, lambda p: p != ""), lambda p: F.struct(
-            F.regexp_extract(p, panel, 2).try_cast("int"), F.coalesce(T.clean_text(F.regexp_extract(p, panel, 3)), F.lit("")))))
-    d = pages.select(key, tabs.alias("tabs"), numbered.alias("panels")).select(
-        key, "panels", F.posexplode("tabs").alias("pos", "source_label"))
-    d = d.withColumns({"content": F.coalesce(F.try_element_at("panels", F.col("pos")), F.lit("")), "tag": F.lit("div")})
-    d = d.filter(F.length("content") >= 30)
-    return _sections_of(d.withColumn("field", label_of(F.col("source_label"), labels)), key)
 
+    def paired(s: Column) -> Column:
+        nav = F.regexp_extract(s, r"""(?is)class\s*=\s*"[^"]*(?:tab.?nav|faq.?nav)[^"]*"[^>]*>(.*?)</(?:div|nav|ul)>""", 1)
+        tabs = F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<label\b[^>]*>(.*?)</label>"), F.lit(1)), T.clean_text)
+        panels = F.transform(F.regexp_extract_all(s, F.lit(panel), F.lit(0)), lambda p: F.struct(
+            F.regexp_extract(p, panel, 2).try_cast("int").alias("no"), F.coalesce(T.clean_text(F.regexp_extract(p, panel, 3)), F.lit("")).alias("text")))
+        return let(panels, lambda ps: F.filter(F.transform(tabs, lambda tab, i: _found(
+            i, F.lit("div"), tab, F.try_element_at(F.filter(ps, lambda p: p["no"] == i), F.lit(1))["text"], labels)),
+            lambda f: F.length(f["content"]) >= 30))
 
-def faq_pairs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Header and content blocks told apart by their class names."""
+    return _kept(let(without_scripts(html), paired))
+
+
+def faq_section_array(html: Column | str, labels: LabelMap) -> Column:
+    """Header and content blocks told apart by their class names; a header takes the next content block."""
     part = r"""(?is)<div[^>]*class\s*=\s*"([^"]*)"[^>]*>(.*?)(?=<div|</div|$)"""
-    d = pages.select(key, F.regexp_extract_all(without_scripts(html), F.lit(part), F.lit(0)).alias("divs"))
-    blocks = F.transform("divs", lambda b, i: F.struct(
-        i.alias("pos"), F.lower(F.regexp_extract(b, part, 1)).alias("cls"), F.coalesce(T.clean_text(F.regexp_extract(b, part, 2)), F.lit("")).alias("text")))
-    d = d.withColumn("b", blocks)
     head, body = "(question|faq|accordion).*(header|title|label)", "(question|faq|accordion).*(text|content|body|answer|panel)"
-    pairs = F.transform(F.filter("b", lambda x: x["cls"].rlike(head) & (F.length(x["text"]).between(1, 80))), lambda h: F.struct(
-        h["pos"].alias("pos"), h["text"].alias("source_label"),
-        F.try_element_at(F.filter("b", lambda x: (x["pos"] > h["pos"]) & x["cls"].rlike(body) & (x["text"] != "")), F.lit(1))["text"].alias("content")))
-    out = d.select(key, F.explode(pairs).alias("p")).select(key, "p.*", F.lit("div").alias("tag")).filter(F.col("content").isNotNull())
-    return _sections_of(out.withColumn("field", label_of(F.col("source_label"), labels)), key)
+    blocks = F.transform(F.regexp_extract_all(without_scripts(html), F.lit(part), F.lit(0)), lambda b, i: F.struct(
+        i.alias("pos"), F.lower(F.regexp_extract(b, part, 1)).alias("cls"), F.coalesce(T.clean_text(F.regexp_extract(b, part, 2)), F.lit("")).alias("text")))
 
+    def paired(bs: Column) -> Column:
+        heads = F.filter(bs, lambda x: x["cls"].rlike(head) & F.length(x["text"]).between(1, 80))
+        return F.transform(heads, lambda h: _found(h["pos"], F.lit("div"), h["text"], F.try_element_at(
+            F.filter(bs, lambda x: (x["pos"] > h["pos"]) & x["cls"].rlike(body) & (x["text"] != "")), F.lit(1))["text"], labels))
 
-def list_candidates(pages: DataFrame, labels: list[str] = M.LIST_LABELS, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, content, strategy) of the best ingredient-list candidate: most specific label, then strategy, then place."""
-    toks = token_array(html)
-    d = pages.select(key, toks.alias("toks"), without_scripts(html).alias("s"))
-    rank = C.first_match([(F.startswith(F.lower(F.col("text")), F.lit(lab)), F.lit(i)) for i, lab in enumerate(labels)])
-    flat = d.select(key, "toks", F.posexplode("toks").alias("at", "t")).select(
-        key, "at", F.col("t.text").alias("text"), F.try_element_at("toks", F.col("at") + 2)["text"].alias("n1"),
-        F.try_element_at("toks", F.col("at") + 3)["text"].alias("n2"), F.try_element_at("toks", F.col("at") + 4)["text"].alias("n3"))
-    marked = flat.withColumn("rank", rank).filter(F.col("rank").isNotNull())
-    lab = C.first_match([(F.col("rank") == i, F.lit(x)) for i, x in enumerate(labels)])
-    inline = F.btrim(F.substring(F.col("text"), F.length(lab) + 1, F.length("text")), F.lit(" :-"))
-    tries = F.array(*[F.struct(F.lit(i).alias("strategy"), c.alias("content")) for i, c in enumerate([inline, F.col("n1"), F.col("n2"), F.col("n3")])])
-    labelled = marked.select(key, "rank", "at", F.explode(tries).alias("c")).select(key, "rank", "c.strategy", "at", "c.content")
+    return _kept(let(blocks, paired))
+
+
+def all_sections(toks: Column, html: Column | str, labels: LabelMap, headings: list[str] = HEADINGS) -> Column:
+    """Sections of all five kinds in order of preference: headings, tables, panels, tabs, question pairs."""
+    return F.concat(heading_section_array(toks, labels, headings), table_section_array(html, labels), panel_section_array(html, labels),
+                    tab_section_array(html, labels), faq_section_array(html, labels))
+
+
+def _exploded(pages: DataFrame, key: str, sections: Column) -> DataFrame:
+    return pages.select(key, F.explode(sections).alias("s")).select(key, "s.*")
+
+
+def heading_sections(
+    pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html", headings: list[str] = HEADINGS
+) -> DataFrame:
+    """Labelled sections of every page, one per row; computed inside the page's row, without a shuffle."""
+    return _exploded(pages.select(key, token_array(html).alias("toks")), key, heading_section_array(F.col("toks"), labels, headings))
+
+
+def table_sections(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
+    return _exploded(pages, key, table_section_array(html, labels))
+
+
+def attribute_panels(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
+    return _exploded(pages, key, panel_section_array(html, labels))
+
+
+def indexed_tabs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
+    return _exploded(pages, key, tab_section_array(html, labels))
+
+
+def faq_pairs(pages: DataFrame, labels: LabelMap, key: str = "page_id", html: str = "html") -> DataFrame:
+    return _exploded(pages, key, faq_section_array(html, labels))
+
+
+def best_list_candidate(toks: Column, html: Column | str, labels: list[str] = M.LIST_LABELS) -> Column:
+    """``struct<rank, strategy, at, content>`` of the best ingredient list: most specific label, then strategy, then place."""
+    def labelled(t: Column, i: Column) -> Column:
+        low = F.lower(t["text"])
+        hit = C.first_match([(F.startswith(low, F.lit(lab)), F.struct(F.lit(r).alias("rank"), F.lit(len(lab)).alias("len"))) for r, lab in enumerate(labels)])
+        return F.struct(i.alias("at"), t["text"].alias("text"), hit.alias("hit"))
+
+    def tries(m: Column) -> Column:
+        inline = F.btrim(F.substring(m["text"], m["hit"]["len"] + 1, F.length(m["text"])), F.lit(" :-"))
+        options = [inline] + [F.coalesce(F.get(toks, m["at"] + k)["text"], F.lit("")) for k in (1, 2, 3)]
+        return F.array(*[F.struct(m["hit"]["rank"].alias("rank"), F.lit(i).alias("strategy"), m["at"].alias("at"), c.alias("content")) for i, c in enumerate(options)])
+
+    near = F.flatten(F.transform(F.filter(F.transform(toks, labelled), lambda m: m["hit"].isNotNull()), tries))
     panel = r"""(?is)class\s*=\s*"[^"]*(?:tab-panel|faq-panel|accordion-panel|accordion-content|collapse__content|tab-content|tab-pane)[^"]*"[^>]*>(.*?)</div>"""
-    blind = d.select(key, F.posexplode(F.regexp_extract_all("s", F.lit(panel), F.lit(1))).alias("at", "p")).select(
-        key, F.lit(len(labels) + 1).alias("rank"), F.lit(9).alias("strategy"), "at", T.clean_text("p").alias("content"))
-    good = labelled.unionByName(blind).filter(C.list_like("content", True))
-    return good.groupBy(key).agg(F.min_by(F.struct("content", "strategy", "rank"), F.struct("rank", "strategy", "at")).alias("b")).select(key, "b.*")
+    blind = F.transform(F.regexp_extract_all(without_scripts(html), F.lit(panel), F.lit(1)), lambda p, i: F.struct(
+        F.lit(len(labels) + 1).alias("rank"), F.lit(9).alias("strategy"), i.alias("at"), F.coalesce(T.clean_text(p), F.lit("")).alias("content")))
+    return F.array_min(F.filter(F.concat(near, blind), lambda c: C.list_like(c["content"], True)))
+
+
+def list_candidates(pages: DataFrame, labels: list[str] = M.LIST_LABELS, key: str = "page_id", html: str = "html") -> DataFrame:
+    d = pages.select(key, html, token_array(html).alias("toks"))
+    return d.select(key, best_list_candidate(F.col("toks"), html, labels).alias("b")).filter(F.col("b").isNotNull()).select(key, "b.content", "b.strategy", "b.rank")
 
 
 def _matches(t: Column, selector: str) -> Column:
@@ -236,7 +284,7 @@ def _matches(t: Column, selector: str) -> Column:
     return cond
 
 
-def select_first(html: Column | str, selectors: list[str], min_len: int = 1) -> Column:
+def select_first(html: Column | str, selectors: list[str], min_len: int = 1, toks: Column | None = None) -> Column:
     """Text of the first selector, in order, with a non-empty element.
 
     The text of an element is its own text and that of the following tokens up to a tag of its kind.
@@ -255,7 +303,7 @@ def select_first(html: Column | str, selectors: list[str], min_len: int = 1) ->
 
         return F.coalesce(*[text_of(s) for s in selectors])
 
-    return let(token_array(html), found)
+    return found(toks) if toks is not None else let(token_array(html), found)
 
 
 def _first_value(toks: Column, selector: str, value) -> Column:
@@ -263,19 +311,24 @@ def _first_value(toks: Column, selector: str, value) -> Column:
     return F.try_element_at(F.filter(F.transform(hits, value), lambda x: x.isNotNull()), F.lit(1))
 
 
-def select_price(html: Column | str, selectors: list[str]) -> Column:
+def select_price(html: Column | str, selectors: list[str], toks: Column | None = None) -> Column:
     """First price in an element of the first selector that holds one."""
-    return let(token_array(html), lambda toks: F.coalesce(*[
-        _first_value(toks, s, lambda t: T.parse_brl(t["text"])) for s in selectors]))
+    def found(ts: Column) -> Column:
+        return F.coalesce(*[_first_value(ts, s, lambda t: T.parse_brl(t["text"])) for s in selectors])
+
+    return found(toks) if toks is not None else let(token_array(html), found)
 
 
-def select_image(html: Column | str, selectors: list[str]) -> Column:
+def select_image(html: Column | str, selectors: list[str], toks: Column | None = None) -> Column:
     """Image address of the first selector: lazy source before plain source, never a data URI."""
     def src(t: Column) -> Column:
         lazy, plain = F.nullif(attr(t["attrs"], "data-src"), F.lit("")), F.nullif(attr(t["attrs"], "src"), F.lit(""))
         return F.coalesce(lazy, F.when(~F.startswith(plain, F.lit("data:")), plain))
 
-    return let(token_array(html), lambda toks: F.coalesce(*[_first_value(toks, s, src) for s in selectors]))
+    def found(ts: Column) -> Column:
+        return F.coalesce(*[_first_value(ts, s, src) for s in selectors])
+
+    return found(toks) if toks is not None else let(token_array(html), found)
 
 
 def meta_image(html: Column | str) -> Column:

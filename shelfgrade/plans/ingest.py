@@ -14,8 +14,6 @@ from ..vocab import market as M
 # Captions that are not a description.
 JUNK_DESCRIPTIONS = [
     "benefícios", "beneficios", "como usar", "ingredientes", "ciência", "ciencia", "fragrância", "fragrancia"]
-NAME_SELECTORS = ["h1.product-name", "h1", ".product-title"]
-LIST_SELECTORS = [".product-ingredients p", ".product-ingredients", "#composicao", "#ingredientes", "[data-tab='ingredientes']"]
 
 
 def assemble_product(
@@ -25,49 +23,47 @@ def assemble_product(
     image_selectors: list[str] = (".product-image", "img.product-img"), price_selectors: list[str] = (),
     description_selectors: list[str] = (),
 ) -> DataFrame:
-    """One row per page: structured data, then state, then labelled sections, then selectors, then meta tags."""
-    ld = P.jsonld_products(pages, key, html).select(key, F.struct("name", "image", "description", "price", "currency").alias("ld"))
-    st = P.embedded_state(pages, key, html).select(key, F.struct("name", "inci_raw", "description", "benefits", "image").alias("st"))
-    found = [P.heading_sections(pages, labels, key, html), P.table_sections(pages, labels, key, html),
-             P.attribute_panels(pages, labels, key, html), P.indexed_tabs(pages, labels, key, html), P.faq_pairs(pages, labels, key, html)]
-    sections = found[0].withColumn("_o", F.lit(0))
-    for i, f in enumerate(found[1:], 1):
-        sections = sections.unionByName(f.withColumn("_o", F.lit(i)))
-    at = F.struct("_o", "pos")
-
-    def field(name: str):
-        return F.min_by("content", F.when(F.col("field") == name, at)).alias(f"s_{name}")
-
-    sec = sections.groupBy(key).agg(*[field(f) for f in M.FIELD_PRIORITY])
-    cand = P.list_candidates(pages, key=key, html=html).select(key, F.col("content").alias("tab_list"))
-    d = pages.join(ld, key, "left").join(st, key, "left").join(sec, key, "left").join(cand, key, "left")
-    blocked = C.blocked_page(html)
-    junk = T.strip_ws(F.lower(F.coalesce("s_description", F.lit("")))).isin(JUNK_DESCRIPTIONS)
-    by_css = P.select_first(html, list(description_selectors), 30) if description_selectors else F.lit(None).cast("string")
-    section_text = F.when(junk & by_css.isNotNull(), by_css).otherwise(F.coalesce("s_description", by_css))
-    raw_name = T.clean_text(F.coalesce("ld.name", "st.name", P.select_first(html, list(name_selectors))))
-    domain = T.is_domain_name(raw_name)
-    css_list = P.select_first(html, list(list_selectors))
-    price = P.select_price(html, list(price_selectors)) if price_selectors else F.lit(None).cast("double")
-    out = d.select(
-        key, F.col(url).alias("product_url"), F.when(~blocked & ~domain, raw_name).alias("product_name"),
-        F.coalesce("ld.image", "st.image", P.select_image(html, list(image_selectors)), P.meta_image(html)).alias("image_url_main"),
-        F.coalesce("st.inci_raw", "s_ingredients_inci", css_list, "tab_list").alias("inci_raw"),
-        F.when(F.coalesce("st.inci_raw", "s_ingredients_inci").isNotNull(), "section_classifier").when(css_list.isNotNull(), "css_selector")
-        .when(F.col("tab_list").isNotNull(), "tab_label_heuristic").alias("inci_source"),
-        F.coalesce("ld.description", "st.description", section_text).alias("description"),
-        F.col("s_care_usage").alias("care_usage"), F.col("s_composition").alias("composition"),
-        F.coalesce("st.benefits", "s_benefits").alias("benefits"), F.coalesce("ld.price", price).alias("price"),
-        F.when(F.coalesce("ld.price", price).isNotNull(), F.coalesce("ld.currency", F.lit("BRL"))).alias("currency"),
-        F.when(F.col("ld").isNotNull(), "jsonld").otherwise("html_selector").alias("extraction_method"),
-        F.when(blocked | domain, "waf_challenge").alias("blocked_reason"))
-    nothing = {c: F.when(~F.coalesce(blocked_flag(), F.lit(False)), F.col(c)) for c in
-               ("image_url_main", "inci_raw", "inci_source", "description", "care_usage", "composition", "benefits", "price", "currency")}
-    return out.withColumns(nothing)
+    """One row per page: structured data, then state, then labelled sections, then selectors, then meta tags.
+
+    Every step is an expression over the page's own row: one scan, no shuffle, no copy of the page text.
+    """
+    toks = F.col("_toks")
+    price_css = P.select_price(html, list(price_selectors), toks) if price_selectors else F.lit(None).cast("double")
+    d = pages.withColumn("_toks", P.token_array(html)).withColumns({
+        "ld": P.jsonld_product(html), "st": P.page_state(html), "_secs": P.all_sections(toks, html, labels),
+        "_tab": P.best_list_candidate(toks, html)["content"], "_h1": P.select_first(html, list(name_selectors), toks=toks),
+        "_css_list": P.select_first(html, list(list_selectors), toks=toks), "_css_image": P.select_image(html, list(image_selectors), toks),
+        "_css_price": price_css, "_meta": P.meta_image(html), "_blocked": C.blocked_page(html),
+        "_css_text": P.select_first(html, list(description_selectors), 30, toks) if description_selectors else F.lit(None).cast("string"),
+    })
 
+    def section(name: str):
+        return F.try_element_at(F.filter("_secs", lambda s: s["field"] == name), F.lit(1))["content"]
 
-def blocked_flag():
-    return F.col("blocked_reason").isNotNull() & F.col("product_name").isNull()
+    d = d.withColumns({f"_s_{f}": section(f) for f in M.FIELD_PRIORITY}).withColumn(
+        "_name", T.clean_text(F.coalesce("ld.name", "st.name", "_h1")))
+    domain = T.is_domain_name("_name")
+    stopped = F.col("_blocked") | domain
+    junk = T.strip_ws(F.lower(F.coalesce("_s_description", F.lit("")))).isin(JUNK_DESCRIPTIONS)
+    section_text = F.when(junk & F.col("_css_text").isNotNull(), F.col("_css_text")).otherwise(F.coalesce("_s_description", "_css_text"))
+    labelled = F.coalesce("st.inci_raw", "_s_ingredients_inci")
+    price = F.coalesce("ld.price", "_css_price")
+
+    def unless_stopped(value):
+        return F.when(~stopped, value)
+
+    return d.select(
+        key, F.col(url).alias("product_url"), unless_stopped(F.col("_name")).alias("product_name"),
+        unless_stopped(F.coalesce("ld.image", "st.image", "_css_image", "_meta")).alias("image_url_main"),
+        unless_stopped(F.coalesce(labelled, "_css_list", "_tab")).alias("inci_raw"),
+        unless_stopped(F.when(labelled.isNotNull(), "section_classifier").when(F.col("_css_list").isNotNull(), "css_selector")
+                       .when(F.col("_tab").isNotNull(), "tab_label_heuristic")).alias("inci_source"),
+        unless_stopped(F.coalesce("ld.description", "st.description", section_text)).alias("description"),
+        unless_stopped(F.col("_s_care_usage")).alias("care_usage"), unless_stopped(F.col("_s_composition")).alias("composition"),
+        unless_stopped(F.coalesce("st.benefits", "_s_benefits")).alias("benefits"), unless_stopped(price).alias("price"),
+        unless_stopped(F.when(price.isNotNull(), F.coalesce("ld.currency", F.lit("BRL")))).alias("currency"),
+        F.when(F.col("ld").isNotNull(), "jsonld").otherwise("html_selector").alias("extraction_method"),
+        F.when(stopped, "waf_challenge").alias("blocked_reason"))
 
 
 def to_extraction(assembled: DataFrame, brand: str, rules: FieldRules = FIELD_RULES) -> DataFrame:
