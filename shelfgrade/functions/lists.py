@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import _c, contains_any, escape_regex, strip_ws, word_count
+from .text import _c, contains_any, escape_regex, let, strip_ws, word_count
 
 # Phrases that end an ingredient text.
 CUT_MARKERS = [
@@ -82,15 +82,6 @@ def _count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once.
-
-    A lambda of a higher-order function evaluates every outer expression it mentions for each element.
-    Binding the expression to a lambda variable avoids that.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def mark_firsts(items: Column, key) -> Column:
     """``array<struct<i, x, first>>`` in list order; ``first`` marks the first entry of each key. Sorts, so n log n."""
     tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))

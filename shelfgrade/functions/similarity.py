@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-from .lists import let
+from .text import let
 
 
 @F.pandas_udf(DoubleType())

@@ -32,6 +32,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda of a higher-order function evaluates every outer expression it mentions for each element.
+    Binding the expression to a lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(col: Column | str) -> Column:
     """Base letters for accented ones; plain ASCII text, one byte per character, passes through."""
     c = _c(col)
@@ -196,12 +205,19 @@ def word_count(col: Column | str) -> Column:
     return F.size(F.filter(F.split(_c(col), r"\s+"), lambda w: w != ""))
 
 
+def literal_list(words: list[str]) -> Column:
+    """Array literal of words. One folded split keeps the plan small however long the list is."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
 def contains_any(col: Column | str, words: list[str]) -> Column:
-    """True when one of a short list of literals occurs in the text."""
+    """True when one of the words occurs in the text; the text is computed once."""
     text = _c(col)
     if not words:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    if len(words) <= 2:
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return let(text, lambda x: F.exists(literal_list(words), lambda w: F.contains(x, w)))
 
 
 def escape_regex(word: str) -> str:

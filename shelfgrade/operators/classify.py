@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.lists import first_by, let
-from ..functions.text import _c
+from ..functions.lists import first_by
+from ..functions.text import _c, let
 from ..vocab import market as M
 
 Rules = list[tuple[str, list[str]]]
@@ -27,12 +27,12 @@ def first_match(pairs: list[tuple[Column, Column]], default: Column | None = Non
 
 def by_substring(text: Column, rules: Rules) -> Column:
     """Label of the first rule one of whose words occurs in the (already lower-cased) text."""
-    return first_match([(T.contains_any(text, words), F.lit(label)) for label, words in rules])
+    return let(text, lambda x: first_match([(T.contains_any(x, words), F.lit(label)) for label, words in rules]))
 
 
 def by_pattern(text: Column, rules: Rules) -> Column:
     """Label of the first rule one of whose patterns matches; one alternation per rule."""
-    return first_match([(text.rlike("|".join(f"(?:{p})" for p in pats)), F.lit(label)) for label, pats in rules])
+    return let(text, lambda x: first_match([(x.rlike("|".join(f"(?:{p})" for p in pats)), F.lit(label)) for label, pats in rules]))
 
 
 # --- product type, category, audience -------------------------------------------------------
@@ -80,12 +80,15 @@ def _first_word(text: Column, words: list[str]) -> Column:
     def whole(w: str) -> bool:
         return len(w) < 6 and w.replace("_", "a").isalnum()
 
-    entries = F.array(*[F.struct(
-        F.lit(w.lower()).alias("word"), F.lit(f" {w.lower()} " if whole(w) else w.lower()).alias("needle"), F.lit(whole(w)).alias("whole"))
-        for w in words])
+    # First character: w for whole words, s for substrings.
+    entries = T.literal_list([("w" if whole(w) else "s") + w.lower() for w in words])
     both = F.struct(text.alias("text"), F.concat(F.lit(" "), F.regexp_replace(text, f"[^{T.WORD}]", " "), F.lit(" ")).alias("padded"))
-    return let(both, lambda b: F.try_element_at(F.filter(entries, lambda e: F.contains(
-        F.when(e["whole"], b["padded"]).otherwise(b["text"]), e["needle"])), F.lit(1))["word"])
+
+    def hit(b: Column, e: Column) -> Column:
+        word = F.substring(e, 2, 1000)
+        return F.when(F.startswith(e, F.lit("w")), F.contains(b["padded"], F.concat(F.lit(" "), word, F.lit(" ")))).otherwise(F.contains(b["text"], word))
+
+    return let(both, lambda b: F.substring(F.try_element_at(F.filter(entries, lambda e: hit(b, e)), F.lit(1)), 2, 1000))
 
 
 def domain_relevance(
@@ -223,44 +226,52 @@ def brand_tier(
 
 def name_quality(name: Column | str, type_words: str = M.NAME_TYPE_WORDS) -> Column:
     """``struct<score, valid, issues, signals>`` of a product name: 50, plus one signal, minus penalties."""
-    s = T.strip_ws(F.coalesce(_c(name), F.lit("")))
-    low = F.lower(s)
-    edge = r"($|[^0-9a-zà-ÿ_])"
-    has_volume = low.rlike(r"(^|[^0-9a-zà-ÿ_])\d+(\.\d+)?\s*(ml|g|kg|l|oz)" + edge)
-    has_type = low.rlike(r"(^|[^0-9a-zà-ÿ_])(" + type_words + ")" + edge)
-    words = T.word_count(s)
-    kit = low.rlike(r"^(kit|combo)" + edge)
-    signal = first_match([
-        (has_volume & has_type, F.lit("volume+tipo")),
-        (kit & (words >= 3), F.lit("kit+desc")),
-        (has_type & (words >= 3), F.lit("tipo+contexto")),
-    ])
-    bonus = F.when(signal == "volume+tipo", 40).when(signal == "kit+desc", 30).when(signal == "tipo+contexto", 20)
-    penalties = [
-        (signal.isNull(), "sem_sinal_forte", 30),
-        (s.rlike("[" + M.DECORATIVE + "]"), "emoji_decorativo", 40),
-        (low.rlike(r"^(crie|descubra|conhe[çc]a|aproveite|garanta|adquira|compre)" + edge), "cta_imperativa", 30),
-        (s.rlike(r"^[a-z][a-z\sçãáéíóúâêôõà]+$") & (words >= 2), "tudo_lowercase", 30),
-        (low.rlike(r"^(cronograma|rotina|pr[ée]\s*/\s*p[oó]s|pr[ée]\s+p[oó]s)" + edge), "regime_generico", 30),
-        (low.rlike(r"(^|[^0-9a-zà-ÿ_])ou\s+(cacheamento|alisamento|loiro|liso|crespo|ondulado)" + edge),
-         "alternativa_generica", 25),
-        (low.rlike(r"^oral\s+care$"), "nao_capilar", 50),
-        (s.rlike(r"\?$"), "pergunta", 35),
-        (s.rlike(r"^[^!]*!$") & (words <= 6), "exclamacao_curta", 25),
-        ((F.length(s) < 15) & ~has_volume, "muito_curto_sem_volume", 15),
-        (F.length(s) >= 80, "muito_longo", 10),
-    ]
-    raw = F.lit(50) + F.coalesce(bonus, F.lit(0))
-    for cond, _code, points in penalties:
-        raw = raw - F.when(cond, points).otherwise(0)
-    empty = s == ""
-    score = F.when(empty, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), raw)))
-    issues = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code, _p in penalties]))
-    return F.struct(
-        score.alias("score"), (score >= 60).alias("valid"),
-        F.when(empty, F.array(F.lit("name_empty"))).otherwise(issues).alias("issues"),
-        F.when(empty, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(signal))).alias("signals"),
-    )
+    edge_l, edge = "(^|[^0-9a-zà-ÿ_])", "($|[^0-9a-zà-ÿ_])"
+
+    def facts(s: Column) -> Column:
+        low = F.lower(s)
+        return F.struct(
+            s.alias("s"), low.alias("low"), T.word_count(s).alias("words"),
+            low.rlike(edge_l + r"\d+(\.\d+)?\s*(ml|g|kg|l|oz)" + edge).alias("volume"),
+            low.rlike(edge_l + "(" + type_words + ")" + edge).alias("type"), low.rlike("^(kit|combo)" + edge).alias("kit"))
+
+    def signalled(f: Column) -> Column:
+        signal = first_match([
+            (f["volume"] & f["type"], F.lit("volume+tipo")), (f["kit"] & (f["words"] >= 3), F.lit("kit+desc")),
+            (f["type"] & (f["words"] >= 3), F.lit("tipo+contexto"))])
+        return F.struct(f.alias("f"), signal.alias("signal"))
+
+    def rated(v: Column) -> Column:
+        f, signal = v["f"], v["signal"]
+        s, low, words = f["s"], f["low"], f["words"]
+        # Penalty conditions, codes and points.
+        penalties = [
+            (signal.isNull(), "sem_sinal_forte", 30),
+            (s.rlike("[" + M.DECORATIVE + "]"), "emoji_decorativo", 40),
+            (low.rlike(r"^(crie|descubra|conhe[çc]a|aproveite|garanta|adquira|compre)" + edge), "cta_imperativa", 30),
+            (s.rlike(r"^[a-z][a-z\sçãáéíóúâêôõà]+$") & (words >= 2), "tudo_lowercase", 30),
+            (low.rlike(r"^(cronograma|rotina|pr[ée]\s*/\s*p[oó]s|pr[ée]\s+p[oó]s)" + edge), "regime_generico", 30),
+            (low.rlike(edge_l + r"ou\s+(cacheamento|alisamento|loiro|liso|crespo|ondulado)" + edge), "alternativa_generica", 25),
+            (low.rlike(r"^oral\s+care$"), "nao_capilar", 50),
+            (s.rlike(r"\?$"), "pergunta", 35),
+            (s.rlike(r"^[^!]*!$") & (words <= 6), "exclamacao_curta", 25),
+            ((F.length(s) < 15) & ~f["volume"], "muito_curto_sem_volume", 15),
+            (F.length(s) >= 80, "muito_longo", 10),
+        ]
+        hits = F.array_compact(F.array(*[
+            F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(points).alias("points"))) for cond, code, points in penalties]))
+        bonus = F.when(signal == "volume+tipo", 40).when(signal == "kit+desc", 30).when(signal == "tipo+contexto", 20).otherwise(0)
+        return F.struct((s == "").alias("empty"), signal.alias("signal"), bonus.alias("bonus"), hits.alias("hits"))
+
+    def scored(r: Column) -> Column:
+        lost = F.aggregate(F.transform(r["hits"], lambda h: h["points"]), F.lit(0), lambda a, b: a + b)
+        score = F.when(r["empty"], 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.lit(50) + r["bonus"] - lost)))
+        return F.struct(
+            score.alias("score"), (score >= 60).alias("valid"),
+            F.when(r["empty"], F.array(F.lit("name_empty"))).otherwise(F.transform(r["hits"], lambda h: h["code"])).alias("issues"),
+            F.when(r["empty"], F.array().cast("array<string>")).otherwise(F.array_compact(F.array(r["signal"]))).alias("signals"))
+
+    return let(let(let(let(T.strip_ws(F.coalesce(_c(name), F.lit(""))), facts), signalled), rated), scored)
 
 
 def garbage_name(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..functions.lists import let
+from ..functions.text import let
 from . import classify as C
 from .windows import best_row, top_k
 

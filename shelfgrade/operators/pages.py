@@ -11,8 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.lists import dedupe_ci, first_by, let
-from ..functions.text import _c
+from ..functions.lists import dedupe_ci, first_by
+from ..functions.text import _c, let
 from ..functions.urls import canonical_url, host_allowed, url_host, url_origin
 from ..vocab import market as M
 from . import classify as C

@@ -6,8 +6,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.lists import DEFAULT_RULES, ListRules, let, validate_list
-from ..functions.text import _c
+from ..functions.lists import DEFAULT_RULES, ListRules, validate_list
+from ..functions.text import _c, let
 from ..functions.urls import has_url, host_allowed
 from ..vocab import market as M
 from . import classify as C
