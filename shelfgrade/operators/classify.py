@@ -397,9 +397,13 @@ def detect_seals(
     Row-local: each seal is a CASE over fields and words; rows with hits are unpivoted at the end.
     """
     folded = df.select(key, *[T.strip_accents(F.lower(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in fields])
+    folded = folded.select("*", *[
+        F.concat(F.lit(" "), F.regexp_replace(f, f"[^{T.WORD}]", " "), F.lit(" ")).alias(f"_padded_{f}") for f in fields])
 
     def present(f: str, word: str) -> Column:
-        # The plain search is cheap and usually says no; the whole-word test decides.
+        if word.isalnum():
+            return F.contains(F.col(f"_padded_{f}"), F.lit(f" {word} "))
+        # Phrases: the plain search is cheap and usually says no; the whole-word test decides.
         return F.contains(F.col(f), F.lit(word)) & F.col(f).rlike(T.boundary_pattern([word]))
 
     hits = [
