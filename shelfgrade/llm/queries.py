@@ -1,12 +1,13 @@
 """Queries of this subpackage on the given tables, each with its DuckDB SQL where SQL can say it."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfgrade.llm import langid, line_dedup, mixing, near_dedup, sentencepiece_codec as sp
-from shelfgrade.llm.common import ready
+from shelfgrade.llm import knn, langid, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, token_counts, url_filter
+from shelfgrade.llm.common import n_words, ready
 
 #: A model file of the public tokenizers; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -109,3 +110,103 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 1: URL filters -----------------------------------------------------------------------------
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the longest rule's, else that of the language models."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    v = F.col("url_verdict")
+    return url_filter.filter_urls(pages, RULES).select("page_id", v["host"].alias("host"), v["path"].alias("path"), v["rule"].alias("rule"),
+                                                       v["verdict"].alias("verdict"), v["score"].alias("score"))
+
+
+# --- 2: substring dedup --------------------------------------------------------------------------
+
+_REPEATS = """
+WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM d),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS t, count(*) AS k FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+@query("op2_substring_dedup", _REPEATS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated 35-word windows."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 3: media columns -----------------------------------------------------------------------------
+
+@query("op3_media")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV file, read back and fingerprinted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stored = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.to_wav(F.col("text")).alias("media"))
+    read = stored.withColumn("x", media.read_wav(F.col("media")))
+    payload = F.col("x.payload")
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("x.times").cast("string"), F.hex(F.xxhash64("x.times", "x.codes"))).alias("feature"))
+
+
+# --- 4: exact top-k search --------------------------------------------------------------------------
+
+_TOP = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_top_k", _TOP)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    whole = table(spark, sf_dir, "embeddings").select("vec_id", knn.whole_vector(F.col("embedding")).alias("v"))
+    return knn.top_k(whole, whole.filter("vec_id % 50 = 0"), 5)
+
+
+# --- 10: token counts -------------------------------------------------------------------------------
+
+#: A vocabulary file of the public tokenizers; a parameter of the operators.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def tokenizers() -> dict[str, Column]:
+    return {"words-1": n_words(F.col("text")), "byte_bpe_50k-1": token_counts.bpe_count(F.col("text"), RANKS)}
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents in, toxic ones out, low-quality ones revised with single blanks.
+
+    The second batch is committed twice, as a retried job would; it counts once.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    folder = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    token_counts.commit(folder, "1", token_counts.signed(token_counts.counted(docs, tokenizers()), 1))
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+    out = token_counts.signed(token_counts.counted(toxic, tokenizers()), -1)
+    token_counts.commit(folder, "2", out)
+    low = docs.join(labels.filter("quality = 0 and coalesce(toxic, 0) <> 1"), "doc_id", "left_semi")
+    clean = low.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    token_counts.commit(folder, "3", token_counts.revised(token_counts.counted(low, tokenizers()), token_counts.counted(clean, tokenizers())))
+    token_counts.commit(folder, "2", out)
+    return token_counts.totals(spark, folder)
