@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfgrade.llm.common import BLANKS, ascii_lower
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_key(line: Column) -> Column:
     """The line without blanks at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+    return ascii_lower(stripped(line))
 
 
 def _lines(text: Column) -> Column:
@@ -45,12 +49,14 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = (docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("th"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+             .filter(F.length(stripped(F.col("line"))) >= min_chars)
              .select("doc", "th", "pos", line_key(F.col("line")).alias("key"))
-             .filter(F.length("key") >= min_chars)
              .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "th", "pos"))
     ordered = lines.repartitionByRange(n, "h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    # Both readers of the sorted lines use all their columns, so that Spark makes the exchange once.
+    place = F.when(F.col("doc").isNotNull(), F.struct("doc", "pos", "th"))
     first = (ordered.groupBy("h1", "h2")
-             .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.col("doc").isNull()).alias("no_id"))
+             .agg(F.min(place)["doc"].alias("lo"), F.max("doc").alias("hi"), F.max(F.col("doc").isNull()).alias("no_id"))
              .filter("lo < hi or (lo is not null and no_id)").select("h1", "h2", "lo"))
     gone = ordered.join(first, ["h1", "h2"]).filter("not (doc <=> lo)")
     words = gone.groupBy("doc", "th", F.expr("pos div 64").alias("word")).agg(
@@ -62,10 +68,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, read off the bitmaps. Null texts stay null."""
     b = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_th"), F.col("words").alias("_words"))
     joined = docs.withColumn("_own", text_hash(F.col(text_col))).join(b, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_th")), "left")
-    bits = F.map_from_entries("_words")
+    bits, text = F.map_from_entries("_words"), F.coalesce(F.col(text_col), F.lit(""))
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: _stays(bits, i)), "\n")
     return joined.select(
         *[F.col(c) for c in docs.columns],
-        F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("_words", F.lit(0), lambda acc, w: acc + F.bit_count(w["bits"])), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(kept).alias("kept_text"))
