@@ -35,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The whole row as the struct ``row`` beside the columns that an operator works on, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
+
+
+def unpacked(df: DataFrame, names: list[str], *new: tuple[str, Column]) -> DataFrame:
+    """The packed row's columns and the new ones; a new column replaces one of the same name."""
+    taken = {n.lower() for n, _ in new}
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names if c.lower() not in taken], *[c.alias(n) for n, c in new])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

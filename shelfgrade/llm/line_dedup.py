@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfgrade.llm.common import BLANKS, ascii_lower
+from shelfgrade.llm.common import BLANKS, ascii_lower, packed, unpacked
 
 
 def stripped(line: Column) -> Column:
@@ -66,12 +66,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, read off the bitmaps. Null texts stay null."""
-    b = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_th"), F.col("words").alias("_words"))
-    joined = docs.withColumn("_own", text_hash(F.col(text_col))).join(b, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_th")), "left")
-    bits, text = F.map_from_entries("_words"), F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: _stays(bits, i)), "\n")
-    return joined.select(
-        *[F.col(c) for c in docs.columns],
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("_words", F.lit(0), lambda acc, w: acc + F.bit_count(w["bits"])), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(kept).alias("kept_text"))
+    b = bitmaps.select(F.col("doc").alias("bdoc"), F.col("text_hash").alias("bth"), "words")
+    rows = packed(docs, F.col(id_col).alias("id"), F.col(text_col).alias("body"), text_hash(F.col(text_col)).alias("th"))
+    joined = rows.join(b, F.col("id").eqNullSafe(F.col("bdoc")) & (F.col("th") == F.col("bth")), "left")
+    bits, text = F.map_from_entries("words"), F.coalesce("body", F.lit(""))
+    kept = F.array_join(F.filter(_lines(text), lambda line, i: _stays(bits, i)), "\n")
+    return unpacked(
+        joined, docs.columns,
+        ("n_lines", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")),
+        ("n_dropped", F.coalesce(F.aggregate("words", F.lit(0), lambda acc, w: acc + F.bit_count(w["bits"])), F.lit(0)).cast("long")),
+        ("kept_text", F.when(F.col("words").isNull(), F.col("body")).otherwise(kept)))

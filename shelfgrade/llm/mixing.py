@@ -15,7 +15,7 @@ beside the data (they are ordered and shared out in one window).
 Defined results: a null text has size 0 and is taken 0 times. A null source is a source of its own
 and comes last. Repeated rows are documents of their own. Equal hashes are told apart by id and
 otherwise interchangeable. Without any words all targets are 0. An empty table gives an empty
-result. Extra columns are kept; internal ones start with ``_mix_``.
+result. Extra columns are kept; one named like a result (``mix_...``) is replaced.
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from shelfgrade.llm.common import n_words
+from shelfgrade.llm.common import n_words, packed, unpacked
 
 #: Slices of a (source, length) group.
 SLICES = 64
@@ -113,36 +113,36 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 7, size: Column | None = None) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (how often each document is taken)."""
-    d = docs.withColumn("mix_size", n_words(F.col(text_col)) if size is None else size)
-    slim = d.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"))
-    targets = source_targets(slim, weights, most)
-    # Whole repeats of a source, and what single documents have to add.
-    plan = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("budget", F.col("target") - F.col("_whole") * F.col("source_size"))
-    sliced = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLICES)).cast("int")
-    d = d.withColumn("_mix_slice", sliced).withColumn("_mix_order", F.xxhash64(F.lit(seed + 1), F.col(id_col)))
-    pieces = d.groupBy(F.col(source_col).alias("source"), F.col("mix_size").alias("size"), F.col("_mix_slice").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    d = packed(docs, F.col(source_col).alias("source"), F.col(id_col).alias("id"), (n_words(F.col(text_col)) if size is None else size).cast("long").alias("size"))
+    d = d.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SLICES)).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), "id"))
+    pieces = d.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
     counts = pieces.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    budgets = plan.select(F.col("source").alias("_s"), "budget")
-    fitted = (counts.filter("size > 0").join(budgets, F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", "budget")
+    targets = source_targets(d.select("source", "size"), weights, most)
+    # Whole repeats of a source, and what single documents have to add.
+    plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    budgets = plan.select(F.col("source").alias("s"), "budget")
+    fitted = (counts.filter("size > 0").join(budgets, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "budget")
               .groupBy("source").applyInPandas(_fit, "source string, size long, extra long"))
     # How many documents of each slice are taken: the slices are filled in order.
-    f = fitted.filter("extra > 0").select(F.col("source").alias("_fs"), F.col("size").alias("_fn"), "extra")
-    order = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    quota = (pieces.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-             .join(f, F.col("source").eqNullSafe(F.col("_fs")) & (F.col("size") == F.col("_fn")))
-             .select(F.col("source").alias("_qs"), F.col("size").alias("_qn"), F.col("slice").alias("_qk"), (F.col("extra") - F.col("_before")).alias("_quota"))
-             .filter("_quota > 0"))
-    rank = F.row_number().over(W.partitionBy(source_col, "mix_size", "_mix_slice").orderBy("_mix_order", F.col(id_col).asc_nulls_last()))
-    ranked = d.withColumn("_mix_rank", rank)
-    ranked = ranked.join(quota, F.col(source_col).eqNullSafe(F.col("_qs")) & (F.col("mix_size") == F.col("_qn")) & (F.col("_mix_slice") == F.col("_qk")), "left")
-    p = plan.select(F.col("source").alias("_ps"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "_whole")
-    out = ranked.join(p, F.col(source_col).eqNullSafe(F.col("_ps")), "left")
-    copies = F.when(F.col("mix_size") == 0, F.lit(0)).otherwise(F.col("_whole") + F.when(F.col("_mix_rank") <= F.col("_quota"), 1).otherwise(0))
-    return out.select(*[F.col(c) for c in docs.columns], "mix_size", "mix_source_size", "mix_target", copies.cast("int").alias("mix_copies"))
+    f = fitted.filter("extra > 0").select(F.col("source").alias("fs"), F.col("size").alias("fn"), "extra")
+    earlier = W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    quota = (pieces.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+             .join(f, F.col("source").eqNullSafe(F.col("fs")) & (F.col("size") == F.col("fn")))
+             .select(F.col("source").alias("qs"), F.col("size").alias("qn"), F.col("slice").alias("qk"), (F.col("extra") - F.col("before")).alias("quota"))
+             .filter("quota > 0"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("order", F.col("id").asc_nulls_last()))
+    ranked = d.withColumn("rank", rank)
+    ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("qs")) & (F.col("size") == F.col("qn")) & (F.col("slice") == F.col("qk")), "left")
+    p = plan.select(F.col("source").alias("ps"), "source_size", "target", "whole")
+    out = ranked.join(p, F.col("source").eqNullSafe(F.col("ps")), "left")
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0))
+    return unpacked(out, docs.columns, ("mix_size", F.col("size")), ("mix_source_size", F.col("source_size")), ("mix_target", F.col("target")),
+                    ("mix_copies", copies.cast("int")))
 
 
 def taken_rows(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, without the ``mix_`` columns."""
     plain = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    return mixed.filter("mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*plain)
+    repeated = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")
+    return mixed.filter("mix_copies > 0").select(*plain, repeated).drop("mix_copy")

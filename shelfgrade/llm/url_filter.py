@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfgrade.llm.common import ascii_lower
+from shelfgrade.llm.common import ascii_lower, packed, unpacked
 
 ORDER, CELLS, STEP, EDGE = 4, 1 << 19, 0.01, 10.0
 #: Predicted positions handled at once.
@@ -166,12 +166,11 @@ def judge(url: Column, models: Models) -> Column:
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """``pages`` with struct ``url_verdict``: host, path, rule, verdict, score. What the rules decide trains the models."""
-    parts = url_parts(F.col(url_col))
-    ruled = pages.withColumn("_url_parts", parts).withColumn("_url_rule", rule_of(F.col("_url_parts.host"), F.col("_url_parts.path"), rules))
-    known = ruled.filter("_url_rule is not null").select(F.col(url_col).alias("url"), (F.col("_url_rule.verdict") == "allow").alias("accepted"))
-    models = train(known)
-    found = ruled.withColumn("_url_judged", judge(F.col(url_col), models))
-    verdict = F.coalesce(F.col("_url_rule.verdict"), F.when(F.col("_url_judged.allowed"), "allow").otherwise("block"))
-    return found.select(*[F.col(c) for c in pages.columns], F.struct(
-        F.col("_url_parts.host").alias("host"), F.col("_url_parts.path").alias("path"), F.col("_url_rule.rule").alias("rule"),
-        verdict.alias("verdict"), F.col("_url_judged.score").alias("score")).alias("url_verdict"))
+    rows = packed(pages, F.col(url_col).alias("url"), url_parts(F.col(url_col)).alias("parts"))
+    ruled = rows.withColumn("found", rule_of(F.col("parts.host"), F.col("parts.path"), rules))
+    models = train(ruled.filter("found is not null").select("url", (F.col("found.verdict") == "allow").alias("accepted")))
+    judged = ruled.withColumn("judged", judge(F.col("url"), models))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("judged.allowed"), "allow").otherwise("block"))
+    return unpacked(judged, pages.columns, ("url_verdict", F.struct(
+        F.col("parts.host").alias("host"), F.col("parts.path").alias("path"), F.col("found.rule").alias("rule"),
+        verdict.alias("verdict"), F.col("judged.score").alias("score"))))
