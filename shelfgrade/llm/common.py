@@ -43,7 +43,9 @@ def packed(df: DataFrame, *columns: Column) -> DataFrame:
 def unpacked(df: DataFrame, names: list[str], *new: tuple[str, Column]) -> DataFrame:
     """The packed row's columns and the new ones; a new column replaces one of the same name."""
     taken = {n.lower() for n, _ in new}
-    return df.select(*[F.col("row").getField(c).alias(c) for c in names if c.lower() not in taken], *[c.alias(n) for n, c in new])
+    # In two steps: an expression of a new column must not meet a row's column of the same name.
+    made = df.select("row", F.struct(*[c.alias(n) for n, c in new]).alias("new"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in names if c.lower() not in taken], *[F.col("new").getField(n).alias(n) for n, _ in new])
 
 
 def ascii_lower(c: Column) -> Column:

@@ -69,8 +69,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
     taken = np.floor(counts * (budget / total)).astype(np.int64)
     gap = int(round(budget - int((lengths * taken).sum())))
     order = np.argsort(-lengths, kind="stable")
-    # Leave at least twice the longest length to the knapsack, so that it has room to fit exactly.
-    room = 2 * int(lengths.max())
+    # Leave at least twice the longest length to the knapsack, and all of a small source, so that it has room to fit exactly.
+    room = max(2 * int(lengths.max()), 1 << 16)
     for i in order:
         if gap <= room:
             break

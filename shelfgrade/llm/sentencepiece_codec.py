@@ -22,6 +22,7 @@ from functools import lru_cache
 from itertools import chain
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -29,19 +30,26 @@ MARK = "▁"
 _WORDS = re.compile(" *[^ ]+| +")
 #: Distinct words remembered from batch to batch.
 REMEMBERED = 200_000
+#: Texts whose words are held at once.
+ROWS = 256
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """Scored pieces with their ids, the ids of the 256 bytes, and the surface of every id."""
+    """Scored pieces with their ids, the ids of the 256 bytes, and the surface of every id.
+
+    Pieces are kept as they stand in a text, with blanks for marks; a mark in the text itself is no piece.
+    """
 
     ids: dict[str, int]
     scores: dict[str, float]
     byte_ids: tuple[int, ...]
-    surfaces: tuple[str | int | None, ...]
+    surfaces: tuple[str, ...]
+    #: The byte of a byte piece, else -1.
+    byte_of: np.ndarray
     longest: int
     unknown: float
-    #: Lengths over 1 of the pieces that end in these two characters.
+    #: Lengths over 2 of the pieces that end in these three characters.
     ends: dict[str, tuple[int, ...]]
 
 
@@ -50,25 +58,23 @@ def make_pieces(vocabulary: list[tuple[str, str, float]]) -> Pieces:
 
     Not used: pieces made of marks only but for the single mark (blank runs of code), and pieces with a mark behind another character.
     """
-    ids, scores, byte_ids, surfaces = {}, {}, [0] * 256, []
+    ids, scores, byte_ids, surfaces, byte_of = {}, {}, [0] * 256, [""] * len(vocabulary), np.full(len(vocabulary), -1)
     for i, (piece, kind, score) in enumerate(vocabulary):
         if kind == "byte":
             byte_ids[int(piece[1:-1], 16)] = i
-            surfaces.append(int(piece[1:-1], 16))
+            byte_of[i] = int(piece[1:-1], 16)
         elif kind == "normal":
-            surfaces.append(piece)
+            surfaces[i] = piece.replace(MARK, " ")
             bare = piece.lstrip(MARK)
             if piece and MARK not in bare and (bare or piece == MARK):
-                ids.setdefault(piece, i)
-                scores.setdefault(piece, score)
-        else:
-            surfaces.append(None)
+                ids.setdefault(surfaces[i], i)
+                scores.setdefault(surfaces[i], score)
     lowest = min(scores.values(), default=0.0)
     ends: dict[str, set[int]] = {}
     for piece in ids:
-        if len(piece) > 1:
-            ends.setdefault(piece[-2:], set()).add(len(piece))
-    return Pieces(ids, scores, tuple(byte_ids), tuple(surfaces), max(map(len, ids), default=1), lowest - 10,
+        if len(piece) > 2:
+            ends.setdefault(piece[-3:], set()).add(len(piece))
+    return Pieces(ids, scores, tuple(byte_ids), tuple(surfaces), byte_of, max(map(len, ids), default=1), lowest - 10,
                   {k: tuple(sorted(v)) for k, v in ends.items()})
 
 
@@ -87,38 +93,38 @@ def load(path: str) -> Pieces:
 def encode_words(words: list[str], pieces: Pieces) -> dict[str, list[int]]:
     """Ids of each distinct word.
 
-    ``words`` are raw: leading blanks stand for marks. Forward state at depth d: best score of the first d characters and
-    the length of the last piece. Sorted order visits each trie node once, parents first. A mark in the text itself is read
-    as NUL, which is no piece, and so becomes bytes.
+    Forward state at depth d: best score of the first d characters and the length of the last piece. Sorted order visits
+    each trie node once, parents first. Of equally good pieces the longest is taken.
     """
     out: dict[str, list[int]] = {}
     best, back, before = [0.0], [0], ""
-    scores, longest, ends = pieces.scores, pieces.longest, pieces.ends
+    score, ends, unknown = pieces.scores.get, pieces.ends.get, pieces.unknown
     for word in sorted(set(words)):
         same, most = 0, min(len(word), len(before))
         while same < most and word[same] == before[same]:
             same += 1
         del best[same + 1:], back[same + 1:]
-        marked = "".join(MARK if c == " " else "\0" if c == MARK else c for c in word[max(0, same + 1 - longest):])
-        shift = max(0, same + 1 - longest)
         for end in range(same + 1, len(word) + 1):
             # A single character is always possible, as bytes if need be.
-            c = marked[end - 1 - shift]
-            top, size = best[end - 1] + scores.get(c, pieces.unknown), 1
-            for n in ends.get(marked[end - 2 - shift: end - shift], ()) if end > 1 else ():
-                if n > end:
-                    break
-                s = scores.get(marked[end - n - shift: end - shift])
-                if s is not None and best[end - n] + s >= top:
-                    top, size = best[end - n] + s, n
+            top, size = best[end - 1] + score(word[end - 1], unknown), 1
+            if end > 1:
+                s = score(word[end - 2: end])
+                if s is not None and best[end - 2] + s >= top:
+                    top, size = best[end - 2] + s, 2
+                for n in ends(word[end - 3: end], ()) if end > 2 else ():
+                    if n > end:
+                        break
+                    s = score(word[end - n: end])
+                    if s is not None and best[end - n] + s >= top:
+                        top, size = best[end - n] + s, n
             best.append(top)
             back.append(size)
         ids, end = [], len(word)
         while end:
             n = back[end]
-            piece = "" if MARK in word[end - n: end] else word[end - n: end].replace(" ", MARK)
-            if piece in pieces.ids:
-                ids.append(pieces.ids[piece])
+            i = pieces.ids.get(word[end - n: end])
+            if i is not None:
+                ids.append(i)
             else:
                 ids.extend(pieces.byte_ids[x] for x in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
             end -= n
@@ -135,20 +141,28 @@ def encode_text(text: str, pieces: Pieces) -> list[int]:
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
-    out, raw = [], bytearray()
-    for i in ids:
-        s = pieces.surfaces[i]
-        if isinstance(s, int):
-            raw.append(s)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw = bytearray()
-        if s:
-            out.append(s.replace(MARK, " "))
-    out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out)
-    return text[1:] if text[:1] == " " else text
+    """Pieces' surfaces joined; runs of byte ids are decoded together."""
+    ids = np.asarray(ids, np.int64)
+    raw = pieces.byte_of[ids] >= 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], raw, [False]]).view(np.int8)))
+    out, at = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out.extend(map(pieces.surfaces.__getitem__, ids[at:a].tolist()))
+        out.append(pieces.byte_of[ids[a:b]].astype(np.uint8).tobytes().decode("utf-8", "replace"))
+        at = b
+    out.extend(map(pieces.surfaces.__getitem__, ids[at:].tolist()))
+    return "".join(out)[1:]
+
+
+def encode_rows(texts, pieces: Pieces, table: dict[str, list[int]]) -> list[np.ndarray | None]:
+    """Ids of a few texts. ``table`` remembers words from call to call and is emptied when it is full."""
+    cut = [None if t is None else _WORDS.findall(" " + t) if t else [] for t in texts]
+    new = {w for words in cut if words for w in words if w not in table}
+    if new and len(table) + len(new) > REMEMBERED:
+        table.clear()
+        new = set(chain.from_iterable(w for w in cut if w))
+    table.update(encode_words(list(new), pieces))
+    return [None if w is None else np.fromiter(chain.from_iterable(map(table.__getitem__, w)), np.int32) for w in cut]
 
 
 def encode(text: Column, path: str) -> Column:
@@ -157,13 +171,10 @@ def encode(text: Column, path: str) -> Column:
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces, table = load(path), {}
         for s in it:
-            cut = [None if t is None else _WORDS.findall(" " + t) if t else [] for t in s]
-            new = set(chain.from_iterable(w for w in cut if w)).difference(table)
-            if len(table) + len(new) > REMEMBERED:
-                table = {}
-                new = set(chain.from_iterable(w for w in cut if w))
-            table.update(encode_words(list(new), pieces))
-            yield pd.Series([None if w is None else list(chain.from_iterable(map(table.__getitem__, w))) for w in cut], dtype=object)
+            out: list[np.ndarray | None] = []
+            for at in range(0, len(s), ROWS):
+                out.extend(encode_rows(s.iloc[at: at + ROWS], pieces, table))
+            yield pd.Series(out, dtype=object)
 
     return run(text)
 
