@@ -5,6 +5,7 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``. ``bytes.split()`` cuts at exactl
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,9 +31,17 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder and read from there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows are written to the shared folder as Parquet and read from there.
+
+    A written table outlives executors and, unlike a checkpointed frame, carries no constraints of the plan it came
+    from, which grow with every round of an iteration. It goes when the driver ends.
+    """
+    spark = ready(df.sparkSession)
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/llm-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packed(df: DataFrame, *columns: Column) -> DataFrame:
@@ -132,26 +141,30 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 # --- connected components -----------------------------------------------------------------------
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 80) -> DataFrame:
     """``(node, label)`` for every node of ``edges``: the smallest node that can be reached.
 
-    Each round hangs every node under its smallest neighbour and contracts the edges, so that
-    chains at least halve. Only joins and aggregates: a hub with many links is never gathered.
-    Empty edges give an empty result; loops and repeated edges do no harm. Nodes are not null.
+    Each round hangs every node under the neighbour that comes first in an order drawn anew for the round, follows
+    these links four deep, and contracts the edges. In a drawn order chains of links are short, whatever the shape, so that the
+    nodes shrink by a constant factor a round. Only joins and aggregates: a hub with many links is never gathered.
+    Empty edges give an empty result; loops and repeated edges do no harm. Edges with a null node are left out.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("label", F.col("node")))
+    labels = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("label", F.col("node"))
     e = e.filter("a < b")
-    for _ in range(rounds):
+    for k in range(rounds):
         if e.isEmpty():
-            return labels
-        both = e.union(e.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("up"))
-        # One jump: the parent's parent, so that paths shorten twice as fast.
-        far = up.select(F.col("n").alias("up"), F.col("up").alias("far"))
-        up = cut(up.join(far, "up", "left").select("n", F.coalesce("far", "up").alias("up")))
-        labels = cut(labels.join(up, labels["label"] == up["n"], "left").select("node", F.coalesce("up", "label").alias("label")))
+            smallest = labels.groupBy("label").agg(F.min("node").alias("least"))
+            return labels.join(smallest, "label").select("node", F.col("least").alias("label"))
+        place = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = e.union(e.select("b", "a")).groupBy("a").agg(F.min(place("b")).alias("m"))
+        up = cut(first.select(F.col("a").alias("n"), F.least(place("a"), F.col("m"))["n"].alias("up")))
+        for _ in range(2):
+            far = up.select(F.col("n").alias("up"), F.col("up").alias("far"))
+            up = up.join(far, "up", "left").select("n", F.coalesce("far", "up").alias("up"))
+        up = cut(up)
+        labels = cut(labels.join(up, F.col("label") == F.col("n"), "left").select("node", F.coalesce("up", "label").alias("label")))
         ea = e.join(up.withColumnRenamed("up", "ua"), F.col("a") == F.col("n")).select("ua", "b")
         eb = ea.join(up.withColumnRenamed("up", "ub"), F.col("b") == F.col("n")).select("ua", "ub").filter("ua <> ub")
         e = cut(eb.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())

@@ -7,12 +7,16 @@ similarity. Runs of ``rows`` registers are bands; documents that agree in a band
 these the similarity is estimated from all registers jointly (likelihood over smaller, equal, larger),
 clearly unlike pairs are dropped, and every other pair is confirmed on the full shingle sets.
 
-No link is lost to group sizes. Documents with equal word sequences are one class from the start.
-Round 1 checks every document against a hub of each band group and merges what is linked. Whatever is
-still apart within a band group goes to round 2, which compares across components in blocks of
-``BLOCK`` members, by registers inside a task, and emits only pairs that the estimate lets through.
-With 32 bands of 4 the chance that a pair at the threshold shares no band is below 1e-9; the estimate
-drops a pair only 4.5 standard deviations below the threshold.
+No link is lost to group sizes, and no list of pairs is made. Documents with equal word sequences are one class from
+the start. The members of a band group are compared by registers in blocks of at most ``BLOCK``, block against block; a
+task keeps its members joined where the estimate lets a pair through and emits only a forest. The forests' components
+are clusters of likely links. Within a cluster full texts meet in the same way, block against block: a pair that is not
+yet joined is tested on the full shingle sets, and a forest of confirmed links is emitted. The components of these
+are the result. With 32 bands of 4 the chance that a pair at the threshold shares no band is below 1e-9; the
+estimate drops a pair only 4.5 standard deviations below the threshold.
+
+Scale: what a task holds is bounded by two blocks, what it emits by their members. Work within one cluster of m different texts is
+(m / BLOCK)^2 / 2 tasks, and m / BLOCK copies of each of its texts are shuffled.
 
 Defined results: a document without words (null or empty text too) is alone and is kept, with 0
 shingles. With fewer than ``n`` words, the whole sequence is the one shingle. Repeated rows are one
@@ -33,8 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from shelfgrade.llm.common import components, cut, gram_hashes, mix, word_hashes
 
 M, ROWS, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65535
-#: Members of a block in round 2.
-BLOCK = 512
+#: Most members of a block on average, and most shingles.
+BLOCK, SHINGLES = 512, 1 << 20
 _SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -106,78 +110,84 @@ def _floor(threshold: float) -> float:
     return threshold - 4.5 * sqrt(threshold * (1 - threshold) / M)
 
 
-def _similar(threshold: float):
-    """Rows of two register sets: is the estimate high enough to look at the full sets?"""
-    least = _floor(threshold)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if not len(pdf):
-                continue
-            a = np.frombuffer(b"".join(pdf["sa"]), "<u2").reshape(-1, M)
-            b = np.frombuffer(b"".join(pdf["sb"]), "<u2").reshape(-1, M)
-            e = estimate(a, b, pdf["na"].to_numpy(float), pdf["nb"].to_numpy(float))
-            yield pdf.loc[e >= least, ["a", "b"]].assign(e=e[e >= least])
+def _joined(label: np.ndarray, a: int, b: int) -> None:
+    """Union by relabelling, for a few thousand members."""
+    label[label == label[b]] = label[a]
 
-    return run
 
+def _likely(threshold: float):
+    """Two blocks of one band group: a forest of pairs whose estimate is high enough to look at the texts."""
+    least = _floor(threshold)
+    # No pair with fewer equal registers has such an estimate: the estimate is at most 1.25 times their share near base 1.
+    equal = int(least * M / 1.25)
 
-def _confirm(n: int, num: int, den: int):
-    """Exact test on full shingle sets. The set of a text that repeats in a batch is built once."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            sets: dict = {}
-
-            def of(doc, text):
-                key = (doc, hash(text))
-                if key not in sets:
-                    if len(sets) > 200:
-                        sets.clear()
-                    sets[key] = shingles(words_of(text), n)
-                return sets[key]
-
-            ok = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                x, y = of(a, ta), of(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pdf.loc[ok, ["a", "b"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        both = left if same else pd.concat([left, right])
+        s = np.frombuffer(b"".join(both["sketch"]), "<u2").reshape(-1, M)
+        n, rep = both["n"].to_numpy(float), both["rep"].to_numpy(np.int64)
+        label, links = np.arange(len(rep)), []
+        for k in range(len(left)):
+            at = np.flatnonzero(label != label[k])
+            at = at[at > k] if same else at[at >= len(left)]
+            at = at[np.minimum(n[at], n[k]) >= (threshold - 1e-9) * np.maximum(n[at], n[k])]
+            at = at[(s[at] == s[k]).sum(axis=1) >= equal]
+            if len(at):
+                e = estimate(np.broadcast_to(s[k], (len(at), M)), s[at], np.full(len(at), n[k]), n[at])
+                for j in at[e >= least]:
+                    if label[j] != label[k]:
+                        _joined(label, k, j)
+                        links.append((rep[k], rep[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _across(threshold: float):
-    """One block pair of one band group: members of the first block against those of the second, across components."""
-    least = _floor(threshold)
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+    left = pdf[pdf["side"] == 0]
+    return left, left if same else pdf[pdf["side"] == 1], same
+
 
+def _linked(n: int, num: int, den: int):
+    """Two blocks of one cluster: a forest of links confirmed on the full shingle sets."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
-        right = left if same else right
-        out_a, out_b, out_e = [], [], []
-        if len(left) and len(right):
-            sl = np.frombuffer(b"".join(left["sketch"]), "<u2").reshape(-1, M)
-            sr = np.frombuffer(b"".join(right["sketch"]), "<u2").reshape(-1, M)
-            rl, rr = left["rep"].to_numpy(), right["rep"].to_numpy()
-            cl, cr = left["label"].to_numpy(), right["label"].to_numpy()
-            nl, nr = left["n"].to_numpy(float), right["n"].to_numpy(float)
-            for k in range(len(rl)):
-                take = (cr != cl[k]) & (np.minimum(nr, nl[k]) >= (threshold - 1e-9) * np.maximum(nr, nl[k]))
-                if same:
-                    take &= rr > rl[k]
-                at = np.flatnonzero(take)
-                if len(at):
-                    e = estimate(np.broadcast_to(sl[k], (len(at), M)), sr[at], np.full(len(at), nl[k]), nr[at])
-                    at, e = at[e >= least], e[e >= least]
-                    out_a.append(np.full(len(at), rl[k]))
-                    out_b.append(rr[at])
-                    out_e.append(e)
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return pd.DataFrame({"a": cat(out_a, np.int64), "b": cat(out_b, np.int64), "e": cat(out_e, float)})
+        left, right, same = _sides(pdf)
+        both = left if same else pd.concat([left, right])
+        rep, sets = both["rep"].to_numpy(np.int64), [shingles(words_of(t), n) for t in both["text"]]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        names, where = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        label, links, mark = np.arange(len(rep)), [], np.zeros(len(names), np.int8)
+        for k in range(len(left)):
+            at = np.flatnonzero(label != label[k])
+            at = at[at > k] if same else at[at >= len(left)]
+            at = at[den * np.minimum(sizes[at], sizes[k]) >= num * np.maximum(sizes[at], sizes[k])]
+            if not len(at):
+                continue
+            own = where[ends[k]: ends[k + 1]]
+            mark[own] = 1
+            for j in at:
+                if label[j] == label[k]:
+                    continue
+                inter = int(mark[where[ends[j]: ends[j + 1]]].sum(dtype=np.int64))
+                if den * inter >= num * (int(sizes[k] + sizes[j]) - inter):
+                    _joined(label, k, j)
+                    links.append((rep[k], rep[j]))
+            mark[own] = 0
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _dealt(members: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """Rows ``(group, rep, i, j, side)``: every member goes to each pair of blocks that holds its own block."""
+    m = members.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("rep", group), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    return m.select(group, "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc, n_shingles, component, kept)``, one row per input row.
 
@@ -191,32 +201,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     bands = classes.select("rep", F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(M // ROWS)])).alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "hub")
-    pairs = bands.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("b"), F.col("hub").alias("a")).distinct()
-    sized = classes.select("rep", "n", "sketch")
-    texts = slim.filter("doc is not null and text is not null")
-    # One text per class: the representative's. Rows with the same id and other words are classes of their own key.
-    likely = _estimated(pairs, sized, threshold)
-    best = cut(likely.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
-    links = cut(_confirmed(best, texts, n, num, den))
-    labels = components(links)
-    # Round 2: whatever a band group still holds apart.
-    label = labels.select(F.col("node").alias("rep"), "label")
-    placed = cut(classes.join(label, "rep", "left").select("rep", "n", "sketch", F.coalesce("label", "rep").alias("label")))
-    banded = bands.join(placed.select("rep", "label"), "rep")
-    apart = banded.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("band", "size")
-    # A group met in many bands is compared once: same members, same pairs.
-    members = banded.select("band", "rep").join(apart, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("blocks").cast("long")).cast("int"))
-    dealt = members.select("band", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(placed, "rep")
-    found = dealt.groupBy("band", "i", "j").applyInPandas(_across(threshold), "a long, b long, e double")
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _confirmed(cut(rest), texts, n, num, den)
-    final = components(links.union(more).union(_same_id(prints)))
+    groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    dealt = _dealt(bands, "band", groups.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    likely = dealt.join(classes.select("rep", "n", "sketch"), "rep").groupBy("band", "i", "j").applyInPandas(_likely(threshold), "a long, b long")
+    clusters = cut(components(likely).select(F.col("node").alias("rep"), F.col("label").alias("cluster")))
+    weights = clusters.join(classes.select("rep", "n"), "rep").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    blocks = weights.select("cluster", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / SHINGLES)).alias("blocks"))
+    # The representative's text; where an id has several texts, all of them stand for it.
+    texts = slim.filter("doc is not null and text is not null").select(F.col("doc").alias("rep"), "text")
+    met = _dealt(clusters, "cluster", blocks).join(texts, "rep")
+    links = met.groupBy("cluster", "i", "j").applyInPandas(_linked(n, num, den), "a long, b long")
+    final = components(links.union(_same_id(prints)))
     final = final.select(F.col("node").alias("rep"), "label")
     reps = classes.select(F.col("key").alias("k"), "rep")
     out = prints.select("doc", "key", "n").join(reps, F.col("key") == F.col("k"), "left").join(final, "rep", "left")
@@ -231,16 +226,3 @@ def _same_id(prints: DataFrame) -> DataFrame:
     reps = p.groupBy("key").agg(F.min("doc").alias("rep"))
     several = p.groupBy("doc").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("doc")
     return p.join(several, "doc").join(reps, "key").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
-
-
-def _estimated(pairs: DataFrame, sized: DataFrame, threshold: float) -> DataFrame:
-    a = sized.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sized.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    rows = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
-    return rows.mapInPandas(_similar(threshold), "a long, b long, e double")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    a = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(_confirm(n, num, den), "a long, b long")
