@@ -58,16 +58,15 @@ def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
 def _anchors(window: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            doc, anchor, start, size = [], [], [], []
+            doc, anchor, start = [], [], []
             for d, text in zip(pdf["doc"].array, pdf["text"]):
-                a, s, n = phrases(word_hashes(_raw(text)), window)
+                a, s, _ = phrases(word_hashes(_raw(text)), window)
                 if len(a):
                     doc.append(np.full(len(a), d, object if pd.isna(d) else np.int64))
                     anchor.append(a.view(np.int64))
                     start.append(s)
-                    size.append(n)
             if doc:
-                yield pd.DataFrame({"doc": pd.array(np.concatenate(doc), "Int64"), "anchor": np.concatenate(anchor), "start": np.concatenate(start).astype(np.int32), "size": np.concatenate(size).astype(np.int32)})
+                yield pd.DataFrame({"doc": pd.array(np.concatenate(doc), "Int64"), "anchor": np.concatenate(anchor), "start": np.concatenate(start).astype(np.int32)})
 
     return run
 
@@ -163,28 +162,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found window by window. ``window`` is at most 64.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    cut_up = base.filter("text is not null").mapInPandas(_anchors(window), "doc long, anchor long, start int, size int")
+    cut_up = base.filter("text is not null").mapInPandas(_anchors(window), "doc long, anchor long, start int")
     repeated = cut_up.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
     wanted = cut_up.join(repeated, "anchor", "left_semi").groupBy(F.col("doc").alias("wdoc")).agg(F.collect_set("start").alias("want"))
     rows = base.join(wanted, F.col("doc").eqNullSafe(F.col("wdoc"))).select("doc", F.xxhash64("text").alias("own"), "text", "want")
     kind = "doc long, own long, anchor long, phrase long, start int, size int"
     every = rows.mapInPandas(_looked_up(window, True), kind + ", windows array<long>")
-    block = every.groupBy("anchor", "phrase").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("ref"), F.max(F.struct("doc", "start")).alias("last"), F.first("windows").alias("windows"))
+    # One struct, so that both readers below need the same aggregate and share its exchange.
+    block = every.groupBy("anchor", "phrase").agg(F.struct(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("ref"), F.max(F.struct("doc", "start")).alias("last"), F.first("windows").alias("windows")).alias("b"))
     # Windows, for the phrases that are not repeated as a whole. Those that are count with their windows, too.
-    single = block.select("anchor", "phrase", "times", F.posexplode("windows").alias("offset", "window"))
+    single = block.select("anchor", "phrase", F.col("b.times").alias("times"), F.posexplode("b.windows").alias("offset", "window"))
     known = single.groupBy("anchor", "window").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor", "window")
     masks = single.filter("times = 1").join(known, ["anchor", "window"]).groupBy("anchor", "phrase").agg(
         F.expr("bit_or(shiftleft(1L, offset))").alias("mask"))
-    whole = block.filter("times > 1").select("anchor", "phrase", "ref", "last")
-    occurs = rows.mapInPandas(_looked_up(window, False), kind)
+    whole = block.filter("b.times > 1").select("anchor", "phrase", F.lit(None).cast("long").alias("mask"), "b.ref", "b.last")
+    none = F.lit(None).cast(whole.schema["ref"].dataType)
+    answers = whole.union(masks.select("anchor", "phrase", "mask", none.alias("ref"), none.alias("last")))
     # The source of a phrase is its first occurrence; for the first itself, the last.
-    own = F.struct("doc", "start")
-    ref = F.when(own.eqNullSafe(F.col("ref")), F.col("last")).otherwise(F.col("ref"))
-    one = occurs.join(whole, ["anchor", "phrase"]).select("doc", F.struct(
-        "own", "start", "size", F.lit(None).cast("long").alias("mask"), ref["doc"].alias("ref_doc"), ref["start"].alias("ref_start")).alias("x"))
-    two = occurs.join(masks, ["anchor", "phrase"]).select("doc", F.struct(
-        "own", "start", "size", "mask", F.lit(None).cast("long").alias("ref_doc"), F.lit(None).cast("int").alias("ref_start")).alias("x"))
-    found = one.union(two).groupBy(F.col("doc").alias("fdoc")).agg(F.collect_set("x").alias("found"))
+    ref = F.when(F.struct("doc", "start").eqNullSafe(F.col("ref")), F.col("last")).otherwise(F.col("ref"))
+    found = rows.mapInPandas(_looked_up(window, False), kind).join(answers, ["anchor", "phrase"]).select("doc", F.struct(
+        "own", "start", "size", "mask", ref["doc"].alias("ref_doc"), ref["start"].alias("ref_start")).alias("x"))
+    found = found.groupBy(F.col("doc").alias("fdoc")).agg(F.collect_set("x").alias("found"))
     final = base.join(found, F.col("doc").eqNullSafe(F.col("fdoc")), "left").select("doc", F.xxhash64("text").alias("own"), "text", "found")
     return final.mapInPandas(_parsed(window), "doc long, n_words long, n_removed long, kept_text string, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>")
