@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfgrade.llm import knn, langid, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, token_counts, url_filter
-from shelfgrade.llm.common import n_words, ready
+from shelfgrade.llm.common import cut, n_words, ready
 
 #: A model file of the public tokenizers; a parameter of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -188,25 +188,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def tokenizers() -> dict[str, Column]:
-    return {"words-1": n_words(F.col("text")), "byte_bpe_50k-1": token_counts.bpe_count(F.col("text"), RANKS)}
-
-
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents in, toxic ones out, low-quality ones revised with single blanks.
 
-    The second batch is committed twice, as a retried job would; it counts once.
+    Texts are counted once, into a ledger of numbers; the batches are made from that. The second batch is committed twice,
+    as a retried job would; it counts once.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    blanks = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    ledger = cut(docs.select("doc_id", "source", "lang", n_words(F.col("text")).alias("words"),
+                             token_counts.bpe_count(F.col("text"), RANKS).alias("pieces"), token_counts.bpe_count(blanks, RANKS).alias("revised")))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counts = lambda rows, pieces: token_counts.counted(rows, {"words-1": F.col("words"), "byte_bpe_50k-1": F.col(pieces)})
     folder = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/token-counts-{uuid.uuid4().hex}"
-    token_counts.commit(folder, "1", token_counts.signed(token_counts.counted(docs, tokenizers()), 1))
-    toxic = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
-    out = token_counts.signed(token_counts.counted(toxic, tokenizers()), -1)
-    token_counts.commit(folder, "2", out)
-    low = docs.join(labels.filter("quality = 0 and coalesce(toxic, 0) <> 1"), "doc_id", "left_semi")
-    clean = low.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    token_counts.commit(folder, "3", token_counts.revised(token_counts.counted(low, tokenizers()), token_counts.counted(clean, tokenizers())))
-    token_counts.commit(folder, "2", out)
+    token_counts.commit(folder, "1", token_counts.signed(counts(ledger, "pieces"), 1))
+    toxic = token_counts.signed(counts(ledger.join(labels.filter("toxic = 1"), "doc_id", "left_semi"), "pieces"), -1)
+    token_counts.commit(folder, "2", toxic)
+    low = ledger.join(labels.filter("quality = 0 and coalesce(toxic, 0) <> 1"), "doc_id", "left_semi")
+    token_counts.commit(folder, "3", token_counts.revised(counts(low, "pieces"), counts(low, "revised")))
+    token_counts.commit(folder, "2", toxic)
     return token_counts.totals(spark, folder)
