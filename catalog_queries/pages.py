@@ -21,7 +21,7 @@ def _bare(c: str) -> str:
 
 
 def _decoded(c: str) -> str:
-    for e, r in T._ENTITIES:
+    for e, r in X.ENTITIES:
         c = "replace({}, '{}', '{}')".format(c, e, r.replace("'", "''"))
     return c
 
@@ -43,10 +43,11 @@ def tag_counts(t):
 
 
 _LAB = X.rep("lower(" + X.collapse("strip_accents(txt)") + ")", r"^[^\w]+")
-_SEC = f"""{_TOK}, h AS (SELECT *, tag IN ('h1','b') AND txt <> '' AS head FROM tok), g AS (SELECT *, max(CASE WHEN head THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) AS grp FROM h),
+_FIELD = f"CASE WHEN starts_with({_LAB}, 'thea') THEN 'benefits' WHEN starts_with({_LAB}, 'the') THEN 'description' WHEN starts_with({_LAB}, 'en') THEN 'description' WHEN starts_with({_LAB}, 'de') THEN 'benefits' END"
+_SEC = f"""{_TOK}, l AS (SELECT *, {_FIELD} AS field FROM tok), h AS (SELECT *, txt <> '' AND (tag = 'h1' OR (tag = 'b' AND field IS NOT NULL)) AS head FROM l),
+g AS (SELECT *, max(CASE WHEN head THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) AS grp FROM h),
 b AS (SELECT page_id, grp, string_agg(txt, ' ' ORDER BY pos) FILTER (WHERE NOT head AND txt <> '') AS content FROM g WHERE grp IS NOT NULL GROUP BY 1, 2),
-sec AS (SELECT b.page_id, grp AS pos, CASE WHEN starts_with({_LAB}, 'thea') THEN 'benefits' WHEN starts_with({_LAB}, 'the') THEN 'description' WHEN starts_with({_LAB}, 'en') THEN 'description' WHEN starts_with({_LAB}, 'de') THEN 'benefits' END AS field, content
- FROM b JOIN tok ON tok.page_id = b.page_id AND tok.pos = grp)"""
+sec AS (SELECT b.page_id, grp AS pos, l.field, content FROM b JOIN l ON l.page_id = b.page_id AND l.pos = grp)"""
 _LABELS = [("description", ["the", "en"]), ("benefits", ["thea", "de"])]
 
 
@@ -279,3 +280,37 @@ def external_products(t):
     return rows.select("source_url", "brand_slug", F.coalesce(F.when(F.col("inci_ingredients").isNotNull(), F.size("inci_ingredients")), F.lit(-1)).alias("items"))
 
 
+
+
+# --- structure: the expected result is stated directly -------------------------------------------------
+
+@query("inline_sections", """SELECT p_partkey AS page_id, 'care_usage' AS field, 'Aplique nos ' || p_name || ' umidos e massageie. Depois enxágue bem 2 vezes' AS content FROM part
+UNION ALL SELECT p_partkey, 'benefits', 'Brilho e ' || p_brand || ' sem peso para todos os fios' FROM part""")
+def inline_sections(t):
+    """Words in bold and spans are text; a labelled one starts the next section."""
+    html = ("'<h3>Modo de uso</h3><p>Aplique nos <strong>' || p_name || '</strong> umidos e massageie.</p><div><span>Depois</span> enx&aacute;gue <b>bem</b> 2 vezes</div>"
+            "<p><strong>Benefícios:</strong> Brilho e <span>' || p_brand || '</span> sem <b>peso</b> para todos os fios</p><h4>Outros</h4><p>nada</p>'")
+    pages = t.part.selectExpr("p_partkey AS page_id", f"{html} AS html")
+    return D.heading_sections(pages, [("care_usage", ["modo de uso"]), ("benefits", ["benefícios"])]).select("page_id", "field", "content")
+
+
+_HREFS = [("https://shop.example.com", "produto", "https://shop.example.com/produto"), ("https://shop.example.com/a/b.html", "?cor=2", "https://shop.example.com/a/b.html?cor=2"),
+          ("https://shop.example.com/a/b.html", "../c", "https://shop.example.com/c"), ("https://shop.example.com/a/b/c", "./d/../e", "https://shop.example.com/a/b/e"),
+          ("https://shop.example.com/a", "/x/./y/..", "https://shop.example.com/x/"), ("https://shop.example.com/a/", "../../../g", "https://shop.example.com/g"),
+          ("https://shop.example.com/a?q=1#f", "//cdn.example.com/z", "https://cdn.example.com/z"), ("https://shop.example.com/a", "http://o.example.org/..a/b..", "http://o.example.org/..a/b..")]
+
+
+@query("resolved_links", " UNION ALL ".join(f"SELECT p_partkey * 100 + {i} AS page_id, replace('{link}', 'shop', 'shop' || p_size) AS link FROM part" for i, (_, _, link) in enumerate(_HREFS)))
+def resolved_links(t):
+    """Links resolved by RFC 3986."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("base"), F.lit(h).alias("href")) for i, (b, h, _) in enumerate(_HREFS)]))
+    pages = t.part.select("p_partkey", "p_size", rows.alias("x")).selectExpr(
+        "p_partkey * 100 + x.i AS page_id", "replace(x.base, 'shop', 'shop' || p_size) AS url", "'<a href=\"' || x.href || '\">x</a>' AS html")
+    return D.page_links(pages)
+
+
+@query("decoded_entities", """SELECT p_partkey AS page_id, p_name || ' €ñü®''é€ &lt; &bogus; &AMP 😀 ' || chr(65533) || '≪' AS text FROM part""")
+def decoded_entities(t):
+    """Named and numeric entities, each decoded once."""
+    coded = F.concat("p_name", F.lit(" &euro;&ntilde;&uuml;&reg;&#x27;&#233;&#8364; &amp;lt; &bogus; &AMP &#x1F600; &#99999999;&Lt;"))
+    return t.part.select(F.col("p_partkey").alias("page_id"), T.decode_entities(coded).alias("text"))

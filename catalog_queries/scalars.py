@@ -62,7 +62,7 @@ def extract_volume(t):
 
 
 _ENT = "html"
-for _e, _r in T._ENTITIES:
+for _e, _r in X.ENTITIES:
     _ENT = "replace({}, '{}', '{}')".format(_ENT, _e, _r.replace("'", "''"))
 
 

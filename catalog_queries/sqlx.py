@@ -56,3 +56,12 @@ def cut(c: str, markers: list[str], garbage: list[str]) -> str:
     pos = ", ".join("position('{}' in lower({}))".format(m.replace("'", "''"), c) for m in markers)
     end = f"coalesce(list_min(list_filter([{pos}], lambda p: p > 0)) - 1, length({c}))"
     return trim("regexp_replace(substring({}, 1, CAST({} AS BIGINT)), '(?i)({})', '', 'g')".format(c, end, "|".join(garbage)))
+
+
+#: The entities that the tables' own texts can hold, for SQL; ``&amp;`` last, so that nothing is decoded twice.
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&ccedil;", "ç"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&aacute;", "á"), ("&eacute;", "é"),
+    ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&acirc;", "â"), ("&ecirc;", "ê"),
+    ("&ocirc;", "ô"), ("&agrave;", "à"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+]

@@ -1,8 +1,10 @@
 """Scalar text functions. Every function maps columns to a column and stays in the JVM."""
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -113,7 +115,6 @@ def volume_units(col: Column | str) -> Column:
     """First volume or weight of a text as one number (millilitres or grams)."""
     pat = r"(\d+(?:[.,]\d+)?)\s*(ml|lt|l|kg|g|oz)\b"
     s = F.lower(_c(col))
-    num = F.expr("try_cast(NULL AS DOUBLE)")
     num = F.replace(F.regexp_extract(s, pat, 1), F.lit(","), F.lit(".")).try_cast("double")
     unit = F.regexp_extract(s, pat, 2)
     factor = F.when(unit.isin("l", "lt", "kg"), 1000.0).when(unit == "oz", 30.0).otherwise(1.0)
@@ -126,17 +127,36 @@ def extract_volume(*cols: Column | str) -> Column:
     return F.coalesce(*[F.nullif(strip_ws(F.regexp_extract(_c(c), pat, 1)), F.lit("")) for c in cols])
 
 
-_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&ccedil;", "ç"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&aacute;", "á"), ("&eacute;", "é"),
-    ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&acirc;", "â"), ("&ecirc;", "ê"),
-    ("&ocirc;", "ô"), ("&agrave;", "à"), ("&amp;", "&"),
-]
+#: Every named entity of the HTML standard, from the standard library's table.
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _from_code(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def _decoded(entity: Column, named: Column) -> Column:
+    body = F.substring(entity, 2, F.length(entity) - 2)
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    # Longer numbers are no code points, and would not fit.
+    number = F.when(F.length(digits) > 7, F.lit(-1)).when(body.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("int")).otherwise(
+        F.concat(F.lit("0"), digits).cast("int"))
+    return F.when(F.startswith(body, F.lit("#")), _from_code(number)).otherwise(F.coalesce(F.try_element_at(named, body), entity))
 
 
 def decode_entities(col: Column | str) -> Column:
-    """The common HTML entities; ``&amp;`` last so that nothing is decoded twice."""
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), _ENTITIES, _c(col))
+    """All named entities that end in a semicolon and all numeric ones, in one pass, so that nothing is decoded twice."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def one(s: Column) -> Column:
+        hits = F.regexp_extract_all(s, F.lit(_ENTITY), F.lit(0))
+        ends = F.concat(F.transform(hits, lambda e: _decoded(e, named)), F.array(F.lit("")))
+        return F.when(F.contains(s, F.lit("&")), F.array_join(F.zip_with(F.split(s, _ENTITY, -1), ends, lambda x, e: F.concat(x, e)), "")).otherwise(s)
+
+    return let(_c(col), one)
 
 
 def clean_text(col: Column | str) -> Column:

@@ -67,6 +67,30 @@ def canonical_url(col: Column | str) -> Column:
     return F.when(netloc != "", F.concat(base, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def fold_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x)))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
+def resolve_url(base: Column | str, reference: Column | str) -> Column:
+    """A reference resolved against a page's address by RFC 3986, section 5.2; null where the base has no host."""
+    b, r = _c(base), F.trim(_c(reference))
+    origin, path, query = url_origin(b), F.regexp_extract(b, _PARTS, 3), F.regexp_extract(b, r"(\?[^#]*)", 1)
+    own = F.regexp_extract(r, r"^([^?#]*)", 1)
+    rest = F.substring(r, F.length(own) + 1, F.length(r))
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+        .when(F.startswith(r, F.lit("//")), F.concat(F.regexp_extract(b, _PARTS, 1), F.lit(":"), r))
+        .when(own == "", F.concat(origin, path, F.when(F.startswith(rest, F.lit("?")), rest).otherwise(F.concat(query, rest))))
+        .when(F.startswith(own, F.lit("/")), F.concat(origin, fold_dots(own), rest))
+        .otherwise(F.concat(origin, fold_dots(F.concat(folder, own)), rest)))
+
+
 def url_path(col: Column | str) -> Column:
     return F.regexp_extract(_c(col), _PARTS, 3)
 

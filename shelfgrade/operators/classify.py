@@ -136,7 +136,7 @@ def url_type(
     query = F.when(F.contains(low, F.lit("?")), F.regexp_extract(low, r"\?([^?]*)", 1)).otherwise("")
     after_host = F.when(F.startswith(path, F.lit("http")), F.regexp_replace(path, r"^[^/]*//[^/]*/?", "")).otherwise(path)
     segments = F.transform(F.split(after_host, "/"), lambda s: F.replace(s, F.lit(".html"), F.lit("")))
-    words20 = (M.DOMAIN_WORDS[:20] if words is None else words)
+    words20 = M.URL_DOMAIN_WORDS if words is None else words
     strict = F.lit(False) if brand_pattern is None else _c(brand_pattern).isNotNull()
     own = F.lit(False) if brand_pattern is None else F.coalesce(F.regexp_like(low, _c(brand_pattern)), F.lit(False))
     trimmed = F.regexp_replace(low, "/+$", "")
@@ -150,7 +150,7 @@ def url_type(
         ends_cat = ends_cat | (F.contains(low, F.lit(c)) & F.endswith(trimmed, F.lit(c.rstrip("/"))))
     in_cat = T.contains_any(low, categories) & depth_ok & ~hinted
     word_forms = sorted({f for w in words20 for f in (w.replace(" ", "-"), w.replace(" ", ""))})
-    deep = F.filter(F.slice(F.split(path, "/"), F.lit(4), F.lit(1000)), lambda s: s != "")
+    deep = F.filter(F.slice(F.split(path, "/"), F.lit(4), F.greatest(F.size(F.split(path, "/")), F.lit(1))), lambda s: s != "")
     worded = T.contains_any(low, word_forms)
     return first_match(
         [
@@ -312,7 +312,7 @@ def safe_name(name: Column | str, type_words: str = M.NAME_TYPE_WORDS) -> Column
     return low.rlike("(^|[^0-9a-zà-ÿ_])(" + type_words + ")") & low.rlike(r"\d+\s*(ml|g|kg|l)($|[^0-9a-zà-ÿ_])")
 
 
-def non_domain_name(name: Column | str, words: list[str] = M.FOREIGN_WORDS) -> Column:
+def non_domain_name(name: Column | str, words: list[str] = M.NON_DOMAIN_PATTERNS) -> Column:
     return T.contains_any(F.lower(_c(name)), words)
 
 

@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..functions.lists import dedupe_ci, first_by
 from ..functions.text import _c, let
-from ..functions.urls import canonical_url, host_allowed, url_host, url_origin
+from ..functions.urls import canonical_url, host_allowed, resolve_url, url_host
 from ..vocab import market as M
 from . import classify as C
 
 _TAG = r"<(/?[a-zA-Z][a-zA-Z0-9-]*)([^>]*)>([^<]*)"
 HEADINGS = ["h2", "h3", "h4", "button", "strong", "b", "span", "label"]
 
+#: Headings that are also used inside running text.
+INLINE = ["button", "strong", "b", "span", "label"]
+
 LabelMap = list[tuple[str, list[str]]]
 
 
@@ -145,7 +148,11 @@ def _kept(found: Column) -> Column:
 
 
 def heading_section_array(toks: Column, labels: LabelMap, headings: list[str] = HEADINGS) -> Column:
-    """Labelled sections of a token array: the text between a labelled heading and the next heading."""
+    """Labelled sections of a token array.
+
+    A section runs from a labelled heading to the next heading of block kind or the next labelled one of any kind. Other
+    inline elements, such as words in bold, are part of the text.
+    """
     def cut(heads: Column) -> Column:
         marked = F.transform(heads, lambda h, i: F.struct(
             h["pos"].alias("pos"), h["tag"].alias("tag"), h["text"].alias("label"),
@@ -158,7 +165,8 @@ def heading_section_array(toks: Column, labels: LabelMap, headings: list[str] =
         return F.transform(F.filter(marked, lambda m: m["field"].isNotNull()), lambda m: F.struct(
             m["pos"].alias("pos"), m["tag"].alias("tag"), m["field"].alias("field"), text(m).alias("content"), m["label"].alias("source_label")))
 
-    heads = F.filter(toks, lambda t: t["tag"].isin(headings) & (t["text"] != ""))
+    block = [h for h in headings if h not in INLINE]
+    heads = F.filter(toks, lambda t: t["tag"].isin(headings) & (t["text"] != "") & (t["tag"].isin(block) | label_of(t["text"], labels).isNotNull()))
     return _kept(let(heads, cut))
 
 
@@ -354,14 +362,7 @@ def page_links(pages: DataFrame, domains: list[str] | None = None, key: str = "p
     raw = F.regexp_extract_all(without_scripts(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
     d = pages.select(key, url, F.explode(F.array_distinct(raw)).alias("href")).filter(
         (F.col("href") != "") & ~F.col("href").rlike(r"(?i)^(#|mailto:|tel:|javascript:)"))
-    scheme = F.regexp_extract(F.col(url), r"^([a-z]+):", 1)
-    folder = F.regexp_replace(F.substring_index(F.substring_index(F.col(url), "#", 1), "?", 1), "[^/]*$", "")
-    full = (
-        F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href"))
-        .when(F.startswith("href", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("href")))
-        .when(F.startswith("href", F.lit("/")), F.concat(url_origin(url), F.col("href")))
-        .otherwise(F.concat(folder, F.col("href"))))
-    links = d.select(key, canonical_url(full).alias("link")).filter(F.col("link").isNotNull())
+    links = d.select(key, canonical_url(resolve_url(F.col(url), F.col("href"))).alias("link")).filter(F.col("link").isNotNull())
     if domains is not None:
         links = links.filter(host_allowed("link", domains))
     return links.distinct()

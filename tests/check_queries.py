@@ -21,7 +21,7 @@ def main() -> int:
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     con = connect(sf)
     qs, sql = entry.queries(), entry.oracle_sql()
-    names = [n for n in qs if not args or any(a in n or entry.base.QUERIES[n].__module__.endswith('.' + a) for a in args)]
+    names = [n for n in qs if not args or any(a in n or getattr(entry.base.QUERIES.get(n), '__module__', '').endswith('.' + a) for a in args)]
     bad = 0
     for n in names:
         start = time.time()
