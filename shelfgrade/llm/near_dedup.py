@@ -70,27 +70,40 @@ def registers(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Joint likelihood estimate of the Jaccard similarity of register rows, given the set sizes.
+def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    larger, smaller = (a > b).sum(axis=-1).astype(float), (a < b).sum(axis=-1).astype(float)
+    return a.shape[-1] - larger - smaller, larger, smaller
+
+
+def _slope(j, equal, larger, smaller, u, v):
+    """Derivative of the log-likelihood at similarity ``j``.
 
     With u and v the shares of the two sizes, a register of the first set is larger with probability p(u - v J),
-    smaller with p(v - u J) and equal otherwise, where p(x) = -log_b(1 - x (b - 1) / b). Near base 1 p is the identity
-    to within a thousandth, and the likelihood over J is concave; its maximum is found by bisection of the derivative.
+    smaller with p(v - u J) and equal otherwise, where p(x) = -log_b(1 - x (b - 1) / b). For the base used here p is the identity
+    to within a thousandth, so equal has probability J. The likelihood is concave in J.
     """
-    larger, smaller = (a > b).sum(axis=-1).astype(float), (a < b).sum(axis=-1).astype(float)
-    equal = a.shape[-1] - larger - smaller
-    u = na / (na + nb)
+    return equal / np.maximum(j, 1e-9) - larger * v / np.maximum(u - v * j, 1e-9) - smaller * u / np.maximum(v - u * j, 1e-9)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Joint likelihood estimate of the Jaccard similarity of register rows, given the set sizes."""
+    counts, u = _counts(a, b), na / (na + nb)
     v = 1 - u
-    top = np.minimum(u / v, v / u)
-    lo, hi = np.zeros_like(u), top.copy()
+    lo, hi = np.zeros_like(u), np.minimum(u / v, v / u)
     for _ in range(20):
         j = (lo + hi) / 2
-        # equal: 1 - (u - vJ) - (v - uJ) = J
-        slope = equal / np.maximum(j, 1e-9) - larger * v / np.maximum(u - v * j, 1e-9) - smaller * u / np.maximum(v - u * j, 1e-9)
-        lo, hi = np.where(slope > 0, j, lo), np.where(slope > 0, hi, j)
+        up = _slope(j, *counts, u, v) > 0
+        lo, hi = np.where(up, j, lo), np.where(up, hi, j)
     return (lo + hi) / 2
 
 
+def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Is the estimate at least ``least``? As the likelihood is concave, its slope there says so."""
+    u = na / (na + nb)
+    v = 1 - u
+    return (np.minimum(u / v, v / u) >= least) & (_slope(least, *_counts(a, b), u, v) >= 0)
+
+
 def _fingerprints(n: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -118,9 +131,6 @@ def _joined(label: np.ndarray, a: int, b: int) -> None:
 def _likely(threshold: float):
     """Two blocks of one band group: a forest of pairs whose estimate is high enough to look at the texts."""
     least = _floor(threshold)
-    # No pair with fewer equal registers has such an estimate: the estimate is at most 1.25 times their share near base 1.
-    equal = int(least * M / 1.25)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(pdf)
         both = left if same else pd.concat([left, right])
@@ -131,13 +141,10 @@ def _likely(threshold: float):
             at = np.flatnonzero(label != label[k])
             at = at[at > k] if same else at[at >= len(left)]
             at = at[np.minimum(n[at], n[k]) >= (threshold - 1e-9) * np.maximum(n[at], n[k])]
-            at = at[(s[at] == s[k]).sum(axis=1) >= equal]
-            if len(at):
-                e = estimate(np.broadcast_to(s[k], (len(at), M)), s[at], np.full(len(at), n[k]), n[at])
-                for j in at[e >= least]:
-                    if label[j] != label[k]:
-                        _joined(label, k, j)
-                        links.append((rep[k], rep[j]))
+            for j in at[reaches(s[k][None, :], s[at], n[k], n[at], least)]:
+                if label[j] != label[k]:
+                    _joined(label, k, j)
+                    links.append((rep[k], rep[j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -160,18 +167,14 @@ def _linked(n: int, num: int, den: int):
         names, where = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
         label, links, mark = np.arange(len(rep)), [], np.zeros(len(names), np.int8)
         for k in range(len(left)):
-            at = np.flatnonzero(label != label[k])
-            at = at[at > k] if same else at[at >= len(left)]
-            at = at[den * np.minimum(sizes[at], sizes[k]) >= num * np.maximum(sizes[at], sizes[k])]
-            if not len(at):
+            first = k + 1 if same else len(left)
+            if not (label[first:] != label[k]).any():
                 continue
             own = where[ends[k]: ends[k + 1]]
             mark[own] = 1
-            for j in at:
-                if label[j] == label[k]:
-                    continue
-                inter = int(mark[where[ends[j]: ends[j + 1]]].sum(dtype=np.int64))
-                if den * inter >= num * (int(sizes[k] + sizes[j]) - inter):
+            inter = np.add.reduceat(mark[where[ends[first]:]], ends[first:-1] - ends[first], dtype=np.int64)
+            for j in first + np.flatnonzero(den * inter >= num * (sizes[k] + sizes[first:] - inter)):
+                if label[j] != label[k]:
                     _joined(label, k, j)
                     links.append((rep[k], rep[j]))
             mark[own] = 0
