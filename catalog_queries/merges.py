@@ -344,11 +344,16 @@ def quarantine_backlog(t):
     return J.quarantine_backlog(products(t), "product_name", "product_url", v)[1].select("product_id", "rejection_reason", "rejection_code")
 
 
-@query("gap_filled", f"""WITH {DESCRIBED_SQL}, f AS (SELECT product_id, coalesce(size_volume, nullif(trim(regexp_extract(product_name, '(?i)(\\d+(?:[.,]\\d+)?\\s*(?:ml|g|kg|lt|l|oz))\\b', 1)), ''), nullif(trim(regexp_extract(coalesce(description, ''), '(?i)(\\d+(?:[.,]\\d+)?\\s*(?:ml|g|kg|lt|l|oz))\\b', 1)), '')) AS v,
- coalesce(product_category, CASE WHEN contains(product_name, 'widget') THEN 'w' WHEN contains(product_name, 'ring') THEN 'r' END) AS c FROM products) SELECT product_id, coalesce(v, '-') AS volume, coalesce(c, '-') AS category FROM f""")
+_VOLUME = r"(?i)(\d+(?:[.,]\d+)?\s*(?:ml|g|kg|lt|l|oz))\b"
+
+
+@query("gap_filled", f"""WITH {DESCRIBED_SQL}, e AS (SELECT l_partkey AS pid, CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' ml' AS txt, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC) AS rn FROM lineitem),
+d AS (SELECT p.*, coalesce(CASE WHEN coalesce(trim(description), '') = '' THEN txt END, description) AS filled FROM products p LEFT JOIN e ON pid = product_id AND rn = 1),
+f AS (SELECT product_id, coalesce(size_volume, nullif(trim(regexp_extract(product_name, '{_VOLUME}', 1)), ''), nullif(trim(regexp_extract(coalesce(filled, ''), '{_VOLUME}', 1)), '')) AS v,
+ coalesce(product_category, CASE WHEN contains(product_name, 'widget') THEN 'w' WHEN contains(product_name, 'ring') THEN 'r' END) AS c FROM d) SELECT product_id, coalesce(v, '-') AS volume, coalesce(c, '-') AS category FROM f""")
 def gap_filled(t):
     p = products(t, True).withColumn("image_urls_gallery", F.array(F.lit("g")))
-    ev = t.lineitem.filter("l_quantity > 60").selectExpr("l_partkey AS product_id", "l_returnflag AS raw_source_text", "l_shipdate AS extracted_at", "l_orderkey AS evidence_id")
+    ev = t.lineitem.selectExpr("l_partkey AS product_id", "CAST(CAST(l_quantity AS INT) AS STRING) || ' ml' AS raw_source_text", "l_shipdate AS extracted_at", "l_orderkey * 10 + l_linenumber AS evidence_id")
     im = t.lineitem.selectExpr("l_partkey AS product_id", "l_returnflag AS url", "l_linenumber AS position")
     d = J.gap_fill(p, ev, im, {"ring": "r", "widget": "w"})
     return d.select("product_id", F.coalesce("size_volume", F.lit("-")).alias("volume"), F.coalesce("product_category", F.lit("-")).alias("category"))

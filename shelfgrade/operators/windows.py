@@ -74,11 +74,11 @@ def numbered(df: DataFrame, key: str, order: Sequence[Column], coarse: Column, h
 def previous_value(
     df: DataFrame, keys: Sequence[str], order: str, chunk: Column, value: str, out: str
 ) -> DataFrame:
-    """``lag(value)`` per key across chunks of the ordering column."""
+    """``lag(value)`` per key across chunks of the ordering column; equal places go by value, so that reruns agree."""
     d = df.withColumn("_chunk", chunk)
-    ends = d.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_last"))
+    ends = d.groupBy(*keys, "_chunk").agg(F.max_by(value, F.struct(order, value)).alias("_last"))
     carried = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
-    w = W.partitionBy(*keys, "_chunk").orderBy(order)
+    w = W.partitionBy(*keys, "_chunk").orderBy(order, value)
     inner = d.withColumns({"_prev": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
     return (
         inner.join(carried, [*keys, "_chunk"], "left")

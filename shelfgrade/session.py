@@ -1,10 +1,15 @@
 """Session settings shared by jobs, tests and the bench."""
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,18 +33,22 @@ def build_session(app: str = "shelfgrade", master: str | None = None, **extra: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, for streaming checkpoints and written tables.
+def ship(spark: SparkSession, root: Path = Path(__file__).resolve().parents[1]) -> None:
+    """Put this repository's packages on the workers, once per application.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a temporary folder is made and recorded on the session.
+    Not needed where they are installed (``pip install .``) or on ``PYTHONPATH``, which workers inherit.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    made = tempfile.mkdtemp(prefix="shelfgrade-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="shelfgrade-")) / "shelfgrade_packages.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for package in ("shelfgrade", "catalog_queries"):
+            for file in sorted((root / package).rglob("*.py")):
+                z.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))

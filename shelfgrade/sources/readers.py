@@ -72,9 +72,14 @@ def sitemap_to_urls(docs: DataFrame, url: str = "url", xml: str = "xml", depth:
     return out.select("sitemap", T.decode_entities("page_url").alias("page_url")).distinct()
 
 
+def _yaml(spark: SparkSession, path: str | Path) -> dict:
+    """A configuration file, read through Spark so that shared storage works."""
+    return yaml.safe_load("\n".join(r["value"] for r in spark.read.text(str(path), wholetext=True).collect())) or {}
+
+
 def load_vocab(path: str | Path, keys: tuple[str, ...] = ("keywords", "keywords_pt", "keywords_en")) -> list[tuple[str, list[str]]]:
     """Ordered (label, words) rules of a vocabulary file; order of the file is the rank."""
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    data = _yaml(SparkSession.active(), path)
     data = data.get("seals", data)
     return [(label, [str(w).lower() for k in keys for w in (entry.get(k) or [])]) for label, entry in data.items()]
 
@@ -85,7 +90,7 @@ def vocab_table(spark: SparkSession, rules: list[tuple[str, list[str]]]) -> Data
 
 
 def load_allergens(path: str | Path) -> list[tuple[str, str, list[str]]]:
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    data = _yaml(SparkSession.active(), path)
     return [(cls, cfg.get("severity", "info"), [str(n) for n in cfg.get("names") or []]) for cls, cfg in data.items()]
 
 
@@ -116,12 +121,13 @@ def load_recipes(spark: SparkSession, folder: str | Path) -> DataFrame:
         return [s for s in (x or []) if isinstance(s, str)]
 
     rows = []
-    for f in sorted(Path(folder).glob("*.y*ml")):
-        r = yaml.safe_load(f.read_text(encoding="utf-8")) or {}
+    files = spark.read.text(f"{folder}/*.y*ml", wholetext=True).select(F.input_file_name().alias("path"), "value")
+    for path, text in sorted(map(tuple, files.collect())):
+        r = yaml.safe_load(text) or {}
         d, e = r.get("discovery") or {}, r.get("extraction") or {}
         labels = {k: strings((v or {}).get("labels")) for k, v in (e.get("section_label_map") or {}).items()}
         rows.append((
-            r.get("brand_slug", f.stem), strings(r.get("allowed_domains")), strings(r.get("entrypoints")),
+            r.get("brand_slug", Path(path).stem), strings(r.get("allowed_domains")), strings(r.get("entrypoints")),
             (strings(d.get("sitemap_urls")), d.get("product_url_pattern"), d.get("max_pages"), strings(d.get("url_blocklist"))),
             (*[strings(e.get(k)) for k in ("name_selectors", "inci_selectors", "image_selectors", "price_selectors", "description_selectors")], labels)))
     return spark.createDataFrame(rows, RECIPE)

@@ -68,8 +68,9 @@ def _accept(limit: int, seconds: int, stamps: list[int], times: list[int]) -> tu
 def accepted_rate_limit(events: DataFrame, user: str, ts: str, ident: str, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """(ident, accepted) per event; state per user is at most ``limit`` times, dropped after inactivity.
 
-    Order inside one trigger is by event time. The definition is sequential per user, so a user's events
-    run in one task; they stream through it in Arrow batches with bounded state.
+    Order inside one trigger is by event time, however many Arrow batches the user's events come in; across triggers it is
+    the order of arrival. The definition is sequential per user, so a user's events of one trigger meet in
+    one task; limit the trigger (``maxFilesPerTrigger``) to bound them.
     """
     types = dict(events.dtypes)
     d = events.withWatermark(ts, late).select(user, ident, F.col(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
@@ -79,10 +80,9 @@ def accepted_rate_limit(events: DataFrame, user: str, ts: str, ident: str, limit
             state.remove()
             return
         stamps = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(["_us", ident])
-            stamps, flags = _accept(limit, seconds, stamps, pdf["_us"].tolist())
-            yield pd.DataFrame({user: [key[0]] * len(pdf), ident: pdf[ident].tolist(), "accepted": flags})
+        pdf = pd.concat(list(frames)).sort_values(["_us", ident])
+        stamps, flags = _accept(limit, seconds, stamps, pdf["_us"].tolist())
+        yield pd.DataFrame({user: [key[0]] * len(pdf), ident: pdf[ident].tolist(), "accepted": flags})
         state.update((stamps,))
         newest = (max(stamps) // 1000 if stamps else 0) + seconds * 1000
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
@@ -93,19 +93,21 @@ def accepted_rate_limit(events: DataFrame, user: str, ts: str, ident: str, limit
 
 
 def circuit_breaker(rows: DataFrame, brand: str, ident: str, failed: str, min_rows: int = 5, threshold: float = 0.50) -> DataFrame:
-    """(brand, ident, kept): rows stop being kept once the running failed share trips; state is three numbers."""
+    """(brand, ident, kept): rows stop being kept once the running failed share trips; state is three numbers.
+
+    A brand's rows of one trigger are taken in the order of ``ident``, across Arrow batches.
+    """
     types = dict(rows.dtypes)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, bad, open_ = state.get if state.exists else (0, 0, True)
-        for pdf in frames:
-            kept = []
-            for f in pdf.sort_values(ident)[failed].tolist():
-                kept.append(bool(open_))
-                if open_:
-                    n, bad = n + 1, bad + int(bool(f))
-                    open_ = not (n >= min_rows and bad / n > threshold)
-            yield pd.DataFrame({brand: [key[0]] * len(pdf), ident: sorted(pdf[ident].tolist()), "kept": kept})
+        pdf, kept = pd.concat(list(frames)).sort_values(ident), []
+        for f in pdf[failed].tolist():
+            kept.append(bool(open_))
+            if open_:
+                n, bad = n + 1, bad + int(bool(f))
+                open_ = not (n >= min_rows and bad / n > threshold)
+        yield pd.DataFrame({brand: [key[0]] * len(pdf), ident: pdf[ident].tolist(), "kept": kept})
         state.update((int(n), int(bad), bool(open_)))
 
     return rows.select(brand, ident, failed).groupBy(brand).applyInPandasWithState(
