@@ -8,6 +8,8 @@ from shelfgrade.functions import text as T
 from shelfgrade.operators import classify as C
 from shelfgrade.operators import reports as R
 
+from shelfgrade.vocab import market as M
+
 from . import sqlx as X
 from .base import DOCS_SQL, PRODUCTS_SQL, docs, products, query
 
@@ -394,3 +396,32 @@ def brand_name_only(t):
 def keyword_categories(t):
     c = C.category_by_keyword("product_name", {"ring": "r", "widget": "w", "small": "s", "small ring": "x"})
     return products(t).select("product_id", F.coalesce(c, F.lit("?")).alias("category"))
+
+
+# --- the default vocabularies, over texts made of the tables and the words themselves ------------------
+
+_NAMES = sorted({*M.PREFERRED_NAMES, *M.PREFERRED_NAMES.values(), "Behentrimonium Methosulfate", "Isopropyl Myristate", "Salicylic Acid", "Methylparaben", "Parabenol X", "Stearic Acid",
+                 "Magnesium Chloride", "Cetearyl Glucoside", "PEG-40 Hydrogenated Castor Oil", "PEG-90M", "CI 77491", "Aloe Extract", "Sodium Laureth Sulfate", "Cocos Nucifera Oil", "Kaolin Clay"})
+_Q = lambda x: x.replace("'", "''")
+
+
+@query("default_ingredient_categories", f"""WITH w AS (SELECT [{', '.join(f"'{_Q(n)}'" for n in _NAMES)}] AS ws),
+n AS (SELECT p_partkey, CASE WHEN p_size > 45 THEN p_name ELSE ws[p_partkey % {len(_NAMES)} + 1] END AS name FROM part, w), f AS (SELECT *, lower(strip_accents(name)) AS x FROM n)
+SELECT p_partkey, name, CASE {' '.join(f"WHEN regexp_matches(x, '{_Q('|'.join(f'(?:{p})' for p in ps))}') THEN '{c}'" for c, ps in M.INGREDIENT_CATEGORIES)} ELSE '?' END AS ingredient_category FROM f""")
+def default_ingredient_categories(t):
+    words = F.array(*[F.lit(n) for n in _NAMES])
+    d = t.part.select("p_partkey", F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(F.get(words, (F.col("p_partkey") % len(_NAMES)).cast("int"))).alias("name"))
+    return C.ingredient_category(d, "name").select("p_partkey", "name", F.coalesce("ingredient_category", F.lit("?")).alias("ingredient_category"))
+
+
+_PHRASES = [(seal, i, w) for seal, ws in M.SEALS for i, w in enumerate(ws)]
+
+
+@query("default_seals", f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {i}, '{w}')" for s, i, w in _PHRASES)}) AS x(seal, kr, word)),
+ws AS (SELECT [{', '.join(f"'{w}'" for _, _, w in _PHRASES)}] AS ws), d AS (SELECT p_partkey, p_name || ' ' || ws[p_partkey % {len(_PHRASES)} + 1] || ', ' || p_brand AS s FROM part, ws),
+h AS (SELECT p_partkey, seal, word, kr FROM d JOIN v ON regexp_matches(lower(s), '(^|[^0-9a-z_À-ÖØ-öø-ÿ])(' || word || ')($|[^0-9a-z_À-ÖØ-öø-ÿ])')),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, seal ORDER BY kr) AS rn FROM h) SELECT p_partkey, seal, word AS keyword FROM r WHERE rn = 1""")
+def default_seals(t):
+    words = F.array(*[F.lit(w) for _, _, w in _PHRASES])
+    d = t.part.select("p_partkey", F.concat("p_name", F.lit(" "), F.get(words, (F.col("p_partkey") % len(_PHRASES)).cast("int")), F.lit(", "), "p_brand").alias("s"))
+    return C.detect_seals(d, "p_partkey", ["s"]).select("p_partkey", "seal", "keyword")

@@ -124,3 +124,15 @@ def test_brand_tier_order(spark):
     c = F.col
     got = [r["t"] for r in df.select(C.brand_tier(c("s"), c("site"), c("code"), c("len"), c("b"), c("p"), c("m"), c("f")).alias("t")).collect()]
     assert got == ["tier_skip", "tier_4_no_site", "tier_5_waf", "tier_2_check", "tier_1_easy", "tier_3_custom"]
+
+
+def test_full_vocabularies(spark):
+    """Entries that a shortened list would miss."""
+    names = {"linalool": "fragrance_allergen", "Silica": "absorbent", "Behentrimonium Methosulfate": "surfactant_cationic", "isopropyl myristate": "emollient_synthetic",
+             "Ácido Salicílico": "exfoliant", "parabenol": None, "caprylic/capric triglyceride": "emulsifier"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: r["ingredient_category"] for r in C.ingredient_category(rows, "name").collect()}
+    assert got == names
+    foreign = spark.createDataFrame([("Ice Mist fios",), ("Quem disse, berenice cabelo",), ("Shampoo para cabelo",)], "name string")
+    v = C.domain_relevance("name", F.lit(None).cast("string"), None)
+    assert [r["ok"] for r in foreign.select(v["relevant"].alias("ok")).collect()] == [False, False, True]
