@@ -128,28 +128,72 @@ def _joined(label: np.ndarray, a: int, b: int) -> None:
     label[label == label[b]] = label[a]
 
 
+#: Groups up to this size are compared all at once, many groups together.
+SMALL = 8
+
+
 def _likely(threshold: float):
-    """Two blocks of one band group: a forest of pairs whose estimate is high enough to look at the texts."""
+    """Sorted rows of many block pairs of band groups: per block pair links whose estimate is high enough to look at the texts.
+
+    A stream of batches: only the rows of one block pair are carried over. Of a large block pair a forest is emitted, of
+    a small one all its at most 28 pairs that pass.
+    """
     least = _floor(threshold)
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _sides(pdf)
-        both = left if same else pd.concat([left, right])
-        s = np.frombuffer(b"".join(both["sketch"]), "<u2").reshape(-1, M)
-        n, rep = both["n"].to_numpy(float), both["rep"].to_numpy(np.int64)
-        label, links = np.arange(len(rep)), []
-        for k in range(len(left)):
-            at = np.flatnonzero(label != label[k])
-            at = at[at > k] if same else at[at >= len(left)]
-            at = at[np.minimum(n[at], n[k]) >= (threshold - 1e-9) * np.maximum(n[at], n[k])]
-            for j in at[reaches(s[k][None, :], s[at], n[k], n[at], least)]:
-                if label[j] != label[k]:
-                    _joined(label, k, j)
-                    links.append((rep[k], rep[j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    def near(x, y, s, n):
+        ok = np.minimum(n[x], n[y]) >= (threshold - 1e-9) * np.maximum(n[x], n[y])
+        x, y = x[ok], y[ok]
+        fits = [reaches(s[x[k: k + 4096]], s[y[k: k + 4096]], n[x[k: k + 4096]], n[y[k: k + 4096]], least) for k in range(0, len(x), 4096)]
+        ok = np.concatenate(fits) if fits else np.empty(0, bool)
+        return x[ok], y[ok]
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, M)
+        n, rep, side = pdf["n"].to_numpy(float), pdf["rep"].to_numpy(np.int64), pdf["side"].to_numpy()
+        same = (pdf["i"] == pdf["j"]).to_numpy()
+        start = _starts(pdf)
+        size = np.diff(np.concatenate([start, [len(pdf)]]))
+        out = []
+        for k in range(2, SMALL + 1):
+            first = start[size == k]
+            x, y = np.triu_indices(k, 1)
+            x, y = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+            ok = same[x] | (side[x] != side[y])
+            out.append(near(x[ok], y[ok], s, n))
+        for at, k in zip(start[size > SMALL], size[size > SMALL]):
+            rows = np.arange(at, at + k)
+            label, left = np.arange(k), np.flatnonzero(side[rows] == 0)
+            for a in left:
+                others = np.flatnonzero((label != label[a]) & ((np.arange(k) > a) if same[at] else (side[rows] == 1)))
+                for b in near(np.full(len(others), at + a), at + others, s, n)[1] - at:
+                    if label[a] != label[b]:
+                        _joined(label, a, b)
+                        out.append((np.array([at + a]), np.array([at + b])))
+        x, y = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+        return pd.DataFrame({"a": rep[x], "b": rep[y]})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in it:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*held, pdf], ignore_index=True)
+            last = int(_starts(pdf)[-1])
+            if last:
+                yield links(pdf.iloc[:last])
+            held = [pdf.iloc[last:]]
+        if held:
+            yield links(held[0].reset_index(drop=True))
 
     return run
 
 
+def _starts(pdf: pd.DataFrame) -> np.ndarray:
+    """First rows of the runs of equal ``(band, i, j)``."""
+    key = pdf[["band", "i", "j"]].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+
+
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
     left = pdf[pdf["side"] == 0]
@@ -206,7 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(M // ROWS)])).alias("band"))
     groups = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     dealt = _dealt(bands, "band", groups.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")))
-    likely = dealt.join(classes.select("rep", "n", "sketch"), "rep").groupBy("band", "i", "j").applyInPandas(_likely(threshold), "a long, b long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(classes.select("rep", "n", "sketch"), "rep").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    likely = met.mapInPandas(_likely(threshold), "a long, b long")
     clusters = cut(components(likely).select(F.col("node").alias("rep"), F.col("label").alias("cluster")))
     weights = clusters.join(classes.select("rep", "n"), "rep").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
     blocks = weights.select("cluster", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / SHINGLES)).alias("blocks"))
