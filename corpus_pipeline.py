@@ -17,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier knows; the others go."""
-    model = langid.train(docs)
+    model = langid.train(docs.select("text", "lang"))
+    ready(spark)
     return docs.withColumn("_found", langid.identify(F.col("text"), model)).filter("not _found.rejected").select(*COLUMNS)
 
 
@@ -40,6 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids, and whether they give the text back."""
+    ready(spark)
     coded = docs.withColumn("ids", sp.encode(F.col("text"), PIECES))
     return coded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
                         sp.decode(F.col("ids"), PIECES).eqNullSafe(F.col("text")).alias("round_trip"))

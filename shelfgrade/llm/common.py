@@ -15,12 +15,19 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch: rows hold whole texts here, and a worker holds a few batches at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder.
+    """The session with a checkpoint folder and Arrow batches of at most ``BATCH_ROWS`` texts.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only where that is unset
     (tests on one machine) a temporary one is taken.
     """
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="llm-")
