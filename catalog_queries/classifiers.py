@@ -81,7 +81,7 @@ def url_type_counts(t):
 _MARKS = [("feed", ["class=\"ad\"", "track\\(1"]), ("shop", ["therin", "<h1>the"]), ("blog", ["lang=\"es\"", "article"])]
 
 
-@query("platforms", """WITH h AS (SELECT page_id, lower(left(html, 30000)) AS s FROM pages)
+@query("platforms", """WITH h AS (SELECT page_id, lower(html) AS s FROM pages)
 SELECT page_id, CASE WHEN regexp_matches(s, 'track\\(1') THEN 'feed' WHEN regexp_matches(s, 'therin|<h1>the') THEN 'shop' WHEN regexp_matches(s, 'lang="es"|article') THEN 'blog' ELSE '?' END AS platform FROM h""")
 def platforms(t):
     marks = [("feed", [r"track\(1"]), *_MARKS[1:]]
@@ -95,7 +95,7 @@ def platform_votes(t):
     return t.pages.select("page_id", F.coalesce(C.platform_votes("html", _MARKS), F.lit("?")).alias("platform"))
 
 
-@query("blocked_pages", "SELECT page_id, contains(lower(left(html, 5000)), 'ungheit') OR contains(lower(left(html, 5000)), 'eauaux') AS blocked FROM pages")
+@query("blocked_pages", "SELECT page_id, contains(lower(html), 'ungheit') OR contains(lower(html), 'eauaux') AS blocked FROM pages")
 def blocked_pages(t):
     return t.pages.select("page_id", C.blocked_page("html", marks=["ungheit", "eauaux"]).alias("blocked"))
 

@@ -105,7 +105,7 @@ def page_titles(t):
     return t.pages.select("page_id", D.select_first("html", ["h1.product-name", "h1", ".product-title"]).alias("title"))
 
 
-@query("evidence_rows", """SELECT page_id, url AS source_url, 'page' AS field_name, left(html, 2000) AS raw_source_text FROM pages
+@query("evidence_rows", """SELECT page_id, url AS source_url, 'page' AS field_name, html AS raw_source_text FROM pages
 UNION ALL SELECT page_id, url, 'url', url FROM pages WHERE url LIKE '%.html'""")
 def evidence_rows(t):
     d = t.pages.withColumn("u", F.when(F.endswith("url", F.lit(".html")), F.col("url")))

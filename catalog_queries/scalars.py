@@ -25,7 +25,7 @@ _doc("norm_entry_text", T.norm_entry, f"trim(lower({X.collapse('strip_accents(te
 _doc("norm_label_text", T.norm_label, X.rep(f"lower({X.collapse('strip_accents(text)')})", r"^[^\w]+"))
 _doc("norm_ws_text", T.norm_ws, f"lower({X.collapse('text')})")
 _doc("alnum_key_text", T.alnum_key, X.rep("lower(strip_accents(text))", "[^a-z0-9]+"))
-_doc("slugify_text", T.slugify, "left(trim(" + X.rep("lower(strip_accents(text))", "[^a-z0-9]+", "-") + ", '-'), 80)")
+_doc("slugify_text", T.slugify, "trim(" + X.rep("lower(strip_accents(text))", "[^a-z0-9]+", "-") + ", '-')")
 _doc("clean_doc_text", T.clean_doc_text, X.trim(X.rep(X.rep(X.rep("text", r"\r\n?", "\n"), r"\n{3,}", "\n\n"), r"[ \t]+", " ")))
 _doc("query_hash_text", T.query_hash, f"sha256({X.trim('lower(text)')})")
 

@@ -52,7 +52,7 @@ def sitemap_urls(t):
     url = F.concat(F.lit("https://x/"), F.col("l_partkey").cast("string"), F.lit("?a=1&amp;b=2"))
     first = t.lineitem.filter("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("url"), F.concat(F.lit("<urlset><url><loc> "), url, F.lit(" </loc></url></urlset>")).alias("xml"))
     index = t.orders.select(F.concat(F.lit("i"), F.col("o_custkey").cast("string")).alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>s"), F.col("o_orderkey").cast("string"), F.lit("</loc></sitemap></sitemapindex>")).alias("xml"))
-    return A.sitemap_to_urls(first.unionByName(index), depth=1)
+    return A.sitemap_to_urls(first.unionByName(index))
 
 
 @query("vocabulary_table", "SELECT p_partkey, i - 1 AS rank, string_split(p_name, ' ')[i] AS keyword FROM (SELECT p_partkey, p_name, unnest([1, 2]) AS i FROM part)")
@@ -72,7 +72,7 @@ def rule_rows(t):
     return A.load_rules(t.part.select(text.alias("j")), "j").groupBy("category", "hair_type", "score", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("export_rows", P + "SELECT product_id, brand_slug, coalesce(price, -1) AS price, '[\"' || product_name || '\"]' AS items FROM products ORDER BY product_id LIMIT 10000")
+@query("export_rows", P + "SELECT product_id, brand_slug, coalesce(price, -1) AS price, '[\"' || product_name || '\"]' AS items FROM products")
 def export_rows(t):
     p = products(t).withColumns({"items": F.array("product_name"), "price": F.coalesce("price", F.lit(-1.0))})
     return O.export_products(p, "product_id", ["product_id", "brand_slug", "price", "items"])

@@ -81,9 +81,15 @@ def alnum_key(col: Column | str) -> Column:
     return F.regexp_replace(F.lower(strip_accents(F.coalesce(_c(col), F.lit("")))), "[^a-z0-9]+", "")
 
 
-def slugify(col: Column | str, limit: int = 80) -> Column:
+def head(col: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters; the whole text without a limit."""
+    return col if limit is None else F.left(col, F.lit(limit))
+
+
+def slugify(col: Column | str, limit: int | None = None) -> Column:
+    """Lower-case words joined by dashes. With a ``limit``, long names may share a slug."""
     dashed = F.regexp_replace(F.lower(strip_accents(col)), "[^a-z0-9]+", "-")
-    return F.substring(F.btrim(dashed, F.lit("-")), 1, limit)
+    return head(F.btrim(dashed, F.lit("-")), limit)
 
 
 _UNITS = "(ml|g|kg|l|oz|lt)"

@@ -171,10 +171,9 @@ def url_type(
     )
 
 
-def platform(text: Column | str, server: Column | str | None = None, marks: Rules = M.PLATFORM_MARKS) -> Column:
-    """First platform with a signature in the first 30 000 characters, then the server header."""
-    head = F.lower(F.left(_c(text), F.lit(30000)))
-    found = by_pattern(head, marks)
+def platform(text: Column | str, server: Column | str | None = None, marks: Rules = M.PLATFORM_MARKS, limit: int | None = None) -> Column:
+    """First platform with a signature in the page (its first ``limit`` characters, if given), then the server header."""
+    found = by_pattern(F.lower(T.head(_c(text), limit)), marks)
     if server is None:
         return found
     return F.coalesce(found, F.when(F.contains(F.lower(_c(server)), F.lit("shopify")), F.lit("shopify")))
@@ -198,8 +197,9 @@ def platform_votes(text: Column | str, marks: Rules = M.PLATFORM_MARKS) -> Colum
     return F.when(best["hits"] > 0, best["label"])
 
 
-def blocked_page(html: Column | str, status: Column | str | None = None, marks: list[str] = M.CHALLENGE_MARKS) -> Column:
-    hit = T.contains_any(F.lower(F.left(_c(html), F.lit(5000))), marks)
+def blocked_page(html: Column | str, status: Column | str | None = None, marks: list[str] = M.CHALLENGE_MARKS, limit: int | None = None) -> Column:
+    """A challenge page by its marks (in the first ``limit`` characters, if given) or its status."""
+    hit = T.contains_any(F.lower(T.head(_c(html), limit)), marks)
     return hit if status is None else hit | _c(status).isin(403, 429)
 
 

@@ -415,14 +415,17 @@ _FOOTER = (
     r"advert[eê]ncia|warnings|validade|reg\.\s*ms|sac|cnpj|fabricante)\b")
 
 
-def inline_list_block(text: Column | str) -> Column:
-    """The ingredient block behind an inline header, up to the next heading; null when implausible."""
+def inline_list_block(text: Column | str, limit: int | None = None) -> Column:
+    """The ingredient block behind an inline header, up to the next heading; null when implausible.
+
+    A ``limit`` cuts blocks that no heading ends.
+    """
     s = F.coalesce(_c(text), F.lit(""))
     head = r"(?is)(?:^|[^a-zA-ZÀ-ÿ])(?:composi[cç][aã]o(?:\s*\(inci\))?|ingredientes|ingredients|inci)\s*[:\-]\s*"
     tail = F.regexp_extract(s, head + "(.*)$", 1)
     block = F.regexp_extract(tail, rf"(?is)^(.*?)(?:{_FOOTER}|$)", 1)
     ended = F.lower(tail).rlike(f"(?is){_FOOTER}")
-    kept = F.when(ended, block).otherwise(F.left(block, F.lit(4000)))
+    kept = F.when(ended, block).otherwise(T.head(block, limit))
     neat = F.btrim(T.collapse_ws(F.regexp_replace(kept, "<[^>]+>", " ")), F.lit(" .;,"))
     return F.when((F.length(s) >= 30) & (F.length(neat) >= 30) & neat.rlike("[,;|·•]"), neat)
 
@@ -460,11 +463,11 @@ def product_id_from_html(html: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(_c(html), p, 1), F.lit("")) for p in pats])
 
 
-def evidence_rows(df: DataFrame, key: str, url: str, sources: list[tuple[str, str, str, str]], limit: int = 2000) -> DataFrame:
-    """One row per filled source column. ``sources``: (column, field, locator, method)."""
+def evidence_rows(df: DataFrame, key: str, url: str, sources: list[tuple[str, str, str, str]], limit: int | None = None) -> DataFrame:
+    """One row per filled source column, with its whole text or the first ``limit`` characters. ``sources``: (column, field, locator, method)."""
     entries = F.array(*[
         F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct(
             F.lit(f).alias("field_name"), F.lit(loc).alias("evidence_locator"),
-            F.left(F.col(c).cast("string"), F.lit(limit)).alias("raw_source_text"), F.lit(m).alias("extraction_method")))
+            T.head(F.col(c).cast("string"), limit).alias("raw_source_text"), F.lit(m).alias("extraction_method")))
         for c, f, loc, m in sources])
     return df.select(key, F.col(url).alias("source_url"), F.explode(F.array_compact(entries)).alias("e")).select(key, "source_url", "e.*")

@@ -52,11 +52,11 @@ def url_lines(df: DataFrame, col: str) -> DataFrame:
     return df.select(line.alias("url")).filter((F.col("url") != "") & ~F.startswith("url", F.lit("#")))
 
 
-def sitemap_to_urls(docs: DataFrame, url: str = "url", xml: str = "xml", depth: int = 3) -> DataFrame:
+def sitemap_to_urls(docs: DataFrame, url: str = "url", xml: str = "xml", depth: int | None = None) -> DataFrame:
     """(sitemap, page_url) of site maps and site-map indexes.
 
     ``docs`` holds every fetched file by its URL. An index points at other files; following it is a
-    self-join, repeated to ``depth`` levels. Malformed files give nothing.
+    self-join, repeated until nothing new is reached, or to ``depth`` levels. Malformed files give nothing.
     """
     entry = r"(?is)<{0}\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>.*?</{0}>"
     own = docs.select(F.col(url).alias("sitemap"), F.explode(
@@ -65,10 +65,16 @@ def sitemap_to_urls(docs: DataFrame, url: str = "url", xml: str = "xml", depth:
         F.regexp_extract_all(xml, F.lit(entry.format("sitemap")), F.lit(1))).alias("child"))
     links = links.select("parent", T.decode_entities("child").alias("child")).distinct()
     out, reach = own, links
-    for _ in range(depth):
+    seen, level = links, 0
+    while depth is None or level < depth:
+        if depth is None and reach.isEmpty():
+            break
+        level += 1
         out = out.unionByName(reach.join(own, reach["child"] == own["sitemap"]).select(F.col("parent").alias("sitemap"), "page_url"))
         nxt = links.select(F.col("parent").alias("child"), F.col("child").alias("_next"))
-        reach = reach.join(nxt, "child").select("parent", F.col("_next").alias("child")).distinct()
+        # Indexes may point in a circle: a pair is followed once.
+        reach = reach.join(nxt, "child").select("parent", F.col("_next").alias("child")).distinct().join(seen, ["parent", "child"], "left_anti")
+        seen = seen.union(reach)
     return out.select("sitemap", T.decode_entities("page_url").alias("page_url")).distinct()
 
 

@@ -20,9 +20,10 @@ def flat_lists(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c) for c in nested})
 
 
-def export_products(df: DataFrame, key: str, columns: Sequence[str], limit: int = 10_000) -> DataFrame:
-    """The export rows: fixed columns, key order, at most ``limit`` rows (the export's own page size)."""
-    return flat_lists(df.select(*columns)).orderBy(key).limit(limit)
+def export_products(df: DataFrame, key: str, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The export rows: fixed columns, key order; all of them, or one page of ``limit`` rows."""
+    rows = flat_lists(df.select(*columns)).orderBy(key)
+    return rows if limit is None else rows.limit(limit)
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:
