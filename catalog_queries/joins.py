@@ -33,7 +33,7 @@ def resolved_ingredients(t):
 
 
 def entries(t):
-    b = W.numbered(bridge(t), "product_id", [F.col("position"), F.col("ingredient_id"), F.col("tie")], F.col("position"))
+    b = W.numbered(bridge(t), "product_id", [F.col("position"), F.col("ingredient_id"), F.col("tie")], F.floor(F.col("position") / 1024))
     return b.join(ingredients(t), "ingredient_id", "left").select("product_id", "idx", "n", F.col("canonical_name").alias("name"), "category")
 
 

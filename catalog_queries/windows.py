@@ -88,7 +88,7 @@ SELECT o_orderkey, o_orderpriority, coalesce(b, 0) AS spent_before FROM s WHERE
 def budget_cut(t):
     work = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey")
     chunk = F.struct("o_orderpriority", F.floor(F.col("o_orderkey") / 4096).alias("b"))
-    return W.budget_cut(work, [F.col("o_orderpriority"), F.col("o_orderkey")], F.col("o_custkey"), 2_000_000, chunk).select(
+    return W.budget_cut(work, [F.col("o_orderpriority"), F.col("o_orderkey")], F.col("o_custkey"), 2_000_000, chunk, F.col("o_orderpriority")).select(
         "o_orderkey", "o_orderpriority", "spent_before")
 
 
@@ -102,7 +102,7 @@ def list_positions_deduped(t):
 @query("list_ranks", f"""WITH {BRIDGE_SQL} SELECT product_id, ingredient_id, CAST(count(*) OVER (PARTITION BY product_id) AS BIGINT) AS n,
  CAST(row_number() OVER (PARTITION BY product_id ORDER BY position, ingredient_id, tie) - 1 AS BIGINT) AS idx FROM bridge""")
 def list_ranks(t):
-    b = W.numbered(bridge(t), "product_id", [F.col("position"), F.col("ingredient_id"), F.col("tie")], F.col("position"), hot_rows=6)
+    b = W.numbered(bridge(t), "product_id", [F.col("position"), F.col("ingredient_id"), F.col("tie")], F.floor(F.col("position") / 4))
     return b.select("product_id", "ingredient_id", "n", F.col("idx").cast("long").alias("idx"))
 
 

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_ROWS = 200_000
+#: Chunks in a group of chunks, where one sequence runs over a whole table.
+FAN = 1024
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -35,40 +36,51 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def _offsets(pieces: DataFrame, keys: Sequence[str], chunk: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier chunks of each key."""
     w = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     return pieces.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0))).drop(value)
 
 
+def _global_offsets(pieces: DataFrame, chunk: str, value: str, out: str) -> DataFrame:
+    """The same over one sequence: the groups of chunks in ``_group`` run side by side, and only one row per group meets in one task."""
+    p = pieces
+    groups = _offsets(p.groupBy("_group").agg(F.sum(value).alias("_sum")), [], "_group", "_sum", "_earlier")
+    inner = _offsets(p, ["_group"], chunk, value, "_inner")
+    return inner.join(groups, "_group").withColumn(out, F.col("_earlier") + F.col("_inner")).drop("_group", "_earlier", "_inner")
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, value: Column, out: str,
-    include_current: bool = True,
+    include_current: bool = True, group: Column | None = None,
 ) -> DataFrame:
-    """Running total per key. ``chunk`` must not decrease along ``order``."""
+    """Running total per key, or over everything without keys. ``chunk`` must not decrease along ``order``.
+
+    Without keys, ``group`` cuts the chunks into groups and must not decrease either; by default ``FAN`` numbered chunks make one.
+    """
     d = df.withColumns({"_chunk": chunk, "_val": value})
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum("_val").alias("_tot"))
-    before = _offsets(totals, keys, "_chunk", "_tot", "_before")
+    if not keys:
+        d = d.withColumn("_group", F.floor(F.col("_chunk") / FAN) if group is None else group)
+    totals = d.groupBy(*keys or ["_group"], "_chunk").agg(F.sum("_val").alias("_tot"))
+    before = _offsets(totals, keys, "_chunk", "_tot", "_before") if keys else _global_offsets(totals, "_chunk", "_tot", "_before")
+    d = d if keys else d.drop("_group")
     w = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
     joined = d.join(before, [*keys, "_chunk"])
     total = F.coalesce(F.sum("_val").over(w), F.lit(0)) + F.col("_before")
     return joined.withColumn(out, total).drop("_chunk", "_val", "_before")
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[Column], coarse: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: Sequence[Column], coarse: Column) -> DataFrame:
     """Adds ``n`` (rows of the key) and ``idx`` (0-based rank under ``order``).
 
-    Ordinary keys are one piece. A key above ``hot_rows`` is cut by ``coarse`` (non-decreasing along
-    the order), so no task ranks an unbounded group.
+    Every key is cut by ``coarse`` (a whole number that does not decrease along the order; nulls first), so no task ranks
+    an unbounded group. One table of pieces gives both the key's size and the rows before a piece.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    d = df.join(sizes, key).withColumn("_chunk", F.when(F.col("n") > hot_rows, coarse).otherwise(F.lit(0)))
-    pieces = d.filter(F.col("n") > hot_rows).groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_tot"))
-    before = _offsets(pieces, [key], "_chunk", "_tot", "_before")
+    d = df.withColumn("_chunk", F.coalesce(coarse.cast("long"), F.lit(-(1 << 62))))
+    all_pieces, earlier = W.partitionBy(key), W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    pieces = d.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_tot"))
+    pieces = pieces.select(key, "_chunk", F.sum("_tot").over(all_pieces).alias("n"), F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_before"))
     w = W.partitionBy(key, "_chunk").orderBy(*order)
-    return (
-        d.join(before, [key, "_chunk"], "left")
-        .withColumn("idx", F.row_number().over(w) - 1 + F.coalesce("_before", F.lit(0)))
-        .drop("_chunk", "_before")
-    )
+    return d.join(pieces, [key, "_chunk"]).withColumn("idx", F.row_number().over(w) - 1 + F.col("_before")).drop("_chunk", "_before")
 
 
 def previous_value(
@@ -178,11 +190,10 @@ def rate_limit_flags(events: DataFrame, user: str, ts: str, limit: int, seconds:
     return trailing_count(events, [user], ts, seconds).withColumn("limited", F.col("in_window") > limit)
 
 
-def budget_cut(work: DataFrame, order: Sequence[Column], cost: Column, budget: int, chunk: Column) -> DataFrame:
-    """Work items whose start falls inside the global budget, in priority order."""
-    d = work.withColumn("_one", F.lit(1))
-    spent = running_sum(d, ["_one"], order, chunk, cost, "spent_before", include_current=False)
-    return spent.filter(F.col("spent_before") < budget).drop("_one")
+def budget_cut(work: DataFrame, order: Sequence[Column], cost: Column, budget: int, chunk: Column, group: Column | None = None) -> DataFrame:
+    """Work items whose start falls inside the global budget, in priority order; ``group`` as in ``running_sum``."""
+    spent = running_sum(work, [], order, chunk, cost, "spent_before", include_current=False, group=group)
+    return spent.filter(F.col("spent_before") < budget)
 
 
 def list_dedupe_positions(bridge: DataFrame, product: str, entity: str, position: str, raw: str) -> DataFrame:
@@ -192,12 +203,18 @@ def list_dedupe_positions(bridge: DataFrame, product: str, entity: str, position
 
 
 def fill_down(rows: DataFrame, order: str, value: str, chunk: Column) -> DataFrame:
-    """Carry the last non-null value down; chunks of the order column carry theirs over."""
+    """Carry the last non-null value down.
+
+    Chunks of the order column carry theirs over, within groups of ``FAN`` chunks and then from group to group.
+    """
     d = rows.withColumn("_chunk", chunk)
     ends = d.groupBy("_chunk").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
-    carried = ends.withColumn(
-        "_carried", F.last("_last", True).over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    ends = ends.withColumn("_group", F.floor(F.col("_chunk") / FAN))
+    groups = ends.groupBy("_group").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk"))).alias("_end"))
+    groups = groups.select("_group", F.last("_end", True).over(W.orderBy("_group").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    inner = F.last("_last", True).over(W.partitionBy("_group").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    carried = ends.withColumn("_inner", inner).join(groups, "_group").select("_chunk", F.coalesce("_inner", "_earlier").alias("_carried"))
     w = W.partitionBy("_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return (
         d.withColumn("_here", F.last(value, True).over(w)).join(carried, "_chunk", "left")

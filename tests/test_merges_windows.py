@@ -51,7 +51,7 @@ def test_hot_key_ranks_and_sums(spark):
         total[k] = total.get(k, 0) + v
         want[i] = (n.get(k, 0), total[k])
         n[k] = n.get(k, 0) + 1
-    ranks = {r["i"]: r["idx"] for r in W.numbered(df, "k", [F.col("i")], F.floor(F.col("i") / 100), hot_rows=500).collect()}
+    ranks = {r["i"]: r["idx"] for r in W.numbered(df, "k", [F.col("i")], F.floor(F.col("i") / 100)).collect()}
     sums = {r["i"]: r["s"] for r in W.running_sum(df, ["k"], [F.col("i")], F.floor(F.col("i") / 100), F.col("v"), "s").collect()}
     assert ranks == {i: w[0] for i, w in want.items()} and sums == {i: w[1] for i, w in want.items()}
 
