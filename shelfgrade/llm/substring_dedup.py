@@ -16,7 +16,7 @@ nothing is lost by looking only into the anchor's block.
 
 Scale: phrases are about ten times fewer than words; only those with a repeated anchor are looked at again. Counts are
 pre-aggregated, so a passage in a third of all documents is one row per task; joins back to its occurrences are plain equi-joins,
-which Spark splits when skewed. Texts are shuffled once.
+which Spark splits when skewed. Texts are shuffled once, compressed.
 
 Defined results: a null text has no words. Texts shorter than ``window`` words lose nothing. Repeated rows are documents of their own, so
 they lose whatever a window covers, in every copy. Rows with the same id are told apart by their text. Null ids are
@@ -24,6 +24,7 @@ allowed. Extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,14 @@ _VIEW = 1 << 18
 
 
 def _raw(text) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+    """UTF-8 of a text, or of a packed one."""
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else zlib.decompress(text) if isinstance(text, bytes) else b""
+
+
+def _pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed one by one: they are most of what is shuffled."""
+    for pdf in it:
+        yield pdf.assign(text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if isinstance(t, str) else None for t in pdf["text"]])
 
 
 def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +141,10 @@ def parse(found: list, window: int) -> list[tuple[int, int, int | None, int | No
     return [(s, n + window - 1, d, a) for s, n, d, a in out]
 
 
+def _same(it):
+    yield from it
+
+
 def _parsed(window: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -165,12 +177,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut_up = base.filter("text is not null").mapInPandas(_anchors(window), "doc long, anchor long, start int")
     repeated = cut_up.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
     wanted = cut_up.join(repeated, "anchor", "left_semi").groupBy(F.col("doc").alias("wdoc")).agg(F.collect_set("start").alias("want"))
-    rows = base.join(wanted, F.col("doc").eqNullSafe(F.col("wdoc"))).select("doc", F.xxhash64("text").alias("own"), "text", "want")
+    packed = base.select("doc", F.xxhash64("text").alias("own"), "text").mapInPandas(_pack, "doc long, own long, text binary")
+    rows = packed.join(wanted, F.col("doc").eqNullSafe(F.col("wdoc"))).select("doc", "own", "text", "want")
     kind = "doc long, own long, anchor long, phrase long, start int, size int"
     every = rows.mapInPandas(_looked_up(window, True), kind + ", windows array<long>")
-    # One struct, so that both readers below need the same aggregate and share its exchange.
+    # Handing the rows on as they are keeps Spark from pruning the aggregate in two ways: both readers below share its exchange.
     block = every.groupBy("anchor", "phrase").agg(F.struct(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("ref"), F.max(F.struct("doc", "start")).alias("last"), F.first("windows").alias("windows")).alias("b"))
+    block = block.mapInArrow(_same, block.schema)
     # Windows, for the phrases that are not repeated as a whole. Those that are count with their windows, too.
     single = block.select("anchor", "phrase", F.col("b.times").alias("times"), F.posexplode("b.windows").alias("offset", "window"))
     known = single.groupBy("anchor", "window").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor", "window")
@@ -184,5 +198,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.mapInPandas(_looked_up(window, False), kind).join(answers, ["anchor", "phrase"]).select("doc", F.struct(
         "own", "start", "size", "mask", ref["doc"].alias("ref_doc"), ref["start"].alias("ref_start")).alias("x"))
     found = found.groupBy(F.col("doc").alias("fdoc")).agg(F.collect_set("x").alias("found"))
-    final = base.join(found, F.col("doc").eqNullSafe(F.col("fdoc")), "left").select("doc", F.xxhash64("text").alias("own"), "text", "found")
+    final = packed.join(found, F.col("doc").eqNullSafe(F.col("fdoc")), "left").select("doc", "own", "text", "found")
     return final.mapInPandas(_parsed(window), "doc long, n_words long, n_removed long, kept_text string, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>")
