@@ -42,9 +42,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids, and whether they give the text back."""
     ready(spark)
-    coded = docs.withColumn("ids", sp.encode(F.col("text"), PIECES))
-    return coded.select("doc_id", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
-                        sp.decode(F.col("ids"), PIECES).eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", "source", sp.encode_checked(F.col("text"), PIECES).alias("x"))
+    return coded.select("doc_id", "source", F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("x.ids").alias("ids"),
+                        F.col("x.round_trip").alias("round_trip"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture), ("sentencepiece", pieces)]

@@ -61,9 +61,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, and whether they decode to the same text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("ids", sp.encode(F.col("text"), PIECES))
-    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
-                        sp.decode(F.col("ids"), PIECES).eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", sp.encode_checked(F.col("text"), PIECES).alias("x"))
+    return coded.select("doc_id", F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("x.ids").alias("ids"), F.col("x.round_trip").alias("round_trip"))
 
 
 # --- 7: mixing sources to target weights ----------------------------------------------------------

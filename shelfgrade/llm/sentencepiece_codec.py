@@ -179,6 +179,26 @@ def encode(text: Column, path: str) -> Column:
     return run(text)
 
 
+def encode_checked(text: Column, path: str) -> Column:
+    """Struct ``(ids, round_trip)``: the ids, decoded again in the same task, and whether they give the text back.
+
+    One worker per task does both, so that ids need not go back and forth.
+    """
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pieces, table = load(path), {}
+        for s in it:
+            ids, same = [], []
+            for at in range(0, len(s), ROWS):
+                part = s.iloc[at: at + ROWS]
+                coded = encode_rows(part, pieces, table)
+                same.extend((x is None and t is None) or decode_ids(x, pieces) == t for x, t in zip(coded, part))
+                ids.extend(coded)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": np.array(same, bool)})
+
+    return run(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text behind piece ids; null for null."""
     @F.pandas_udf("string")
