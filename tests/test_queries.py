@@ -10,6 +10,11 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
+#: Queries whose answer is empty at this scale; any other must return rows.
+EMPTY_HERE = {"brands_with_many_products", "duplicates_of_active", "canonical_siblings", "gap_no_description", "registry_refusals", "obvious_bad_rows",
+              "pending_brands"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF)
@@ -21,7 +26,7 @@ def test_query(spark, duck, name):
     if sql is None:
         assert df.columns and df.count() >= 0
     else:
-        assert compare(df, sql, duck) in (None, "EMPTY")
+        assert compare(df, sql, duck) == ("EMPTY" if name in EMPTY_HERE else None)
 
 
 def test_entry(spark):
