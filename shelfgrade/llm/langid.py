@@ -89,8 +89,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     if top is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     picked = known.filter(F.col("h") <= top).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x")).select("h", "x.lang", "x.text")
-    got = picked.mapInPandas(_sparse, "h long, lang string, slots array<int>, counts array<long>").toPandas().sort_values("h")
-    return fit(list(got["lang"]), [np.asarray(x) for x in got["slots"]], [np.asarray(x) for x in got["counts"]], epochs, seed, loss)
+    got = picked.mapInPandas(_sparse, "h long, lang string, slots array<int>, counts array<long>").toArrow().combine_chunks()
+    order = np.argsort(got.column("h").to_numpy(), kind="stable")
+    langs = got.column("lang").to_pylist()
+    return fit([langs[i] for i in order], _views(got.column("slots"), order), _views(got.column("counts"), order), epochs, seed, loss)
+
+
+def _views(column, order: np.ndarray) -> list[np.ndarray]:
+    """The rows of a list column in the given order, as views of its one buffer."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if hasattr(lists, "chunk") else lists
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[ends[i]: ends[i + 1]] for i in order]
 
 
 def fit(langs: list[str], slots: list[np.ndarray], counts: list[np.ndarray], epochs: int, seed: int, loss: float) -> Model:
@@ -133,7 +143,7 @@ def fit(langs: list[str], slots: list[np.ndarray], counts: list[np.ndarray], epo
             done += 1
     model = Model(languages, e @ w, bias)
     if len(hold):
-        total = dense(hold) @ model.folded + bias
+        total = np.concatenate([dense(hold[k: k + size]) @ model.folded for k in range(0, len(hold), size)]) + bias
         best = np.inf
         for t in np.geomspace(0.05, 20, 60):
             z = total / t
