@@ -6,8 +6,12 @@ by two smoothed variable-order Markov models over UTF-8 bytes, one counted on ac
 rejected URLs. Each model mixes orders 0 to ``ORDER``: p_k = (n(context, c) + p_(k-1)) / (n(context) + 1).
 The score is the difference of log-likelihoods per byte, calibrated on URLs kept out of the counts.
 
-All labelled URLs are counted, none is sampled: workers count their rows into hashed cells, one
-aggregate adds the cells, and at most ``CELLS`` rows (bounded, whatever the input) make the model.
+All labelled URLs are counted, none is sampled, and every context and symbol has its own count. A position is the number of its
+last ``ORDER`` + 1 symbols (a gram), which names the contexts and symbols of all orders at once. The grams of all distinct URLs
+are a table that grows with the input: workers add up their batches, one aggregate adds these. Its sums over shorter ends
+are the lower orders, and a chain of joins, in which no key has more than 258 rows, gives each gram its log ratio. URLs are scored in
+chunks of ``URLS`` or ``BYTES``: a chunk meets the log ratios of its own distinct grams only, so a gram that all URLs hold is sent once a chunk.
+``train`` and ``Models`` are another, approximate form with hashed cells in one object; the filter does not use them.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 scored as its text (null: the empty text). Without accepted or without rejected URLs there is no
@@ -18,16 +22,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfgrade.llm.common import ascii_lower, packed, unpacked
+from shelfgrade.llm.common import ascii_lower, cut, packed, unpacked
 
 ORDER, CELLS, STEP, EDGE = 4, 1 << 19, 0.01, 10.0
 #: Predicted positions handled at once.
 BLOCK = 1 << 16
+#: Distinct URLs, and bytes of them, that are scored together on average; bits of a symbol in a gram.
+URLS, BYTES, BITS = 4096, 1 << 20, 9
 #: Uniform probability under order 0: 256 byte values and the end.
 FLAT = 1 / 257
 
@@ -153,24 +160,99 @@ def calibrate(score: np.ndarray, accepted: np.ndarray, weight: np.ndarray) -> tu
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
-def judge(url: Column, models: Models) -> Column:
-    """Struct ``(score, allowed)``."""
-    @F.pandas_udf("score double, allowed boolean")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in it:
-            scores = [models.score(u) for u in s]
-            yield pd.DataFrame({"score": np.array(scores, float), "allowed": np.array([models.allows(x) for x in scores], bool)})
+def grams(url: str) -> np.ndarray:
+    """The last ``ORDER`` + 1 symbols at every predicted position, the newest in the lowest bits: start 0, end 1, bytes from 2."""
+    raw = np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + 2
+    s = np.concatenate([np.zeros(ORDER, np.int64), raw, np.ones(1, np.int64)])
+    out = np.zeros(len(s) - ORDER, np.int64)
+    for k in range(ORDER + 1):
+        out = out << BITS | s[k: k + len(out)]
+    return out
+
 
-    return run(url)
+def _gram_counts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Grams of distinct URLs, with the rows that count for the accepted (``n0``) and the rejected (``n1``); 0 for URLs that do not count."""
+    def added(held: list[tuple[np.ndarray, int, int]]) -> pd.DataFrame:
+        gram, at = np.unique(np.concatenate([g for g, _, _ in held]), return_inverse=True)
+        out = {"gram": gram}
+        for side in (1, 2):
+            n = np.zeros(len(gram), np.int64)
+            np.add.at(n, at, np.repeat([h[side] for h in held], [len(h[0]) for h in held]))
+            out[f"n{side - 1}"] = n
+        return pd.DataFrame(out)
+
+    for pdf in it:
+        held, size = [], 0
+        for url, n0, n1 in zip(pdf["text"], pdf["n0"], pdf["n1"]):
+            held.append((grams(url), n0, n1))
+            size += len(held[-1][0])
+            if size > BYTES:
+                yield added(held)
+                held, size = [], 0
+        if held:
+            yield added(held)
+
+
+def gram_values(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """``(gram, value)``: the log ratio of the two models' probabilities, from ``(gram, n0, n1)`` with distinct grams."""
+    end = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << BITS * k) - 1))
+    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    p = counts.groupBy(end("gram", 1).alias("key")).agg(*sums)
+    p = p.select("key", *[((F.col(f"n{i}") + F.lit(FLAT)) / F.lit(totals[i] + 1.0)).alias(f"p{i}") for i in (0, 1)])
+    for k in range(1, ORDER + 1):
+        own = counts.groupBy(end("gram", k + 1).alias("key")).agg(*sums) if k < ORDER else counts.withColumnRenamed("gram", "key")
+        own = own.select("key", "n0", "n1", F.shiftright("key", BITS).alias("context"), end("key", k).alias("shorter"))
+        contexts = own.groupBy("context").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        shorter = p.select(F.col("key").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+        p = own.join(contexts, "context").join(shorter, "shorter").select(
+            "key", *[((F.col(f"n{i}") + F.col(f"q{i}")) / (F.col(f"c{i}") + F.lit(1.0))).alias(f"p{i}") for i in (0, 1)])
+    return p.select(F.col("key").alias("gram"), (F.log("p0") - F.log("p1")).alias("value"))
+
+
+def _chunk_grams(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = np.unique(np.concatenate([grams(u) for u in pdf["text"]]))
+    return pd.DataFrame({"chunk": np.full(len(own), pdf["chunk"].iloc[0]), "gram": own})
+
+
+def _chunk_scores(pdf: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    order = np.argsort(values["gram"].to_numpy())
+    gram, value = values["gram"].to_numpy()[order], values["value"].to_numpy()[order]
+    return pdf.drop(columns="chunk").assign(score=[float(value[np.searchsorted(gram, grams(u))].mean()) for u in pdf["text"]])
+
+
+def scored(urls: DataFrame, seed: int = 3) -> tuple[DataFrame, float, float]:
+    """``urls`` with their scores, and the calibration's slope and offset.
+
+    ``urls``: distinct non-null ``text``, ``n`` rows of it, ``host``, ``path``, and ``rule`` and ``found`` (the rule's verdict) or nulls.
+    """
+    aside = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(5)) == 0
+    weight = lambda ok: F.when(F.col("found").isNotNull() & ~aside & ((F.col("found") == "allow") == F.lit(ok)), F.col("n")).otherwise(0)
+    size = urls.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(weight(True)).alias("n0"), F.sum(weight(False)).alias("n1")).first()
+    if not size["n0"] or not size["n1"]:
+        return urls.withColumn("score", F.lit(0.0)), 1.0, 0.0
+    counted = urls.select("text", weight(True).cast("long").alias("n0"), weight(False).cast("long").alias("n1")).mapInPandas(_gram_counts, "gram long, n0 long, n1 long")
+    counts = cut(counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    chunks = max(ceil(size["n"] / URLS), ceil(size["bytes"] / BYTES))
+    dealt = urls.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 1), "text"), F.lit(chunks)).cast("long"))
+    wanted = dealt.select("chunk", "text").groupBy("chunk").applyInPandas(_chunk_grams, "chunk long, gram long")
+    values = wanted.join(gram_values(counts, (totals[0], totals[1])), "gram")
+    out = dealt.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(
+        _chunk_scores, "text string, n long, host string, path string, rule string, found string, score double")
+    out = cut(out)
+    edge = F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.col("score")))
+    bins = out.filter(aside & F.col("found").isNotNull()).groupBy(F.round(edge / F.lit(STEP)).cast("long").alias("bin"), (F.col("found") == "allow").alias("accepted")).agg(
+        F.sum("n").alias("n")).orderBy("bin", "accepted").toPandas()
+    return out, *calibrate(bins["bin"].to_numpy(float) * STEP, bins["accepted"].to_numpy(bool), bins["n"].to_numpy(float))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
     """``pages`` with struct ``url_verdict``: host, path, rule, verdict, score. What the rules decide trains the models."""
-    rows = packed(pages, F.col(url_col).alias("url"), url_parts(F.col(url_col)).alias("parts"))
-    ruled = rows.withColumn("found", rule_of(F.col("parts.host"), F.col("parts.path"), rules))
-    models = train(ruled.filter("found is not null").select("url", (F.col("found.verdict") == "allow").alias("accepted")))
-    judged = ruled.withColumn("judged", judge(F.col("url"), models))
-    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("judged.allowed"), "allow").otherwise("block"))
-    return unpacked(judged, pages.columns, ("url_verdict", F.struct(
-        F.col("parts.host").alias("host"), F.col("parts.path").alias("path"), F.col("found.rule").alias("rule"),
-        verdict.alias("verdict"), F.col("judged.score").alias("score"))))
+    rows = packed(pages, F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("text"))
+    urls = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", url_parts(F.col("text")))
+    urls = urls.withColumn("by", rule_of(F.col("parts.host"), F.col("parts.path"), rules).cast("struct<rule:string,verdict:string>"))
+    urls = cut(urls.select("text", "n", "parts.host", "parts.path", "by.rule", F.col("by.verdict").alias("found")))
+    judged, slope, offset = scored(urls)
+    verdict = F.coalesce("found", F.when(F.col("score") * F.lit(slope) + F.lit(offset) >= 0, "allow").otherwise("block"))
+    judged = judged.select("text", F.struct("host", "path", "rule", verdict.alias("verdict"), "score").alias("judged"))
+    return unpacked(rows.join(judged, "text"), pages.columns, ("url_verdict", F.col("judged")))

@@ -312,6 +312,41 @@ def test_models_equal_plain_counts():
         assert models.score(url) == pytest.approx(plain(url, urls[:2]) - plain(url, urls[2:]), abs=1e-5)
 
 
+def test_filter_scores_equal_plain_counts_of_many_contexts(spark, monkeypatch):
+    """More distinct contexts and symbols than fit 2**19 hashed cells without sharing; several chunks."""
+    monkeypatch.setattr(uf, "URLS", 300)
+    rng = np.random.default_rng(6)
+    urls = [f"http://{h}.{end}/{''.join(rng.choice(list('0123456789abcdefghijklmnopqrstuv'), 40))}" for h in ("a", "b") for end in ("com", "net", "org") for _ in range(400)]
+    rows = [*urls, urls[0], urls[0], None, ""]
+    rules = [("allow", "com", "/"), ("block", "net", "/")]
+    got = uf.filter_urls(spark.createDataFrame([(u,) for u in rows], "url string"), rules)
+    aside = {r.url for r in got.filter(F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(5)) == 0).select("url").collect()}
+    got = [(r.url, r.url_verdict) for r in got.collect()]
+    assert sorted(str(u) for u, _ in got) == sorted(map(str, rows))
+    seen, ctx = [{}, {}], [{}, {}]
+    symbols = lambda u: [None] * uf.ORDER + [*(u or "").encode()] + ["end"]
+    for u, v in got:
+        if v.rule and u not in aside:
+            side, s = int(v.verdict == "block"), symbols(u)
+            for i in range(uf.ORDER, len(s)):
+                for k in range(uf.ORDER + 1):
+                    c = tuple(s[i - k: i])
+                    seen[side][c, s[i]] = seen[side].get((c, s[i]), 0) + 1
+                    ctx[side][c] = ctx[side].get(c, 0) + 1
+
+    def plain(u):
+        s, total = symbols(u), 0.0
+        for i in range(uf.ORDER, len(s)):
+            p = [uf.FLAT, uf.FLAT]
+            for k in range(uf.ORDER + 1):
+                c = tuple(s[i - k: i])
+                p = [(seen[x].get((c, s[i]), 0) + p[x]) / (ctx[x].get(c, 0) + 1) for x in (0, 1)]
+            total += math.log(p[0]) - math.log(p[1])
+        return total / (len(s) - uf.ORDER)
+
+    assert max(abs(v.score - plain(u)) for u, v in got) < 1e-9
+
+
 # --- token counts --------------------------------------------------------------------------------------------------------
 
 def test_rollups(spark, tmp_path):
