@@ -133,6 +133,19 @@ def test_languages(spark):
     assert np.array_equal(again.folded, model.folded)
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    rng = np.random.default_rng(3)
+    words = {x: ["".join(rng.choice(list(letters), int(rng.integers(2, 8)))) for _ in range(150)] for x, letters in (("a", "etaoinsh"), ("b", "eaiunrst"), ("c", "aeosrnid"))}
+    make = lambda x: " ".join(rng.choice(words[x], int(rng.integers(20, 120))))
+    model = langid.train(spark.createDataFrame([(make(x), x) for x in "abc" for _ in range(300)], "text string, lang string"))
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(60)) for _ in range(60)]
+    other = [" ".join(rng.choice("дом и река с этой вещью которая была там всегда потому что никто не знал".split(), 40)) for _ in range(60)]
+    rows = [("clean", make(x)) for x in "abc" for _ in range(100)] + [("letters", t) for t in letters] + [("other", t) for t in other]
+    got = spark.createDataFrame(rows, "kind string, text string").select("kind", langid.identify(F.col("text"), model)["rejected"].alias("r"))
+    share = {r.kind: r.s for r in got.groupBy("kind").agg(F.avg(F.col("r").cast("int")).alias("s")).collect()}
+    assert share["clean"] <= 0.02 and share["letters"] >= 0.9 and share["other"] >= 0.9
+
+
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.train(docs)
