@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfgrade.llm import langid, line_dedup, mixing, near_dedup, sentencepiece_codec as sp
-from shelfgrade.llm.common import ready
+from shelfgrade.llm.common import cut, ready
 from shelfgrade.llm.queries import PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +29,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    keep = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_doc"), "left_semi").select(*COLUMNS)
+    """One row of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows are compared as rows, under a number of their own, so rows without an id and repeated ids take part. The smallest id
+    stays, no id after all others; then a hash of the row decides. Each row without words is a group of its own.
+    """
+    # Written once, so that a row has the same number wherever it is read.
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_dedup.near_duplicates(rows, "_row").select(F.col("doc").alias("_row"), "component")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS).alias("h"), "_row")
+    first = rows.select("_row", place.alias("place")).join(groups, "_row").groupBy("component").agg(F.min("place").alias("place"))
+    return rows.join(first.select("place._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

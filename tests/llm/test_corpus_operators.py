@@ -454,3 +454,13 @@ def test_pipeline_stages_take_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "a unique text that only lacks its id", "en", "s", 5), (None, base + " x", "en", "s", 5), (None, base + " y", "de", "s", 5), (7, "the same row twice over and over", "en", "s", 5), (7, "the same row twice over and over", "en", "s", 5),
+            (8, "one text of a repeated id here", "en", "s", 5), (8, "quite another text of that repeated id", "en", "s", 5), (9, "one text of a repeated id here", "en", "s", 5), (None, "one text of a repeated id here", "en", "s", 5), (10, None, None, None, 0), (None, None, None, None, 0), (11, "", "en", "s", 0)]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    texts = sorted((str(r.doc_id), str(r.text)) for r in got if r.text != base + " x" and r.text != base + " y")
+    assert texts == sorted([("None", rows[0][1]), ("7", rows[3][1]), ("8", rows[5][1]), ("8", rows[6][1]), ("10", "None"), ("None", "None"), ("11", "")])
+    assert len(got) == len(texts) + 1
