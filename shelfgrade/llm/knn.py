@@ -1,7 +1,7 @@
 """Exact top-k search: a Voronoi join with per-group bounds, for the inner product.
 
 Pivots (a bounded sample of the queries) split queries and data into Voronoi cells. One aggregate per side
-gives each cell's size, radius and largest norm: at most ``len(pivots)`` rows. From these follows, for every query
+gives each cell's size, radius and largest norm, another how many different ids of the data it counts: at most ``len(pivots)`` rows. From these follows, for every query
 cell Q, a lower bound on the k-th best score of any query in it (enough vectors lie in cells whose worst score is at
 least that). A data row x goes to Q only if p_Q.x + r_Q |x|, the most that x can score there, reaches the bound. Each query cell is
 solved in blocks: a block of queries meets a slice of the data that was sent to the cell, keeps the k best per query, and the
@@ -56,10 +56,13 @@ def _assign(pivots: np.ndarray):
 
 
 def lower_bounds(pivots: np.ndarray, q: pd.DataFrame, d: pd.DataFrame, k: int) -> np.ndarray:
-    """For each query cell a score that at least ``k`` rows other than the query reach."""
+    """For each query cell a score that at least ``k`` rows of other ids than the query's reach.
+
+    ``ids`` counts each id of the data in one cell, so only one of the counted rows can be the query's own.
+    """
     norms = np.sqrt((pivots**2).sum(axis=1))
     out = np.full(len(pivots), -np.inf)
-    cells, counts, radii = d["cell"].to_numpy(), d["n"].to_numpy(), d["radius"].to_numpy()
+    cells, counts, radii = d["cell"].to_numpy(), d["ids"].to_numpy(), d["radius"].to_numpy()
     for c, r in zip(q["cell"], q["radius"]):
         least = pivots[cells] @ pivots[c] - norms[c] * radii - r * norms[cells] - r * radii
         order = np.argsort(-least)
@@ -148,6 +151,9 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         return x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).toPandas()
 
     qs, ds = summary(qa), summary(da)
+    # An id's rows may lie in several cells; it counts in the first of them only.
+    ids = da.groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("ids")).toPandas()
+    ds = ds.merge(ids, "left", "cell").fillna({"ids": 0})
     bound = lower_bounds(pivots, qs, ds, k)
     radius, blocks = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     radius[qs["cell"]] = qs["radius"]

@@ -190,6 +190,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_top_k_with_repeated_rows_of_a_query_id(spark, monkeypatch, apart):
+    """Many rows of one query id, in a cell of their own or dealt over all cells, stand in for no other row."""
+    monkeypatch.setattr(knn, "PER_CELL", 1)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-50, 50, 4)]) for i in range(60)]
+    rows += [(900, [float(x) for x in rng.integers(90, 100, 4)] if apart else [900.0, 0.0, 0.0, 0.0]) for _ in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in knn.top_k(df, df.filter("vec_id % 10 = 0"), 5).select("query_id", "vec_id", "score").distinct().collect() if r.query_id != 900 or not apart)
+    want = set()
+    for q, v in rows:
+        # One id with several vectors shares its places among them; here only what others find is compared.
+        if q % 10 == 0 and (q != 900 or not apart):
+            best = sorted((-sum(int(a * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
+            want |= {(q, i, -s) for s, i in best}
+    assert got == sorted(want)
+
+
 def test_top_k_few_rows(spark):
     one = spark.createDataFrame([(50, [1.0])], "vec_id long, v array<double>")
     assert knn.top_k(one, one).collect() == []
