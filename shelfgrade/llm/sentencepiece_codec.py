@@ -56,7 +56,7 @@ class Pieces:
 def make_pieces(vocabulary: list[tuple[str, str, float]]) -> Pieces:
     """From ``(piece, kind, score)`` by id; kind is ``normal``, ``byte`` or ``control``.
 
-    Not used: pieces made of marks only but for the single mark (blank runs of code), and pieces with a mark behind another character.
+    Not used: pieces with a mark behind another character. Pieces of marks only lie within one word, at its start.
     """
     ids, scores, byte_ids, surfaces, byte_of = {}, {}, [0] * 256, [""] * len(vocabulary), np.full(len(vocabulary), -1)
     for i, (piece, kind, score) in enumerate(vocabulary):
@@ -66,7 +66,7 @@ def make_pieces(vocabulary: list[tuple[str, str, float]]) -> Pieces:
         elif kind == "normal":
             surfaces[i] = piece.replace(MARK, " ")
             bare = piece.lstrip(MARK)
-            if piece and MARK not in bare and (bare or piece == MARK):
+            if piece and MARK not in bare:
                 ids.setdefault(surfaces[i], i)
                 scores.setdefault(surfaces[i], score)
     lowest = min(scores.values(), default=0.0)

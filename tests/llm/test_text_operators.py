@@ -190,6 +190,23 @@ def test_shared_prefixes_change_nothing(words):
         assert total == pytest.approx(best_score(word, pieces))
 
 
+@pytest.mark.parametrize("text", ["def f(x):\n        return x", "   a", "a" + " " * 40 + "the thing", " " * 17, "end   ", "\n    if the:\n            on   e"])
+def test_blank_runs_equal_plain_viterbi(text):
+    """Over the whole text and every piece of the file's vocabulary that holds no mark behind another character."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = sp.load(PIECES)
+    runs = {m.id_to_piece(i) for i in range(m.get_piece_size()) if set(m.id_to_piece(i)) == {sp.MARK}}
+    assert len(runs) == 15 and {r.replace(sp.MARK, " ") for r in runs} <= set(pieces.scores)
+    ids = sp.encode_text(text, pieces)
+    assert sp.decode_ids(ids, pieces) == text
+    names = {i: p for p, i in pieces.ids.items()}
+    total = sum(pieces.scores[names[i]] if i in names else pieces.unknown for i in ids)
+    assert total == pytest.approx(best_score(" " + text, pieces))
+    assert len(ids) < len(re.findall(" ", text)) + len(re.findall(r"\S|\n", text)) + 1
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_round_trip(text):
