@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfgrade.llm import knn, langid, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, token_counts, url_filter
+from shelfgrade.llm import knn, langid, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, suffix_dedup, token_counts, url_filter
 from shelfgrade.llm.common import cut, n_words, ready
 
 #: A model file of the public tokenizers; a parameter of the operators.
@@ -208,3 +208,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_counts.commit(folder, "3", token_counts.revised(counts(low, "pieces"), counts(low, "revised")))
     token_counts.commit(folder, "2", toxic)
     return token_counts.totals(spark, folder)
+
+
+# --- 11: suffix-array dedup --------------------------------------------------------------------------
+
+#: Bytes as pairs of hexadecimal digits, because DuckDB cuts text, not blobs.
+_BYTES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM n)),
+f AS (SELECT h, min((doc_id, i)) AS f FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS pos FROM win JOIN f USING (h) WHERE (doc_id, i) <> f.f),
+runs AS (SELECT doc_id, count(*) AS k, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS spans FROM
+  (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY 1),
+each AS (SELECT doc_id, x, unnest(range(0, n)) AS pos FROM n WHERE doc_id IN (SELECT doc_id FROM runs)),
+kept AS (SELECT e.doc_id, string_agg(substr(x, 2 * e.pos + 1, 2), '' ORDER BY e.pos) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY 1)
+SELECT n.doc_id, n AS n_bytes, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
+FROM n LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_suffix_dedup", _BYTES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that also start earlier."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
