@@ -11,8 +11,8 @@ neighbours (or stand where a phrase begins) is a maximal repeat group of its blo
 neighbours in the array. In each group all but the first occurrence are duplicate spans; a repeat that is longer than a phrase comes as
 a chain of overlapping groups of consecutive blocks.
 
-Exact: bytes are compared, not hashes, apart from the identity of whole texts (128 bits of SHA-2) and whole phrases (64 bits of anchor and
-128 of hash). Every window that also starts earlier is a non-first member of its interval's nearest left-diverse relatives, and
+Exact: bytes are compared, not hashes, apart from the identity of whole texts (128 bits of SHA-2) and whole phrases (64 bits of
+anchor and 64 of hash). Every window that also starts earlier is a non-first member of its interval's nearest left-diverse relatives, and
 nothing else is: members of a group only stand later than its first.
 
 Scale: equal texts are one before anything is cut; a copy loses all its windows without being looked at. Phrases are about thirty times
@@ -33,14 +33,16 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfgrade.llm.common import BYTE_VALUES, BYTES, mix
+from shelfgrade.llm.common import BYTE_VALUES, BYTES, Powers, mix
 
-WINDOW, SEED = 100, 40
+WINDOW, SEED = 100, 32
 #: Occurrences of an anchor above which its block is split.
 MOST = 16_384
 #: Bytes that are hashed together, bytes of a block's suffix array, rows of an answer.
 _VIEW, _BLOCK, _ROWS = 1 << 18, 1 << 20, 1 << 15
 _LOW = np.uint64((1 << 32) - 1)
+#: Phrases that a task remembers having sent, and the powers of its second hash.
+_SEEN, OTHER = 1 << 20, Powers(0x9FB21C651E98DF25)
 
 
 # --- cutting ------------------------------------------------------------------------------------
@@ -87,7 +89,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pack(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.binary())], b.schema.names)
 
 
@@ -98,49 +100,95 @@ def _cut_up(window: int, seed: int):
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             doc, start, size, anchor = phrases(np.frombuffer(b"".join(texts), np.uint8), offsets, window, seed)
             own = b.column("own").take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([own, pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["own", "anchor", "start", "size"])
+            # Start and number of windows in one number.
+            yield pa.RecordBatch.from_arrays([own, pa.array(anchor.view(np.int64)), pa.array(start << 16 | size)], ["own", "anchor", "spot"])
 
     return run
 
 
-_OCCURRENCE = "anchor long, f1 long, f2 long, own binary, start int, size int"
+_PLACE = "no_id boolean, doc long, own binary, start int"
+
+
+class _Wanted:
+    """A batch's texts as one run of bytes, and the phrases asked for: ``row``, ``start``, ``size``, ``anchor`` and where they lie."""
+
+    def __init__(self, b: pa.RecordBatch):
+        texts, want = _raw(b.column("body")), b.column("want")
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.buf, self.row = np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
+        flat = want.flatten()
+        self.anchor, spot = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("anchor", "spot"))
+        self.start, self.size = spot >> 16, spot & 0xFFFF
+        self.at = offsets[self.row] + self.start
+
+    def named(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the bytes ``at .. at + length``, from prefix sums over pieces of the bytes."""
+        out = np.zeros((2, len(self.at)), np.uint64)
+        order, most = np.argsort(self.at, kind="stable"), int(length.max(initial=0))
+        for c in range(0, len(self.buf), _VIEW):
+            i = order[np.searchsorted(self.at, c, sorter=order): np.searchsorted(self.at, c + _VIEW, sorter=order)]
+            if len(i):
+                piece, s, n = self.buf[c: c + _VIEW + most], self.at[i] - c, length[i]
+                for k, powers in enumerate((BYTES, OTHER)):
+                    up, down = powers.get(len(piece) + 1)
+                    total = np.zeros(len(piece) + 1, np.uint64)
+                    np.cumsum(BYTE_VALUES[piece] * up[: len(piece)], out=total[1:])
+                    out[k, i] = mix((total[s + n] - total[s]) * down[s] + n.astype(np.uint64))
+        return out[0], out[1]
+
+
+def _bytes(buf: np.ndarray, at: np.ndarray, length: np.ndarray, there: np.ndarray) -> pa.Array:
+    """The bytes ``at .. at + length`` where ``there``, else null."""
+    n = np.where(there, length, 0)
+    ends = np.cumsum(n)
+    data = buf[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    valid = np.packbits(there, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(at), [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _phrases(window: int):
+    """The wanted phrases, named by their hashes. Bytes come with the first of equal ones that a task sees."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in it:
+            w = _Wanted(b)
+            length = w.size + (window - 1)
+            name, _ = w.named(length)
+            names = np.stack([w.anchor.view(np.uint64), name], 1).tobytes()
+            new = np.zeros(len(name), bool)
+            for i in range(len(name)):
+                key = names[16 * i: 16 * i + 16]
+                if key not in seen:
+                    new[i] = True
+                    seen.add(key)
+            if len(seen) > _SEEN:
+                seen.clear()
+            for k in range(0, len(name), _ROWS):
+                part = slice(k, k + _ROWS)
+                row = pa.array(w.row[part])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(w.anchor[part]), pa.array(name[part].view(np.int64)), *(b.column(n).take(row) for n in ("no_id", "doc", "own")),
+                    pa.array(w.start[part].astype(np.int32)), pa.array(w.size[part].astype(np.int32)), _bytes(w.buf, w.at[part], length[part], new[part])],
+                    ["anchor", "name", "no_id", "doc", "own", "start", "size", "bytes"])
 
+    return run
 
-def _looked_up(window: int, with_body: bool):
-    """The wanted phrases, named by their hashes; those of split anchors as single windows under their own hash, without their bytes."""
-    names = ["anchor", "f1", "f2", "own", "start", "size", *(["no_id", "doc", "bytes"] if with_body else [])]
 
+def _windows(window: int):
+    """The single windows of the wanted phrases."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, name, row, start, size, body = [], [], [], [], [], []
-
-        def out(b: pa.RecordBatch) -> pa.RecordBatch:
-            f = np.frombuffer(b"".join(name), np.int64).reshape(-1, 2)
-            at = pa.array(np.array(row, np.int64))
-            a = np.array([f[i, 0] if x is None else x for i, x in enumerate(anchor)], np.int64)
-            columns = [pa.array(a), pa.array(f[:, 0]), pa.array(f[:, 1]), b.column("own").take(at), pa.array(np.array(start, np.int32)), pa.array(np.array(size, np.int32))]
-            if with_body:
-                columns += [b.column("no_id").take(at), b.column("doc").take(at), pa.array(body, pa.binary())]
-            for x in (anchor, name, row, start, size, body):
-                x.clear()
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        digest = xxhash.xxh3_128_digest
         for b in it:
-            for i, (raw, want) in enumerate(zip(_raw(b.column("body")), b.column("want").to_pylist())):
-                for w in want:
-                    s, n = w["start"], w["size"]
-                    for at, k, key in [(s + j, 1, None) for j in range(n)] if w["hot"] else [(s, n, w["anchor"])]:
-                        part = raw[at: at + k + window - 1]
-                        anchor.append(key)
-                        name.append(digest(part))
-                        row.append(i)
-                        start.append(at)
-                        size.append(k)
-                        body.append(None if key is None else part)
-                    if len(row) >= _ROWS:
-                        yield out(b)
-            if row:
-                yield out(b)
+            w = _Wanted(b)
+            many = w.size
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            w.row, w.start, w.at = np.repeat(w.row, many), np.repeat(w.start, many) + step, np.repeat(w.at, many) + step
+            f1, f2 = w.named(np.full(len(w.at), window))
+            for k in range(0, len(f1), _ROWS):
+                part = slice(k, k + _ROWS)
+                row = pa.array(w.row[part])
+                yield pa.RecordBatch.from_arrays([pa.array(f1[part].view(np.int64)), pa.array(f2[part].view(np.int64)), *(b.column(n).take(row) for n in ("no_id", "doc", "own")),
+                                                  pa.array(w.start[part].astype(np.int32))], ["f1", "f2", "no_id", "doc", "own", "start"])
 
     return run
 
@@ -181,7 +229,16 @@ def suffix_array(bodies: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     at = first[body] + offset
     left = sizes[body] - offset
     steps = [np.where(h < left, levels[28][np.minimum(at + h, n - 1)], 0) for h in range(0, int(sizes.max(initial=0)), 28)]
-    order = np.lexsort(steps[::-1])
+    # As many ranks in one number as fit.
+    bits = int(n + 1).bit_length()
+    per = 63 // bits
+    keys = []
+    for k in range(0, len(steps), per):
+        key = np.zeros(len(at), np.int64)
+        for x in steps[k: k + per]:
+            key = key << bits | x
+        keys.append(key)
+    order = np.lexsort(keys[::-1]) if keys else np.empty(0, np.int64)
     body, offset, at, left = body[order], offset[order], at[order], left[order]
     common = np.zeros(len(at), np.int64)
     if len(at) < 2:
@@ -242,110 +299,129 @@ def repeat_groups(common: list[int], left: list[int], first: list[int], window:
 
 
 def _block(bodies: list[bytes], doc: np.ndarray, start: np.ndarray, window: int):
-    """Group rows of one block: ``(length, members, first, covered)`` as (phrase, offset) pairs."""
-    body, offset, common = suffix_array(bodies, window)
-    # Only runs of suffixes that share a window matter.
-    inside = common >= window
-    near = inside.copy()
-    near[:-1] |= inside[1:]
-    at = np.flatnonzero(near)
-    if not len(at):
+    """Groups of one block: ``(length, members, first, covered, phrases, offsets)``, where the middle three are places in the last two."""
+    if not bodies:
         return
-    body, offset, common = body[at], offset[at], common[at]
+    body, offset, common = suffix_array(bodies, window)
     flat = np.frombuffer(b"".join(bodies), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(x) for x in bodies])])[:-1]
     left = np.where(offset > 0, flat[np.maximum(base[body] + offset - 1, 0)].astype(np.int64), -1)
-    place = (doc[body].astype(np.int64) << 32) + start[body] + offset
+    # Runs of suffixes that share a window. Where all have the same left neighbour, so has each group in it: the runs one byte
+    # further left hold the same occurrences and more of the string, and nothing of this run is maximal.
+    begin = np.flatnonzero(common < window)
+    if not len(begin):
+        return
+    low, high, size = np.minimum.reduceat(left, begin), np.maximum.reduceat(left, begin), np.diff(np.append(begin, len(common)))
+    at = np.flatnonzero(np.repeat((size > 1) & ((low < high) | (low == -1)), size))
+    if not len(at):
+        return
+    body, offset, common, left = body[at], offset[at], common[at], left[at]
+    place = (doc[body] << 32) + start[body] + offset
     for length, lo, hi, best, covered in repeat_groups(common.tolist(), left.tolist(), place.tolist(), window):
         yield length, slice(lo, hi + 1), best, covered, body, offset
 
 
-def _order(no_id: list, doc: list, own: list) -> np.ndarray:
-    """Numbers in reading order of the documents named."""
-    keys = [(n, 0 if d is None else d, o) for n, d, o in zip(no_id, doc, own)]
-    rank = {k: i for i, k in enumerate(sorted(set(keys)))}
-    return np.array([rank[k] for k in keys], np.int64)
-
-
-_FIRST = "struct<no_id: boolean, doc: bigint, own: binary, start: int>"
-
-
-def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows that come sorted by anchor, as lists of whole blocks with about ``_BLOCK`` bytes."""
-    held: list[dict] = []
-    size, last, whole = 0, None, 0
+class _Rows:
+    """Whole blocks of sorted rows: equal phrases in a row, first occurrence first."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows = rows.combine_chunks()
+        names = [rows.column(n).to_numpy() for n in ("anchor", "name")]
+        new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])
+        #: First row of each phrase; phrase of each row.
+        self.first, self.phrase = np.flatnonzero(new), np.cumsum(new) - 1
+        self.start, self.size = rows.column("start").to_numpy().astype(np.int64), rows.column("size").to_numpy().astype(np.int64)
+        there = rows.column("bytes").is_valid().to_numpy()
+        with_bytes = np.minimum.reduceat(np.where(there, np.arange(len(there)), len(there)), self.first)
+        anchor = names[0][self.first]
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        many = np.diff(np.append(edge, len(anchor)))
+        #: Phrases that share their anchor with another one.
+        self.mine = np.flatnonzero(np.repeat(many > 1, many))
+        at = self.first[self.mine]
+        self.bodies = rows.column("bytes").take(pa.array(with_bytes[self.mine])).to_pylist()
+        own = np.array([int.from_bytes(x, "big") >> 64 for x in rows.column("own").take(pa.array(at)).to_pylist()], np.uint64)
+        low = np.array([int.from_bytes(x, "big") & (1 << 64) - 1 for x in rows.column("own").take(pa.array(at)).to_pylist()], np.uint64)
+        no_id, doc = rows.column("no_id").to_numpy()[at], rows.column("doc").fill_null(0).to_numpy()[at]
+        # Numbers of documents in reading order.
+        order = np.lexsort([low, own, doc, no_id])
+        differ = np.any([x[order][1:] != x[order][:-1] for x in (low, own, doc, no_id)], axis=0)
+        self.doc = np.empty(len(at), np.int64)
+        self.doc[order] = np.cumsum(np.concatenate([[True], differ])[: len(at)])
+
+
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
+    """Rows that come sorted by anchor, in whole blocks of about ``_BLOCK`` bytes together."""
+    held, size, bare = [], 0, 0
     for b in it:
-        for r in b.to_pylist():
-            if r["anchor"] != last:
-                if size >= _BLOCK:
-                    yield held
-                    held, size = [], 0
-                last = r["anchor"]
-            held.append(r)
-            size += len(r["bytes"] or b"")
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.column("bytes").nbytes
+        bare += b.num_rows
+        if size >= _BLOCK or bare >= 4 * _ROWS:
+            rows = pa.Table.from_batches(held)
+            anchor = rows.column("anchor").to_numpy()
+            whole = int(np.searchsorted(anchor, anchor[-1]))
+            if whole:
+                yield _Rows(rows.slice(0, whole))
+                held = rows.slice(whole).combine_chunks().to_batches()
+                size, bare = held[0].column("bytes").nbytes, held[0].num_rows
     if held:
-        yield held
+        yield _Rows(pa.Table.from_batches(held))
 
 
 def _solved(window: int):
-    """Each phrase with the runs of bytes that its first occurrence loses."""
-    kind = pa.schema([("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("own1", pa.binary()), ("start1", pa.int32()), ("size1", pa.int32()),
-                      ("runs", pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32())])))])
-
+    """Spans of bytes that go: all of a phrase but in its first occurrence, there what groups with other phrases say."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(it):
-            runs: dict[int, list] = {}
-            mine = _alone(rows)
-            if mine:
-                bodies = [rows[i]["bytes"] for i in mine]
-                f = [rows[i]["first"] for i in mine]
-                doc, start = _order([x["no_id"] for x in f], [x["doc"] for x in f], [x["own"] for x in f]), np.array([x["start"] for x in f], np.int64)
-                for length, _, _, covered, body, offset in _block(bodies, doc, start, window):
-                    for c in covered:
-                        runs.setdefault(mine[body[c]], []).append({"at": int(offset[c]), "length": length})
-            out = [(r, runs.get(i, [])) for i, r in enumerate(rows) if r["times"] > 1 or i in runs]
-            for k in range(0, len(out), _ROWS):
-                yield pa.RecordBatch.from_pylist([{"anchor": r["anchor"], "f1": r["f1"], "f2": r["f2"], "own1": r["first"]["own"], "start1": r["first"]["start"],
-                                                   "size1": r["size"], "runs": x} for r, x in out[k: k + _ROWS]], kind)
+        for r in _blocks(it):
+            again = np.ones(r.rows.num_rows, bool)
+            again[r.first] = False
+            row, start, length = [np.flatnonzero(again)], [r.start[again]], [r.size[again] + (window - 1)]
+            found, spans = [], []
+            for n, _, _, covered, body, offset in _block(r.bodies, r.doc, r.start[r.first[r.mine]], window):
+                found += [(int(body[c]), int(offset[c])) for c in covered]
+                spans += [n] * len(covered)
+            if found:
+                body, offset = np.array(found, np.int64).T
+                at = r.first[r.mine[body]]
+                row, start, length = [*row, at], [*start, r.start[at] + offset], [*length, np.array(spans, np.int64)]
+            row, start, length = np.concatenate(row), np.concatenate(start), np.concatenate(length)
+            for k in range(0, len(row), _ROWS):
+                part = slice(k, k + _ROWS)
+                own = r.rows.column("own").combine_chunks()
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(row[part])), pa.array(start[part].astype(np.int32)), pa.array(length[part].astype(np.int32))], ["own", "start", "length"])
 
     return run
 
 
-def _alone(rows: list[dict]) -> list[int]:
-    """Places of the phrases that share their anchor with another phrase."""
-    seen: dict[int, int] = {}
-    for r in rows:
-        seen[r["anchor"]] = seen.get(r["anchor"], 0) + 1
-    return [i for i, r in enumerate(rows) if seen[r["anchor"]] > 1 and r["bytes"] is not None]
-
-
 def _groups(window: int):
-    """Maximal repeat groups: one row per group and member phrase."""
-    kind = pa.schema([("grp", pa.string()), ("length", pa.int32()), ("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("at", pa.int32())])
+    """Maximal repeat groups: one row per group and member."""
+    kind = pa.schema([("grp", pa.string()), ("length", pa.int32()), ("own", pa.binary()), ("start", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(it):
-            out: list[dict] = []
-
-            def row(name: bytes, length: int, r: dict, at: int) -> dict:
-                return {"grp": xxhash.xxh3_128_hexdigest(name), "length": length, "anchor": r["anchor"], "f1": r["f1"], "f2": r["f2"], "at": at}
-
-            # A phrase that occurs more than once is a group, unless a group of the array holds the same string.
-            for r in rows:
-                if r["times"] > 1:
-                    size = r["size"] + window - 1
-                    out.append(row(r["bytes"] if r["bytes"] is not None else b"%d:%d" % (r["f1"], r["f2"]), size, r, 0))
-            mine = _alone(rows)
-            if mine:
-                bodies = [rows[i]["bytes"] for i in mine]
-                f = [rows[i]["first"] for i in mine]
-                doc, start = _order([x["no_id"] for x in f], [x["doc"] for x in f], [x["own"] for x in f]), np.array([x["start"] for x in f], np.int64)
-                for length, members, best, _, body, offset in _block(bodies, doc, start, window):
-                    name = bodies[body[best]][offset[best]: offset[best] + length]
-                    out += [row(name, length, rows[mine[p]], o) for p, o in zip(body[members].tolist(), offset[members].tolist())]
+        for r in _blocks(it):
+            own, out = r.rows.column("own").combine_chunks(), []
+            edges = np.append(r.first, r.rows.num_rows)
+
+            def rows_of(phrase: int, offset: int, name: str, length: int) -> list[dict]:
+                return [{"grp": name, "length": length, "own": own[i].as_py(), "start": int(r.start[i]) + offset} for i in range(int(edges[phrase]), int(edges[phrase + 1]))]
+
+            whole = set()
+            for length, members, best, _, body, offset in _block(r.bodies, r.doc, r.start[r.first[r.mine]], window):
+                name = xxhash.xxh3_128_hexdigest(r.bodies[body[best]][offset[best]: offset[best] + length])
+                for p, o in zip(body[members].tolist(), offset[members].tolist()):
+                    if o == 0 and length == len(r.bodies[p]):
+                        whole.add(int(r.mine[p]))
+                    out += rows_of(int(r.mine[p]), o, name, length)
                     if len(out) >= _ROWS:
                         yield pa.RecordBatch.from_pylist(out, kind)
                         out = []
+            # A phrase that stands more than once, but in no other one, is a group by itself.
+            for p in np.flatnonzero(np.diff(edges) > 1):
+                if p not in whole:
+                    i = int(edges[p])
+                    out += rows_of(p, 0, f"{r.rows.column('anchor')[i].as_py()}:{r.rows.column('name')[i].as_py()}", int(r.size[i]) + window - 1)
             if out:
                 yield pa.RecordBatch.from_pylist(out, kind)
 
@@ -355,32 +431,27 @@ def _groups(window: int):
 # --- removal ----------------------------------------------------------------------------------------
 
 def _removed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("own", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
-                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
     for b in it:
-        kept, gone, sizes, spans = [], [], [], []
-        for raw, found in zip(_raw(b.column("body")), b.column("found").to_pylist()):
-            sizes.append(len(raw))
-            edges = np.zeros(len(raw) + 1, np.int64) if found else None
-            if edges is None:
-                kept.append(raw)
-                gone.append(0)
-                spans.append([])
-                continue
-            at = np.array([(x["start"], x["start"] + x["length"]) for x in found], np.int64)
-            np.add.at(edges, at[:, 0], 1)
-            np.subtract.at(edges, at[:, 1], 1)
-            out = np.cumsum(edges)[:-1] > 0
-            turn = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-            kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
-            gone.append(int(out.sum()))
-            spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(turn[::2], turn[1::2])])
-        yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
-                                          pa.array(spans, kind.field("spans").type)], schema=kind)
-
-
-def _same(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from it
+        texts, found = _raw(b.column("body")), b.column("found")
+        sizes = np.array([len(t) for t in texts], np.int64)
+        # A byte between texts keeps their spans apart.
+        base = np.concatenate([[0], np.cumsum(sizes + 1)])
+        row = np.repeat(np.arange(len(texts)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = found.flatten()
+        start = flat.field("start").to_numpy(zero_copy_only=False) + base[row]
+        edges = np.bincount(start, minlength=base[-1] + 1) - np.bincount(start + flat.field("length").to_numpy(zero_copy_only=False), minlength=base[-1] + 1)
+        gone = np.cumsum(edges) > 0
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+        begin, end = turn[::2], turn[1::2]
+        doc = np.searchsorted(base, begin, "right") - 1
+        lost = np.bincount(doc, end - begin, len(texts)).astype(np.int64)
+        keep = ~gone[: base[-1]]
+        keep[base[1:] - 1] = False
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)[keep] if texts else np.empty(0, np.uint8)
+        kept = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes - lost)]).astype(np.int64)), pa.py_buffer(data)])
+        spans = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32),
+                                         pa.StructArray.from_arrays([pa.array(begin - base[doc]), pa.array(end - begin)], ["start", "length"]))
+        yield pa.RecordBatch.from_arrays([b.column("own"), b.column("doc"), pa.array(sizes), pa.array(lost), kept.cast(pa.binary()), spans], ["own", "first_doc", "n_bytes", "n_removed", "kept", "spans"])
 
 
 def _own(text: Column) -> Column:
@@ -389,25 +460,33 @@ def _own(text: Column) -> Column:
 
 
 def _wanted(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The different texts with their first document, and those with phrases to look up."""
+    """The different texts with their first document, and those with phrases to look up. All readers use all columns, so that they share one exchange."""
     doc = F.col(id_col).cast("long")
     base = docs.select(_own(F.col(text_col)).alias("own"), doc.isNull().alias("no_id"), doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    texts = base.mapInArrow(_packed, base.schema).groupBy("own").agg(F.min(F.struct("no_id", "doc")).alias("d"), F.first("body").alias("body"))
-    # Handing the rows on as they are keeps Spark from pruning the aggregate in several ways: all readers share its exchange.
+    # The filter is what an inner join would add for one of the readers.
+    texts = base.mapInArrow(_packed, base.schema).filter("own is not null").groupBy("own").agg(F.min(F.struct("no_id", "doc")).alias("d"), F.first("body").alias("body"))
     texts = texts.select("own", "d.no_id", "d.doc", "body")
-    texts = texts.mapInArrow(_same, texts.schema)
-    cut_up = texts.mapInArrow(_cut_up(window, seed), "own binary, anchor long, start int, size int")
+    cut_up = texts.mapInArrow(_cut_up(window, seed), "own binary, anchor long, spot long")
     repeated = cut_up.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor", (F.col("times") > most).alias("hot"))
-    wanted = cut_up.join(repeated, "anchor").groupBy("own").agg(F.collect_list(F.struct("anchor", "start", "size", "hot")).alias("want"))
+    wanted = cut_up.join(repeated, "anchor").groupBy("own").agg(F.collect_list(F.struct("anchor", "spot", "hot")).alias("want"))
     return texts, texts.join(wanted, "own").select("own", "no_id", "doc", "body", "want")
 
 
-def _distinct(rows: DataFrame, window: int) -> DataFrame:
-    """Different phrases, sorted by anchor, with their first occurrence."""
-    every = rows.mapInArrow(_looked_up(window, True), _OCCURRENCE + ", no_id boolean, doc long, bytes binary")
-    found = every.groupBy("anchor", "f1", "f2").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("no_id", "doc", "own", "start")).alias("first"), F.first("size").alias("size"), F.first("bytes").alias("bytes"))
-    return found.repartition("anchor").sortWithinPartitions("anchor", "f1", "f2")
+def _asked(rows: DataFrame, hot: bool) -> DataFrame:
+    return rows.withColumn("want", F.filter("want", lambda w: w["hot"] == F.lit(hot))).filter(F.size("want") > 0)
+
+
+def _sorted_phrases(rows: DataFrame, window: int) -> DataFrame:
+    kind = f"anchor long, name long, {_PLACE}, size int, bytes binary"
+    order = ["anchor", "name", "no_id", "doc", "own", "start"]
+    return _asked(rows, False).mapInArrow(_phrases(window), kind).repartition("anchor").sortWithinPartitions(*order)
+
+
+def _repeated_windows(rows: DataFrame, window: int) -> DataFrame:
+    """Windows of split anchors that stand more than once, with their first place."""
+    each = _asked(rows, True).mapInArrow(_windows(window), f"f1 long, f2 long, {_PLACE}")
+    first = each.groupBy("f1", "f2").agg(F.min(F.struct("no_id", "doc", "own", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return each.join(first.drop("times"), ["f1", "f2"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, most: int = MOST) -> DataFrame:
@@ -416,21 +495,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``spans`` are the maximal removed runs ``(start, length)`` in bytes of the text as it was, ``kept`` the remaining bytes.
     """
     texts, rows = _wanted(docs, id_col, text_col, window, seed, most)
-    solved = _distinct(rows, window).mapInArrow(
-        _solved(window), "anchor long, f1 long, f2 long, own1 binary, start1 int, size1 int, runs array<struct<at: int, length: int>>")
-    occurrence = rows.mapInArrow(_looked_up(window, False), _OCCURRENCE)
-    # The first occurrence of a phrase loses what groups with other phrases say, all others lose the whole phrase.
-    is_first = (F.col("own") == F.col("own1")) & (F.col("start") == F.col("start1"))
-    runs = F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["length"].alias("length")))
-    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("size") + (window - 1)).alias("length")))
-    found = (occurrence.join(solved, ["anchor", "f1", "f2"]).select("own", F.when(is_first, runs).otherwise(whole).alias("x"))
-             .groupBy("own").agg(F.flatten(F.collect_list("x")).alias("found")))
-    done = texts.join(found, "own", "left").select("own", "no_id", "doc", "body", "found")
-    done = done.mapInArrow(_removed, "own binary, n_bytes long, n_removed long, kept binary, spans array<struct<start: long, length: long>>")
-    place = texts.select(F.col("own").alias("own2"), F.col("doc").alias("doc2"), "no_id")
-    done = done.join(place, F.col("own") == F.col("own2")).drop("own2", "no_id")
+    spans = _sorted_phrases(rows, window).mapInArrow(_solved(window), "own binary, start int, length int")
+    later = ~((F.col("own") == F.col("first.own")) & (F.col("start") == F.col("first.start")))
+    spans = spans.union(_repeated_windows(rows, window).filter(later).select("own", "start", F.lit(window).alias("length")))
+    found = spans.groupBy("own").agg(F.collect_list(F.struct("start", "length")).alias("found"))
+    done = texts.join(found, "own", "left").select("own", "no_id", "doc", "body", "found").mapInArrow(
+        _removed, "own binary, first_doc long, n_bytes long, n_removed long, kept binary, spans array<struct<start: long, length: long>>")
     doc = docs.select(F.col(id_col).cast("long").alias("id"), _own(F.col(text_col)).alias("key"))
-    stays = F.col("id").eqNullSafe(F.col("doc2")) | (F.col("n_bytes") < window)
+    # A text's copies in later documents lose every window.
+    stays = F.col("id").eqNullSafe(F.col("first_doc")) | (F.col("n_bytes") < window)
     all_gone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))
     return doc.join(done, F.col("key") == F.col("own")).select(
         F.col("id").alias("doc"), "n_bytes", F.when(stays, F.col("n_removed")).otherwise(F.col("n_bytes")).alias("n_removed"),
@@ -442,8 +515,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are maximal within the phrases of their block; longer repeats are chains of them.
     """
-    _, rows = _wanted(docs, id_col, text_col, window, seed, most)
-    member = _distinct(rows, window).mapInArrow(_groups(window), "grp string, length int, anchor long, f1 long, f2 long, at int")
-    every = rows.mapInArrow(_looked_up(window, False), _OCCURRENCE)
-    named = every.join(member, ["anchor", "f1", "f2"]).select("grp", "length", "own", (F.col("start") + F.col("at")).alias("start")).distinct()
-    return named.join(rows.select("own", "doc"), "own").select("grp", "length", "doc", "start")
+    texts, rows = _wanted(docs, id_col, text_col, window, seed, most)
+    member = _sorted_phrases(rows, window).mapInArrow(_groups(window), "grp string, length int, own binary, start int")
+    split = _repeated_windows(rows, window).select(F.concat_ws(":", "f1", "f2").alias("grp"), F.lit(window).alias("length"), "own", "start")
+    return member.union(split).distinct().join(texts.select("own", "doc"), "own").select("grp", "length", "doc", "start")
