@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfgrade.llm import knn, langid, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, suffix_dedup, token_counts, url_filter
+from shelfgrade.llm import conversation_repair, knn, langid, lexical, line_dedup, media, mixing, near_dedup, sentencepiece_codec as sp, substring_dedup, suffix_dedup, token_counts, url_filter
 from shelfgrade.llm.common import cut, n_words, ready
 
 #: A model file of the public tokenizers; a parameter of the operators.
@@ -234,3 +234,78 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 100-byte strings that also start earlier."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 12: ranked lexical search -----------------------------------------------------------------------
+
+_RANKED = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+g AS (SELECT count(*) AS nd, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(qtf * CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term), g GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+@query("op12_lexical_search", _RANKED)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+# --- 13: conversation structure repair -----------------------------------------------------------------
+
+def _repair_sql() -> str:
+    """The edits by a fold over each conversation's rows; each state is its cost in nine digits and the edits so far, ``~`` where there is none."""
+    def add(x: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad(CAST(CAST(left({x}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{edit}' END"
+
+    cut_off, own = "(CASE WHEN s IN ('S', 'U', 'A', 'X') THEN 1 ELSE 0 END)", "lower(s)"
+    a = [f"acc[{i}]" for i in range(1, 5)]
+
+    def to(role: str, before: list[str]) -> list[str]:
+        return [f"CASE WHEN {own} = '{role}' THEN {add(x, cut_off, 'K')} WHEN {'TRUE' if role == 's' else 'FALSE'} THEN '~' ELSE {add(x, '2 + ' + cut_off, 'R')} END" for x in before]
+
+    deleted = [add(x, "3", "D") for x in a]
+    insert = f"[{a[0]}, {a[1]}, least({a[2]}, {', '.join(add(a[i], '2', 'I') for i in (0, 1, 3))}), least({a[3]}, {add(a[2], '2', 'I')})]"
+    row = (f"[{deleted[0]}, least({deleted[1]}, {to('s', [a[0]])[0]}), least({deleted[2]}, {', '.join(to('u', [a[0], a[1], a[3]]))}), "
+           f"least({deleted[3]}, {to('a', [a[2]])[0]})]")
+    fold = f"CASE WHEN s = 'I' THEN {insert} WHEN s = 'D' THEN [{', '.join(deleted)}] ELSE {row} END"
+    return f"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT o.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)]),
+  4294967295), 4294967295) % 20 AS code FROM o, k),
+x AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE code <> 0),
+y AS (SELECT *, row_number() OVER w AS rn, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, lag(role[1]) OVER w AS before,
+  trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+z AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM y),
+v AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'D' WHEN role[1] IN ('s', 'u', 'a') THEN CASE fault WHEN 'truncated' THEN upper(role[1]) ELSE role[1] END
+  WHEN fault = 'truncated' THEN 'X' ELSE 'x' END AS symbol FROM z),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+  string_agg('III' || symbol, '' ORDER BY rn) || 'III' AS symbols FROM v GROUP BY 1),
+e AS (SELECT *, list_reduce(string_split(symbols, ''), lambda acc, s: {fold}, ['000000000', '~', '~', '~']) AS ends FROM c),
+b AS (SELECT * EXCLUDE (symbols, ends), CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM (SELECT *, least(ends[1], ends[4]) AS best FROM e)),
+p AS (SELECT conv_id, edit, pos, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS rn, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS place
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS pos FROM b WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+j AS (SELECT p.*, v.role, CASE WHEN edit = 'I' THEN '' ELSE v.text END AS text, max(CASE WHEN place = 1 AND edit = 'K' AND v.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS lead
+  FROM p LEFT JOIN v ON v.conv_id = p.conv_id AND v.rn = p.rn AND edit <> 'I'),
+m AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS repaired FROM j WHERE edit <> 'D' GROUP BY 1)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b USING (conv_id) LEFT JOIN m USING (conv_id)
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.repair_summary(table(spark, sf_dir, "conversations"), damage=True)
