@@ -11,16 +11,16 @@ neighbours (or stand where a phrase begins) is a maximal repeat group of its blo
 neighbours in the array. In each group all but the first occurrence are duplicate spans; a repeat that is longer than a phrase comes as
 a chain of overlapping groups of consecutive blocks.
 
-Exact: bytes are compared, not hashes, apart from the identity of whole texts (128 bits of SHA-2) and whole phrases (64 bits of
+Exact: bytes are compared, not hashes, apart from the identity of whole texts (128 bits of SHA-2) and whole phrases (48 bits of
 anchor and 64 of hash). Every window that also starts earlier is a non-first member of its interval's nearest left-diverse relatives, and
 nothing else is: members of a group only stand later than its first.
 
 Scale: equal texts are one before anything is cut; a copy loses all its windows without being looked at. Phrases are about thirty times
 fewer than bytes and counted with partial sums. A block holds different phrases only. Anchors that occur more than ``most`` times (a
 passage in a third of all documents, each time between other words) are split into single windows under their own
-hash, which needs no sort. Texts are shuffled once, compressed.
+hash, which needs no sort. Texts are shuffled once, compressed, by document, so that many copies of a text do not meet.
 
-Defined results: order is by id, null ids last, then by the text's hash. A null text is empty. Rows that agree in id and text are one document
+Defined results: order is by id, null ids last, then by a hash of the text. A null text is empty. Rows that agree in id and text are one document
 and share its result. Texts shorter than ``window`` bytes lose nothing. Extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pack(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.binary())], b.schema.names)
 
 
@@ -99,27 +99,33 @@ def _cut_up(window: int, seed: int):
             texts = _raw(b.column("body"))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             doc, start, size, anchor = phrases(np.frombuffer(b"".join(texts), np.uint8), offsets, window, seed)
-            own = b.column("own").take(pa.array(doc))
-            # Start and number of windows in one number.
-            yield pa.RecordBatch.from_arrays([own, pa.array(anchor.view(np.int64)), pa.array(start << 16 | size)], ["own", "anchor", "spot"])
+            # Start and number of windows in one number, 48 bits of the anchor: two that are taken for one only make a block larger.
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(doc)), pa.array((anchor >> np.uint64(16)).view(np.int64)), pa.array(start << 16 | size)], ["doc", "anchor", "spot"])
 
     return run
 
 
-_PLACE = "no_id boolean, doc long, own binary, start int"
+#: A document: null ids last; equal ids (a hash stands for a null one) are told apart by a hash of the text.
+_NAME = ["no_id", "doc", "tie"]
+_PLACE = "no_id boolean, doc long, tie int, start int"
 
 
 class _Wanted:
-    """A batch's texts as one run of bytes, and the phrases asked for: ``row``, ``start``, ``size``, ``anchor`` and where they lie."""
+    """A batch's texts as one run of bytes, and the phrases asked for: ``row``, ``start``, ``size``, ``anchor`` and where they lie.
 
-    def __init__(self, b: pa.RecordBatch):
+    Documents of one id share what is wanted; what another one asked for does no harm where it fits and is left out where it does not.
+    """
+
+    def __init__(self, b: pa.RecordBatch, window: int):
         texts, want = _raw(b.column("body")), b.column("want")
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.buf, self.row = np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        row = np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
         flat = want.flatten()
-        self.anchor, spot = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("anchor", "spot"))
-        self.start, self.size = spot >> 16, spot & 0xFFFF
-        self.at = offsets[self.row] + self.start
+        anchor, spot = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("anchor", "spot"))
+        fits = (spot >> 16) + (spot & 0xFFFF) + (window - 1) <= sizes[row]
+        self.buf, self.row, self.anchor = np.frombuffer(b"".join(texts), np.uint8), row[fits], anchor[fits]
+        self.start, self.size = spot[fits] >> 16, spot[fits] & 0xFFFF
+        self.at = (np.cumsum(sizes) - sizes)[self.row] + self.start
 
     def named(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the bytes ``at .. at + length``, from prefix sums over pieces of the bytes."""
@@ -152,7 +158,7 @@ def _phrases(window: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in it:
-            w = _Wanted(b)
+            w = _Wanted(b, window)
             length = w.size + (window - 1)
             name, _ = w.named(length)
             names = np.stack([w.anchor.view(np.uint64), name], 1).tobytes()
@@ -168,9 +174,9 @@ def _phrases(window: int):
                 part = slice(k, k + _ROWS)
                 row = pa.array(w.row[part])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(w.anchor[part]), pa.array(name[part].view(np.int64)), *(b.column(n).take(row) for n in ("no_id", "doc", "own")),
+                    pa.array(w.anchor[part]), pa.array(name[part].view(np.int64)), *(b.column(n).take(row) for n in _NAME),
                     pa.array(w.start[part].astype(np.int32)), pa.array(w.size[part].astype(np.int32)), _bytes(w.buf, w.at[part], length[part], new[part])],
-                    ["anchor", "name", "no_id", "doc", "own", "start", "size", "bytes"])
+                    ["anchor", "name", *_NAME, "start", "size", "bytes"])
 
     return run
 
@@ -179,7 +185,7 @@ def _windows(window: int):
     """The single windows of the wanted phrases."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            w = _Wanted(b)
+            w = _Wanted(b, window)
             many = w.size
             step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             w.row, w.start, w.at = np.repeat(w.row, many), np.repeat(w.start, many) + step, np.repeat(w.at, many) + step
@@ -187,8 +193,8 @@ def _windows(window: int):
             for k in range(0, len(f1), _ROWS):
                 part = slice(k, k + _ROWS)
                 row = pa.array(w.row[part])
-                yield pa.RecordBatch.from_arrays([pa.array(f1[part].view(np.int64)), pa.array(f2[part].view(np.int64)), *(b.column(n).take(row) for n in ("no_id", "doc", "own")),
-                                                  pa.array(w.start[part].astype(np.int32))], ["f1", "f2", "no_id", "doc", "own", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(f1[part].view(np.int64)), pa.array(f2[part].view(np.int64)), *(b.column(n).take(row) for n in _NAME),
+                                                  pa.array(w.start[part].astype(np.int32))], ["f1", "f2", *_NAME, "start"])
 
     return run
 
@@ -340,15 +346,16 @@ class _Rows:
         self.mine = np.flatnonzero(np.repeat(many > 1, many))
         at = self.first[self.mine]
         self.bodies = rows.column("bytes").take(pa.array(with_bytes[self.mine])).to_pylist()
-        own = np.array([int.from_bytes(x, "big") >> 64 for x in rows.column("own").take(pa.array(at)).to_pylist()], np.uint64)
-        low = np.array([int.from_bytes(x, "big") & (1 << 64) - 1 for x in rows.column("own").take(pa.array(at)).to_pylist()], np.uint64)
-        no_id, doc = rows.column("no_id").to_numpy()[at], rows.column("doc").fill_null(0).to_numpy()[at]
+        name = [rows.column(n).to_numpy()[at] for n in _NAME]
         # Numbers of documents in reading order.
-        order = np.lexsort([low, own, doc, no_id])
-        differ = np.any([x[order][1:] != x[order][:-1] for x in (low, own, doc, no_id)], axis=0)
+        order = np.lexsort(name[::-1])
+        differ = np.any([x[order][1:] != x[order][:-1] for x in name], axis=0)
         self.doc = np.empty(len(at), np.int64)
         self.doc[order] = np.cumsum(np.concatenate([[True], differ])[: len(at)])
 
+    def names(self, row: np.ndarray) -> list[pa.Array]:
+        return [self.rows.column(n).combine_chunks().take(pa.array(row)) for n in _NAME]
+
 
 def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     """Rows that come sorted by anchor, in whole blocks of about ``_BLOCK`` bytes together."""
@@ -389,23 +396,22 @@ def _solved(window: int):
             row, start, length = np.concatenate(row), np.concatenate(start), np.concatenate(length)
             for k in range(0, len(row), _ROWS):
                 part = slice(k, k + _ROWS)
-                own = r.rows.column("own").combine_chunks()
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(row[part])), pa.array(start[part].astype(np.int32)), pa.array(length[part].astype(np.int32))], ["own", "start", "length"])
+                yield pa.RecordBatch.from_arrays([*r.names(row[part]), pa.array(start[part].astype(np.int32)), pa.array(length[part].astype(np.int32))], [*_NAME, "start", "length"])
 
     return run
 
 
 def _groups(window: int):
     """Maximal repeat groups: one row per group and member."""
-    kind = pa.schema([("grp", pa.string()), ("length", pa.int32()), ("own", pa.binary()), ("start", pa.int32())])
+    kind = pa.schema([("grp", pa.string()), ("length", pa.int32()), ("no_id", pa.bool_()), ("doc", pa.int64()), ("start", pa.int32())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _blocks(it):
-            own, out = r.rows.column("own").combine_chunks(), []
+            no_id, doc, out = r.rows.column("no_id"), r.rows.column("doc"), []
             edges = np.append(r.first, r.rows.num_rows)
 
             def rows_of(phrase: int, offset: int, name: str, length: int) -> list[dict]:
-                return [{"grp": name, "length": length, "own": own[i].as_py(), "start": int(r.start[i]) + offset} for i in range(int(edges[phrase]), int(edges[phrase + 1]))]
+                return [{"grp": name, "length": length, "no_id": no_id[i].as_py(), "doc": doc[i].as_py(), "start": int(r.start[i]) + offset} for i in range(int(edges[phrase]), int(edges[phrase + 1]))]
 
             whole = set()
             for length, members, best, _, body, offset in _block(r.bodies, r.doc, r.start[r.first[r.mine]], window):
@@ -451,7 +457,8 @@ def _removed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes - lost)]).astype(np.int64)), pa.py_buffer(data)])
         spans = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32),
                                          pa.StructArray.from_arrays([pa.array(begin - base[doc]), pa.array(end - begin)], ["start", "length"]))
-        yield pa.RecordBatch.from_arrays([b.column("own"), b.column("doc"), pa.array(sizes), pa.array(lost), kept.cast(pa.binary()), spans], ["own", "first_doc", "n_bytes", "n_removed", "kept", "spans"])
+        doc = pa.array([None if none else d for none, d in zip(b.column("no_id").to_pylist(), b.column("doc").to_pylist())], pa.int64())
+        yield pa.RecordBatch.from_arrays([doc, pa.array(sizes), pa.array(lost), kept.cast(pa.binary()), spans], ["doc", "n_bytes", "n_removed", "kept", "spans"])
 
 
 def _own(text: Column) -> Column:
@@ -459,17 +466,26 @@ def _own(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def _wanted(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The different texts with their first document, and those with phrases to look up. All readers use all columns, so that they share one exchange."""
-    doc = F.col(id_col).cast("long")
-    base = docs.select(_own(F.col(text_col)).alias("own"), doc.isNull().alias("no_id"), doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    # The filter is what an inner join would add for one of the readers.
-    texts = base.mapInArrow(_packed, base.schema).filter("own is not null").groupBy("own").agg(F.min(F.struct("no_id", "doc")).alias("d"), F.first("body").alias("body"))
-    texts = texts.select("own", "d.no_id", "d.doc", "body")
-    cut_up = texts.mapInArrow(_cut_up(window, seed), "own binary, anchor long, spot long")
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text, doc = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(_own(F.col(text_col)).alias("own"), doc.isNull().alias("no_id"), F.coalesce(doc, F.xxhash64(text)).alias("doc"), F.hash(text).alias("tie"), text.cast("binary").alias("body"))
+
+
+def _wanted(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first document of each text, those with phrases to look up, and the later copies without their texts.
+
+    All readers use all columns of the texts, so that they share one exchange.
+    """
+    base = _named(docs, id_col, text_col)
+    light = base.select("own", "no_id", "doc", F.octet_length("body").cast("long").alias("n_bytes"), F.when(F.octet_length("body") < window, F.col("body")).alias("short"))
+    first = light.groupBy("own").agg(F.min(F.struct("no_id", "doc")).alias("first"))
+    copies = light.join(first, "own").filter(F.struct("no_id", "doc") != F.col("first")).select("no_id", "doc", "n_bytes", "short")
+    owns = first.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_set("own").alias("owns"))
+    texts = base.mapInArrow(_packed, base.schema).join(owns, "doc").filter(F.array_contains("owns", F.col("own"))).select("no_id", "doc", "tie", "body")
+    cut_up = texts.mapInArrow(_cut_up(window, seed), "doc long, anchor long, spot long")
     repeated = cut_up.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor", (F.col("times") > most).alias("hot"))
-    wanted = cut_up.join(repeated, "anchor").groupBy("own").agg(F.collect_list(F.struct("anchor", "spot", "hot")).alias("want"))
-    return texts, texts.join(wanted, "own").select("own", "no_id", "doc", "body", "want")
+    wanted = cut_up.join(repeated, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "spot", "hot")).alias("want"))
+    return texts, texts.join(wanted, "doc").select("no_id", "doc", "tie", "body", "want"), copies
 
 
 def _asked(rows: DataFrame, hot: bool) -> DataFrame:
@@ -478,14 +494,14 @@ def _asked(rows: DataFrame, hot: bool) -> DataFrame:
 
 def _sorted_phrases(rows: DataFrame, window: int) -> DataFrame:
     kind = f"anchor long, name long, {_PLACE}, size int, bytes binary"
-    order = ["anchor", "name", "no_id", "doc", "own", "start"]
+    order = ["anchor", "name", *_NAME, "start"]
     return _asked(rows, False).mapInArrow(_phrases(window), kind).repartition("anchor").sortWithinPartitions(*order)
 
 
 def _repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """Windows of split anchors that stand more than once, with their first place."""
     each = _asked(rows, True).mapInArrow(_windows(window), f"f1 long, f2 long, {_PLACE}")
-    first = each.groupBy("f1", "f2").agg(F.min(F.struct("no_id", "doc", "own", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    first = each.groupBy("f1", "f2").agg(F.min(F.struct(*_NAME, "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     return each.join(first.drop("times"), ["f1", "f2"])
 
 
@@ -494,20 +510,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``spans`` are the maximal removed runs ``(start, length)`` in bytes of the text as it was, ``kept`` the remaining bytes.
     """
-    texts, rows = _wanted(docs, id_col, text_col, window, seed, most)
-    spans = _sorted_phrases(rows, window).mapInArrow(_solved(window), "own binary, start int, length int")
-    later = ~((F.col("own") == F.col("first.own")) & (F.col("start") == F.col("first.start")))
-    spans = spans.union(_repeated_windows(rows, window).filter(later).select("own", "start", F.lit(window).alias("length")))
-    found = spans.groupBy("own").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-    done = texts.join(found, "own", "left").select("own", "no_id", "doc", "body", "found").mapInArrow(
-        _removed, "own binary, first_doc long, n_bytes long, n_removed long, kept binary, spans array<struct<start: long, length: long>>")
-    doc = docs.select(F.col(id_col).cast("long").alias("id"), _own(F.col(text_col)).alias("key"))
+    texts, rows, copies = _wanted(docs, id_col, text_col, window, seed, most)
+    spans = _sorted_phrases(rows, window).mapInArrow(_solved(window), "no_id boolean, doc long, tie int, start int, length int")
+    later = F.struct(*_NAME, "start") != F.col("first")
+    spans = spans.union(_repeated_windows(rows, window).filter(later).select(*_NAME, "start", F.lit(window).alias("length")))
+    found = spans.groupBy("doc").agg(F.collect_list(F.struct("no_id", "tie", "start", "length")).alias("found"))
+    # Documents of one id share a list; each takes its own part.
+    mine = F.filter("found", lambda x: (x["no_id"] == F.col("no_id")) & (x["tie"] == F.col("tie")))
+    done = texts.join(found, "doc", "left").select("no_id", "doc", "tie", "body", mine.alias("found")).mapInArrow(
+        _removed, "doc long, n_bytes long, n_removed long, kept binary, spans array<struct<start: long, length: long>>")
     # A text's copies in later documents lose every window.
-    stays = F.col("id").eqNullSafe(F.col("first_doc")) | (F.col("n_bytes") < window)
-    all_gone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))
-    return doc.join(done, F.col("key") == F.col("own")).select(
-        F.col("id").alias("doc"), "n_bytes", F.when(stays, F.col("n_removed")).otherwise(F.col("n_bytes")).alias("n_removed"),
-        F.when(stays, F.col("kept")).otherwise(F.lit(b"")).alias("kept"), F.when(stays, F.col("spans")).otherwise(all_gone).alias("spans"))
+    gone = F.when(F.col("short").isNull(), F.col("n_bytes")).otherwise(0)
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))
+    return done.union(copies.select(
+        F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "n_bytes", gone.alias("n_removed"), F.coalesce("short", F.lit(b"")).alias("kept"),
+        F.when(F.col("short").isNull(), span).otherwise(F.filter(span, lambda x: F.lit(False))).alias("spans")))
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, most: int = MOST) -> DataFrame:
@@ -515,7 +532,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are maximal within the phrases of their block; longer repeats are chains of them.
     """
-    texts, rows = _wanted(docs, id_col, text_col, window, seed, most)
-    member = _sorted_phrases(rows, window).mapInArrow(_groups(window), "grp string, length int, own binary, start int")
-    split = _repeated_windows(rows, window).select(F.concat_ws(":", "f1", "f2").alias("grp"), F.lit(window).alias("length"), "own", "start")
-    return member.union(split).distinct().join(texts.select("own", "doc"), "own").select("grp", "length", "doc", "start")
+    _, rows, _ = _wanted(docs, id_col, text_col, window, seed, most)
+    member = _sorted_phrases(rows, window).mapInArrow(_groups(window), "grp string, length int, no_id boolean, doc long, start int")
+    split = _repeated_windows(rows, window).select(F.concat_ws(":", "f1", "f2").alias("grp"), F.lit(window).alias("length"), "no_id", "doc", "start")
+    return member.union(split).distinct().select("grp", "length", F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "start")
