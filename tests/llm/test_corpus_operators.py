@@ -385,8 +385,63 @@ def test_rollups(spark, tmp_path):
     want = sorted([("s", "fr", "w1", 1, 5), ("s", None, "w1", 1, 0), (None, "en", "w1", 2, 2)], key=str)
     assert total(folder) == want
     tc.commit(folder, "4", tc.signed(tc.counted(docs.limit(0), words), 1))
-    tc.compact(spark, folder, str(tmp_path / "c"))
-    assert total(folder) == want == total(str(tmp_path / "c"))
+    other = str(tmp_path / "c")
+    tc.compact(spark, folder, other)
+    assert total(folder) == want == total(other)
+    # A retry of a folded batch changes nothing, in the new folder and after folding in place; folding again does no harm.
+    assert not tc.commit(other, "1", tc.signed(tc.counted(docs, words), 1))
+    tc.compact(spark, folder, other)
+    tc.compact(spark, folder)
+    assert not tc.commit(folder, "2", gone) and total(folder) == want == total(other)
+    assert tc.commit(folder, "5", tc.signed(tc.counted(docs.filter("doc_id = 2"), words), -1))
+    tc.compact(spark, folder)
+    assert total(folder) == [w for w in want if w[1] is not None]
+    with pytest.raises(ValueError):
+        tc.compact(spark, other, folder, "more")
+    # What no manifest names can go.
+    assert tc.sweep(spark, folder) > 0 == tc.sweep(spark, folder)
+    assert total(folder) == [w for w in want if w[1] is not None]
+
+
+def test_commits_are_whole_or_not_there(spark, tmp_path, monkeypatch):
+    folder, total = str(tmp_path / "r"), lambda: [tuple(r) for r in tc.totals(spark, str(tmp_path / "r")).collect()]
+    rows = spark.createDataFrame([("s", "en", "w", 1, 3)], "source string, lang string, tokenizer string, docs long, tokens long")
+    assert total() == [] and tc.sweep(spark, folder) == 0
+    tc.commit(folder, "1", rows)
+    publish, seen = tc._publish, []
+
+    def crash(*args):
+        seen.append(total())
+        raise RuntimeError("lost driver")
+
+    # A reader between writing and publishing, and everybody after a crash there, sees the old state of a batch that is being replaced.
+    monkeypatch.setattr(tc, "_publish", crash)
+    with pytest.raises(RuntimeError):
+        tc.commit(folder, "1", rows.withColumn("tokens", F.lit(5).cast("long")))
+    monkeypatch.setattr(tc, "_publish", publish)
+    assert seen == [[("s", "en", "w", 1, 3)]] and total() == seen[0]
+
+    def late(spark, folder, number, content):
+        # Another writer puts the same manifest in place first.
+        monkeypatch.setattr(tc, "_publish", publish)
+        tc.commit(folder, "2", rows)
+        assert not publish(spark, folder, number, content)
+        return False
+
+    monkeypatch.setattr(tc, "_publish", late)
+    tc.commit(folder, "3", rows)
+    assert total() == [("s", "en", "w", 3, 9)]
+
+
+def test_token_counts_of_odd_rows(spark, tmp_path):
+    rows = [(1, "s", "en", "a " * 200_000), (None, None, None, None), (1, "s", "en", "a " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    # Extra columns with the names of the operator's own.
+    docs = docs.withColumns({"tokenizer": F.lit("x"), "tokens": F.lit(7), "docs": F.lit("y"), "batch": F.lit(1)})
+    folder = str(tmp_path / "r")
+    tc.commit(folder, "b", tc.signed(tc.counted(docs, {"w": n_words(F.col("text")), "p": tc.bpe_count(F.col("text"), RANKS)}), 1))
+    got = {(r.source, r.tokenizer): (r.docs, r.tokens) for r in tc.totals(spark, folder).collect()}
+    assert got[("s", "w")] == (2, 400_000) and got[(None, "w")] == (1, 0) == got[(None, "p")] and got[("s", "p")][1] == 2 * tc.count_tokens("a " * 200_000, RANKS)
 
 
 @given(st.text(max_size=80))
