@@ -19,17 +19,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
-from math import log
+from itertools import chain, repeat
+from math import inf, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 MARK = "▁"
 _WORDS = re.compile(" *[^ ]+| +")
 #: Distinct words remembered from batch to batch.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Texts whose words are held at once.
 ROWS = 256
 
@@ -44,13 +44,16 @@ class Pieces:
     ids: dict[str, int]
     scores: dict[str, float]
     byte_ids: tuple[int, ...]
-    surfaces: tuple[str, ...]
-    #: The byte of a byte piece, else -1.
-    byte_of: np.ndarray
-    longest: int
+    #: The surfaces of all ids one after another as UTF-8, a byte piece as its byte: where each begins, and how long it is.
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
     unknown: float
-    #: Lengths over 2 of the pieces that end in these three characters.
-    ends: dict[str, tuple[int, ...]]
+    #: Where a piece's beginning goes on by a character, and where from if it does not; the pieces that end there, as (length, score, id), shortest
+    #: first. A single character that is no piece has the id -1.
+    children: list[dict[str, int]]
+    fail: list[int]
+    ending: list[tuple[tuple[int, float, int], ...]]
 
 
 def make_pieces(vocabulary: list[tuple[str, str, float]]) -> Pieces:
@@ -58,24 +61,52 @@ def make_pieces(vocabulary: list[tuple[str, str, float]]) -> Pieces:
 
     Not used: pieces with a mark behind another character. Pieces of marks only lie within one word, at its start.
     """
-    ids, scores, byte_ids, surfaces, byte_of = {}, {}, [0] * 256, [""] * len(vocabulary), np.full(len(vocabulary), -1)
+    ids, scores, byte_ids, surfaces = {}, {}, [0] * 256, [b""] * len(vocabulary)
     for i, (piece, kind, score) in enumerate(vocabulary):
         if kind == "byte":
             byte_ids[int(piece[1:-1], 16)] = i
-            byte_of[i] = int(piece[1:-1], 16)
+            surfaces[i] = bytes([int(piece[1:-1], 16)])
         elif kind == "normal":
-            surfaces[i] = piece.replace(MARK, " ")
-            bare = piece.lstrip(MARK)
+            surface, bare = piece.replace(MARK, " "), piece.lstrip(MARK)
+            surfaces[i] = surface.encode()
             if piece and MARK not in bare:
-                ids.setdefault(surfaces[i], i)
-                scores.setdefault(surfaces[i], score)
-    lowest = min(scores.values(), default=0.0)
-    ends: dict[str, set[int]] = {}
+                ids.setdefault(surface, i)
+                scores.setdefault(surface, score)
+    sizes = np.array([len(x) for x in surfaces], np.int64)
+    unknown = min(scores.values(), default=0.0) - 10
+    return Pieces(ids, scores, tuple(byte_ids), np.frombuffer(b"".join(surfaces), np.uint8), np.cumsum(sizes) - sizes, sizes, unknown, *_automaton(ids, scores, unknown))
+
+
+def _automaton(ids: dict[str, int], scores: dict[str, float], unknown: float) -> tuple[list, list, list]:
+    """All beginnings of pieces as one tree, each with its longest proper ending that is a beginning, too."""
+    children: list[dict[str, int]] = [{}]
+    own: list[tuple | None] = [None]
     for piece in ids:
-        if len(piece) > 2:
-            ends.setdefault(piece[-3:], set()).add(len(piece))
-    return Pieces(ids, scores, tuple(byte_ids), tuple(surfaces), byte_of, max(map(len, ids), default=1), lowest - 10,
-                  {k: tuple(sorted(v)) for k, v in ends.items()})
+        at = 0
+        for ch in piece:
+            if ch not in children[at]:
+                children[at][ch] = len(children)
+                children.append({})
+                own.append(None)
+            at = children[at][ch]
+        own[at] = (len(piece), scores[piece], ids[piece])
+    fail, ending = [0] * len(children), [((1, unknown, -1),)] * len(children)
+    level = list(children[0].values())
+    depth = 1
+    while level:
+        below = []
+        for at in level:
+            # A character by itself is always possible.
+            shorter = ending[fail[at]] if depth > 1 else () if own[at] else ((1, unknown, -1),)
+            ending[at] = (*shorter, own[at]) if own[at] else shorter
+            for ch, child in children[at].items():
+                f = fail[at]
+                while f and ch not in children[f]:
+                    f = fail[f]
+                fail[child] = children[f].get(ch, 0) if at else 0
+                below.append(child)
+        level, depth = below, depth + 1
+    return children, fail, ending
 
 
 @lru_cache(maxsize=4)
@@ -93,42 +124,43 @@ def load(path: str) -> Pieces:
 def encode_words(words: list[str], pieces: Pieces) -> dict[str, list[int]]:
     """Ids of each distinct word.
 
-    Forward state at depth d: best score of the first d characters and the length of the last piece. Sorted order visits
-    each trie node once, parents first. Of equally good pieces the longest is taken.
+    Forward state at depth d: the longest ending of the first d characters that begins a piece, the best score of them, and the last piece of
+    that. Sorted order visits each trie node once, parents first; a word goes on from the deepest node that it shares with the one
+    before. Of equally good pieces the longest is taken.
     """
     out: dict[str, list[int]] = {}
-    best, back, before = [0.0], [0], ""
-    score, ends, unknown = pieces.scores.get, pieces.ends.get, pieces.unknown
+    at, best, back, before = [0], [0.0], [(0, 0.0, 0)], ""
+    children, fail, ending = pieces.children, pieces.fail, pieces.ending
     for word in sorted(set(words)):
         same, most = 0, min(len(word), len(before))
         while same < most and word[same] == before[same]:
             same += 1
-        del best[same + 1:], back[same + 1:]
-        for end in range(same + 1, len(word) + 1):
-            # A single character is always possible, as bytes if need be.
-            top, size = best[end - 1] + score(word[end - 1], unknown), 1
-            if end > 1:
-                s = score(word[end - 2: end])
-                if s is not None and best[end - 2] + s >= top:
-                    top, size = best[end - 2] + s, 2
-                for n in ends(word[end - 3: end], ()) if end > 2 else ():
-                    if n > end:
-                        break
-                    s = score(word[end - n: end])
-                    if s is not None and best[end - n] + s >= top:
-                        top, size = best[end - n] + s, n
+        del at[same + 1:], best[same + 1:], back[same + 1:]
+        state = at[same]
+        for ch in word[same:]:
+            new = children[state].get(ch)
+            while new is None and state:
+                state = fail[state]
+                new = children[state].get(ch)
+            state = new or 0
+            top = -inf
+            for piece in ending[state]:
+                score = best[-piece[0]] + piece[1]
+                if score >= top:
+                    top, last = score, piece
+            at.append(state)
             best.append(top)
-            back.append(size)
+            back.append(last)
         ids, end = [], len(word)
         while end:
-            n = back[end]
-            i = pieces.ids.get(word[end - n: end])
-            if i is not None:
+            n, _, i = back[end]
+            if i >= 0:
                 ids.append(i)
             else:
                 ids.extend(pieces.byte_ids[x] for x in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
             end -= n
-        out[word] = ids[::-1]
+        ids.reverse()
+        out[word] = ids
         before = word
     return out
 
@@ -140,41 +172,104 @@ def encode_text(text: str, pieces: Pieces) -> list[int]:
     return list(chain.from_iterable(table[w] for w in words))
 
 
+def joined_bytes(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The surfaces of ids one after another as UTF-8, and where each ends. A byte piece is its byte, so runs of them decode together."""
+    size = pieces.sizes[ids]
+    ends = np.cumsum(size)
+    return pieces.flat[np.repeat(pieces.starts[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 def decode_ids(ids, pieces: Pieces) -> str:
-    """Pieces' surfaces joined; runs of byte ids are decoded together."""
+    """The text behind the ids of one text."""
     ids = np.asarray(ids, np.int64)
-    raw = pieces.byte_of[ids] >= 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], raw, [False]]).view(np.int8)))
-    out, at = [], 0
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        out.extend(map(pieces.surfaces.__getitem__, ids[at:a].tolist()))
-        out.append(pieces.byte_of[ids[a:b]].astype(np.uint8).tobytes().decode("utf-8", "replace"))
-        at = b
-    out.extend(map(pieces.surfaces.__getitem__, ids[at:].tolist()))
-    return "".join(out)[1:]
-
-
-def encode_rows(texts, pieces: Pieces, table: dict[str, list[int]]) -> list[np.ndarray | None]:
-    """Ids of a few texts. ``table`` remembers words from call to call and is emptied when it is full."""
-    cut = [None if t is None else _WORDS.findall(" " + t) if t else [] for t in texts]
-    new = {w for words in cut if words for w in words if w not in table}
-    if new and len(table) + len(new) > REMEMBERED:
-        table.clear()
-        new = set(chain.from_iterable(w for w in cut if w))
-    table.update(encode_words(list(new), pieces))
-    return [None if w is None else np.fromiter(chain.from_iterable(map(table.__getitem__, w)), np.int32) for w in cut]
+    return joined_bytes(ids, pieces)[0].tobytes().decode("utf-8", "replace")[1:]
+
+
+class Memory:
+    """The ids of the words that a worker has met, in one flat array. When it is full, the older half goes.
+
+    A key is a word without its blank, as it stands between single blanks; words with other blanks are kept as they are.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.number = pieces, {}
+        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def _forget(self) -> None:
+        cut = len(self.number) // 2
+        self.number = {w: i - cut for w, i in self.number.items() if i >= cut}
+        self.flat = self.flat[self.starts[cut]:]
+        self.starts = self.starts[cut:] - self.starts[cut]
+
+    def _learn(self, words: set[str]) -> None:
+        full = {w if w[0] == " " else " " + w: w for w in words}
+        table = encode_words(list(full), self.pieces)
+        n = len(self.number)
+        self.number.update((full[w], n + i) for i, w in enumerate(table))
+        sizes = np.fromiter(map(len, table.values()), np.int64, len(table))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(table.values()), np.int32, int(sizes.sum()))])
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        got = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            words = {keys[i] for i in missing.tolist()}
+            if len(self.number) + len(words) > REMEMBERED and self.number:
+                self._forget()
+                return self.numbers(keys)
+            self._learn(words)
+            got[missing] = np.fromiter((self.number[keys[i]] for i in missing.tolist()), np.int64, len(missing))
+        return got
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a few texts, and the number of each text's."""
+        keys: list[str] = []
+        words = []
+        for t in texts:
+            before = len(keys)
+            if t:
+                if "  " not in t and t[0] != " " and t[-1] != " ":
+                    keys += t.split(" ")
+                else:
+                    keys += [w[1:] if w[0] == " " and w[1:2] not in ("", " ") else w for w in _WORDS.findall(" " + t)]
+            words.append(len(keys) - before)
+        if not keys:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        number = self.numbers(keys)
+        begin = self.starts[number]
+        size = self.starts[number + 1] - begin
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))]
+        per_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
+        return ids, np.diff(per_text)
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    missing = np.array([t is None for t in texts], bool)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=pa.array(missing) if missing.any() else None)
+
+
+def _same(ids: np.ndarray, counts: np.ndarray, texts: list[str | None], pieces: Pieces) -> np.ndarray:
+    """Whether the ids of each text decode to it; true for null."""
+    data, ends = joined_bytes(ids, pieces)
+    at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    # A text begins with the blank that was put in front of it.
+    return np.array([t is None or data[a + 1: b].tobytes() == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, at, at[1:])], bool)
 
 
 def encode(text: Column, path: str) -> Column:
     """``array<int>`` of piece ids."""
-    @F.pandas_udf("array<int>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, table = load(path), {}
-        for s in it:
-            out: list[np.ndarray | None] = []
-            for at in range(0, len(s), ROWS):
-                out.extend(encode_rows(s.iloc[at: at + ROWS], pieces, table))
-            yield pd.Series(out, dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = Memory(load(path))
+        for column in it:
+            out = []
+            for at in range(0, len(column), ROWS):
+                part = column.slice(at, ROWS).to_pylist()
+                out.append(_lists(*memory.ids(part), part))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return run(text)
 
@@ -184,27 +279,33 @@ def encode_checked(text: Column, path: str) -> Column:
 
     One worker per task does both, so that ids need not go back and forth.
     """
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, table = load(path), {}
-        for s in it:
-            ids, same = [], []
-            for at in range(0, len(s), ROWS):
-                part = s.iloc[at: at + ROWS]
-                coded = encode_rows(part, pieces, table)
-                same.extend((x is None and t is None) or decode_ids(x, pieces) == t for x, t in zip(coded, part))
-                ids.extend(coded)
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": np.array(same, bool)})
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = load(path)
+        memory = Memory(pieces)
+        for column in it:
+            lists, same = [pa.array([], pa.list_(pa.int32()))], [np.empty(0, bool)]
+            for at in range(0, len(column), ROWS):
+                part = column.slice(at, ROWS).to_pylist()
+                ids, counts = memory.ids(part)
+                lists.append(_lists(ids, counts, part))
+                same.append(_same(ids, counts, part, pieces))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.array(np.concatenate(same))], ["ids", "round_trip"])
 
     return run(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text behind piece ids; null for null."""
-    @F.pandas_udf("string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = load(path)
-        for s in it:
-            yield pd.Series([None if x is None else decode_ids(x, pieces) for x in s], dtype=object)
+        for column in it:
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            data, ends = joined_bytes(flat, pieces)
+            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            there = column.is_valid().to_pylist()
+            yield pa.array([data[a + 1: b].tobytes().decode("utf-8", "replace") if t else None for t, a, b in zip(there, at, at[1:])], pa.string())
 
     return run(ids)
