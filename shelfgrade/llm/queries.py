@@ -212,20 +212,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 11: suffix-array dedup --------------------------------------------------------------------------
 
-#: Bytes as pairs of hexadecimal digits, because DuckDB cuts text, not blobs.
 _BYTES = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
-win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM n)),
+WITH n AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(b[i + 1:i + 100]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS i FROM n)),
 f AS (SELECT h, min((doc_id, i)) AS f FROM win GROUP BY h HAVING count(*) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS pos FROM win JOIN f USING (h) WHERE (doc_id, i) <> f.f),
-runs AS (SELECT doc_id, count(*) AS k, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS spans FROM
-  (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY 1),
-each AS (SELECT doc_id, x, unnest(range(0, n)) AS pos FROM n WHERE doc_id IN (SELECT doc_id FROM runs)),
-kept AS (SELECT e.doc_id, string_agg(substr(x, 2 * e.pos + 1, 2), '' ORDER BY e.pos) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY 1)
+runs AS (SELECT doc_id, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g),
+segments AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM runs),
+kept AS (SELECT doc_id, string_agg(hex(b[p + 1:s]), '' ORDER BY s) AS t, max(e) AS last, count(*) AS spans, sum(e - s) AS k FROM segments JOIN n USING (doc_id) GROUP BY 1)
 SELECT n.doc_id, n AS n_bytes, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN k IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
-FROM n LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+  sha256(CASE WHEN k IS NULL THEN b ELSE unhex(t || hex(b[last + 1:n])) END) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
 """
 
 
