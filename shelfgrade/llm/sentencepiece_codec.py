@@ -23,13 +23,13 @@ from itertools import chain, repeat
 from math import inf, log
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 MARK = "▁"
 _WORDS = re.compile(" *[^ ]+| +")
 #: Distinct words remembered from batch to batch.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Texts whose words are held at once.
 ROWS = 256
 
@@ -245,31 +245,30 @@ class Memory:
         return ids, np.diff(per_text)
 
 
-def _lists(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    missing = np.array([t is None for t in texts], bool)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=pa.array(missing) if missing.any() else None)
+def _per_text(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> list[np.ndarray | None]:
+    ends = np.cumsum(counts).tolist()
+    return [None if t is None else ids[b - n: b] for t, b, n in zip(texts, ends, counts.tolist())]
 
 
-def _same(ids: np.ndarray, counts: np.ndarray, texts: list[str | None], pieces: Pieces) -> np.ndarray:
+def _same(ids: np.ndarray, counts: np.ndarray, texts: list[str | None], pieces: Pieces) -> list[bool]:
     """Whether the ids of each text decode to it; true for null."""
     data, ends = joined_bytes(ids, pieces)
     at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
     # A text begins with the blank that was put in front of it.
-    return np.array([t is None or data[a + 1: b].tobytes() == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, at, at[1:])], bool)
+    return [t is None or data[a + 1: b].tobytes() == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, at, at[1:])]
 
 
 def encode(text: Column, path: str) -> Column:
     """``array<int>`` of piece ids."""
-    @F.arrow_udf("array<int>")
-    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.pandas_udf("array<int>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memory = Memory(load(path))
-        for column in it:
-            out = []
-            for at in range(0, len(column), ROWS):
-                part = column.slice(at, ROWS).to_pylist()
-                out.append(_lists(*memory.ids(part), part))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        for s in it:
+            out: list[np.ndarray | None] = []
+            for at in range(0, len(s), ROWS):
+                part = s.iloc[at: at + ROWS].tolist()
+                out += _per_text(*memory.ids(part), part)
+            yield pd.Series(out, dtype=object)
 
     return run(text)
 
@@ -279,33 +278,28 @@ def encode_checked(text: Column, path: str) -> Column:
 
     One worker per task does both, so that ids need not go back and forth.
     """
-    @F.arrow_udf("ids array<int>, round_trip boolean")
-    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = load(path)
         memory = Memory(pieces)
-        for column in it:
-            lists, same = [pa.array([], pa.list_(pa.int32()))], [np.empty(0, bool)]
-            for at in range(0, len(column), ROWS):
-                part = column.slice(at, ROWS).to_pylist()
+        for s in it:
+            coded, same = [], []
+            for at in range(0, len(s), ROWS):
+                part = s.iloc[at: at + ROWS].tolist()
                 ids, counts = memory.ids(part)
-                lists.append(_lists(ids, counts, part))
-                same.append(_same(ids, counts, part, pieces))
-            yield pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.array(np.concatenate(same))], ["ids", "round_trip"])
+                coded += _per_text(ids, counts, part)
+                same += _same(ids, counts, part, pieces)
+            yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "round_trip": np.array(same, bool)})
 
     return run(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text behind piece ids; null for null."""
-    @F.arrow_udf("string")
-    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.pandas_udf("string")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load(path)
-        for column in it:
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, ends = joined_bytes(flat, pieces)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-            there = column.is_valid().to_pylist()
-            yield pa.array([data[a + 1: b].tobytes().decode("utf-8", "replace") if t else None for t, a, b in zip(there, at, at[1:])], pa.string())
+        for s in it:
+            yield pd.Series([None if x is None else decode_ids(x, pieces) for x in s], dtype=object)
 
     return run(ids)
