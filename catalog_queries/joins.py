@@ -86,17 +86,23 @@ def first_benefits(t):
     return f.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("alternatives", f"""WITH {_ENT}, pr AS (SELECT o_orderkey AS product_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE lower(o_orderpriority) END AS pt, CASE WHEN o_totalprice > 450000 THEN 'gold' ELSE 'raw' END AS g FROM orders),
-sh AS (SELECT product_id FROM pr JOIN siz USING (product_id) WHERE g = 'gold' AND pt IS NOT NULL AND pt <> '1-urgent' ORDER BY items DESC, product_id LIMIT 60),
-ok AS (SELECT product_id FROM sh JOIN siz USING (product_id) WHERE items >= 3 AND cat >= 2),
+@query("alternatives", f"""WITH {_ENT}, pr AS (SELECT o_orderkey AS product_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE lower(o_orderpriority) END AS pt, CASE WHEN o_totalprice > 300000 AND o_orderpriority <> '2-HIGH' THEN 'gold' ELSE 'raw' END AS g, o_orderstatus AS st FROM orders),
+pf AS (SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 3 = 0 THEN '2-high' WHEN c_custkey % 3 = 1 THEN '3-medium' END AS want, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS without, CASE WHEN c_acctbal > 5000 THEN list_sort(list_distinct([c_mktsegment, 'MACHINERY'])) ELSE [c_mktsegment] END AS types FROM customer),
+rw AS (SELECT product_id, pt, CASE WHEN g = 'gold' THEN 0 ELSE 1 END AS tier FROM pr WHERE pt IS NOT NULL AND (g = 'gold' OR st = 'F')),
+tp AS (SELECT profile_id, types, want, without, CASE WHEN EXISTS (SELECT 1 FROM rw WHERE tier = 0 AND (CASE WHEN want IS NULL THEN pt <> '1-urgent' ELSE pt = want END) AND product_id IS DISTINCT FROM without) THEN 0 ELSE 1 END AS tier FROM pf),
+asks AS (SELECT DISTINCT types, want, tier FROM tp), ok AS (SELECT rw.* FROM rw JOIN siz USING (product_id) WHERE items >= 3 AND cat >= 2),
 ty AS (SELECT ent.product_id, hair_type, sum(score * CAST(greatest(0.2::DOUBLE, 1.0::DOUBLE - idx * 0.8::DOUBLE / greatest(n, 1)) AS DECIMAL(12,9))) AS s, sum(CAST(greatest(0.2::DOUBLE, 1.0::DOUBLE - idx * 0.8::DOUBLE / greatest(n, 1)) AS DECIMAL(12,9))) AS w FROM ent JOIN ok USING (product_id) JOIN rules USING (category) GROUP BY 1, 2),
-pf AS (SELECT c_custkey AS profile_id, c_mktsegment AS hair_type FROM customer), tt AS (SELECT profile_id, product_id, CAST(sum(s) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS score FROM pf JOIN ty USING (hair_type) GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY round(score, 6) DESC, product_id) AS INT) AS rank FROM tt) SELECT profile_id, product_id, rank, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 3""")
+sc AS (SELECT types, want, tier, ok.product_id, CAST(sum(s) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS score FROM asks JOIN ok USING (tier) JOIN ty ON ty.product_id = ok.product_id AND list_contains(types, hair_type) WHERE CASE WHEN want IS NULL THEN pt <> '1-urgent' ELSE pt = want END GROUP BY ALL),
+few AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY types, want, tier ORDER BY round(score, 6) DESC, product_id) <= 4),
+r AS (SELECT profile_id, product_id, score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY round(score, 6) DESC, product_id) AS INT) AS rank FROM tp JOIN few ON few.types = tp.types AND few.want IS NOT DISTINCT FROM tp.want AND few.tier = tp.tier WHERE product_id IS DISTINCT FROM without)
+SELECT profile_id, product_id, rank, round(score, 4) + 0.0 AS score FROM r WHERE rank <= 3""")
 def alternatives(t):
     prods = t.orders.selectExpr("o_orderkey AS product_id", "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE lower(o_orderpriority) END AS product_type",
-                                "CASE WHEN o_totalprice > 450000 THEN 'gold' ELSE 'raw' END AS gold_status", "CASE WHEN o_orderstatus = 'F' THEN 'verified_inci' END AS verification_status")
-    prof = t.customer.select(F.col("c_custkey").alias("profile_id"), F.array("c_mktsegment").alias("hair_types"))
-    a = Q.alternatives(prof, prods, entries(t), rules_from_sales(t), excluded_types=("1-urgent",))
+                                "CASE WHEN o_totalprice > 300000 AND o_orderpriority <> '2-HIGH' THEN 'gold' ELSE 'raw' END AS gold_status", "CASE WHEN o_orderstatus = 'F' THEN 'verified_inci' END AS verification_status")
+    prof = t.customer.select(
+        F.col("c_custkey").alias("profile_id"), F.when(F.col("c_acctbal") > 5000, F.array("c_mktsegment", F.lit("MACHINERY"))).otherwise(F.array("c_mktsegment")).alias("hair_types"),
+        F.when(F.col("c_custkey") % 3 == 0, "2-high").when(F.col("c_custkey") % 3 == 1, "3-medium").alias("want"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("without"))
+    a = Q.alternatives(prof, prods, entries(t), rules_from_sales(t), excluded_types=("1-urgent",), wanted_type="want", excluded_id="without")
     return a.select("profile_id", "product_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -125,7 +131,7 @@ def outside(t):
     """Catalogue rows as an outside source spells them."""
     name = F.concat_ws(" ", F.element_at(F.split("p_name", " "), 2), F.element_at(F.split("p_name", " "), 1), F.concat(F.col("p_size").cast("string"), F.lit("ml")))
     return t.part.select(F.col("p_partkey").alias("external_id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand_slug"), name.alias("product_name"),
-                         F.when(F.col("p_type") == "LARGE", "first").otherwise("second").alias("source")).filter(F.col("p_type").isin("LARGE", "SMALL", "PROMO"))
+                         F.when(F.col("p_type") == "LARGE", "first").otherwise("second").alias("source"), F.concat(F.lit("https://out/"), F.col("p_partkey").cast("string")).alias("source_url"))
 
 
 @query("name_matches")
@@ -137,19 +143,20 @@ def name_matches(t):
 def matches_applied(t):
     m = K.match_names(products(t), outside(t), preferred="first")
     p = products(t).select("product_id", "verification_status", "confidence", F.array("product_type").alias("inci_ingredients"), F.lit("jsonld").alias("extraction_method"))
-    lists = outside(t).select("external_id", F.split("product_name", " ").alias("items"))
-    updated, queue = K.apply_matches(p, m, lists.withColumnRenamed("items", "inci_ingredients"), "product_id", "external_id", "inci_ingredients")
+    lists = outside(t).withColumn("inci_ingredients", F.split("product_name", " "))
+    updated, queue, evidence = K.apply_matches(p, m, lists, "product_id", "external_id", "inci_ingredients")
     a = updated.groupBy("extraction_method").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("extraction_method", "outcome")
-    return a.unionByName(queue.groupBy(F.concat(F.lit("queue_"), "status").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+    b = queue.groupBy(F.concat(F.lit("queue_"), "status").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return a.unionByName(b).unionByName(evidence.groupBy("evidence_locator").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("evidence_locator", "outcome"))
 
 
 @query("identified_products")
 def identified_products(t):
-    q = t.part.filter("p_type = 'PROMO'").select(
+    q = t.part.select(
         F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") > 25, F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).alias("brand_slug"),
-        F.when(F.col("p_size") < 10, F.concat(F.lit("789"), (F.col("p_partkey") + 1000000).cast("string"))).alias("ean"),
+        F.when(F.col("p_size") < 10, F.concat(F.lit("789"), (F.col("p_partkey") + F.when(F.col("p_type") == "PROMO", 7).otherwise(1000000)).cast("string"))).alias("ean"),
         F.concat(F.upper(F.left("p_name", F.lit(1))), F.expr("substr(p_name, 2)"), F.lit("s")).alias("product_name_text"), F.concat(F.col("p_size").cast("string"), F.lit(" ml")).alias("volume_text"))
-    return K.identify(q.filter("brand_slug IS NOT NULL OR ean IS NOT NULL"), products(t), without_brand=False)
+    return K.identify(q, products(t))
 
 
 @query("list_overlaps", r"""WITH d AS (SELECT doc_id, list_distinct(list_transform(string_split(split_part(text, chr(10), 1), ' '), lambda x: trim(regexp_replace(lower(strip_accents(x)), '\s+', ' ', 'g')))) AS a,
@@ -180,12 +187,13 @@ def brands_from_urls(t):
 _POOL = """q AS (SELECT s_suppkey AS query_id, CASE WHEN s_acctbal > 8500 THEN '789' || (1000000 + s_suppkey) END AS ean, CASE WHEN s_acctbal < 3000 THEN 'brand-' || s_nationkey END AS brand, CASE WHEN s_nationkey < 8 THEN 'red' WHEN s_nationkey < 16 THEN 'the small gear' ELSE 'big widget' END AS txt FROM supplier)"""
 
 
-@query("candidate_pools", P + f""", {_POOL} SELECT query_id, product_id FROM q JOIN products ON regexp_replace(products.ean, '[^0-9]', '', 'g') = q.ean
-UNION SELECT query_id, product_id FROM q JOIN products ON contains(product_name, CASE WHEN txt = 'the small gear' THEN 'small' WHEN txt = 'big widget' THEN 'widget' ELSE '?' END) AND (brand IS NULL OR brand = brand_slug)""")
+@query("candidate_pools", P + f""", {_POOL}, w AS (SELECT *, CASE WHEN txt = 'the small gear' THEN 'small' WHEN txt = 'big widget' THEN 'widget' END AS word FROM q)
+SELECT query_id, CAST((SELECT count(*) FROM products p WHERE p.brand_slug = w.brand) AS BIGINT) AS by_brand, CAST((SELECT count(*) FROM products p WHERE regexp_replace(p.ean, '[^0-9]', '', 'g') = w.ean) AS BIGINT) AS by_ean,
+ CAST((SELECT count(*) FROM products p WHERE contains(p.product_name, w.word) AND (w.brand IS NULL OR w.brand = p.brand_slug)) AS BIGINT) AS by_word FROM w""")
 def candidate_pools(t):
     q = t.supplier.selectExpr("s_suppkey AS query_id", "CASE WHEN s_acctbal > 8500 THEN '789' || CAST(1000000 + s_suppkey AS STRING) END AS ean", "CASE WHEN s_acctbal < 3000 THEN 'brand-' || CAST(s_nationkey AS STRING) END AS brand_slug",
                               "CASE WHEN s_nationkey < 8 THEN 'red' WHEN s_nationkey < 16 THEN 'the small gear' ELSE 'big widget' END AS product_name_text")
-    return K.candidate_pool(q, products(t), "query_id", "product_id")
+    return K.candidate_pool(q, products(t), "query_id")
 
 
 _DET = "det AS (SELECT doc_id AS product_id, CASE WHEN quality = 1 THEN 'ok:' || toxic ELSE NULL END AS code FROM labels)"

@@ -53,13 +53,24 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when(both > 0, 2.0 * shorter / both).otherwise(1.0)
 
 
+def edit_bound(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the edit distance leaves room for a ratio at the threshold.
+
+    Matched blocks are a common subsequence; what it leaves over is at least the edit distance ``e``, so the ratio is at most
+    ``1 - e / (|a| + |b|)``. Spark stops counting at the limit.
+    """
+    both = F.length(a) + F.length(b)
+    return (length_bound(a, b) >= threshold) & (F.call_function("levenshtein", a, b, F.floor((1 - threshold) * both + 1e-9).cast("int")) >= 0)
+
+
 def numbered_tokens(chars: Column) -> Column:
     """Array elements with their occurrence number, so that a bag becomes a set."""
     return let(chars, lambda cs: F.transform(cs, lambda c, i: F.concat(
         c, F.lit("\x01"), F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda d: d == c)).cast("string"))))
 
 
-def grams(text: Column, q: int) -> Column:
+def grams(text: Column, q: int | Column) -> Column:
+    q = F.lit(q) if isinstance(q, int) else q
     n = F.length(text) - (q - 1)
     spots = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.substring(text, i, F.lit(q)))
+    return F.transform(spots, lambda i: F.substring(text, i, q))

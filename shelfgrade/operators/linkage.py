@@ -10,16 +10,25 @@ no pair at or above it:
   every such pair;
 * short names, where the bigram bound is empty, are keyed on single characters the same way.
 
+Candidates then pass, in the JVM, the bound of the shared tokens that the two lengths ask for, the bound of the lengths and that of the
+edit distance ``e``: matched blocks are a common subsequence, so ``2M <= S - e``. Only what is left is compared by Python.
+
+Matching goes by tiers: equal forms by an equi-join, then 0.90, then 0.75, each for the names that the tier before has not
+settled. A name is settled when its best score is at least what any later tier can give.
+
 Names are compared once per distinct (brand, name), so copies cost nothing, and the key contains a
 token pair, so a brand with a third of the catalogue spreads over many keys.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.text import let
+from ..session import staged
 from . import classify as C
 from .windows import best_row, top_k
 
@@ -41,6 +50,11 @@ def name_forms(name: Column, brand: Column | None) -> Column:
     return F.array(full, S.sorted_words(full), bare, S.sorted_words(bare))
 
 
+def name_key(forms: Column) -> Column:
+    """128 bits that name a spelling."""
+    return F.substring(F.sha2(F.array_join(forms, "\x1f"), 256), 1, 32)
+
+
 def _token_bags(names: DataFrame, block: str, ident: str, threshold: float) -> DataFrame:
     """(block, ident, s, kind, need, tok): tokens of every form, with the number of tokens any partner must share."""
     half = threshold / 2
@@ -62,41 +76,71 @@ def _token_bags(names: DataFrame, block: str, ident: str, threshold: float) -> D
 
 
 def _prefix_keys(bags: DataFrame, rarity: DataFrame, block: str, ident: str) -> DataFrame:
-    """(block, key, ident): candidate keys of each name. Both sides must be ordered by the same ``rarity``."""
+    """(block, key, ident, len, rest): candidate keys of each form. Both sides must be ordered by the same ``rarity``.
+
+    ``rest`` counts the form's tokens after the later one of the key; null for single tokens.
+    """
     ordered = (
         bags.join(rarity, ["kind", "tok"])
         .groupBy(block, ident, "s", "kind", "need")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "tok"))), lambda t: t["tok"]).alias("tokens"))
     )
     # A name's own bag bounds the collected list; no group grows with the data.
-    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), F.size("tokens") - F.col("need") + 2).cast("int"))
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(1), n - F.col("need") + 2).cast("int"))
     pairs = let(prefix, lambda p: F.flatten(F.transform(p, lambda a, i: F.transform(
-        F.slice(p, i + 2, F.size(p)), lambda b: F.concat(F.least(a, b), F.lit("\x02"), F.greatest(a, b))))))
+        F.slice(p, i + 2, F.size(p)), lambda b, j: F.struct(
+            F.concat(F.least(a, b), F.lit("\x02"), F.greatest(a, b)).alias("key"), (n - i - j - 2).alias("rest"))))))
     # Bags too small for a pair (names of up to three characters) are keyed on single tokens.
-    keys = F.when((F.col("kind") == "c") & (F.length("s") <= 3), F.concat(F.col("tokens"), pairs)).otherwise(pairs)
-    return ordered.select(block, ident, F.explode(F.array_distinct(keys)).alias("key"), "kind").select(
-        block, F.concat("kind", "key").alias("key"), ident).distinct()
+    single = F.transform("tokens", lambda t: F.struct(t.alias("key"), F.lit(None).cast("int").alias("rest")))
+    keys = F.when((F.col("kind") == "c") & (F.length("s") <= 3), F.concat(single, pairs)).otherwise(pairs)
+    return ordered.select(block, ident, F.length("s").alias("len"), F.explode(keys).alias("k"), "kind").select(
+        block, F.concat("kind", "k.key").alias("key"), ident, "len", "k.rest")
 
 
-def similar_names(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
-    """(block, left_id, right_id, ratio) for all name pairs of a block at or above the threshold.
+def _bounds(d: DataFrame, forms: str, out: str) -> list[Column]:
+    """The different non-empty spellings of one order of words, for each of the two orders."""
+    return [F.array_distinct(F.filter(F.array(F.col(forms)[i], F.col(forms)[i + 2]), lambda x: x != "")).alias(f"{out}{i}") for i in (0, 1)]
 
-    Inputs: ``block``, ``ident`` and ``forms`` (see :func:`name_forms`), one row per distinct name.
-    """
+
+def candidate_names(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
+    """(block, left_id, right_id, lf, rf): the pairs that no bound rules out."""
     if threshold < 0.75:
         raise ValueError("the candidate keys are exact only for thresholds of 0.75 and more")
     lb, rb = _token_bags(left, block, "ident", threshold), _token_bags(right, block, "ident", threshold)
     rarity = lb.select("kind", "tok").unionByName(rb.select("kind", "tok")).groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("df"))
     lk = _prefix_keys(lb, rarity, block, "ident").withColumnRenamed("ident", "left_id")
-    rk = _prefix_keys(rb, rarity, block, "ident").withColumnRenamed("ident", "right_id")
-    cand = lk.join(rk, [block, "key"]).select(block, "left_id", "right_id").distinct()
-    lf = left.select(block, F.col("ident").alias("left_id"), F.col("forms").alias("lf"))
-    rf = right.select(block, F.col("ident").alias("right_id"), F.col("forms").alias("rf"))
-    bound = F.exists(
-        F.col("lf"), lambda a: F.exists(F.col("rf"), lambda b: S.length_bound(a, b) >= threshold))
-    scored = cand.join(lf, [block, "left_id"]).join(rf, [block, "right_id"]).filter(bound)
+    rk = _prefix_keys(rb, rarity, block, "ident").select(block, "key", F.col("ident").alias("right_id"), F.col("len").alias("rlen"), F.col("rest").alias("rrest"))
+    both, half = F.col("len") + F.col("rlen"), threshold / 2
+    # The first two shared tokens of a pair leave room for all the others that the two lengths ask for.
+    ask = F.ceil(F.when(F.startswith("key", F.lit("c")), half * both).otherwise((3 * half - 1) * both - 1) - 1e-9)
+    room = F.coalesce(F.least("rest", "rrest") + 2 >= ask, F.lit(True))
+    fits = 2.0 * F.least("len", "rlen") >= threshold * both - 1e-9
+    cand = lk.join(rk, [block, "key"]).filter(fits & room).select(block, "left_id", "right_id").distinct()
+    lf = left.select(block, F.col("ident").alias("left_id"), F.col("forms").alias("lf"), *_bounds(left, "forms", "_l"))
+    rf = right.select(block, F.col("ident").alias("right_id"), F.col("forms").alias("rf"), *_bounds(right, "forms", "_r"))
+
+    def near(order: int) -> Column:
+        return F.exists(f"_l{order}", lambda a: F.exists(f"_r{order}", lambda b: S.edit_bound(a, b, threshold)))
+
+    return cand.join(lf, [block, "left_id"]).join(rf, [block, "right_id"]).filter(near(0) | near(1)).select(block, "left_id", "right_id", "lf", "rf")
+
+
+def similar_names(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.75) -> DataFrame:
+    """(block, left_id, right_id, ratio) for all name pairs of a block at or above the threshold.
+
+    Inputs: ``block``, ``ident`` and ``forms`` (see :func:`name_forms`), one row per distinct name.
+    """
     ratio = S.best_ratio_udf(threshold)("lf", "rf")
-    return scored.select(block, "left_id", "right_id", ratio.alias("ratio")).filter(F.col("ratio") >= threshold)
+    return candidate_names(left, right, block, threshold).select(block, "left_id", "right_id", ratio.alias("ratio")).filter(F.col("ratio") >= threshold)
+
+
+def equal_names(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """(block, left_id, right_id, ratio) of the pairs with a form in common: exactly those with a ratio of 1."""
+    def spelled(d: DataFrame, out: str) -> DataFrame:
+        return d.select(block, F.col("ident").alias(out), F.posexplode("forms").alias("form", "s")).filter("s <> ''").select(block, out, (F.col("form") % 2).alias("form"), "s")
+
+    return spelled(left, "left_id").join(spelled(right, "right_id"), [block, "form", "s"]).select(block, "left_id", "right_id").distinct().withColumn("ratio", F.lit(1.0))
 
 
 def block_by_brand(products: DataFrame, external: DataFrame, brand: str, items: str) -> DataFrame:
@@ -130,12 +174,15 @@ def match_names(
     Score is the best of four name variants and two word orders. Differing volumes cap it below the
     automatic threshold. Above the threshold with compatible types the match applies itself,
     otherwise it goes to review.
+
+    Three tiers: equal forms, the automatic threshold, the one for review. The rows of a tier are written to the shared folder, so that
+    the next one works on what is open only.
     """
     def side(df: DataFrame, keep: list[str]) -> DataFrame:
         raw = F.coalesce(F.col(name), F.lit(""))
         d = df.select(brand, *keep, name_forms(raw, F.col(brand)).alias("forms"), F.coalesce(T.volume_units(raw), F.lit(0.0)).alias("vol"),
                       F.coalesce(C.by_substring(F.lower(raw), types), F.lit("")).alias("typ"))
-        return d.withColumn("ident", F.xxhash64("forms"))
+        return d.withColumn("ident", name_key(F.col("forms")))
 
     def names(d: DataFrame) -> DataFrame:
         return d.groupBy(brand, "ident").agg(F.first("forms").alias("forms"))
@@ -147,18 +194,29 @@ def match_names(
     e_sig = e_rows.withColumn("src_rank", rank).groupBy(*sig).agg(F.min(F.struct("src_rank", e_key)).alias("_r")).select(
         brand, F.col("ident").alias("right_id"), F.col("vol").alias("evol"), F.col("typ").alias("etyp"), "_r")
     p_sig = p_rows.select(*sig).distinct().withColumnRenamed("ident", "left_id")
-    hits = similar_names(names(p_rows), names(e_rows), brand, review)
+    p_names, e_names = staged(names(p_rows)), staged(names(e_rows))
     clash = (F.col("vol") != 0) & (F.col("evol") != 0) & (F.abs(F.col("vol") - F.col("evol")) > 1e-6)
-    scored = (
-        hits.join(p_sig, [brand, "left_id"]).join(e_sig, [brand, "right_id"])
-        .withColumn("score", F.when(clash, F.least("ratio", F.lit(auto - 0.01))).otherwise(F.col("ratio")))
-        .withColumn("type_match", (F.col("typ") == "") | (F.col("etyp") == "") | (F.col("typ") == F.col("etyp")))
-    )
     left = [brand, "left_id", "vol", "typ"]
-    best = best_row(
-        scored.select(*left, "score", "type_match", F.col("_r.src_rank").alias("src_rank"), F.col(f"_r.{e_key}").alias(e_key),
-                      (-F.col("score")).alias("neg")),
-        left, [F.col("neg"), F.col("src_rank"), F.col(e_key)])
+
+    def scored(hits: DataFrame) -> DataFrame:
+        rows = (
+            hits.join(p_sig, [brand, "left_id"]).join(e_sig, [brand, "right_id"])
+            .withColumn("score", F.when(clash, F.least("ratio", F.lit(auto - 0.01))).otherwise(F.col("ratio")))
+            .withColumn("type_match", (F.col("typ") == "") | (F.col("etyp") == "") | (F.col("typ") == F.col("etyp")))
+        )
+        return best_row(rows.select(*left, "score", "type_match", F.col("_r.src_rank").alias("src_rank"), F.col(f"_r.{e_key}").alias(e_key), (-F.col("score")).alias("neg")),
+                        left, [F.col("neg"), F.col("src_rank"), F.col(e_key)])
+
+    tiers, open_ = [staged(scored(equal_names(p_names, e_names, brand)))], p_sig
+    least = 1.0
+    for threshold in sorted({max(auto, review), review}, reverse=True):
+        open_ = open_.join(tiers[-1].filter(F.col("score") >= least).select(*left), left, "left_anti")
+        asked = staged(p_names.join(open_.select(brand, F.col("left_id").alias("ident")).distinct(), [brand, "ident"], "left_semi"))
+        if asked.isEmpty():
+            break
+        tiers.append(staged(scored(similar_names(asked, e_names, brand, threshold))))
+        least = threshold
+    best = best_row(reduce(DataFrame.unionByName, tiers).filter(F.col("score") >= review), left, [F.col("neg"), F.col("src_rank"), F.col(e_key)])
     action = F.when((F.col("score") > auto) & F.col("type_match"), F.lit("auto_apply")).otherwise(F.lit("review"))
     return (
         p_rows.select(p_key, *sig).withColumnRenamed("ident", "left_id").join(best, left)
@@ -166,19 +224,32 @@ def match_names(
     )
 
 
-def apply_matches(products: DataFrame, matches: DataFrame, lists: DataFrame, p_key: str, e_key: str, items: str) -> tuple[DataFrame, DataFrame]:
-    """(products with automatic matches written in, review queue rows)."""
-    auto = matches.filter(F.col("action") == "auto_apply").join(lists.select(e_key, F.col(items).alias("_items")), e_key)
-    taken = auto.select(p_key, "_items", F.lit(True).alias("_hit"))
+def apply_matches(
+    products: DataFrame, matches: DataFrame, external: DataFrame, p_key: str, e_key: str, items: str,
+    name: str = "product_name", source: str = "source", url: str = "source_url", raw_chars: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(products with automatic matches written in, review queue rows, evidence rows).
+
+    ``external`` holds the list, name, source and address of each external row; ``raw_chars`` cuts the evidence text.
+    """
+    facts = external.select(e_key, F.col(items).alias("_items"), F.col(name).alias("_name"), F.col(source).alias("_source"), F.col(url).alias("_url"))
+    found = matches.select(p_key, e_key, "score", "action", "type_match").join(facts, e_key)
+    auto = found.filter(F.col("action") == "auto_apply")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    updated = products.join(taken, p_key, "left").withColumns({
+    updated = products.join(auto.select(p_key, "_items", F.lit(True).alias("_hit")), p_key, "left").withColumns({
         items: F.when(hit, F.col("_items")).otherwise(F.col(items)),
         "verification_status": F.when(hit, F.lit("verified_inci")).otherwise(F.col("verification_status")),
         "confidence": F.when(hit, F.lit(0.85)).otherwise(F.col("confidence")),
         "extraction_method": F.when(hit, F.lit("external_enrichment")).otherwise(F.col("extraction_method")),
     }).drop("_items", "_hit")
-    queue = matches.filter(F.col("action") == "review").select(p_key, e_key, "score", F.lit("pending").alias("status"))
-    return updated, queue
+    queue = found.filter(F.col("action") == "review").select(
+        p_key, e_key, "score", F.lit("pending").alias("status"),
+        F.struct(F.col("score").alias("name_ratio"), "type_match", F.col("_name").alias("cand_name")).alias("match_details"))
+    raw = F.concat(F.lit("['"), F.array_join("_items", "', '"), F.lit("']"))
+    evidence = auto.select(
+        p_key, F.lit(items).alias("field_name"), F.coalesce("_url", F.lit("")).alias("source_url"), F.concat(F.lit("external_enrichment:"), "_source").alias("evidence_locator"),
+        T.head(raw, raw_chars).alias("raw_source_text"), F.lit("external_enrichment").alias("extraction_method"))
+    return updated, queue, evidence
 
 
 def list_overlap(a: Column, b: Column) -> Column:
@@ -190,16 +261,19 @@ def list_overlap(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(usable, F.lit(False)), F.struct(j.alias("overlap"), verdict.alias("verdict")))
 
 
-def contained_pairs(texts: DataFrame, keys: DataFrame, text: str, word: str, gram: int = 3) -> DataFrame:
-    """All (text row, key row) with the word inside the text, without a cross join.
+def contained_pairs(texts: DataFrame, keys: DataFrame, text: str, word: str) -> DataFrame:
+    """All (text row, key row) with the word inside the text, by equality.
 
-    A word's first characters must occur in the text. The join is on that gram; the full test follows.
-    Words shorter than the gram are joined on grams of their own length.
+    A text is cut into its different substrings of exactly the lengths that the words have (a list no longer than the longest
+    word that fits into any text); each meets the words that equal it, so that no key grows with anything but the answer.
     """
-    k = keys.withColumn("_g", F.left(F.col(word), F.lit(gram))).filter(F.col(word) != "")
-    spans = F.flatten(F.array(*[S.grams(F.col(text), q) for q in range(1, gram + 1)]))
-    t = texts.withColumn("_g", F.explode(F.array_distinct(spans)))
-    return t.join(k, "_g").filter(F.contains(F.col(text), F.col(word))).drop("_g")
+    words = keys.withColumn("_s", F.col(word)).filter(F.length("_s") > 0)
+    longest = texts.agg(F.max(F.length(text))).first()[0] or 0
+    sizes = sorted(r[0] for r in words.select(F.length("_s")).filter(F.length("_s") <= longest).distinct().collect())
+    if not sizes:
+        return texts.join(keys, F.lit(False))
+    spans = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: S.grams(F.col(text), n)))
+    return texts.withColumn("_s", F.explode(F.array_distinct(spans))).join(words, "_s").drop("_s")
 
 
 def resolve_brand(queries: DataFrame, brands: DataFrame, q_key: str, q_text: str, slug: str = "brand_slug", name: str = "brand_name") -> DataFrame:
@@ -222,76 +296,78 @@ def brand_from_url(url: Column | str, segments: list[tuple[str, str]]) -> Column
     return C.by_substring(F.lower(T._c(url)), [(slug, [seg.lower()]) for seg, slug in segments])
 
 
-def candidate_pool(queries: DataFrame, products: DataFrame, q_key: str, p_key: str) -> DataFrame:
-    """(query, product) pairs an identification may look at.
+def _first_word(c: str) -> Column:
+    """First word of a folded text that is longer than three characters; null without one."""
+    return F.try_element_at(F.filter(F.split(T.fold(c), r"\s+"), lambda w: F.length(w) > 3), F.lit(1))
+
 
-    By resolved brand; else, for a query with an EAN, by that EAN; else by the first word of the query
-    longer than three characters. Only equal keys are joined and nothing is capped: the brand and EAN
-    routes also meet the name or digits they will be compared on.
+def candidate_pool(queries: DataFrame, products: DataFrame, q_key: str) -> DataFrame:
+    """(query, by_brand, by_ean, by_word): how many products an identification may look at by each route.
+
+    Products of the query's brand, products with the same EAN, and products whose name holds the query's first longer word (of the query's
+    brand, if it has one). Counts are taken per brand, EAN and word, never per pair of a query and a product, so nothing has to be capped.
     """
-    p = products.select(p_key, "brand_slug", T.norm_ean("ean").alias("_ean"), F.lower("product_name").alias("_name"))
-    q = queries.select(
-        q_key, F.col("brand_slug").alias("_qb"), T.norm_ean("ean").alias("_qe"),
-        F.try_element_at(F.filter(F.split(T.fold("product_name_text"), r"\s+"), lambda w: F.length(w) > 3), F.lit(1)).alias("_w"))
-    by_ean = q.filter(F.col("_qe") != "").join(p, F.col("_qe") == F.col("_ean")).select(q_key, p_key)
-    worded = q.filter(F.col("_w").isNotNull())
-    words = worded.select("_w").distinct()
-    hit_names = contained_pairs(p.select("_name").distinct(), words, "_name", "_w")
-    by_word = (
-        worded.join(hit_names, "_w").join(p, "_name")
-        .filter(F.col("_qb").isNull() | (F.col("_qb") == F.col("brand_slug"))).select(q_key, p_key)
-    )
-    return by_ean.unionByName(by_word).distinct()
+    count = F.count(F.lit(1))
+    p = products.select("brand_slug", T.norm_ean("ean").alias("_ean"), F.lower("product_name").alias("_name"))
+    q = queries.select(q_key, F.col("brand_slug").alias("_qb"), T.norm_ean("ean").alias("_qe"), _first_word("product_name_text").alias("_w"))
+    brands = p.groupBy(F.col("brand_slug").alias("_qb")).agg(count.alias("by_brand"))
+    eans = p.filter("_ean <> ''").groupBy(F.col("_ean").alias("_qe")).agg(count.alias("by_ean"))
+    spelled = p.groupBy("_name", "brand_slug").agg(count.alias("n"))
+    hits = contained_pairs(p.select("_name").distinct(), q.filter("_w is not null").select("_w").distinct(), "_name", "_w")
+    words = hits.join(spelled, "_name").groupBy("_w", "brand_slug").agg(F.sum("n").alias("n"))
+    by_word = words.groupBy("_w").agg(F.sum("n").alias("_all")), words.select("_w", F.col("brand_slug").alias("_qb"), F.col("n").alias("_own"))
+    out = q.join(brands, "_qb", "left").join(eans, "_qe", "left").join(by_word[0], "_w", "left").join(by_word[1], ["_w", "_qb"], "left")
+    word = F.when(F.col("_qb").isNull(), F.col("_all")).otherwise(F.col("_own"))
+    return out.select(q_key, *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in ((F.col("by_brand"), "by_brand"), (F.col("by_ean"), "by_ean"), (word, "by_word"))])
 
 
 def identify(
     queries: DataFrame, products: DataFrame, q_key: str = "query_id", p_key: str = "product_id",
-    auto: float = 0.90, review: float = 0.75, without_brand: bool = True,
+    auto: float = 0.90, review: float = 0.75,
 ) -> DataFrame:
     """One row per query and result rank: EAN first, then name; rank 1 is the match or best candidate.
 
-    Columns: query, rank, product, confidence, method, outcome (match, candidates, not_in_base). Names
-    are compared inside the query's brand. A query without one is compared with the products it may
-    look at: those with an EAN if it has one itself, else those holding its first longer word.
-    ``without_brand=False`` says every query names a brand and saves the catalogue-wide keys.
+    Columns: query, rank, product, confidence, method, outcome (match, candidates, not_in_base). A query's names are compared inside its
+    brand; without a brand, with the products that have an EAN if it has one itself, else with those whose name holds its first longer
+    word, else with all.
     """
     ean = match_ean(queries.select(q_key, "ean"), products.select(p_key, "ean"), q_key, p_key).select(
         q_key, F.lit(1).alias("rank"), p_key, F.lit(1.0).alias("confidence"), F.lit("ean").alias("method"),
         F.lit("match").alias("outcome"))
     open_q = queries.join(ean.select(q_key), q_key, "left_anti").filter(
         F.coalesce(F.col("product_name_text"), F.lit("")) != "")
+
     def with_forms(d: DataFrame) -> DataFrame:
-        plain, branded = name_forms(F.col("_name"), None), name_forms(F.col("_name"), F.col("block"))
-        return d.withColumn("forms", F.when(F.col("block") == "", plain).otherwise(branded)).withColumn("ident", F.xxhash64("forms"))
+        plain, branded = name_forms(F.col("_name"), None), name_forms(F.col("_name"), F.substr("block", F.lit(3)))
+        return d.withColumn("forms", F.when(F.startswith("block", F.lit("b:")), branded).otherwise(plain)).withColumn("ident", name_key(F.col("forms")))
 
+    block = (F.when(F.coalesce("brand_slug", F.lit("")) != "", F.concat(F.lit("b:"), "brand_slug")).when(T.norm_ean("ean") != "", "e:")
+             .when(_first_word("product_name_text").isNotNull(), F.concat(F.lit("w:"), _first_word("product_name_text"))).otherwise("a:"))
     q_names = with_forms(open_q.select(
-        q_key, F.coalesce(F.col("brand_slug"), F.lit("")).alias("block"), F.col("product_name_text").alias("_name"),
-        (T.norm_ean("ean") != "").alias("_has_ean"),
-        F.try_element_at(
-            F.filter(F.split(T.fold("product_name_text"), r"\s+"), lambda w: F.length(w) > 3), F.lit(1)).alias("_word"),
+        q_key, block.alias("block"), F.col("product_name_text").alias("_name"),
         F.coalesce(T.volume_units("volume_text"), T.volume_units("product_name_text")).alias("qvol")))
     base = products.select(
-        p_key, F.col("product_name").alias("_name"), (T.norm_ean("ean") != "").alias("_ean_there"),
-        F.coalesce(T.volume_units("size_volume"), T.volume_units("product_name")).alias("pvol"),
-        (F.array("brand_slug", F.lit("")) if without_brand else F.array("brand_slug")).alias("_blocks"))
-    pool = with_forms(base.withColumn("block", F.explode("_blocks")).drop("_blocks").join(
-        q_names.select("block").distinct(), "block", "left_semi"))
+        p_key, F.col("product_name").alias("_name"), F.coalesce(T.volume_units("size_volume"), T.volume_units("product_name")).alias("pvol"),
+        F.array_compact(F.array(F.concat(F.lit("b:"), "brand_slug"), F.when(T.norm_ean("ean") != "", "e:"), F.lit("a:"))).alias("_blocks"))
+    asked = q_names.select("block").distinct()
+    words = asked.filter(F.startswith("block", F.lit("w:"))).select("block", F.substr("block", F.lit(3)).alias("_w"))
+    spelled = base.select("_name").distinct().withColumn("_lower", F.lower("_name"))
+    worded = contained_pairs(spelled, words, "_lower", "_w").select("_name", "block")
+    pool = with_forms(
+        base.withColumn("block", F.explode("_blocks")).join(asked, "block", "left_semi").select(p_key, "_name", "pvol", "block")
+        .unionByName(base.join(worded, "_name").select(p_key, "_name", "pvol", "block")))
 
     def names(d: DataFrame) -> DataFrame:
         return d.groupBy("block", "ident").agg(F.first("forms").alias("forms"))
 
-    hits = similar_names(names(q_names), names(pool), "block", review)
+    hits = similar_names(staged(names(q_names)), staged(names(pool)), "block", review)
     pairs = (
         hits.join(q_names.drop("forms", "_name").withColumnRenamed("ident", "left_id"), ["block", "left_id"])
-        .join(pool.drop("forms").withColumnRenamed("ident", "right_id"), ["block", "right_id"])
-    )
-    allowed = (
-        (F.col("block") != "") | (F.col("_has_ean") & F.col("_ean_there"))
-        | (~F.col("_has_ean") & (F.col("_word").isNull() | F.contains(F.lower("_name"), F.col("_word"))))
+        .join(pool.drop("forms", "_name").withColumnRenamed("ident", "right_id"), ["block", "right_id"])
     )
     clash = F.coalesce(
         (F.col("qvol") != 0) & (F.col("pvol") != 0) & (F.abs(F.col("qvol") - F.col("pvol")) > 1e-6), F.lit(False))
-    scored = pairs.filter(allowed).withColumn(
+    scored = pairs.withColumn(
         "confidence", F.when(clash, F.least("ratio", F.lit(auto - 0.01))).otherwise(F.col("ratio")))
     ranked = top_k(scored.select(q_key, p_key, "confidence"), [q_key], [F.col("confidence").desc(), F.col(p_key)], 4)
     best = ranked.filter(F.col("rank") == 1).select(q_key, (F.col("confidence") >= auto).alias("_sure"))

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as T
 from ..operators.windows import top_k
+from ..session import staged
 
 
 def position_weight(idx: Column, n: Column) -> Column:
@@ -62,29 +64,66 @@ def findings(entries: DataFrame, profiles: DataFrame, rules: DataFrame, product:
                  [product, "profile_id"], [F.col("idx"), F.col("hair_type")], n, "finding_no")
 
 
+# Words in the names of rows that the fallback leaves out.
+FALLBACK_WORDS = ["labial", "facial", "corporal", "perfume", "fps", "rímel", "rimel", "demaquilante", "sabonete em barra", "secativo", "desodorante"]
+
+
+def fallback_guard(name: Column, category: Column, reason: Column, items: Column) -> Column:
+    """Whether a verified row may stand in where no gold row is: with a list, in the domain by category and reason, by its name too."""
+    return ((F.size(items) > 0) & (F.coalesce(category, F.lit("")) != "non_hair") & ~F.startswith(F.coalesce(reason, F.lit("")), F.lit("non_hair"))
+            & ~T.contains_any(F.lower(F.coalesce(name, F.lit(""))), FALLBACK_WORDS))
+
+
 def alternatives(
-    profiles: DataFrame, products: DataFrame, entries: DataFrame, rules: DataFrame, pool: int = 60, k: int = 3,
+    profiles: DataFrame, products: DataFrame, entries: DataFrame, rules: DataFrame, k: int = 3, pool: int | None = None,
     excluded_types: tuple[str, ...] = ("oxidante", "descolorante", "coloracao"), min_items: int = 3, min_matched: int = 2,
+    wanted_type: str | None = None, excluded_id: str | None = None, guard: Column | None = None, first: int = 64,
 ) -> DataFrame:
-    """Top products per profile among the richest lists of the gold tier, or of verified rows without any gold.
+    """(profile_id, product_id, score, rank): the k best products per profile, over the whole catalogue.
+
+    ``profiles``: profile_id, hair_types, and where named the columns ``wanted_type`` (only products of that type) and ``excluded_id``. Without a
+    wanted type, ``excluded_types`` are left out. Products are those of the gold tier; where it holds none for the profile, verified ones
+    that pass ``guard``. ``pool`` cuts a tier to its richest lists; by default nothing is cut.
 
-    ``pool`` is the size of the shortlist the feature is defined on (richest lists first), and ``profiles``
-    (profile_id, hair_types) meet it through the rules they name, not by pairing everything.
+    A score is a weighted mean, so it is at most the best of a product's scores for the single hair types. The ``first`` products of each type give
+    each different set of types a k-th best score; only products that reach it for some single type are then scored in full.
     """
-    usable = products.filter(F.col("product_type").isNotNull() & ~F.col("product_type").isin(*excluded_types))
-    gold = usable.filter(F.col("gold_status") == "gold").withColumn("_tier", F.lit(0))
-    verified = usable.filter(F.col("verification_status") == "verified_inci").withColumn("_tier", F.lit(1))
+    asks = profiles.select(
+        "profile_id", F.array_sort(F.array_distinct("hair_types")).alias("types"),
+        F.coalesce(F.concat(F.lit("="), F.col(wanted_type)) if wanted_type else F.lit(None).cast("string"), F.lit("*")).alias("scope"),
+        (F.col(excluded_id) if excluded_id else F.lit(None).cast(dict(products.dtypes)["product_id"])).alias("_without"))
+    gold = F.coalesce(F.col("gold_status") == "gold", F.lit(False))
+    verified = F.coalesce((F.col("verification_status") == "verified_inci") & (F.lit(True) if guard is None else guard), F.lit(False))
+    scopes = F.array_compact(F.array(F.concat(F.lit("="), "product_type"), F.when(~F.col("product_type").isin(*excluded_types), "*")))
+    rows = (products.filter(F.col("product_type").isNotNull() & (gold | verified))
+            .select("product_id", F.when(gold, 0).otherwise(1).alias("tier"), F.explode(scopes).alias("scope")).join(asks.select("scope").distinct(), "scope", "left_semi"))
     lengths = entries.groupBy("product_id").agg(F.count(F.lit(1)).alias("items"), F.count("category").alias("matched"))
-    ranked = gold.unionByName(verified).join(lengths, "product_id").groupBy("product_id").agg(
-        F.min("_tier").alias("_tier"), F.first("items").alias("items"), F.first("matched").alias("matched"))
-    short = ranked.orderBy("_tier", F.desc("items"), "product_id").limit(pool)
-    best_tier = short.agg(F.min("_tier").alias("_tier"))
-    short = short.join(best_tier, "_tier").filter((F.col("items") >= min_items) & (F.col("matched") >= min_matched))
-    scored = entries.join(short.select("product_id"), "product_id").filter(F.col("category").isNotNull()).withColumn(
-        "weight", position_weight(F.col("idx"), F.col("n")).cast("decimal(12,9)")).join(rules.select("category", "hair_type", "score"), "category")
-    per_type = scored.groupBy("product_id", "hair_type").agg(
-        F.sum(F.col("score") * F.col("weight")).alias("_s"), F.sum("weight").alias("_w"))
-    typed = profiles.select("profile_id", F.explode("hair_types").alias("hair_type"))
-    totals = typed.join(per_type, "hair_type").groupBy("profile_id", "product_id").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
-    result = totals.withColumn("score", F.when(F.col("_w") > 0, F.col("_s").cast("double") / F.col("_w").cast("double")).otherwise(0.0)).drop("_s", "_w")
-    return top_k(result, ["profile_id"], [F.round("score", 6).desc(), F.col("product_id")], k)
+    listed = rows.join(lengths, "product_id")
+    if pool:
+        listed = top_k(listed, ["scope", "tier"], [F.desc("items"), F.col("product_id")], pool, "_place")
+    usable = listed.filter((F.col("items") >= min_items) & (F.col("matched") >= min_matched)).select("scope", "tier", "product_id")
+    hits = entries.filter(F.col("category").isNotNull()).withColumn("weight", position_weight(F.col("idx"), F.col("n")).cast("decimal(12,9)")).join(
+        rules.select("category", "hair_type", "score"), "category")
+    per_type = hits.groupBy("product_id", "hair_type").agg(F.sum(F.col("score") * F.col("weight")).alias("_s"), F.sum("weight").alias("_w")).filter("_w > 0")
+    facts = staged(usable.join(per_type, "product_id").withColumn("_r", F.col("_s").cast("double") / F.col("_w").cast("double")))
+    sets = asks.select("types", "scope").distinct().withColumn("hair_type", F.explode("types"))
+    key = ["types", "scope", "tier"]
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        """The k best of each set and one more, in case a profile leaves one out."""
+        sums = candidates.select(*key, "product_id").distinct().join(sets, ["types", "scope"]).join(
+            facts, ["scope", "tier", "product_id", "hair_type"]).groupBy(*key, "product_id").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
+        scores = sums.select(*key, "product_id", (F.col("_s").cast("double") / F.col("_w").cast("double")).alias("score"))
+        return top_k(scores, key, [F.round("score", 6).desc(), F.col("product_id")], k + 1, "_place")
+
+    leaders = top_k(facts, ["scope", "tier", "hair_type"], [F.desc("_r"), F.col("product_id")], first, "_place").drop("_place")
+    floor = scored(sets.join(leaders, ["scope", "hair_type"])).filter(F.col("_place") == k + 1).select(*key, (F.col("score") - 1e-6).alias("_floor"))
+    reach = sets.join(facts, ["scope", "hair_type"]).join(floor, key, "left").filter(F.coalesce(F.col("_r") >= F.col("_floor"), F.lit(True)))
+    best = scored(reach).drop("_place")
+    # The gold tier counts for a profile if it holds a row besides the one that is left out.
+    golden = rows.filter("tier = 0")
+    many = golden.groupBy("scope").agg(F.count(F.lit(1)).alias("_gold"))
+    out = asks.join(many, "scope", "left").join(golden.select("scope", F.col("product_id").alias("_without"), F.lit(1).alias("_own")), ["scope", "_without"], "left")
+    tier = F.when(F.coalesce("_gold", F.lit(0)) - F.coalesce("_own", F.lit(0)) > 0, 0).otherwise(1)
+    found = out.withColumn("tier", tier).join(best, key).filter(F.col("_without").isNull() | (F.col("product_id") != F.col("_without")))
+    return top_k(found.select("profile_id", "product_id", "score"), ["profile_id"], [F.round("score", 6).desc(), F.col("product_id")], k)
