@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfgrade.functions import text as T
 from shelfgrade.functions import udf
+from shelfgrade.operators import elements as E
 from shelfgrade.operators import pages as D
 from shelfgrade.plans import ingest as I
 
@@ -105,6 +106,36 @@ def page_titles(t):
     return t.pages.select("page_id", D.select_first("html", ["h1.product-name", "h1", ".product-title"]).alias("title"))
 
 
+def structured_pages(t):
+    """Shop pages built from parts: four ways to place instructions, four to place an ingredient list."""
+    kind, name = F.col("p_size") % 4, F.col("p_name")
+    use = (F.when(kind == 0, F.concat(F.lit("<h2>Modo de Uso</h2><p>Aplique "), name, F.lit(" nos cabelos.</p><p>x</p>")))
+           .when(kind == 1, F.concat(F.lit("<details><summary><div><span>Modo de Uso</span></div></summary><div class='accordion__content'>Aplique "), name, F.lit(" nos cabelos.</div></details>")))
+           .when(kind == 2, F.concat(F.lit("<div><b>Modo de Uso</b><div>Aplique <div>"), name, F.lit("</div> nos cabelos.</div></div>")))
+           .otherwise(F.concat(F.lit("<div><h3>Modo de Uso</h3>Aplique "), name, F.lit(" nos cabelos.</div>"))))
+    items = F.concat(F.lit("Aqua, Glycerin, Parfum, "), "p_brand", F.lit(", "), "p_type")
+    lists = (F.when(kind == 0, F.concat(F.lit("<button>Ingredientes</button><ul>Todos "), items, F.lit("</ul>")))
+             .when(kind == 1, F.concat(F.lit("<details><summary>Ver ingredientes</summary><em>"), items, F.lit("</em></details>")))
+             .when(kind == 2, F.concat(F.lit("<section><span>Ingredientes</span>"), items, F.lit("</section>")))
+             .otherwise(F.concat(F.lit("<section class='jump-faq-panel--2'>"), items, F.lit("</section>"))))
+    return t.part.select("p_partkey", F.concat(F.lit("<html><body><main>"), use, F.lit("</main>"), lists, F.lit("<div class='box'><div>"), "p_name", F.lit("</div>by<div>"), "p_brand", F.lit("</div></div></body></html>")).alias("html"))
+
+
+@query("element_sections", "SELECT p_partkey, 'care_usage' AS field, 'Aplique ' || p_name || ' nos cabelos.' AS content FROM part")
+def element_sections(t):
+    return E.element_sections(structured_pages(t), [("care_usage", ["modo de uso"])], "p_partkey").select("p_partkey", "field", "content")
+
+
+@query("element_lists", "SELECT p_partkey, 'Aqua, Glycerin, Parfum, ' || p_brand || ', ' || p_type AS content, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 5 END AS phase FROM part")
+def element_lists(t):
+    return E.element_lists(structured_pages(t), ["ingredientes"], "p_partkey").select("p_partkey", "content", "phase")
+
+
+@query("element_texts", "SELECT p_partkey, p_name || ' by ' || p_brand AS content FROM part")
+def element_texts(t):
+    return structured_pages(t).select("p_partkey", E.element_text("html", [".missing", ".box"]).alias("content"))
+
+
 @query("evidence_rows", """SELECT page_id, url AS source_url, 'page' AS field_name, html AS raw_source_text FROM pages
 UNION ALL SELECT page_id, url, 'url', url FROM pages WHERE url LIKE '%.html'""")
 def evidence_rows(t):
