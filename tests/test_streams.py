@@ -1,6 +1,9 @@
 """Streams replayed to the end give what the batch twins give."""
 import datetime as dt
+import os
+import random
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,39 +73,108 @@ def test_dedupe(spark, source, rows):
     assert got == sorted(set(got)) and set(got) == {(u, k) for _, u, k, _, _ in rows}
 
 
-def test_accepted_rate_limit(spark, source, rows):
-    got = {r[1]: r[2] for r in run(K.accepted_rate_limit(stream(spark, source), "user_id", "ts", "event_id", 3, 60), spark, "limit")}
-    want, logs = {}, {}
-    for ident, user, _k, ts, _f in rows:
+@pytest.fixture(scope="module")
+def rocks(spark):
+    """Python state with timers lives in the RocksDB store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, rows):
+    """The rows mixed over four triggers, then a row that moves the watermark past all of them."""
+    path, mixed = tempfile.mkdtemp(prefix="mixed-"), list(rows)
+    random.Random(5).shuffle(mixed)
+    flush = (10_000, "flush", "view", T0 + dt.timedelta(days=1), False)
+    for i, part in enumerate([mixed[k::4] for k in range(4)] + [[flush], [(10_001, "flush", "view", T0 + dt.timedelta(days=2), False)]]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{path}/part-{i}")
+        for f in Path(f"{path}/part-{i}").glob("part-*"):
+            os.utime(f.rename(f"{path}/{i:02d}-{f.name}"), (1_700_000_000 + i, 1_700_000_000 + i))
+    return path
+
+
+def sequential(rows):
+    limited, kept, logs, state = {}, {}, {}, {}
+    for ident, user, _k, ts, failed in rows:
         log = [t for t in logs.get(user, []) if t >= ts - dt.timedelta(seconds=60)]
-        want[ident] = len(log) < 3
-        logs[user] = log + [ts] if want[ident] else log
-    assert got == want
+        limited[ident] = len(log) < 3
+        logs[user] = log + [ts] if limited[ident] else log
+        n, bad, is_open = state.get(user, (0, 0, True))
+        kept[ident] = is_open
+        if is_open:
+            n, bad = n + 1, bad + failed
+            is_open = not (n >= 5 and bad / n > 0.5)
+        state[user] = (n, bad, is_open)
+    return limited, kept
 
 
-def test_circuit_breaker_matches_window(spark, source, rows):
-    got = {r[1] for r in run(K.circuit_breaker(stream(spark, source), "user_id", "event_id", "failed"), spark, "breaker") if r[2]}
+def test_rules_follow_event_time_over_triggers(spark, rocks, shuffled, rows):
+    limited, kept = sequential(rows)
+    src = stream(spark, shuffled, 1)
+    got = run(K.accepted_rate_limit(src, "user_id", "ts", "event_id", 3, 60, late="1 day", slice_seconds=300), spark, "limit")
+    assert {r[1]: r[2] for r in got if r[0] != "flush"} == limited
+    got = run(K.circuit_breaker(src, "user_id", "ts", "event_id", "failed", late="1 day", slice_seconds=300), spark, "breaker")
+    assert {r[1]: r[2] for r in got if r[0] != "flush"} == kept
     batch = spark.createDataFrame(rows, SCHEMA)
     numbered = W.numbered(batch, "user_id", [F.col("event_id")], F.floor(F.col("event_id") / 50)).withColumn("seq", F.col("idx") + 1)
-    want = {r["event_id"] for r in W.stop_the_line(numbered, "user_id", "seq", F.col("failed")).collect()}
-    assert got == want
+    assert {r["event_id"] for r in W.stop_the_line(numbered, "user_id", "seq", F.col("failed")).collect()} == {i for i, k in kept.items() if k}
+
+
+SNAPSHOT = "product_url STRING, product_id BIGINT, verification_status STRING, inci_ingredients ARRAY<STRING>"
+
+
+def merge(old, new):
+    return J.merge_never_downgrade(old, new, lists=["inci_ingredients", "verification_status"])
 
 
 def test_upsert_stream_equals_batch_merge(spark, source, rows):
-    root, ck = tempfile.mkdtemp(prefix="snap-"), tempfile.mkdtemp(prefix="ck-")
-    empty = spark.createDataFrame([], "product_url STRING, product_id BIGINT, verification_status STRING, inci_ingredients ARRAY<STRING>")
+    root, ck, sides = tempfile.mkdtemp(prefix="snap-"), tempfile.mkdtemp(prefix="ck-"), []
     items = stream(spark, source, 1).select(
         F.col("user_id").alias("product_url"), F.col("event_id").alias("product_id"), F.lit("verified_inci").alias("verification_status"), F.array("kind").alias("inci_ingredients"))
 
-    def merge(old, new):
-        return J.merge_never_downgrade(old, new, lists=["inci_ingredients", "verification_status"])
+    def fan_out(changed, path):
+        sides.append((path, sorted(r.product_url for r in changed.collect())))
 
-    K.upsert_stream(items, "product_url", [-F.col("product_id")], root, ck, merge, empty, once=True).awaitTermination(180)
-    final = spark.read.schema(empty.schema).parquet(f"{root}/v=3")
+    K.upsert_stream(items, "product_url", [-F.col("product_id")], root, ck, SNAPSHOT, merge, buckets=4, fan_out=fan_out, once=True).awaitTermination(180)
     newest = {}
-    for ident, user, kind, _t, _f in rows:
+    for _ident, user, kind, _t, _f in rows:
         newest[user] = kind
-    assert {r["product_url"]: r["inci_ingredients"][0] for r in final.collect()} == newest
+    assert {r["product_url"]: r["inci_ingredients"][0] for r in K.snapshot(spark, root, SNAPSHOT).collect()} == newest
+    assert len(sides) == 4 and all(urls == sorted(set(newest)) for _, urls in sides)
+
+
+def test_a_batch_rewrites_its_buckets_only(spark):
+    root = tempfile.mkdtemp(prefix="snap-")
+
+    def rows_of(keys, status):
+        return spark.createDataFrame([(k, i, status, ["x" * 200]) for i, k in enumerate(keys)], SNAPSHOT)
+
+    def put(batch_id, df):
+        return K.upsert_batch(spark, df, batch_id, "product_url", [-F.col("product_id")], root, SNAPSHOT, merge, buckets=16)
+
+    def written():
+        return {str(p.relative_to(root)): p.stat().st_size for p in Path(root).rglob("*.parquet")}
+
+    assert K.snapshot(spark, root, SNAPSHOT).collect() == []
+    put(0, rows_of([f"u{i}" for i in range(3000)], "catalog_only"))
+    before = written()
+    assert put(1, rows_of(["u7", "new"], "verified_inci"))
+    new = {f: n for f, n in written().items() if f not in before}
+    # Two of sixteen buckets at most, an eighth of the bytes.
+    assert len(new) <= 2 and sum(new.values()) < 0.2 * sum(before.values())
+    state = sorted(map(tuple, K.snapshot(spark, root, SNAPSHOT).select("product_url", "verification_status").collect()))
+    assert len(state) == 3001 and dict(state)["u7"] == dict(state)["new"] == "verified_inci" and dict(state)["u8"] == "catalog_only"
+    # Repeated and older batch ids change nothing, an empty batch neither.
+    files = written()
+    assert not put(1, rows_of(["u7"], "quarantined")) and not put(0, rows_of(["u9"], "quarantined"))
+    put(2, rows_of([], "x"))
+    assert sorted(map(tuple, K.snapshot(spark, root, SNAPSHOT).select("product_url", "verification_status").collect())) == state and set(files) >= set(written())
+    # Old versions of a bucket go after a few batches.
+    for i in range(3, 9):
+        put(i, rows_of(["u7"], "verified_inci"))
+    assert len(written()) < len(before) + 8
 
 
 def test_late_rows_go_aside(spark):
@@ -114,31 +186,3 @@ def test_late_rows_go_aside(spark):
     K.split_late(src, "ts", 600, a, b, tempfile.mkdtemp(prefix="ck-"), once=True).awaitTermination(120)
     on, off = (sorted(r["n"] for r in spark.read.option("recursiveFileLookup", "true").schema("n INT, ts TIMESTAMP").option("pathGlobFilter", "part-*").parquet(*[f"{d}/batch=0", f"{d}/batch=1"]).collect()) for d in (a, b))
     assert sorted(on + off) == [0, 5, 990, 1000] and off in ([5], [0])
-
-
-@pytest.fixture
-def small_batches(spark, rows):
-    """All rows in one trigger, in reverse, and Arrow batches of 50 rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    path = tempfile.mkdtemp(prefix="reversed-")
-    spark.createDataFrame(rows[::-1], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    yield path
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-
-
-def test_order_holds_across_arrow_batches(spark, small_batches, rows):
-    src = stream(spark, small_batches)
-    limited = {r[1]: r[2] for r in run(K.accepted_rate_limit(src, "user_id", "ts", "event_id", 3, 60), spark, "limit_small")}
-    kept = {r[1]: r[2] for r in run(K.circuit_breaker(src, "user_id", "event_id", "failed"), spark, "breaker_small")}
-    logs, state = {}, {}
-    for ident, user, _k, ts, failed in rows:
-        log = [t for t in logs.get(user, []) if t >= ts - dt.timedelta(seconds=60)]
-        assert limited[ident] == (len(log) < 3)
-        logs[user] = log + [ts] if len(log) < 3 else log
-        n, bad, is_open = state.get(user, (0, 0, True))
-        assert kept[ident] == is_open
-        if is_open:
-            n, bad = n + 1, bad + failed
-            is_open = not (n >= 5 and bad / n > 0.5)
-        state[user] = (n, bad, is_open)
-    assert len(limited) == len(kept) == len(rows)
