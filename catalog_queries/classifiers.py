@@ -125,32 +125,39 @@ def tier_summary(t):
     return R.value_counts(tiers(t), F.col("tier"), "tier")
 
 
-_NQ = r"""d AS (SELECT doc_id, trim(left(text, 20 + CAST(n_chars % 70 AS INT)), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents),
-f AS (SELECT doc_id, s, lower(s) AS low, len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) AS words FROM d),
+#: Every line of every document as a name.
+_LINES = "(SELECT doc_id, CAST(i - 1 AS INT) AS i, ls[i] AS name FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+def lines(t):
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
+
+
+_NQ = "d AS (SELECT doc_id, i, trim(name, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM " + _LINES + r"""),
+f AS (SELECT doc_id, i, s, lower(s) AS low, len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) AS words FROM d),
 g AS (SELECT *, regexp_matches(low, '(^|[^0-9a-zà-ÿ_])\d+(\.\d+)?\s*(ml|g|kg|l|oz)($|[^0-9a-zà-ÿ_])') AS vol, regexp_matches(low, '(^|[^0-9a-zà-ÿ_])(the|la|die|el)($|[^0-9a-zà-ÿ_])') AS typ, regexp_matches(low, '^(kit|combo)($|[^0-9a-zà-ÿ_])') AS kit FROM f),
-n AS (SELECT doc_id, CASE WHEN vol AND typ THEN 'volume+tipo' WHEN kit AND words >= 3 THEN 'kit+desc' WHEN typ AND words >= 3 THEN 'tipo+contexto' ELSE '' END AS signal,
+n AS (SELECT doc_id, i, CASE WHEN vol AND typ THEN 'volume+tipo' WHEN kit AND words >= 3 THEN 'kit+desc' WHEN typ AND words >= 3 THEN 'tipo+contexto' ELSE '' END AS signal,
  greatest(0, least(100, 50 + CASE WHEN vol AND typ THEN 40 WHEN kit AND words >= 3 THEN 30 WHEN typ AND words >= 3 THEN 20 ELSE -30 END
  - CASE WHEN regexp_matches(s, '^[a-z][a-z\sçãáéíóúâêôõà]+$') AND words >= 2 THEN 30 ELSE 0 END - CASE WHEN regexp_matches(s, '\?$') THEN 35 ELSE 0 END
  - CASE WHEN regexp_matches(s, '^[^!]*!$') AND words <= 6 THEN 25 ELSE 0 END - CASE WHEN length(s) < 15 AND NOT vol THEN 15 ELSE 0 END - CASE WHEN length(s) >= 80 THEN 10 ELSE 0 END)) AS score FROM g)"""
 
 
-@query("name_quality", f"WITH {_NQ} SELECT doc_id, signal, CAST(score AS INT) AS score, score >= 60 AS valid FROM n")
+@query("name_quality", f"WITH {_NQ} SELECT doc_id, i, signal, CAST(score AS INT) AS score, score >= 60 AS valid FROM n")
 def name_quality(t):
-    name = F.left("text", (F.lit(20) + F.col("n_chars") % 70).cast("int"))
-    q = C.name_quality(name, "the|la|die|el")
-    return t.documents.select("doc_id", F.array_join(q["signals"], "").alias("signal"), q["score"].alias("score"), q["valid"].alias("valid"))
+    q = C.name_quality("name", "the|la|die|el")
+    return lines(t).select("doc_id", "i", F.array_join(q["signals"], "").alias("signal"), q["score"].alias("score"), q["valid"].alias("valid"))
 
 
-@query("garbage_names", r"""WITH n AS (SELECT doc_id, lower(trim(left(text, 60), ' ' || chr(10) || chr(9) || chr(13))) AS s FROM documents)
-SELECT doc_id, CASE WHEN contains(s, 'ungheit') OR contains(s, 'aux ') THEN 'name_garbage' WHEN regexp_matches(s, '^\s*(the|la)\s+|(?:\d+\s+th)') THEN 'name_editorial_or_invalid' ELSE 'ok' END AS code FROM n""")
+@query("garbage_names", "WITH n AS (SELECT doc_id, i, lower(trim(name, ' ' || chr(10) || chr(9) || chr(13))) AS s FROM " + _LINES + r""")
+SELECT doc_id, i, CASE WHEN contains(s, 'ungheit') OR contains(s, 'aux ') THEN 'name_garbage' WHEN regexp_matches(s, '^\s*(the|la)\s+|(?:\d+\s+th)') THEN 'name_editorial_or_invalid' ELSE 'ok' END AS code FROM n""")
 def garbage_names(t):
-    code = C.garbage_name(F.left("text", F.lit(60)), ["ungheit", "aux "], [r"^\s*(the|la)\s+", r"\d+\s+th"])
-    return t.documents.select("doc_id", F.coalesce(code, F.lit("ok")).alias("code"))
+    code = C.garbage_name(F.col("name"), ["ungheit", "aux "], [r"^\s*(the|la)\s+", r"\d+\s+th"])
+    return lines(t).select("doc_id", "i", F.coalesce(code, F.lit("ok")).alias("code"))
 
 
-@query("junk_names", "SELECT doc_id, n LIKE 'The %' OR n LIKE '%ung%' OR n LIKE 'La %que%' OR length(trim(n)) < 6 AS junk FROM (SELECT doc_id, left(text, 60) AS n FROM documents)")
+@query("junk_names", "SELECT doc_id, i, name LIKE 'The %' OR name LIKE '%ung%' OR name LIKE 'La %que%' OR length(trim(name)) < 6 AS junk FROM " + _LINES)
 def junk_names(t):
-    return t.documents.select("doc_id", C.junk_name(F.left("text", F.lit(60)), ["The %", "%ung%", "La %que%"]).alias("junk"))
+    return lines(t).select("doc_id", "i", C.junk_name("name", ["The %", "%ung%", "La %que%"]).alias("junk"))
 
 
 @query("safe_names", P + r"SELECT product_id, regexp_matches(lower(product_name), '(^|[^0-9a-zà-ÿ_])(gear|bolt)') AND regexp_matches(lower(product_name), '\d+\s*(ml|g|kg|l)($|[^0-9a-zà-ÿ_])') AS safe FROM products")
@@ -177,9 +184,9 @@ def tab_noise(t):
     return t.documents.select("doc_id", C.tab_noise("text", _LABELS).alias("noise"))
 
 
-@query("list_like_texts", "SELECT doc_id, length(p) >= 30 AND regexp_matches(p, '[,;●•·]') AND NOT (contains(lower(p), 'ungheit') OR contains(lower(p), 'tion ')) AS listy, length(p) >= 30 AND regexp_matches(p, '[,;●•·]') AS in_section FROM (SELECT doc_id, split_part(text, chr(10), 1) AS p FROM documents)")
+@query("list_like_texts", "SELECT doc_id, length(p) >= 30 AND regexp_matches(p, '[,;●•·]') AND NOT (contains(lower(p), 'ungheit') OR contains(lower(p), 'tion ')) AS listy, length(p) >= 30 AND regexp_matches(p, '[,;●•·]') AS in_section FROM (SELECT doc_id, text AS p FROM documents)")
 def list_like_texts(t):
-    p = F.substring_index("text", "\n", 1)
+    p = F.col("text")
     return t.documents.select("doc_id", C.list_like(p, False, ["ungheit", "tion "]).alias("listy"), C.list_like(p, True).alias("in_section"))
 
 
@@ -217,20 +224,20 @@ def detected_seals(t):
     return C.detect_seals(d, "doc_id", ["head", "body"], _SEALS).select("doc_id", "seal", "keyword", "field")
 
 
-@query("seals_in_images", "WITH f AS (SELECT doc_id, strip_accents(lower(left(text, 100))) AS head, strip_accents(lower(right(text, 300))) AS body FROM documents), h AS (" + _seal_sql()
+@query("seals_in_images", "WITH f AS (SELECT doc_id, strip_accents(lower(left(text, 100))) AS head, replace(strip_accents(lower(text)), chr(10), ' ' || chr(10) || ' ') AS body FROM documents), h AS (" + _seal_sql()
        + ") SELECT DISTINCT doc_id, seal FROM h WHERE field = 'body' AND (doc_id, seal) NOT IN (SELECT (doc_id, seal) FROM h WHERE field = 'head')")
 def seals_in_images(t):
-    d = t.documents.select("doc_id", F.left("text", F.lit(100)).alias("head"), F.array(F.expr("right(text, 300)")).alias("images"))
+    d = t.documents.select("doc_id", F.left("text", F.lit(100)).alias("head"), F.split("text", "\n").alias("images"))
     found = C.detect_seals(d, "doc_id", ["head"], _SEALS)
     return C.detect_seals_in_images(d, "doc_id", "images", found, _SEALS).select("doc_id", "seal")
 
 
-@query("inferred_seals", """WITH d AS (SELECT doc_id, lower(replace(split_part(text, chr(10), 1), ',', chr(10))) AS s FROM documents),
+@query("inferred_seals", """WITH d AS (SELECT doc_id, lower(replace(text, ',', chr(10))) AS s FROM documents),
 f AS (SELECT doc_id, regexp_matches(s,'ion') AS silicone, regexp_matches(s,'ing|eau') AS sulfate, regexp_matches(s,'the') AS paraben, regexp_matches(s,'der|la') AS petro, regexp_matches(s,'que') OR regexp_matches(s,'(^|[^0-9a-zà-ÿ_])ci\\s*\\d{4,5}($|[^0-9a-zà-ÿ_])') AS dye, regexp_matches(s,'ou') AS nopoo FROM d)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT silicone THEN 'silicone_free' END, CASE WHEN NOT sulfate THEN 'sulfate_free' END, CASE WHEN NOT paraben THEN 'paraben_free' END, CASE WHEN NOT petro THEN 'petrolatum_free' END,
  CASE WHEN NOT dye THEN 'dye_free' END, CASE WHEN NOT sulfate THEN 'low_poo' END, CASE WHEN NOT nopoo AND NOT silicone THEN 'no_poo' END], lambda x: x IS NOT NULL), ',') AS seals FROM f""")
 def inferred_seals(t):
-    items = F.split(F.substring_index("text", "\n", 1), ",")
+    items = F.split("text", ",")
     s = C.infer_seals(items, ["ing", "eau"], ["ion"], ["ou"], ["the"], ["der", "la"], ["que"])
     return t.documents.select("doc_id", F.array_join(s, ",").alias("seals"))
 
@@ -296,20 +303,20 @@ def ingredient_categories(t):
 
 
 _ALLERGENS = [("strong", "high", ["the", "und"]), ("soft", "info", ["la", "de", "of"]), ("mid", "caution", ["que", "and"])]
-_AL_SQL = r"""w AS (SELECT doc_id, list_transform(string_split(split_part(text, chr(10), 1), ' '), lambda x: trim(lower(regexp_replace(strip_accents(x), '\s+', ' ', 'g')), ' .,;:*')) AS k FROM documents),
+_AL_SQL = r"""w AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \n]'), lambda x: trim(lower(regexp_replace(strip_accents(x), '\s+', ' ', 'g')), ' .,;:*')) AS k FROM documents),
 v AS (SELECT * FROM (VALUES ('the','strong','high',2), ('und','strong','high',2), ('la','soft','info',0), ('de','soft','info',0), ('of','soft','info',0), ('que','mid','caution',1), ('and','mid','caution',1)) AS x(name, cls, sev, r)),
 h AS (SELECT DISTINCT doc_id, v.* FROM (SELECT doc_id, unnest(k) AS name FROM w) JOIN v USING (name))"""
 
 
 @query("allergens", f"WITH {_AL_SQL} SELECT doc_id, string_agg(name || ':' || cls, ',' ORDER BY -r, name) AS found FROM h GROUP BY 1")
 def allergens(t):
-    d = t.documents.select("doc_id", C.allergens(F.split(F.substring_index("text", "\n", 1), " "), _ALLERGENS).alias("a")).filter(F.size("a") > 0)
+    d = t.documents.select("doc_id", C.allergens(F.split("text", "[ \n]"), _ALLERGENS).alias("a")).filter(F.size("a") > 0)
     return d.select("doc_id", F.array_join(F.transform("a", lambda h: F.concat(T.norm_entry(h["ingredient"]), F.lit(":"), h["allergen_class"])), ",").alias("found"))
 
 
 @query("allergen_summaries", f"WITH {_AL_SQL} SELECT doc_id, CAST(count(*) AS INT) AS n, arg_max(sev, r) AS worst, string_agg(DISTINCT cls, ',' ORDER BY cls) AS classes FROM h GROUP BY 1")
 def allergen_summaries(t):
-    s = C.allergen_summary(C.allergens(F.split(F.substring_index("text", "\n", 1), " "), _ALLERGENS))
+    s = C.allergen_summary(C.allergens(F.split("text", "[ \n]"), _ALLERGENS))
     d = t.documents.select("doc_id", s.alias("s")).filter("s.count > 0")
     return d.select("doc_id", F.col("s.count").alias("n"), F.col("s.worst").alias("worst"), F.array_join("s.classes", ",").alias("classes"))
 

@@ -19,13 +19,13 @@ RULES = L.ListRules(
 
 
 def word_lists(t):
-    """First line of each document as a list of its words."""
-    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split(F.substring_index("text", "\n", 1), " ").alias("items"))
+    """Each document as a list of its words."""
+    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[ \n]").alias("items"))
 
 
 def phrase_lists(t):
-    """First line of each document split at commas and full stops."""
-    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split(F.substring_index("text", "\n", 1), "[,.]").alias("items"))
+    """Each document split at commas, full stops and line ends."""
+    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[,.\n]").alias("items"))
 
 
 def valid_sql(x: str, verbs=("ation", "eaux"), max_len=30, max_words=4) -> str:
@@ -45,8 +45,14 @@ def checked_sql(split: str) -> str:
  res AS (SELECT *, CASE WHEN rep THEN 'repetition_detected' WHEN con THEN 'concat_detected' WHEN len(cleaned) < 6 THEN 'min_ingredients: only ' || len(cleaned) || ' valid terms' ELSE '' END AS reason FROM chk)"""
 
 
-WORDS = "string_split(split_part(text, chr(10), 1), ' ')"
-PHRASES = "string_split_regex(split_part(text, chr(10), 1), '[,.]')"
+WORDS = "string_split_regex(text, '[ \\n]')"
+PHRASES = "string_split_regex(text, '[,.\\n]')"
+#: Everything after the first line.
+USAGE = "CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END"
+
+
+def usage_text():
+    return F.when(F.contains("text", F.lit("\n")), F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise("")
 
 
 @query("valid_items", f"WITH i AS (SELECT doc_id, unnest({PHRASES}) AS item FROM documents) SELECT doc_id, {N} AS items, CAST(count(*) FILTER (WHERE {valid_sql('item')}) AS BIGINT) AS valid FROM i GROUP BY 1")
@@ -96,7 +102,7 @@ FIELDS = V.FieldRules(
     anchors=["the", "der"], marketing=["tion", "ungen"], usage=["eau", "ing"], actions=["the ", "der "], tab_labels=["the", "of", "der", "und"],
     pricing=r"and|que", categories=["en", "fr"], type_words="the|la|die|el", lists=RULES)
 
-_ISSUES = f"""raw AS (SELECT doc_id, lang, n_chars, text, {PHRASES} AS items, split_part(text, chr(10), 2) AS usage FROM documents),
+_ISSUES = f"""raw AS (SELECT doc_id, lang, n_chars, text, {PHRASES} AS items, {USAGE} AS usage FROM documents),
 nrm AS (SELECT *, list_transform(items, lambda x: {X.trim('lower(x)')}) AS norm, list_transform(items, lambda x: {X.trim('x')}) AS tr, len(items) AS n, {X.trim('text')} AS des, {X.trim('lower(usage)')} AS us FROM raw),
 cnt AS (SELECT *, len(list_filter(norm, lambda x: x IN ('the','der'))) > 0 AS anch, len(list_filter(norm, lambda x: {X.has_any('x', ['tion', 'ungen'])})) AS ads,
  len(list_filter(norm, lambda x: {X.has_any('x', ['eau', 'ing'])})) AS use, len(list_filter(tr, lambda x: (regexp_matches(x, '\\.\\s+[A-Z]') AND length(x) > 50) OR {X.words('x')} > 12)) AS sen,
@@ -114,7 +120,7 @@ fin AS (SELECT doc_id, lang, n_chars, list_filter([
 
 
 def issue_rows(t):
-    d = phrase_lists(t).withColumn("usage", F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))
+    d = phrase_lists(t).withColumn("usage", usage_text())
     issues = V.field_issues(
         name="doc_id", items="items", description="text", usage="usage", price=F.col("n_chars").cast("double"),
         currency=F.when(F.col("lang") != "fr", "BRL"), image=F.when(F.col("lang") != "es", "x"), ptype=F.when(F.col("n_chars") >= 300, "t"), rules=FIELDS)
@@ -141,13 +147,13 @@ _LAB = X.rep("lower(" + X.collapse("strip_accents(u)") + ")", r"^[^\w]+")
 _REAL = f"""length({X.trim('u')}) >= 20 AND {X.has_any("lower(" + X.trim('u') + ")", ['the ', 'der '])} AND NOT ({_LAB} IN ('the','of','der','und') OR ({' + '.join(f"contains(left({_LAB}, 80), '{w}')::INT" for w in ['the', 'of', 'der', 'und'])}) >= 2)"""
 
 
-@query("real_usage", f"SELECT doc_id, {_REAL} AS real FROM (SELECT doc_id, split_part(text, chr(10), 2) AS u FROM documents)")
+@query("real_usage", f"SELECT doc_id, {_REAL} AS real FROM (SELECT doc_id, {USAGE} AS u FROM documents)")
 def real_usage(t):
-    usage = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
+    usage = usage_text()
     return t.documents.select("doc_id", V.real_usage(usage, FIELDS).alias("real"))
 
 
-_KR = """d AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(split_part(text, chr(10), 1), ' '), lambda x: trim(lower(x), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')) AS terms FROM documents),
+_KR = """d AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split_regex(text, '[ \\n]'), lambda x: trim(lower(x), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')) AS terms FROM documents),
 t AS (SELECT doc_id, unnest(terms) AS term FROM d), k AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS term FROM benchmark),
 r AS (SELECT doc_id, CAST(count(k.term) AS BIGINT) AS n_known, CAST(count(*) AS BIGINT) AS n_terms FROM t LEFT JOIN k USING (term) GROUP BY 1)"""
 
@@ -172,7 +178,7 @@ def grounded_provenance(t):
 
 
 def _gold_input(t):
-    d = phrase_lists(t).withColumn("usage", F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))
+    d = phrase_lists(t).withColumn("usage", usage_text())
     return d.join(ratios(t).select("doc_id", "known_ratio"), "doc_id", "left").join(t.labels, "doc_id", "left")
 
 
@@ -187,7 +193,7 @@ def evaluated(t):
 
 
 _NAME = r"regexp_replace(left(text, 30), '\s+', ' ', 'g') || ' 10ml'"
-_GOLD = f"""{_KR}, {checked_sql(PHRASES).replace("raw AS (SELECT doc_id, lang, source, n_chars, text,", "raw AS (SELECT doc_id, lang, source, n_chars, text, split_part(text, chr(10), 2) AS u, ")},
+_GOLD = f"""{_KR}, {checked_sql(PHRASES).replace("raw AS (SELECT doc_id, lang, source, n_chars, text,", "raw AS (SELECT doc_id, lang, source, n_chars, text, " + USAGE + " AS u, ")},
 iss2 AS ({_ISSUES.replace("raw AS", "WITH raw AS", 1)} SELECT doc_id, issues FROM fin),
 nm AS (SELECT doc_id, {X.trim(_NAME)} AS s FROM documents),
 nq AS (SELECT doc_id, greatest(0, least(100, 50 + CASE WHEN regexp_matches(lower(s), '(^|[^0-9a-zà-ÿ_])(the|la|die|el)($|[^0-9a-zà-ÿ_])') THEN 40 ELSE -30 END - CASE WHEN regexp_matches(s, '^[a-z][a-z\\sçãáéíóúâêôõà]+$') THEN 30 ELSE 0 END - CASE WHEN regexp_matches(s, '\\?$') THEN 35 ELSE 0 END)) >= 60 AS good FROM nm),
@@ -254,15 +260,15 @@ q AS (SELECT res.*, s, contains(lower(s), 'ungheit') AS g1, regexp_matches(lower
  greatest(0, least(100, 50 + CASE WHEN regexp_matches(lower(s), '(^|[^0-9a-zà-ÿ_])(the|la|die|el)($|[^0-9a-zà-ÿ_])') THEN 40 ELSE -30 END - CASE WHEN regexp_matches(s, '^[a-z][a-z\\sçãáéíóúâêôõà]+$') THEN 30 ELSE 0 END - CASE WHEN regexp_matches(s, '\\?$') THEN 35 ELSE 0 END)) AS score FROM res JOIN nm USING (doc_id)),
 f AS (SELECT *, CASE WHEN source = 'src3' THEN 'non_hair:x' WHEN source = 'src4' THEN 'blocked:waf' ELSE 'hair_keyword:x' END AS why, list_filter([CASE WHEN g1 THEN 'name_garbage' WHEN g2 THEN 'name_editorial_or_invalid' WHEN score < 60 THEN 'name_low_quality:' || array_to_string(iss[1:3], ',') END,
  CASE WHEN source = 'src6' THEN 'domain_unofficial' END, CASE WHEN lang = 'es' THEN 'no_image' END, CASE WHEN source = 'src3' THEN 'non_hair:x' END], lambda x: x IS NOT NULL) AS bad FROM q)
-SELECT doc_id, CASE WHEN source = 'src4' THEN 'quarantined' WHEN len(bad) > 0 THEN 'quarantined' WHEN n_chars > 4000 THEN 'catalog_only' WHEN reason <> '' THEN 'quarantined' WHEN n_chars < 700 THEN 'quarantined' ELSE 'verified_inci' END AS status,
- CASE WHEN source = 'src4' THEN 'waf' WHEN len(bad) > 0 THEN array_to_string(bad, '; ') WHEN n_chars > 4000 THEN '' WHEN reason <> '' THEN reason WHEN n_chars < 700 THEN 'confidence 0.5 < 0.8' ELSE '' END AS reason FROM f""")
+SELECT doc_id, CASE WHEN source = 'src4' THEN 'quarantined' WHEN len(bad) > 0 THEN 'quarantined' WHEN lang = 'fr' THEN 'catalog_only' WHEN reason <> '' THEN 'quarantined' WHEN n_chars < 700 THEN 'quarantined' ELSE 'verified_inci' END AS status,
+ CASE WHEN source = 'src4' THEN 'waf' WHEN len(bad) > 0 THEN array_to_string(bad, '; ') WHEN lang = 'fr' THEN '' WHEN reason <> '' THEN reason WHEN n_chars < 700 THEN 'confidence 0.5 < 0.8' ELSE '' END AS reason FROM f""")
 def qa_gate(t):
     c = F.col
     d = phrase_lists(t)
     name = F.concat(F.regexp_replace(F.left("text", F.lit(30)), r"\s+", " "), F.lit(" 10ml"))
     url = F.concat(F.lit("https://"), F.when(c("source") == "src6", "bad.org").otherwise("shop.example.com"), F.lit("/p"))
     why = F.when(c("source") == "src3", "non_hair:x").when(c("source") == "src4", "blocked:waf").otherwise("hair_keyword:x")
-    g = V.qa_gate(name, url, F.when(c("lang") != "es", "i"), why, F.when(c("n_chars") <= 4000, c("items")), F.lit(None).cast("string"),
+    g = V.qa_gate(name, url, F.when(c("lang") != "es", "i"), why, F.when(c("lang") != "fr", c("items")), F.lit(None).cast("string"),
                   F.when(c("n_chars") < 700, 0.5).otherwise(0.9), ["example.com"], False, rules=FIELDS, garbage_words=["ungheit"], garbage_patterns=[r"^\s*(la)\s+"])
     return d.select("doc_id", g.alias("g")).select("doc_id", F.col("g.status").alias("status"), F.col("g.reason").alias("reason"))
 

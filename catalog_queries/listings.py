@@ -103,9 +103,25 @@ def next_wave(t):
     return R.next_wave(reg, counts, recipes, skip, 40)
 
 
-@query("audit_search", """SELECT event_id, user_id FROM events WHERE event_type='error' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 100""")
+@query("audit_search", """WITH l AS (SELECT 'auth' AS log, CAST(event_id AS VARCHAR) AS event_id, event_type, 'u' || user_id || '@x.com' AS email, CAST(NULL AS VARCHAR) AS target_id, ts FROM events WHERE event_type IN ('signup', 'error')
+ UNION ALL SELECT 'admin', CAST(event_id AS VARCHAR), 'grant', 'a' || user_id % 7 || '@x.com', 'u' || user_id, ts FROM events WHERE event_type = 'purchase'
+ UNION ALL SELECT 'retrieval', CAST(event_id AS VARCHAR), event_type, NULL, NULL, ts FROM events WHERE event_type IN ('click', 'view'))
+SELECT log, event_id, event_type, coalesce(email, '-') AS email, coalesce(target_id, '-') AS target_id, strftime(ts, '%Y-%m-%d') AS day FROM l
+WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' AND (email IN ('u8@x.com', 'a1@x.com') OR event_type IN ('click', 'error'))""")
 def audit_search(t):
-    return R.audit_search(t.events, "ts", kind=F.col("event_type") == "error", since="2024-01-10", until="2024-01-20").select("event_id", "user_id")
+    e = t.events.withColumns({"ts": F.col("ts").cast("timestamp"), "who": F.concat(F.lit("u"), F.col("user_id").cast("string"))})
+    mail = lambda c: F.concat(c, F.lit("@x.com"))
+    log = R.audit_log(
+        auth=(e.filter("event_type in ('signup', 'error')"), {"event_id": "event_id", "event_type": "event_type", "email": mail(F.col("who")), "user_id": "who", "created_at": "ts"}),
+        admin=(e.filter("event_type = 'purchase'"), {"event_id": "event_id", "event_type": F.lit("grant"), "email": mail(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string"))), "target_id": "who", "created_at": "ts"}),
+        retrieval=(e.filter("event_type in ('click', 'view')"), {"event_id": "event_id", "event_type": "event_type", "created_at": "ts"}))
+    found = R.audit_search(log, "created_at", user=F.col("email").isin("u8@x.com", "a1@x.com") | F.col("event_type").isin("click", "error"), since="2024-01-10", until="2024-01-20", date="event_date")
+    return found.select("log", "event_id", "event_type", F.coalesce("email", F.lit("-")).alias("email"), F.coalesce("target_id", F.lit("-")).alias("target_id"), F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("newest_errors", """SELECT event_id, user_id FROM events WHERE event_type='error' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def newest_errors(t):
+    return R.audit_search(t.events, "ts", kind=F.col("event_type") == "error", since="2024-01-10", until="2024-01-20", limit=100).select("event_id", "user_id")
 
 
 @query("entity_history", "SELECT event_id, event_type FROM events WHERE user_id = 8 AND event_type = 'click'")

@@ -10,14 +10,14 @@ from shelfgrade.operators import reports as R
 
 from . import sqlx as X
 from .base import BRIDGE_SQL, DESCRIBED_SQL, PRODUCTS_SQL, bridge, products, query
-from .gates import FIELDS, PHRASES, RULES, checked_sql, phrase_lists, _REAL
+from .gates import FIELDS, PHRASES, RULES, USAGE, checked_sql, phrase_lists, usage_text, _REAL
 
 P = f"WITH {PRODUCTS_SQL} "
 N = "CAST(count(*) AS BIGINT)"
 
 # --- snapshots: documents as the old one, orders-like changes as the new one ----------------
 
-_OLD = """old AS (SELECT 'u' || doc_id AS product_url, doc_id AS product_id, left(text, 20) AS product_name, CASE WHEN lang = 'es' THEN 'Como usar' ELSE left(text, 50) END AS description,
+_OLD = """old AS (SELECT 'u' || doc_id AS product_url, doc_id AS product_id, left(text, 20) AS product_name, CASE WHEN lang = 'es' THEN 'Como usar' ELSE text END AS description,
  CASE WHEN lang = 'en' THEN source END AS items, CASE WHEN n_chars > 900 THEN 'verified_inci' ELSE 'catalog_only' END AS verification_status, n_chars * 1.0::DOUBLE AS price FROM documents)"""
 _NEW = """new AS (SELECT 'u' || p_partkey * 2 AS product_url, 900000 + p_partkey AS product_id, CASE WHEN p_size > 10 THEN p_name ELSE '' END AS product_name, CASE WHEN p_size > 30 THEN p_name || ' ' || p_type WHEN p_size > 20 THEN 'detalhes' ELSE '' END AS description,
  CASE WHEN p_type = 'PROMO' THEN p_brand END AS items, 'quarantined' AS verification_status, CASE WHEN p_size > 25 THEN p_retailprice END AS price FROM part)"""
@@ -26,7 +26,7 @@ _NEW = """new AS (SELECT 'u' || p_partkey * 2 AS product_url, 900000 + p_partkey
 def snapshots(t):
     old = t.documents.select(
         F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("product_url"), F.col("doc_id").alias("product_id"), F.left("text", F.lit(20)).alias("product_name"),
-        F.when(F.col("lang") == "es", "Como usar").otherwise(F.left("text", F.lit(50))).alias("description"), F.when(F.col("lang") == "en", F.array("source")).alias("inci_ingredients"),
+        F.when(F.col("lang") == "es", "Como usar").otherwise(F.col("text")).alias("description"), F.when(F.col("lang") == "en", F.array("source")).alias("inci_ingredients"),
         F.when(F.col("n_chars") > 900, "verified_inci").otherwise("catalog_only").alias("verification_status"), (F.col("n_chars") * 1.0).cast("double").alias("price"))
     new = t.part.select(
         F.concat(F.lit("u"), (F.col("p_partkey") * 2).cast("string")).alias("product_url"), (F.col("p_partkey") + 900000).alias("product_id"),
@@ -114,17 +114,17 @@ def union_discovery(t):
 _TOKENS = "list_distinct(list_filter(list_transform(flatten(list_transform({}, lambda x: string_split_regex(x, '[/(),•·●;]'))), lambda p: regexp_replace(lower(p), '[^a-z0-9]+', '', 'g')), lambda k: length(k) >= 3))"
 
 
-@query("token_overlaps", f"""WITH d AS (SELECT doc_id, {_TOKENS.format("string_split(left(text, 300), ' ')")} AS a, {_TOKENS.format("string_split(left(replace(text, 'tion', ''), 280), ' ')")} AS b FROM documents),
+@query("token_overlaps", f"""WITH d AS (SELECT doc_id, {_TOKENS.format("string_split(text, ' ')")} AS a, {_TOKENS.format("string_split(replace(text, 'tion', ''), ' ')")} AS b FROM documents),
 s AS (SELECT doc_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS c FROM d) SELECT doc_id, coalesce((c / nullif(nb, 0) >= 0.9 AND na >= nb) OR (c / nullif(nb, 0) >= 0.7 AND c / nullif(na, 0) >= 0.7), false) AS accepted FROM s""")
 def token_overlaps(t):
-    a = F.split(F.left("text", F.lit(300)), " ")
-    b = F.split(F.left(F.replace("text", F.lit("tion"), F.lit("")), F.lit(280)), " ")
+    a = F.split("text", " ")
+    b = F.split(F.replace("text", F.lit("tion"), F.lit("")), " ")
     return t.documents.select("doc_id", J.token_overlap(a, b)["accept"].alias("accepted"))
 
 
-@query("merged_lists", """SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS merged FROM (SELECT doc_id, string_split(left(text, 40), ' ') AS a, string_split('the zzz of ' || lang, ' ') AS b FROM documents)""")
+@query("merged_lists", """SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS merged FROM (SELECT doc_id, string_split(text, ' ') AS a, string_split('the zzz of ' || lang, ' ') AS b FROM documents)""")
 def merged_lists(t):
-    m = L.merge_lists(F.split(F.left("text", F.lit(40)), " "), F.split(F.concat(F.lit("the zzz of "), "lang"), " "))
+    m = L.merge_lists(F.split("text", " "), F.split(F.concat(F.lit("the zzz of "), "lang"), " "))
     return t.documents.select("doc_id", F.array_join(m, " ").alias("merged"))
 
 
@@ -300,10 +300,11 @@ def repointed_bridge(t):
     return _merged_ingredients(t)[1]
 
 
-@query("clean_ingredients", """WITH e AS (SELECT doc_id AS id, split_part(text, '.', 1) AS name FROM documents), g AS (SELECT id, regexp_replace(trim(lower(name)), '\\.+$', '') AS k FROM e WHERE NOT (length(trim(name)) < 2 OR name LIKE 'The %' OR (name LIKE '%ung%' AND length(name) >= 40)))
+@query("clean_ingredients", """WITH e AS (SELECT doc_id * 1000000 + i AS id, ps[i] AS name FROM (SELECT doc_id, string_split(text, '.') AS ps, unnest(range(1, len(string_split(text, '.')) + 1)) AS i FROM documents)), g AS (SELECT id, regexp_replace(trim(lower(name)), '\\.+$', '') AS k FROM e WHERE NOT (length(trim(name)) < 2 OR name LIKE 'The %' OR (name LIKE '%ung%' AND length(name) >= 40)))
 SELECT id AS ingredient_id, min(id) OVER (PARTITION BY k) AS kept_id FROM g""")
 def clean_ingredients(t):
-    e = t.documents.select(F.col("doc_id").alias("ingredient_id"), F.substring_index("text", ".", 1).alias("canonical_name"))
+    parts = t.documents.select("doc_id", F.posexplode(F.split("text", "[.]")).alias("i", "canonical_name"))
+    e = parts.select((F.col("doc_id") * 1000000 + F.col("i") + 1).alias("ingredient_id"), "canonical_name")
     return J.clean_ingredients(e, [("The %", 0), ("%ung%", 40)])[1]
 
 
@@ -314,23 +315,23 @@ def cascade_delete(t):
     return J.cascade_delete({"lines": child}, gone, "product_id")["lines"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("backfilled_usage", f"SELECT doc_id, lang = 'fr' AND {_REAL} AS backfilled FROM (SELECT doc_id, lang, split_part(text, chr(10), 2) AS u FROM documents)")
+@query("backfilled_usage", f"SELECT doc_id, lang = 'fr' AND {_REAL} AS backfilled FROM (SELECT doc_id, lang, {USAGE} AS u FROM documents)")
 def backfilled_usage(t):
-    d = t.documents.select("doc_id", F.when(F.col("lang") != "fr", "have").otherwise("").alias("usage_instructions"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")).alias("care_usage"))
+    d = t.documents.select("doc_id", F.when(F.col("lang") != "fr", "have").otherwise("").alias("usage_instructions"), usage_text().alias("care_usage"))
     return J.backfill_usage(d, FIELDS).select("doc_id", "backfilled")
 
 
 _BARE = "regexp_replace(lower({}), '[^0-9a-z_]+', '', 'g')"
 
 
-@query("autoresolved_queue", f"""WITH q AS (SELECT doc_id, left(text, 60) AS cur, CASE WHEN lang = 'en' THEN left(text, 60) WHEN lang = 'fr' THEN left(text, 30) || '!' ELSE 'other words here entirely' END AS p1, CASE WHEN source < 'src2' THEN '  ' || left(text, 60) || '!!' WHEN source < 'src5' THEN '' ELSE 'zz' END AS p2 FROM documents),
+@query("autoresolved_queue", f"""WITH q AS (SELECT doc_id, text AS cur, CASE WHEN lang = 'en' THEN text WHEN lang = 'fr' THEN left(text, n_chars // 2) || '!' ELSE 'other words here entirely' END AS p1, CASE WHEN source < 'src2' THEN '  ' || text || '!!' WHEN source < 'src5' THEN '' ELSE 'zz' END AS p2 FROM documents),
 b AS (SELECT doc_id, {_BARE.format('cur')} AS c, {_BARE.format('p1')} AS a, {_BARE.format('p2')} AS z, cur, p1, p2, regexp_replace(lower(strip_accents(cur)), '[^a-z0-9]+', '', 'g') AS ck, regexp_replace(lower(strip_accents(p2)), '[^a-z0-9]+', '', 'g') AS pk FROM q),
 m AS (SELECT *, NOT (c = a OR (length(c) > 20 AND length(a) > 20 AND (contains(c, a) OR contains(a, c)))) AS moved, c = z OR (length(c) > 20 AND length(z) > 20 AND (contains(c, z) OR contains(z, c))) AS near2 FROM b)
 SELECT doc_id, CASE WHEN moved AND near2 THEN 'auto_resolved_pass2' WHEN moved THEN 'auto_resolved_post_fix' WHEN ck <> '' AND pk <> '' AND (ck = pk OR (length(ck) > 30 AND (contains(ck, pk) OR contains(pk, ck)))) THEN 'kept_pass_1'
  WHEN trim(cur) = '' AND p2 <> '' THEN 'accepted_pass_2' WHEN (length(p2) = 0 AND length(p1) > 50) OR (length(p2) > 0 AND length(p1) > 2 * length(p2) AND length(p1) > 200) THEN 'kept_longer' ELSE 'pending' END AS resolution FROM m""")
 def autoresolved_queue(t):
-    cur = F.left("text", F.lit(60))
-    p1 = F.when(F.col("lang") == "en", cur).when(F.col("lang") == "fr", F.concat(F.left("text", F.lit(30)), F.lit("!"))).otherwise("other words here entirely")
+    cur = F.col("text")
+    p1 = F.when(F.col("lang") == "en", cur).when(F.col("lang") == "fr", F.concat(F.expr("left(text, cast(n_chars div 2 as int))"), F.lit("!"))).otherwise("other words here entirely")
     p2 = F.when(F.col("source") < "src2", F.concat(F.lit("  "), cur, F.lit("!!"))).when(F.col("source") < "src5", "").otherwise("zz")
     none = F.array().cast("array<string>")
     q = t.documents.select("doc_id", cur.alias("current"), p1.alias("pass_1_value"), p2.alias("pass_2_value"), F.lit("description").alias("field_name"), none.alias("current_items"), none.alias("pass_2_items"), F.lit(True).alias("newest"))
@@ -395,12 +396,12 @@ def registry_refusals(t):
     return _registry(t)[1]
 
 
-@query("filled_missing", f"""WITH {checked_sql(PHRASES)} SELECT doc_id, lang <> 'es' AND reason = '' AND source <> 'src1' AS list_filled, lang = 'en' AND {_REAL} AS usage_filled FROM (SELECT *, split_part(text, chr(10), 2) AS u FROM res)""")
+@query("filled_missing", f"""WITH {checked_sql(PHRASES)} SELECT doc_id, lang <> 'es' AND reason = '' AND source <> 'src1' AS list_filled, lang = 'en' AND {_REAL} AS usage_filled FROM (SELECT *, {USAGE} AS u FROM res)""")
 def filled_missing(t):
     d = phrase_lists(t)
     p = d.select("doc_id", F.when(F.col("source") == "src1", F.array(F.lit("x"))).alias("inci_ingredients"), F.when(F.col("lang") == "en", "").otherwise("have").alias("usage_instructions"), F.lit("catalog_only").alias("verification_status"), F.lit(0.1).alias("confidence"))
     found = d.filter("lang <> 'es'").select("doc_id", "items", F.lit(None).cast("string").alias("usage"))
-    second = d.select("doc_id", F.lit(None).cast("array<string>").alias("items"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")).alias("usage"))
+    second = d.select("doc_id", F.lit(None).cast("array<string>").alias("items"), usage_text().alias("usage"))
     return J.fill_missing(p, found, second, "doc_id", FIELDS).select("doc_id", "list_filled", "usage_filled")
 
 

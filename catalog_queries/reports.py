@@ -309,6 +309,14 @@ def approx_profile(t):
     return R.approx_profile(products(t), "product_name", "product_url", "price")
 
 
+@query("merged_profiles")
+def merged_profiles(t):
+    """Profiles per brand and in total, both from one set of sketches per brand and type."""
+    stored = R.profile_sketches(products(t), ["brand_slug", "product_type"], "product_name", "product_url", "price")
+    brands = R.merged_profile(stored, ["brand_slug"])
+    return brands.unionByName(R.merged_profile(stored, []).withColumn("brand_slug", F.lit("*")))
+
+
 @query("document_totals", f"SELECT {N} AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) // 4) AS BIGINT) AS token_estimate FROM documents")
 def document_totals(t):
     return R.document_totals(t.documents, "text")

@@ -133,10 +133,10 @@ def assembled_context(t):
 
 
 @query("garbage_list_texts", """SELECT doc_id, length(s) < 10 OR contains(s, '"@type"') OR (length(s) - length(regexp_replace(s, '[\\[\\]{}]', '', 'g'))) / greatest(length(s), 1) > 0.02 AS garbage
-FROM (SELECT doc_id, CASE WHEN lang = 'es' THEN '{"@type":1}' || left(text, 20) WHEN lang = 'de' THEN '[' || left(text, CAST(n_chars % 90 AS BIGINT)) || ']' ELSE left(text, 12) END AS s FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN lang = 'es' THEN '{"@type":1}' || text WHEN lang = 'de' THEN replace(replace(text, 'e', '['), 'r', ']') ELSE text END AS s FROM documents)""")
 def garbage_list_texts(t):
-    s = F.when(F.col("lang") == "es", F.concat(F.lit('{"@type":1}'), F.left("text", F.lit(20)))).when(
-        F.col("lang") == "de", F.concat(F.lit("["), F.left("text", (F.col("n_chars") % 90).cast("int")), F.lit("]"))).otherwise(F.left("text", F.lit(12)))
+    s = F.when(F.col("lang") == "es", F.concat(F.lit('{"@type":1}'), "text")).when(
+        F.col("lang") == "de", F.translate("text", "er", "[]")).otherwise(F.col("text"))
     return t.documents.select("doc_id", A.garbage_list_text(s).alias("garbage"))
 
 

@@ -163,7 +163,7 @@ def previous_event_gap(t):
     return out.select("event_id", F.coalesce(F.col("us") - F.col("prev"), F.lit(-1)).alias("gap_us"))
 
 
-@query("first_section_per_field", "SELECT source, lang, arg_min(left(text, 50), doc_id) AS content FROM documents GROUP BY 1, 2")
+@query("first_section_per_field", "SELECT source, lang, arg_min(text, doc_id) AS content FROM documents GROUP BY 1, 2")
 def first_section_per_field(t):
-    d = t.documents.select("source", "lang", "doc_id", F.left("text", F.lit(50)).alias("content"))
+    d = t.documents.select("source", "lang", "doc_id", F.col("text").alias("content"))
     return W.first_per_field(d, "source", "lang", "doc_id", "content")

@@ -243,7 +243,7 @@ def contains_any(col: Column | str, words: list[str]) -> Column:
         return F.lit(False)
     if len(words) <= 2:
         return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-    return let(text, lambda x: F.exists(literal_list(words), lambda w: F.contains(x, w)))
+    return F.lit(True) & text.isNotNull() if "" in words else text.rlike(trie_pattern(words))
 
 
 def escape_regex(word: str) -> str:
@@ -253,6 +253,25 @@ def escape_regex(word: str) -> str:
 WORD = "0-9a-z_À-ÖØ-öø-ÿ"
 
 
+def trie_pattern(words: list[str]) -> str:
+    """One alternation of all words as a prefix tree, so that a text is tried once per place and not once per word; the longest word first."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [escape_regex(ch) + written(sub) for ch, sub in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in node else body
+
+    return written(tree)
+
+
 def boundary_pattern(words: list[str], suffix: str = "") -> str:
     """Whole-word alternation that treats accented letters as letters.
 

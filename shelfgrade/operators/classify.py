@@ -5,6 +5,7 @@ stops at the first hit, and the scan stays in one stage.
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -293,16 +294,17 @@ JUNK_LIKE = [
     "Como comprar", "Desculpe%não encontramos%", "Página não encontrada%", "404", "Produtos", "Faciais",
     "Marcas", "Kits",
 ]
+JUNK_UNLESS = [("Carrinho%", "Carrinho auxiliar%")]
 
 
-def junk_name(name: Column | str, likes: list[str] = JUNK_LIKE, min_len: int = 6) -> Column:
-    """Names that are page furniture, or shorter than six characters."""
+def junk_name(name: Column | str, likes: list[str] = JUNK_LIKE, min_len: int = 6, except_likes: list[tuple[str, str]] = JUNK_UNLESS) -> Column:
+    """Names that are page furniture, or shorter than six characters. ``except_likes`` are patterns with a pattern that spares a name."""
     n = _c(name)
     cond = F.length(F.trim(n)) < min_len
     for pattern in likes:
         cond = cond | n.like(pattern)
-    if likes is JUNK_LIKE:
-        cond = cond | (n.like("Carrinho%") & ~n.like("Carrinho auxiliar%"))
+    for pattern, unless in except_likes:
+        cond = cond | (n.like(pattern) & ~n.like(unless))
     return cond
 
 
@@ -394,26 +396,39 @@ def detect_seals(
 ) -> DataFrame:
     """One evidence row per (row, seal): the first field with a hit, and its first word in list order.
 
-    Row-local: each seal is a CASE over fields and words; rows with hits are unpivoted at the end.
+    Row-local and one search per field: the words of all seals are one prefix tree, tried at every word's start by look-ahead, so that words may
+    overlap. Of the words that start at one place the longest is found; a literal map gives the seals of that word and of those that it begins with.
     """
-    folded = df.select(key, *[T.strip_accents(F.lower(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in fields])
-
-    def present(f: str, word: str) -> Column:
-        # The plain search is cheap and usually says no; the whole-word test decides.
-        return F.contains(F.col(f), F.lit(word)) & F.col(f).rlike(T.boundary_pattern([word]))
-
-    hits = [
-        first_match([
-            (present(f, M.plain(w)), F.struct(F.lit(seal).alias("seal"), F.lit(M.plain(w)).alias("keyword"), F.lit(f).alias("field")))
-            for f in fields for w in words])
-        for seal, words in seals]
-    return (
-        folded.select(key, F.array(*hits).alias("hits")).select(key, F.explode("hits").alias("hit")).filter(F.col("hit").isNotNull())
-        .select(
-            key, "hit.seal", "hit.keyword", "hit.field",
-            F.lit(method).alias("extraction_method"), F.concat(F.lit("label:"), F.col("hit.seal")).alias("field_name"),
-        )
-    )
+    plain = [(no, i, M.plain(w)) for no, (_, words) in enumerate(seals) for i, w in enumerate(words)]
+    spelled = sorted({w for _, _, w in plain if w})
+    if not spelled:
+        return df.select(key, *[F.lit("").alias(n) for n in ("seal", "keyword", "field", "extraction_method", "field_name")]).filter(F.lit(False))
+    pattern = f"(?<![{T.WORD}])(?=({T.trie_pattern(spelled)})(?:$|[^{T.WORD}]))"
+    inner = re.compile(f"[^{T.WORD}]")
+    known: dict[str, list[tuple[int, int]]] = {w: [] for w in spelled}
+    for no, i, w in plain:
+        # A word also stands where a longer one does that begins with it.
+        for longer in spelled:
+            if w and (longer == w or longer.startswith(w) and inner.match(longer[len(w):])):
+                known[longer].append((no, i))
+    hit = "array<struct<seal:int,field:int,word:int>>"
+    found_by = F.create_map(*[x for w, hits in known.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(no), F.lit(i)) for no, i in sorted(set(hits))]))])
+
+    def in_field(no: int, f: str) -> Column:
+        text = T.strip_accents(F.lower(F.coalesce(F.col(f), F.lit(""))))
+        words = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        return F.flatten(F.transform(words, lambda w: F.transform(F.element_at(found_by, w), lambda h: F.struct(h["col1"], F.lit(no), h["col2"])))).cast(hit)
+
+    ranked = F.array_sort(F.concat(*[in_field(no, f) for no, f in enumerate(fields)]))
+    # The first of each seal: the earliest field, there the earliest word in list order.
+    best = let(ranked, lambda r: F.filter(r, lambda h, i: (i == 0) | (F.get(r, i - 1)["seal"] != h["seal"])))
+    width = max(len(words) for _, words in seals)
+    names, fields_ = T.literal_list([s for s, _ in seals]), T.literal_list(fields)
+    words = T.literal_list([M.plain(w) for _, ws in seals for w in [*ws, *[""] * (width - len(ws))]])
+    hits = df.select(key, F.explode(best).alias("h"))
+    return hits.select(
+        key, F.get(names, F.col("h.seal")).alias("seal"), F.get(words, F.col("h.seal") * width + F.col("h.word")).alias("keyword"), F.get(fields_, F.col("h.field")).alias("field")).select(
+        key, "seal", "keyword", "field", F.lit(method).alias("extraction_method"), F.concat(F.lit("label:"), "seal").alias("field_name"))
 
 
 def detect_seals_in_images(

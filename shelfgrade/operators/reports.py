@@ -1,6 +1,8 @@
 """Reports: one pass over the rows each, conditional counts instead of one query per number."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -251,6 +253,24 @@ def approx_profile(products: DataFrame, name: str, url: str, number: str) -> Dat
     ).select("n", "names", "urls", F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"))
 
 
+def profile_sketches(products: DataFrame, by: list[str], name: str, url: str, number: str) -> DataFrame:
+    """One row per group with its count and sketches of its distinct names and addresses and of its numbers' distribution.
+
+    Sketches of any rows can be merged, so stored ones serve every coarser grouping and only new rows have to be read.
+    """
+    return products.groupBy(*by).agg(
+        _n().alias("n"), F.hll_sketch_agg(name, 14).alias("names"), F.hll_sketch_agg(url, 14).alias("urls"), F.kll_sketch_agg_double(F.col(number).cast("double"), 400).alias("numbers"))
+
+
+def merged_profile(sketches: DataFrame, by: list[str], ranks: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Counts, distinct counts and quantiles of any coarser grouping, from sketches alone; without ``by`` in total. Quantiles of no number are null."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_union_agg("names").alias("_names"), F.hll_union_agg("urls").alias("_urls"), F.kll_merge_agg_double("numbers").alias("_numbers"))
+    some = F.kll_sketch_get_n_double("_numbers") > 0
+    return merged.select(
+        *by, "n", F.hll_sketch_estimate("_names").alias("names"), F.hll_sketch_estimate("_urls").alias("urls"),
+        *[F.when(some, F.kll_sketch_get_quantile_double("_numbers", F.lit(r))).alias(f"p{round(100 * r)}") for r in ranks])
+
+
 def document_totals(docs: DataFrame, text: str) -> DataFrame:
     chars = F.sum(F.length(text))
     return docs.agg(_n().alias("documents"), chars.alias("chars"), F.sum(F.floor(F.length(text) / 4)).alias("token_estimate"))
@@ -341,18 +361,38 @@ def next_wave(registry: DataFrame, counts: DataFrame, recipes: DataFrame, skip:
         "brand_slug", "tier", "bucket", "needs_recipe").orderBy("bucket", "brand_slug").limit(size)
 
 
+#: Columns of the joint audit log and their types.
+AUDIT_COLUMNS = {"log": "string", "event_id": "string", "event_type": "string", "email": "string", "user_id": "string", "target_type": "string", "target_id": "string",
+                 "detail": "string", "created_at": "timestamp", "event_date": "date"}
+
+
+def audit_log(**logs: tuple[DataFrame, dict[str, Column | str]]) -> DataFrame:
+    """One typed table of several logs (sign-ins, actions of administrators, retrievals ...): each is a table and its columns by their joint
+    names. What a log does not have is null; the date follows from the time unless the log is stored by date.
+    """
+    def typed(log: str, df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
+        got = {n: c if isinstance(c, Column) else F.col(c) for n, c in columns.items()} | {"log": F.lit(log)}
+        got.setdefault("event_date", F.to_date(got["created_at"]))
+        return df.select(*[got.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in AUDIT_COLUMNS.items()])
+
+    return reduce(DataFrame.unionByName, [typed(log, *spec) for log, spec in logs.items()])
+
+
 def audit_search(
     events: DataFrame, ts: str, user: Column | None = None, kind: Column | None = None, since: str | None = None,
-    until: str | None = None, limit: int = 100, tie: str = "event_id",
+    until: str | None = None, limit: int | None = None, tie: str = "event_id", date: str | None = None, target: Column | None = None,
 ) -> DataFrame:
+    """Newest events first. Where the log is stored by the column ``date``, times also bound the dates, so that only their folders are read."""
     d = events
-    for cond in (user, kind):
+    for cond in (user, kind, target):
         d = d.filter(cond) if cond is not None else d
-    if since:
-        d = d.filter(F.col(ts) >= F.lit(since).cast("timestamp"))
-    if until:
-        d = d.filter(F.col(ts) <= F.lit(until).cast("timestamp"))
-    return d.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
+    for bound, cond in ((since, lambda c, x: c >= x), (until, lambda c, x: c <= x)):
+        if bound:
+            at = F.lit(bound).cast("timestamp")
+            d = d.filter(cond(F.col(ts), at))
+            d = d.filter(cond(F.col(date), at.cast("date"))) if date else d
+    d = d.orderBy(F.desc(ts), F.desc(tie))
+    return d if limit is None else d.limit(limit)
 
 
 def history(revisions: DataFrame, entity: str, field: str | None = None) -> DataFrame:

@@ -1,7 +1,11 @@
 """Goldens of the classifiers on the default market vocabulary."""
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from shelfgrade.functions import text as T
 from shelfgrade.operators import classify as C
 
 
@@ -136,3 +140,36 @@ def test_full_vocabularies(spark):
     foreign = spark.createDataFrame([("Ice Mist fios",), ("Quem disse, berenice cabelo",), ("Shampoo para cabelo",)], "name string")
     v = C.domain_relevance("name", F.lit(None).cast("string"), None)
     assert [r["ok"] for r in foreign.select(v["relevant"].alias("ok")).collect()] == [False, False, True]
+
+
+def test_all_seal_words_at_once_equal_word_by_word_search(spark):
+    """Overlapping words, words that begin with others, and accents."""
+    seals = [("a", ["sem sal", "sal"]), ("b", ["sem sal adicionado", "adicionado zero"]), ("c", ["vegano", "cruelty-free"]), ("d", ["free", "zero %"])]
+    texts = ["Shampoo sem sal adicionado zero.", "SEM SAL", "salgado", "100% vegano, cruelty-free", "veganos free", "zero %", "", None, "sem sal sem sal adicionado", "açúcar zero % free"]
+    df = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, texts[::-1]))], "id INT, x STRING, y STRING")
+    got = {(r.id, r.seal): (r.keyword, r.field) for r in C.detect_seals(df, "id", ["x", "y"], seals).collect()}
+    want = {}
+    for i, pair in enumerate(zip(texts, texts[::-1])):
+        for seal, words in seals:
+            for f, t in zip("xy", pair):
+                low = "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if unicodedata.category(c) != "Mn")
+                for w in words:
+                    if re.search(rf"(?<![0-9a-z_]){re.escape(w)}(?![0-9a-z_])", low):
+                        want.setdefault((i, seal), (w, f))
+    assert got == want
+    assert C.detect_seals(df.limit(0), "id", ["x"], seals).collect() == [] and C.detect_seals(df, "id", ["x"], [("e", [])]).collect() == []
+
+
+def test_trie_pattern_matches_what_its_words_match():
+    words = ["a", "ab", "abc", "b.c", "x y", "(q)", "abd", "zz"]
+    pattern = re.compile(T.trie_pattern(words))
+    for s in ["abc", "abd", "ab", "a", "b.c", "bxc", "x y", "(q)", "z", "zz", "q"]:
+        assert bool(pattern.fullmatch(s)) == (s in words), s
+        assert bool(pattern.search("_" + s + "_")) == any(w in s for w in words)
+
+
+def test_junk_exceptions_are_an_argument(spark):
+    d = spark.createDataFrame([("Carrinho de compras",), ("Carrinho auxiliar preto",)], "n STRING")
+    assert [r[0] for r in d.select(C.junk_name("n")).collect()] == [True, False]
+    assert [r[0] for r in d.select(C.junk_name("n", list(C.JUNK_LIKE))).collect()] == [True, False]
+    assert [r[0] for r in d.select(C.junk_name("n", except_likes=[])).collect()] == [False, False]
