@@ -173,3 +173,11 @@ def test_junk_exceptions_are_an_argument(spark):
     assert [r[0] for r in d.select(C.junk_name("n")).collect()] == [True, False]
     assert [r[0] for r in d.select(C.junk_name("n", list(C.JUNK_LIKE))).collect()] == [True, False]
     assert [r[0] for r in d.select(C.junk_name("n", except_likes=[])).collect()] == [False, False]
+
+
+def test_only_listed_spellings_place_a_product(one):
+    def relevant(name):
+        return one({"x": name}, C.domain_relevance("x", F.lit(""), None)["relevant"])
+
+    assert [relevant(n) for n in ("reparação intensa", "reparacao intensa", "mascara capilar", "tônico capilar", "umectacao")] == [True, False, True, True, True]
+    assert one({"x": "po descolorante"}, C.product_type("x")) == "descolorante" and one({"x": "Fluido leve"}, C.product_type("x")) == "finisher"
