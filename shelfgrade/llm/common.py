@@ -4,12 +4,13 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``. ``bytes.split()`` cuts at exactl
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfgrade.session import shared_folder
+
 #: The six blank bytes.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,15 +24,12 @@ BATCH_ROWS = 1000
 def ready(spark: SparkSession) -> SparkSession:
     """The session with a checkpoint folder and Arrow batches of at most ``BATCH_ROWS`` texts.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary one is taken.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where that is unset on one machine a temporary one is taken;
+    elsewhere it is an error.
     """
     if int(spark.conf.get(BATCH)) > BATCH_ROWS or int(spark.conf.get(BATCH)) <= 0:
         spark.conf.set(BATCH, str(BATCH_ROWS))
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return spark
