@@ -16,14 +16,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows; the others go."""
+    """Documents in a language that the classifier knows; the others go.
+
+    Null texts and texts without a letter go. Of equal texts with different labels the smallest label is learned. Repeated rows and null ids are
+    judged by their text like others; without a labelled row all predictions are ``und``. An empty table stays empty.
+    """
     model = langid.train(docs.select("text", "lang"))
     ready(spark)
     return docs.withColumn("_found", langid.identify(F.col("text"), model)).filter("not _found.rejected").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave all but their first document. Documents stay, with the text that is left."""
+    """Repeated lines leave all but their first document. Documents stay, with the text that is left.
+
+    A null or empty text stays as it is. Rows of equal id count as one document, rows without an id as one that comes last. An empty table stays empty.
+    """
     kept = line_dedup.apply_bitmaps(docs.select(*COLUMNS), line_dedup.drop_bitmaps(docs))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -43,12 +50,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights; a document that is taken twice appears twice."""
+    """The sources at their target weights; a document that is taken twice appears twice.
+
+    A null source is a source of its own and comes last. Null and empty texts have no words and are not taken. Repeated rows are rows of their
+    own; which of equally long documents is taken follows from a seed. An empty table stays empty.
+    """
     return mixing.taken_rows(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids, and whether they give the text back."""
+    """Piece ids, and whether they give the text back.
+
+    A null text has null ids and 0 tokens, an empty one no ids. Every row is encoded, repeated ones alike. An empty table stays empty.
+    """
     ready(spark)
     coded = docs.select("doc_id", "source", sp.encode_checked(F.col("text"), PIECES).alias("x"))
     return coded.select("doc_id", "source", F.coalesce(F.size("x.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("x.ids").alias("ids"),
