@@ -118,7 +118,7 @@ def structured_pages(t):
              .when(kind == 1, F.concat(F.lit("<details><summary>Ver ingredientes</summary><em>"), items, F.lit("</em></details>")))
              .when(kind == 2, F.concat(F.lit("<section><span>Ingredientes</span>"), items, F.lit("</section>")))
              .otherwise(F.concat(F.lit("<section class='jump-faq-panel--2'>"), items, F.lit("</section>"))))
-    return t.part.select("p_partkey", F.concat(F.lit("<html><body><main>"), use, F.lit("</main>"), lists, F.lit("<div class='box'><div>"), "p_name", F.lit("</div>by<div>"), "p_brand", F.lit("</div></div></body></html>")).alias("html"))
+    return t.spread("part").select("p_partkey", F.concat(F.lit("<html><body><main>"), use, F.lit("</main>"), lists, F.lit("<div class='box'><div>"), "p_name", F.lit("</div>by<div>"), "p_brand", F.lit("</div></div></body></html>")).alias("html"))
 
 
 @query("element_sections", "SELECT p_partkey, 'care_usage' AS field, 'Aplique ' || p_name || ' nos cabelos.' AS content FROM part")
@@ -195,7 +195,7 @@ def shop_pages(t):
         lit(', Parfum, Sodium Chloride, Citric Acid</td></tr></table><o-panel headertitle="Benefícios">Brilho; '), c("p_brand"),
         lit('</o-panel><div class="tab-nav"><label>Descrição</label><label>Modo de uso</label></div><div class="tab-panel--0">Uma descrição bem longa do '), c("p_name"),
         lit('</div><div class="faq-header">Ingredientes</div><div class="faq-content">Aqua, Sodium Laureth, Glycerin, '), c("p_type"), lit('</div><span class="price">por R$ 1.234,56</span></body></html>'))
-    return t.part.select(c("p_partkey").alias("page_id"), F.concat(lit("https://"), F.lower(F.replace("p_brand", lit("#"), lit(""))), lit(".example.com/p/"), ident).alias("url"), html.alias("html"),
+    return t.spread("part").select(c("p_partkey").alias("page_id"), F.concat(lit("https://"), F.lower(F.replace("p_brand", lit("#"), lit(""))), lit(".example.com/p/"), ident).alias("url"), html.alias("html"),
                          "p_name", "p_type", "p_size", "p_brand")
 
 
@@ -321,7 +321,7 @@ def inline_sections(t):
     """Words in bold and spans are text; a labelled one starts the next section."""
     html = ("'<h3>Modo de uso</h3><p>Aplique nos <strong>' || p_name || '</strong> umidos e massageie.</p><div><span>Depois</span> enx&aacute;gue <b>bem</b> 2 vezes</div>"
             "<p><strong>Benefícios:</strong> Brilho e <span>' || p_brand || '</span> sem <b>peso</b> para todos os fios</p><h4>Outros</h4><p>nada</p>'")
-    pages = t.part.selectExpr("p_partkey AS page_id", f"{html} AS html")
+    pages = t.spread("part").selectExpr("p_partkey AS page_id", f"{html} AS html")
     return D.heading_sections(pages, [("care_usage", ["modo de uso"]), ("benefits", ["benefícios"])]).select("page_id", "field", "content")
 
 
@@ -335,7 +335,7 @@ _HREFS = [("https://shop.example.com", "produto", "https://shop.example.com/prod
 def resolved_links(t):
     """Links resolved by RFC 3986."""
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("base"), F.lit(h).alias("href")) for i, (b, h, _) in enumerate(_HREFS)]))
-    pages = t.part.select("p_partkey", "p_size", rows.alias("x")).selectExpr(
+    pages = t.spread("part").select("p_partkey", "p_size", rows.alias("x")).selectExpr(
         "p_partkey * 100 + x.i AS page_id", "replace(x.base, 'shop', 'shop' || p_size) AS url", "'<a href=\"' || x.href || '\">x</a>' AS html")
     return D.page_links(pages)
 

@@ -55,6 +55,15 @@ def ship(spark: SparkSession, root: Path = Path(__file__).resolve().parents[1])
     context.addPyFile(str(archive))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, where their files are read in fewer.
+
+    For tables with costly work on each row: a file is read by one task per row group, however many cores there are.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; on one machine, where that is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

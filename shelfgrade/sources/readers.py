@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions import text as T
 from ..functions.lists import extract_and_validate
 from ..operators import classify as C
+from ..session import spread
 
 
 class Catalog:
@@ -23,6 +24,10 @@ class Catalog:
             raise AttributeError(name)
         return self.spark.read.schema(self._tables[name]).parquet(f"{self.root}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for costly work on each row, see :func:`shelfgrade.session.spread`."""
+        return spread(getattr(self, name))
+
 
 def load_brands(spark: SparkSession, path: str, max_priority: int | None = None, first: int | None = None) -> DataFrame:
     """Brand records of a JSON array, by priority and slug."""
