@@ -277,8 +277,7 @@ def best_list(toks: Column, labels: list[str] = M.LIST_LABELS) -> Column:
 
 def element_lists(pages: DataFrame, labels: list[str] = M.LIST_LABELS, key: str = "page_id", html: str = "html") -> DataFrame:
     """The best ingredient list of every page that has one."""
-    found = pages.select(key, best_list(P.token_array(html), labels).alias("b"))
-    return found.filter(F.col("b").isNotNull()).select(key, "b.content", "b.phase", "b.step", "b.rank")
+    return T.once(pages, [key], "b", best_list(P.token_array(html), labels)).select(key, "b.content", "b.phase", "b.step", "b.rank")
 
 
 def element_text(html: Column | str, selectors: list[str], min_len: int = 1, toks: Column | None = None) -> Column:

@@ -270,8 +270,8 @@ def best_list_candidate(toks: Column, html: Column | str, labels: list[str] = M.
 
 
 def list_candidates(pages: DataFrame, labels: list[str] = M.LIST_LABELS, key: str = "page_id", html: str = "html") -> DataFrame:
-    d = pages.select(key, html, token_array(html).alias("toks"))
-    return d.select(key, best_list_candidate(F.col("toks"), html, labels).alias("b")).filter(F.col("b").isNotNull()).select(key, "b.content", "b.strategy", "b.rank")
+    d = T.once(pages, [key, html], "toks", token_array(html))
+    return T.once(d, [key], "b", best_list_candidate(F.col("toks"), html, labels)).select(key, "b.content", "b.strategy", "b.rank")
 
 
 def _matches(t: Column, selector: str) -> Column:
@@ -362,7 +362,7 @@ def page_links(pages: DataFrame, domains: list[str] | None = None, key: str = "p
     raw = F.regexp_extract_all(without_scripts(html), F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
     d = pages.select(key, url, F.explode(F.array_distinct(raw)).alias("href")).filter(
         (F.col("href") != "") & ~F.col("href").rlike(r"(?i)^(#|mailto:|tel:|javascript:)"))
-    links = d.select(key, canonical_url(resolve_url(F.col(url), F.col("href"))).alias("link")).filter(F.col("link").isNotNull())
+    links = T.once(d, [key], "link", let(resolve_url(F.col(url), F.col("href")), canonical_url))
     if domains is not None:
         links = links.filter(host_allowed("link", domains))
     return links.distinct()

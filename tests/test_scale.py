@@ -22,3 +22,10 @@ def test_spread_keeps_rows_and_leaves_wide_tables_alone(spark):
 def test_page_work_is_spread(spark, name):
     """The table is one file; its pages are not one task's."""
     assert "RoundRobinPartitioning(4)" in plan(spark, name, "executedPlan")
+
+
+@pytest.mark.parametrize("name", ["element_lists", "list_candidates", "resolved_links"])
+def test_page_work_is_done_once(spark, name):
+    """No filter repeats what a projection above or a generator computes."""
+    filters = [line for line in plan(spark, name).split("\n") if "Filter " in line[:40]]
+    assert not [f for f in filters if "transform(" in f or "aggregate(" in f]
