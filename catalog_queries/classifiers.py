@@ -261,7 +261,7 @@ SELECT doc_id, array_to_string(list_filter([CASE WHEN l THEN 'liso' END, CASE WH
  least(100, CASE WHEN l THEN CASE WHEN ln THEN 40 ELSE 25 END ELSE 0 END + CASE WHEN c THEN CASE WHEN cn THEN 40 ELSE 25 END ELSE 0 END + CASE WHEN s THEN CASE WHEN sn THEN 40 ELSE 25 END ELSE 0 END) / 100.0::DOUBLE AS confidence FROM h""")
 def hair_types(t):
     h = C.hair_types(F.left("text", F.lit(50)), "text", _HT)
-    return t.documents.select("doc_id", F.array_join(h["types"], ",").alias("types"), h["confidence"].alias("confidence"))
+    return T.once(t.spread("documents"), ["doc_id"], "h", h).select("doc_id", F.array_join("h.types", ",").alias("types"), "h.confidence")
 
 
 @query("audience_ages", f"""WITH d AS (SELECT doc_id, lower(strip_accents(left(text, 50))) AS n, trim(lower(strip_accents(left(text, 50))) || ' ' || lower(strip_accents(text))) AS b FROM documents)
@@ -270,7 +270,7 @@ SELECT doc_id, CASE WHEN {_hit('b', 'der')} THEN 'under_3' WHEN {_hit('b', 'que'
  WHEN {_hit('b', 'les')} THEN CASE WHEN {_hit('n', 'les')} THEN 0.9 ELSE 0.7 END WHEN {_hit('b', 'ea')} THEN CASE WHEN {_hit('n', 'ea')} THEN 0.9 ELSE 0.7 END ELSE 0.5 END::DOUBLE AS confidence FROM d""")
 def audience_ages(t):
     a = C.audience_age(F.left("text", F.lit(50)), "text", [("under_3", ["der"]), ("kids", ["que", "les"]), ("teen", ["ea"])])
-    return t.documents.select("doc_id", a["age"].alias("age"), a["confidence"].alias("confidence"))
+    return T.once(t.spread("documents"), ["doc_id"], "a", a).select("doc_id", "a.age", "a.confidence")
 
 
 _FN = [("limpar", ["es"], ["the"]), ("nutrir", ["fr"], ["que", "der"]), ("tratar", [], ["und"])]
@@ -317,7 +317,7 @@ def allergens(t):
 @query("allergen_summaries", f"WITH {_AL_SQL} SELECT doc_id, CAST(count(*) AS INT) AS n, arg_max(sev, r) AS worst, string_agg(DISTINCT cls, ',' ORDER BY cls) AS classes FROM h GROUP BY 1")
 def allergen_summaries(t):
     s = C.allergen_summary(C.allergens(F.split("text", "[ \n]"), _ALLERGENS))
-    d = t.documents.select("doc_id", s.alias("s")).filter("s.count > 0")
+    d = T.once(t.spread("documents"), ["doc_id"], "s", s).filter("s.count > 0")
     return d.select("doc_id", F.col("s.count").alias("n"), F.col("s.worst").alias("worst"), F.array_join("s.classes", ",").alias("classes"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfgrade.functions import lists as L
+from shelfgrade.functions.text import once
 from shelfgrade.operators import reports as R
 from shelfgrade.operators import validate as V
 
@@ -20,12 +21,12 @@ RULES = L.ListRules(
 
 def word_lists(t):
     """Each document as a list of its words."""
-    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[ \n]").alias("items"))
+    return t.spread("documents").select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[ \n]").alias("items"))
 
 
 def phrase_lists(t):
     """Each document split at commas, full stops and line ends."""
-    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[,.\n]").alias("items"))
+    return t.spread("documents").select("doc_id", "lang", "source", "n_chars", "text", F.split("text", "[,.\n]").alias("items"))
 
 
 def valid_sql(x: str, verbs=("ation", "eaux"), max_len=30, max_words=4) -> str:
@@ -75,7 +76,7 @@ def _validated(name: str, split: str, source):
     @query(name, f"""WITH {checked_sql(split)} SELECT doc_id, reason = '' AS valid, reason, CASE WHEN rep OR con THEN '' ELSE md5(array_to_string(cleaned, '|')) END AS cleaned,
  CAST(CASE WHEN rep OR con THEN 0 ELSE len(neat) - len(cleaned) END AS INT) AS removed FROM res""")
     def run(t):
-        d = source(t).select("doc_id", L.validate_list("items", False, RULES).alias("v"))
+        d = once(source(t), ["doc_id"], "v", L.validate_list("items", False, RULES))
         broken = F.col("v.reason").isin("repetition_detected", "concat_detected")
         return d.select("doc_id", F.col("v.valid").alias("valid"), F.col("v.reason").alias("reason"),
                         F.when(broken, "").otherwise(F.md5(F.array_join("v.cleaned", "|"))).alias("cleaned"), F.size("v.removed").alias("removed"))
@@ -189,7 +190,7 @@ def evaluated(t):
         name, c("items"), c("text"), c("usage"), F.when(c("lang") != "es", "https://x.example.com/a.jpg"), c("lang"),
         F.when(c("n_chars") < 120, "quarantined").otherwise("active"), F.coalesce(c("toxic") == 1, F.lit(False)), F.when(c("source") == "src3", "non_hair:x"),
         c("source") == "src5", c("known_ratio"), F.coalesce(c("quality") == 1, F.lit(True)), FIELDS)
-    return _gold_input(t).select("doc_id", "source", g.alias("g")).select("doc_id", "source", F.col("g.gold_status").alias("gold_status"), F.col("g.blockers").alias("blockers"))
+    return once(_gold_input(t), ["doc_id", "source"], "g", g).select("doc_id", "source", F.col("g.gold_status").alias("gold_status"), F.col("g.blockers").alias("blockers"))
 
 
 _NAME = r"regexp_replace(left(text, 30), '\s+', ' ', 'g') || ' 10ml'"

@@ -478,10 +478,11 @@ def _vocab_pattern(words: list[str]) -> str:
     return "(^|[^0-9a-z_])(" + "|".join(T.escape_regex(M.plain(w).lower()) for w in words) + ")(s|es)?($|[^0-9a-z_])"
 
 
-def _name_and_text(name: Column | str, description: Column | str | None) -> tuple[Column, Column]:
+def _name_and_text(name: Column | str, description: Column | str | None) -> Column:
+    """``struct<n, both>``: the folded name, and it with the folded text. To be bound by ``let``: each rule reads it."""
     n = F.lower(T.strip_accents(F.coalesce(_c(name), F.lit(""))))
     d = F.lit("") if description is None else F.lower(T.strip_accents(F.coalesce(_c(description), F.lit(""))))
-    return n, F.btrim(F.concat_ws(" ", F.nullif(n, F.lit("")), F.nullif(d, F.lit(""))))
+    return F.struct(n.alias("n"), F.btrim(F.concat_ws(" ", F.nullif(n, F.lit("")), F.nullif(d, F.lit("")))).alias("both"))
 
 
 def hair_types(name: Column | str, description: Column | str | None = None, vocab: Rules = M.HAIR_TYPES) -> Column:
@@ -489,16 +490,21 @@ def hair_types(name: Column | str, description: Column | str | None = None, voca
 
     Both sides are folded for the name test, so accented words count there as well.
     """
-    n, both = _name_and_text(name, description)
-    parts = []
-    for label, words in vocab:
-        folded = [M.plain(w).lower() for w in words]
-        word = first_match([(both.rlike(_vocab_pattern([w])), F.lit(w)) for w in folded])
-        parts.append(F.when(
-            both.rlike(_vocab_pattern(folded)),
-            F.struct(F.lit(label).alias("label"), F.when(F.contains(n, word), 40).otherwise(25).alias("pts")),
-        ))
-    hits = F.array_compact(F.array(*parts))
+    def parts(v: Column) -> Column:
+        n, both, out = v["n"], v["both"], []
+        for label, words in vocab:
+            folded = [M.plain(w).lower() for w in words]
+            word = first_match([(both.rlike(_vocab_pattern([w])), F.lit(w)) for w in folded])
+            out.append(F.when(
+                both.rlike(_vocab_pattern(folded)),
+                F.struct(F.lit(label).alias("label"), F.when(F.contains(n, word), 40).otherwise(25).alias("pts")),
+            ))
+        return F.array_compact(F.array(*out))
+
+    return let(let(_name_and_text(name, description), parts), _typed)
+
+
+def _typed(hits: Column) -> Column:
     points = F.aggregate(F.transform(hits, lambda h: h["pts"]), F.lit(0), lambda a, b: a + b)
     return F.struct(
         F.transform(hits, lambda h: h["label"]).alias("types"),
@@ -508,14 +514,16 @@ def hair_types(name: Column | str, description: Column | str | None = None, voca
 
 def audience_age(name: Column | str, description: Column | str | None = None, vocab: Rules = M.AGE_GROUPS) -> Column:
     """``struct<age, confidence>``: most specific group first; adult at 0.5 without any mark."""
-    n, both = _name_and_text(name, description)
-    pairs = []
-    for label, words in vocab:
-        for w in words:
-            pat = _vocab_pattern([w])
-            pairs.append((both.rlike(pat), F.struct(
-                F.lit(label).alias("age"), F.when(n.rlike(pat), 0.9).otherwise(0.7).alias("confidence"))))
-    return first_match(pairs, F.struct(F.lit("adult").alias("age"), F.lit(0.5).alias("confidence")))
+    def grouped(v: Column) -> Column:
+        pairs = []
+        for label, words in vocab:
+            for w in words:
+                pat = _vocab_pattern([w])
+                pairs.append((v["both"].rlike(pat), F.struct(
+                    F.lit(label).alias("age"), F.when(v["n"].rlike(pat), 0.9).otherwise(0.7).alias("confidence"))))
+        return first_match(pairs, F.struct(F.lit("adult").alias("age"), F.lit(0.5).alias("confidence")))
+
+    return let(_name_and_text(name, description), grouped)
 
 
 def function_objective(
@@ -523,19 +531,23 @@ def function_objective(
     vocab: list[tuple[str, list[str], list[str]]] = M.FUNCTIONS,
 ) -> Column:
     """``struct<function, confidence>``: by category at 0.9, else by word at 0.75 (name) or 0.55; null without any."""
-    n, both = _name_and_text(name, description)
     cat = F.lower(T.strip_accents(F.coalesce(_c(category_col), F.lit(""))))
-    pairs = [
+    by_category = [
         (cat.isin([M.plain(c).lower() for c in cats]),
          F.struct(F.lit(label).alias("function"), F.lit(0.9).alias("confidence")))
         for label, cats, _words in vocab if cats
     ]
-    for label, _cats, words in vocab:
-        for w in words:
-            pat = _vocab_pattern([w])
-            pairs.append((both.rlike(pat), F.struct(
-                F.lit(label).alias("function"), F.when(n.rlike(pat), 0.75).otherwise(0.55).alias("confidence"))))
-    return first_match(pairs, F.struct(F.lit(None).cast("string").alias("function"), F.lit(0.0).alias("confidence")))
+
+    def found(v: Column) -> Column:
+        pairs = list(by_category)
+        for label, _cats, words in vocab:
+            for w in words:
+                pat = _vocab_pattern([w])
+                pairs.append((v["both"].rlike(pat), F.struct(
+                    F.lit(label).alias("function"), F.when(v["n"].rlike(pat), 0.75).otherwise(0.55).alias("confidence"))))
+        return first_match(pairs, F.struct(F.lit(None).cast("string").alias("function"), F.lit(0.0).alias("confidence")))
+
+    return let(_name_and_text(name, description), found)
 
 
 def apply_classification(

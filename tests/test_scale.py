@@ -35,3 +35,9 @@ def test_page_work_is_done_once(spark, name):
 def test_a_page_is_cut_into_tokens_once(spark):
     """Filters on the assembled rows do not repeat the assembly."""
     assert plan(spark, "page_extractions").count("<(/?[a-zA-Z][a-zA-Z0-9-]*)([^>]*)>([^<]*), 0)") == 1
+
+
+@pytest.mark.parametrize("name", [
+    "audience_ages", "hair_types", "allergen_summaries", "validated_word_lists", "gold_gate", "gold_gaps", "gold_applied", "gold_funnel"])
+def test_text_work_is_spread(spark, name):
+    assert "RoundRobinPartitioning(4)" in plan(spark, name, "executedPlan")
