@@ -58,10 +58,10 @@ PRODUCTS_SQL = f"products AS (SELECT {_EXPRS} FROM part)"
 DESCRIBED_SQL = f"products AS (SELECT {_EXPRS}, text AS description FROM part LEFT JOIN documents ON doc_id = p_partkey)"
 
 
-def products(t: Catalog, described: bool = False) -> DataFrame:
+def products(t: Catalog, described: bool = False, spread: bool = False) -> DataFrame:
     exprs = [f"{e} AS {n}" for n, e in PRODUCT.items()]
     if not described:
-        return t.part.selectExpr(*exprs)
+        return (t.spread("part") if spread else t.part).selectExpr(*exprs)
     joined = t.part.join(t.documents, F.col("doc_id") == F.col("p_partkey"), "left")
     return joined.selectExpr(*exprs, "text AS description")
 

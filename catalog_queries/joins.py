@@ -130,18 +130,18 @@ def ean_matches(t):
 def outside(t):
     """Catalogue rows as an outside source spells them."""
     name = F.concat_ws(" ", F.element_at(F.split("p_name", " "), 2), F.element_at(F.split("p_name", " "), 1), F.concat(F.col("p_size").cast("string"), F.lit("ml")))
-    return t.part.select(F.col("p_partkey").alias("external_id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand_slug"), name.alias("product_name"),
+    return t.spread("part").select(F.col("p_partkey").alias("external_id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand_slug"), name.alias("product_name"),
                          F.when(F.col("p_type") == "LARGE", "first").otherwise("second").alias("source"), F.concat(F.lit("https://out/"), F.col("p_partkey").cast("string")).alias("source_url"))
 
 
 @query("name_matches")
 def name_matches(t):
-    return K.match_names(products(t), outside(t), preferred="first")
+    return K.match_names(products(t, spread=True), outside(t), preferred="first")
 
 
 @query("matches_applied")
 def matches_applied(t):
-    m = K.match_names(products(t), outside(t), preferred="first")
+    m = K.match_names(products(t, spread=True), outside(t), preferred="first")
     p = products(t).select("product_id", "verification_status", "confidence", F.array("product_type").alias("inci_ingredients"), F.lit("jsonld").alias("extraction_method"))
     lists = outside(t).withColumn("inci_ingredients", F.split("product_name", " "))
     updated, queue, evidence = K.apply_matches(p, m, lists, "product_id", "external_id", "inci_ingredients")
@@ -152,11 +152,11 @@ def matches_applied(t):
 
 @query("identified_products")
 def identified_products(t):
-    q = t.part.select(
+    q = t.spread("part").select(
         F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") > 25, F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).alias("brand_slug"),
         F.when(F.col("p_size") < 10, F.concat(F.lit("789"), (F.col("p_partkey") + F.when(F.col("p_type") == "PROMO", 7).otherwise(1000000)).cast("string"))).alias("ean"),
         F.concat(F.upper(F.left("p_name", F.lit(1))), F.expr("substr(p_name, 2)"), F.lit("s")).alias("product_name_text"), F.concat(F.col("p_size").cast("string"), F.lit(" ml")).alias("volume_text"))
-    return K.identify(q, products(t))
+    return K.identify(q, products(t, spread=True))
 
 
 @query("list_overlaps", r"""WITH d AS (SELECT doc_id, list_distinct(list_transform(string_split(split_part(text, chr(10), 1), ' '), lambda x: trim(regexp_replace(lower(strip_accents(x)), '\s+', ' ', 'g')))) AS a,

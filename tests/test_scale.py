@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from shelfgrade.operators.linkage import identify
 from shelfgrade.session import spread
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,21 @@ def test_a_page_is_cut_into_tokens_once(spark):
     "audience_ages", "hair_types", "allergen_summaries", "validated_word_lists", "gold_gate", "gold_gaps", "gold_applied", "gold_funnel"])
 def test_text_work_is_spread(spark, name):
     assert "RoundRobinPartitioning(4)" in plan(spark, name, "executedPlan")
+
+
+@pytest.mark.parametrize("name", ["name_matches", "identified_products"])
+def test_matching_is_spread(spark, name):
+    assert "RoundRobinPartitioning(4)" in plan(spark, name, "executedPlan")
+
+
+def test_alike_queries_are_ranked_once(spark):
+    """Results are ranked per spelling and volume, not per query: no rows of alike queries times alike products."""
+    q = spark.sql("SELECT id AS query_id, 'b' AS brand_slug, CAST(NULL AS STRING) AS ean, 'Oleo Fino' AS product_name_text, CASE WHEN id < 30 THEN '50 ml' END AS volume_text FROM range(40)")
+    p = spark.sql("SELECT id AS product_id, 'b' AS brand_slug, CAST(NULL AS STRING) AS ean, 'oleo fino' AS product_name, CASE WHEN id % 10 = 9 THEN '50ml' ELSE '70ml' END AS size_volume FROM range(50)")
+    got = identify(q, p)
+    assert "windowspecdefinition(query_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        rows.setdefault(r["query_id"], []).append((r["product_id"], r["confidence"]))
+    assert all(rows[i] == [(9, 1.0), (19, 1.0), (29, 1.0), (39, 1.0)] for i in range(30))
+    assert all(rows[i] == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)] for i in range(30, 40))
