@@ -187,13 +187,22 @@ def brands_from_urls(t):
 _POOL = """q AS (SELECT s_suppkey AS query_id, CASE WHEN s_acctbal > 8500 THEN '789' || (1000000 + s_suppkey) END AS ean, CASE WHEN s_acctbal < 3000 THEN 'brand-' || s_nationkey END AS brand, CASE WHEN s_nationkey < 8 THEN 'red' WHEN s_nationkey < 16 THEN 'the small gear' ELSE 'big widget' END AS txt FROM supplier)"""
 
 
-@query("candidate_pools", P + f""", {_POOL}, w AS (SELECT *, CASE WHEN txt = 'the small gear' THEN 'small' WHEN txt = 'big widget' THEN 'widget' END AS word FROM q)
+def _pool_queries(t):
+    return t.supplier.selectExpr("s_suppkey AS query_id", "CASE WHEN s_acctbal > 8500 THEN '789' || CAST(1000000 + s_suppkey AS STRING) END AS ean", "CASE WHEN s_acctbal < 3000 THEN 'brand-' || CAST(s_nationkey AS STRING) END AS brand_slug",
+                                 "CASE WHEN s_nationkey < 8 THEN 'red' WHEN s_nationkey < 16 THEN 'the small gear' ELSE 'big widget' END AS product_name_text")
+
+
+@query("candidate_pools", P + f""", {_POOL} SELECT query_id, product_id FROM q JOIN products ON regexp_replace(products.ean, '[^0-9]', '', 'g') = q.ean
+UNION SELECT query_id, product_id FROM q JOIN products ON contains(product_name, CASE WHEN txt = 'the small gear' THEN 'small' WHEN txt = 'big widget' THEN 'widget' ELSE '?' END) AND (brand IS NULL OR brand = brand_slug)""")
+def candidate_pools(t):
+    return K.candidate_pool(_pool_queries(t), products(t), "query_id", "product_id")
+
+
+@query("candidate_pool_sizes", P + f""", {_POOL}, w AS (SELECT *, CASE WHEN txt = 'the small gear' THEN 'small' WHEN txt = 'big widget' THEN 'widget' END AS word FROM q)
 SELECT query_id, CAST((SELECT count(*) FROM products p WHERE p.brand_slug = w.brand) AS BIGINT) AS by_brand, CAST((SELECT count(*) FROM products p WHERE regexp_replace(p.ean, '[^0-9]', '', 'g') = w.ean) AS BIGINT) AS by_ean,
  CAST((SELECT count(*) FROM products p WHERE contains(p.product_name, w.word) AND (w.brand IS NULL OR w.brand = p.brand_slug)) AS BIGINT) AS by_word FROM w""")
-def candidate_pools(t):
-    q = t.supplier.selectExpr("s_suppkey AS query_id", "CASE WHEN s_acctbal > 8500 THEN '789' || CAST(1000000 + s_suppkey AS STRING) END AS ean", "CASE WHEN s_acctbal < 3000 THEN 'brand-' || CAST(s_nationkey AS STRING) END AS brand_slug",
-                              "CASE WHEN s_nationkey < 8 THEN 'red' WHEN s_nationkey < 16 THEN 'the small gear' ELSE 'big widget' END AS product_name_text")
-    return K.candidate_pool(q, products(t), "query_id")
+def candidate_pool_sizes(t):
+    return K.candidate_pool_sizes(_pool_queries(t), products(t), "query_id")
 
 
 _DET = "det AS (SELECT doc_id AS product_id, CASE WHEN quality = 1 THEN 'ok:' || toxic ELSE NULL END AS code FROM labels)"

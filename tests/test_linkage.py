@@ -155,3 +155,10 @@ def test_containment_join(spark):
     k = spark.createDataFrame([("natura",), ("na",), ("z",), ("shop x",)], "w STRING")
     got = {(r["t"], r["w"]) for r in K.contained_pairs(t, k, "t", "w").collect()}
     assert got == {(a, b) for a in ("the natura shop", "na", "zz") for b in ("natura", "na", "z", "shop x") if b in a}
+
+
+def test_candidate_pool_lists_every_pair_once(spark):
+    q = spark.createDataFrame([(1, None, "78-9", "o gear"), (2, "a", None, "the gear"), (3, "a", "789", "gel")], "query_id INT, brand_slug STRING, ean STRING, product_name_text STRING")
+    p = spark.createDataFrame([(1, "a", "789", "Red Gear"), (2, "b", "789", "Gel"), (3, "b", None, "old gear 2"), (4, "c", "5", None)], "product_id INT, brand_slug STRING, ean STRING, product_name STRING")
+    got = sorted(map(tuple, K.candidate_pool(q, p, "query_id", "product_id").collect()))
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)]
