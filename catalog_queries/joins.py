@@ -8,6 +8,7 @@ from shelfgrade.operators import linkage as K
 from shelfgrade.operators import resolve as E
 from shelfgrade.operators import windows as W
 from shelfgrade.plans import scoring as Q
+from shelfgrade.session import staged
 
 from .base import BRIDGE_SQL, INGREDIENTS_SQL, PRODUCTS_SQL, bridge, ingredients, products, query
 from .reports import _RULES, rules_from_sales
@@ -317,5 +318,5 @@ def two_pass_comparison(t):
 def similar_documents_by_title(t):
     """Near-equal document openings of one source: the exact fuzzy join on another table."""
     d = t.documents.select(F.col("source").alias("block"), F.lower(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40))).alias("s")).distinct()
-    d = d.withColumn("ident", F.xxhash64("s")).select("block", "ident", F.array("s", S.sorted_words(F.col("s")), "s", S.sorted_words(F.col("s"))).alias("forms"))
-    return K.similar_names(d, d, "block", 0.8).filter("left_id < right_id")
+    d = staged(d.withColumn("ident", F.xxhash64("s")).select("block", "ident", F.array("s", S.sorted_words(F.col("s")), "s", S.sorted_words(F.col("s"))).alias("forms")))
+    return K.similar_names(d, d, "block", 0.8, keyed=False).filter("left_id < right_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
@@ -20,6 +21,18 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         ], dtype="float64")
 
 
+def best_ratio(ls, rs, threshold: float) -> float:
+    """Best ratio over the variants of two names, plain ones (even places) and those of sorted words (odd places) each for themselves."""
+    top = 0.0
+    for form in (0, 1):
+        for a in {x for x in ls[form::2] if x}:
+            for b in {x for x in rs[form::2] if x}:
+                m = SequenceMatcher(None, a, b)
+                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold:
+                    top = max(top, m.ratio())
+    return top
+
+
 def best_ratio_udf(threshold: float):
     """Best ratio over the variants of two names; 0 where every cheap upper bound is below the threshold.
 
@@ -28,21 +41,85 @@ def best_ratio_udf(threshold: float):
 
     def best(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in pairs:
-            out = []
-            for ls, rs in zip(left, right):
-                top = 0.0
-                for form in (0, 1):
-                    for a in {x for x in ls[form::2] if x}:
-                        for b in {x for x in rs[form::2] if x}:
-                            m = SequenceMatcher(None, a, b)
-                            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold:
-                                top = max(top, m.ratio())
-                out.append(top)
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([best_ratio(ls, rs, threshold) for ls, rs in zip(left, right)], dtype="float64")
 
     return F.pandas_udf(best, DoubleType())
 
 
+#: Columns of a matrix of character counts, rows of it that are multiplied at once, and the longest text that fits one number of 64 bits.
+COLUMNS, STRIP, BITS = 512, 256, 64
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters of the texts one after another: whose each is, its place there, its code point."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row], flat
+
+
+def _counts(row: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
+    """Which numbered characters each text has. Those that share a column are added up, so a product of two rows is never less than what they share."""
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    first = np.concatenate([[True], (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])])
+    spot = np.arange(len(row))
+    number = spot - np.maximum.accumulate(np.where(first, spot, 0))
+    column = np.unique(flat.astype(np.int64) << 32 | number, return_inverse=True)[1] % COLUMNS
+    return np.bincount(row * COLUMNS + column, minlength=n * COLUMNS).reshape(n, COLUMNS).astype(np.float32)
+
+
+def possible_pairs(a: list[str], b: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of non-empty texts that may reach the threshold, a strip of ``a`` at a time.
+
+    Matched characters are shared ones, and a common subsequence. The first bound is one matrix product, from which the two lengths'
+    share is already taken off. The second counts the longest common subsequence by bits, one character of ``b`` after the other for all
+    pairs that are left; it is skipped for texts of more than 64 characters. Characters that share a number count as equal there, which can only lengthen it.
+    """
+    if not a or not b:
+        return
+    row, place, flat = _characters(a + b)
+    size = np.array([len(x) for x in a + b], np.int64)
+    counts, n = _counts(row, flat, len(size)), len(a)
+    la, lb, ones = size[:n], size[n:], np.ones(len(size))
+    left = np.column_stack([counts[:n], -threshold / 2 * la, ones[:n]]).astype(np.float32)
+    right = np.column_stack([counts[n:], ones[n:], -threshold / 2 * lb]).astype(np.float32).T.copy()
+    slack = 1e-3 + 1e-5 * float(size.max())
+    number = np.unique(flat, return_inverse=True)[1] % 256
+    ours, theirs = (row < n) & (place < BITS), (row >= n) & (place < BITS)
+    spots = np.zeros((n, 257), np.uint64)
+    np.add.at(spots, (row[ours], number[ours]), np.uint64(1) << place[ours].astype(np.uint64))
+    # 256: no character, found nowhere.
+    codes = np.full((min(BITS, int(lb.max())), len(b)), 256, np.int64)
+    codes[place[theirs], row[theirs] - n] = number[theirs]
+    for at in range(0, n, STRIP):
+        i, j = np.nonzero(left[at: at + STRIP] @ right >= -slack)
+        i += at
+        keep = (la[i] > BITS) | (lb[j] > BITS)
+        short = np.flatnonzero(~keep)
+        x, y = i[short], j[short]
+        open_ = np.full(len(x), ~np.uint64(0))
+        for code in codes:
+            hit = open_ & spots[x, code[y]]
+            open_ = (open_ + hit) | (open_ - hit)
+        keep[short] = 2 * np.bitwise_count(~open_).astype(np.int64) >= threshold * (la[x] + lb[y]) - 1e-9
+        yield i[keep], j[keep]
+
+
+def similar_rows(left: list, right: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and best ratio of all pairs of two lists of variants at or above the threshold."""
+    found = [np.empty(0, np.int64)]
+    for form in (0, 1):
+        spelled = [[(k, x) for k, xs in enumerate(names) for x in {x for x in xs[form::2] if x}] for names in (left, right)]
+        own = [np.array([k for k, _ in s], np.int64) for s in spelled]
+        for i, j in possible_pairs(*[[x for _, x in s] for s in spelled], threshold):
+            found.append(own[0][i] * len(right) + own[1][j])
+    i, j = np.divmod(np.unique(np.concatenate(found)), max(len(right), 1))
+    ratio = np.fromiter((best_ratio(left[a], right[b], threshold) for a, b in zip(i, j)), np.float64, len(i))
+    keep = ratio >= threshold
+    return i[keep], j[keep], ratio[keep]
+
+
 def sorted_words(col: Column) -> Column:
     return F.array_join(F.sort_array(F.filter(F.split(col, r"\s+"), lambda w: w != "")), " ")
 

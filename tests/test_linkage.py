@@ -72,6 +72,42 @@ def test_sequence_ratio(spark):
     assert [r["r"] for r in d.collect()] == [0.75, None]
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.8, 0.9])
+def test_pieces_find_what_brute_force_finds(spark, threshold, monkeypatch):
+    """Without keys: short, long and wide alphabets, repeated words, names of no characters, blocks of several pieces, and blocks apart."""
+    monkeypatch.setattr(K, "PIECE", 16)
+    rng = random.Random(8)
+
+    def name(k):
+        base = " ".join(rng.choices(WORDS if k % 3 else WORDS[:4], k=rng.choice([1, 3, 6, 14])))
+        if k % 7 == 0:
+            base = "".join(chr(0x4E00 + rng.randrange(700)) for _ in range(rng.choice([3, 50, 90])))
+        return "".join(rng.choice("xyzé") if rng.random() < 0.03 else c for c in base if rng.random() > 0.05) or "x"
+
+    base = [name(k) for k in range(60)]
+    names = sorted({*base, *["".join(c for c in x if rng.random() > 0.08) for x in base], *[" ".join(reversed(x.split())) for x in base[:20]], ""})
+    left, right = [(b, i, x) for i, x in enumerate(names[::2]) for b in ("p", "q")], [("p", 1000 + i, x) for i, x in enumerate(names[1::2] + names[:60:6])]
+    frame = lambda rows: spark.createDataFrame([(b, i, [x, " ".join(sorted(x.split()))] * 2) for b, i, x in rows] + [(None, 5, ["x", "x"] * 2)], "brand STRING, ident INT, forms ARRAY<STRING>")
+    hits = K.similar_names(frame(left), frame(right), "brand", threshold, keyed=False)
+    assert hits.columns == ["brand", "left_id", "right_id", "ratio"]
+    got = [(r["brand"], r["left_id"], r["right_id"], round(r["ratio"], 9)) for r in hits.collect()]
+    want = {("p", i, j, round(ratio(a, b), 9)) for b_, i, a in left if b_ == "p" for _, j, b in right if ratio(a, b) >= threshold}
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_openings_need_no_keys(spark):
+    """Names of 40 characters have hundreds of keys; the query meets them in pieces, with the same pairs."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()["similar_documents_by_title"](spark, sf)
+    assert "sort_array(collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("source AS block", "lower(left(regexp_replace(text, '\\\\s+', ' '), 40)) AS s").filter("s is not null").distinct()
+    rows = [(r["block"], r["ident"], r["s"]) for r in d.withColumn("ident", F.xxhash64("s")).collect()]
+    want = {(b, i, j) for b, i, x in rows for c, j, y in rows if b == c and i < j and ratio(x, y) >= 0.8}
+    assert {(r["block"], r["left_id"], r["right_id"]) for r in got.collect()} == want
+
+
 def test_match_rules(spark):
     p = spark.createDataFrame([(1, "b", "Shampoo Hidra Bio 300ml"), (2, "b", "Mascara Hidra Bio 1L"), (3, "b", "Oleo Raro")], "product_id INT, brand_slug STRING, product_name STRING")
     e = spark.createDataFrame([
