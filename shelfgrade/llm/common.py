@@ -4,9 +4,11 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``. ``bytes.split()`` cuts at exactl
 """
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfgrade.session import shared_folder
@@ -49,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the machine; for the end of a Python function's batches.
+
+    Spark keeps a worker for the tasks that follow, and its allocators keep all that a task ever held.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def packed(df: DataFrame, *columns: Column) -> DataFrame:
     """The whole row as the struct ``row`` beside the columns that an operator works on, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)

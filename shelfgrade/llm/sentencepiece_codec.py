@@ -26,12 +26,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from shelfgrade.llm.common import give_back
+
 MARK = "▁"
 _WORDS = re.compile(" *[^ ]+| +")
 #: Distinct words remembered from batch to batch.
 REMEMBERED = 300_000
-#: Texts whose words are held at once.
-ROWS = 256
+#: Texts whose words are held at once, and their characters, unless a single text has more: arrays beside the texts hold some 30 bytes for each.
+ROWS, CHARS = 256, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -245,6 +247,20 @@ class Memory:
         return ids, np.diff(per_text)
 
 
+def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in runs of at most ``ROWS`` texts and ``CHARS`` characters; a longer text by itself."""
+    part, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if part and (len(part) == ROWS or size + n > CHARS):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += n
+    if part:
+        yield part
+
+
 def _per_text(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> list[np.ndarray | None]:
     ends = np.cumsum(counts).tolist()
     return [None if t is None else ids[b - n: b] for t, b, n in zip(texts, ends, counts.tolist())]
@@ -265,10 +281,11 @@ def encode(text: Column, path: str) -> Column:
         memory = Memory(load(path))
         for s in it:
             out: list[np.ndarray | None] = []
-            for at in range(0, len(s), ROWS):
-                part = s.iloc[at: at + ROWS].tolist()
+            for part in parts(s.tolist()):
                 out += _per_text(*memory.ids(part), part)
             yield pd.Series(out, dtype=object)
+        del memory
+        give_back()
 
     return run(text)
 
@@ -284,12 +301,13 @@ def encode_checked(text: Column, path: str) -> Column:
         memory = Memory(pieces)
         for s in it:
             coded, same = [], []
-            for at in range(0, len(s), ROWS):
-                part = s.iloc[at: at + ROWS].tolist()
+            for part in parts(s.tolist()):
                 ids, counts = memory.ids(part)
                 coded += _per_text(ids, counts, part)
                 same += _same(ids, counts, part, pieces)
             yield pd.DataFrame({"ids": pd.Series(coded, dtype=object), "round_trip": np.array(same, bool)})
+        del memory
+        give_back()
 
     return run(text)
 

@@ -247,3 +247,28 @@ def test_columns(spark):
 
 def test_digest_is_of_the_kept_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(spark):
+    """Texts of 5 000 characters: what the encoder holds at once is bounded by characters, not by 256 texts; rows, order and ids stay."""
+    import tracemalloc
+
+    texts = [None, "", "a" * (sp.CHARS + 5), *[f"w{i} word {i % 7} " * 400 for i in range(300)], "é x", None]
+    runs = list(sp.parts(texts))
+    assert [t for r in runs for t in r] == texts
+    assert all(len(r) == 1 or (len(r) <= sp.ROWS and sum(len(t or "") for t in r) <= sp.CHARS) for r in runs)
+    assert [len(r) for r in sp.parts(["x"] * 600)] == [256, 256, 88] and list(sp.parts([])) == []
+    pieces = sp.load(PIECES)
+    memory, most = sp.Memory(pieces), 0
+    tracemalloc.start()
+    for run in runs[3:]:
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        sp._same(*memory.ids(run), run, pieces)
+        most = max(most, tracemalloc.get_traced_memory()[1] - before)
+    tracemalloc.stop()
+    assert most < 24 * 2**20
+    docs = spark.createDataFrame(list(enumerate(texts[-40:])), "doc_id INT, text STRING").coalesce(1)
+    got = docs.select("text", sp.encode_checked(F.col("text"), PIECES).alias("x")).collect()
+    assert [r["text"] for r in got] == texts[-40:] and all(r["x"]["round_trip"] for r in got)
+    assert all(r["x"]["ids"] == (None if r["text"] is None else sp.encode_text(r["text"], pieces)) for r in got)
