@@ -101,8 +101,9 @@ def alternatives(
     listed = rows.join(lengths, "product_id")
     if pool:
         listed = top_k(listed, ["scope", "tier"], [F.desc("items"), F.col("product_id")], pool, "_place")
-    usable = listed.filter((F.col("items") >= min_items) & (F.col("matched") >= min_matched)).select("scope", "tier", "product_id")
-    hits = entries.filter(F.col("category").isNotNull()).withColumn("weight", position_weight(F.col("idx"), F.col("n")).cast("decimal(12,9)")).join(
+    usable = staged(listed.filter((F.col("items") >= min_items) & (F.col("matched") >= min_matched)).select("scope", "tier", "product_id"))
+    # Each entry meets a rule for every hair type, so entries of other products go first.
+    hits = entries.filter(F.col("category").isNotNull()).join(usable, "product_id", "left_semi").withColumn("weight", position_weight(F.col("idx"), F.col("n")).cast("decimal(12,9)")).join(
         rules.select("category", "hair_type", "score"), "category")
     per_type = hits.groupBy("product_id", "hair_type").agg(F.sum(F.col("score") * F.col("weight")).alias("_s"), F.sum("weight").alias("_w")).filter("_w > 0")
     facts = staged(usable.join(per_type, "product_id").withColumn("_r", F.col("_s").cast("double") / F.col("_w").cast("double")))

@@ -60,3 +60,14 @@ def test_alike_queries_are_ranked_once(spark):
         rows.setdefault(r["query_id"], []).append((r["product_id"], r["confidence"]))
     assert all(rows[i] == [(9, 1.0), (19, 1.0), (29, 1.0), (39, 1.0)] for i in range(30))
     assert all(rows[i] == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)] for i in range(30, 40))
+
+
+def test_rules_meet_entries_of_usable_products_only(spark, monkeypatch):
+    """Entries of products that cannot be an alternative go before each entry meets a rule for every hair type."""
+    from shelfgrade.plans import scoring
+
+    frames, staged = [], scoring.staged
+    monkeypatch.setattr(scoring, "staged", lambda d: frames.append(d) or staged(d))
+    assert entry.queries()["alternatives"](spark, SF).count() > 0
+    facts = [d for d in frames if "hair_type" in d.columns]
+    assert len(facts) == 1 and "Join LeftSemi, (product_id" in facts[0]._jdf.queryExecution().optimizedPlan().toString()
