@@ -319,4 +319,4 @@ def similar_documents_by_title(t):
     """Near-equal document openings of one source: the exact fuzzy join on another table."""
     d = t.documents.select(F.col("source").alias("block"), F.lower(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40))).alias("s")).distinct()
     d = staged(d.withColumn("ident", F.xxhash64("s")).select("block", "ident", F.array("s", S.sorted_words(F.col("s")), "s", S.sorted_words(F.col("s"))).alias("forms")))
-    return K.similar_names(d, d, "block", 0.8, keyed=False).filter("left_id < right_id")
+    return K.similar_names(d, None, "block", 0.8, keyed=False).filter("left_id < right_id")

@@ -1,7 +1,7 @@
 """Ratcliff-Obershelp similarity and the exact candidate keys for it."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -46,8 +46,34 @@ def best_ratio_udf(threshold: float):
     return F.pandas_udf(best, DoubleType())
 
 
-#: Columns of a matrix of character counts, rows of it that are multiplied at once, and the longest text that fits one number of 64 bits.
-COLUMNS, STRIP, BITS = 512, 256, 64
+#: Columns of a matrix of character counts, rows of it that are multiplied at once, the longest text that fits one number of 64 bits, pairs
+#: whose bits are followed at once, and pairs whose runs of equal characters are held at once.
+COLUMNS, STRIP, BITS, RUN, TABLES = 128, 256, 64, 32768, 1024
+
+
+class Spellings:
+    """Names as places of their spellings: for each order of words the different non-empty texts one after another, and whose each is."""
+
+    def __init__(self, n: int, texts: list[list[str]], owners: list[np.ndarray]):
+        self.n, self.texts, self.owners = n, texts, owners
+        self.sizes = [np.array([len(x) for x in own], np.int64) for own in texts]
+        #: The shortest spelling of each name, in either order; beyond any size for a name without one.
+        self.least = np.full(n, 1e6)
+        for own, size in zip(owners, self.sizes):
+            np.minimum.at(self.least, own, size)
+
+    @classmethod
+    def of(cls, variants: list[list[list[str]]]) -> Spellings:
+        """From two lists of variants for each name."""
+        return cls(len(variants[0]), [[x for xs in own for x in xs] for own in variants], [np.repeat(np.arange(len(own)), [len(xs) for xs in own]) for own in variants])
+
+    def slots(self, order: int) -> np.ndarray:
+        """Row by row the places of the names' first texts in this order, of their second ones, and so on; -1 where there is none."""
+        own = self.owners[order]
+        count = np.bincount(own, minlength=self.n)
+        out = np.full((int(count.max(initial=0)), self.n), -1, np.int64)
+        out[np.arange(len(own)) - (np.cumsum(count) - count)[own], own] = np.arange(len(own))
+        return out
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,66 +84,170 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row], flat
 
 
-def _counts(row: np.ndarray, flat: np.ndarray, n: int) -> np.ndarray:
-    """Which numbered characters each text has. Those that share a column are added up, so a product of two rows is never less than what they share."""
-    order = np.lexsort((flat, row))
-    row, flat = row[order], flat[order]
-    first = np.concatenate([[True], (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])])
-    spot = np.arange(len(row))
-    number = spot - np.maximum.accumulate(np.where(first, spot, 0))
-    column = np.unique(flat.astype(np.int64) << 32 | number, return_inverse=True)[1] % COLUMNS
-    return np.bincount(row * COLUMNS + column, minlength=n * COLUMNS).reshape(n, COLUMNS).astype(np.float32)
-
+def _counts(left: Spellings, right: Spellings) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbered characters the names of each side have in any spelling.
 
-def possible_pairs(a: list[str], b: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of non-empty texts that may reach the threshold, a strip of ``a`` at a time.
+    The commonest have columns of their own. Those that share one are added up, so a product of two rows is never less than what any two spellings share.
+    """
+    tokens = []
+    for at, order in ((0, 0), (0, 1), (left.n, 0), (left.n, 1)):
+        side = right if at else left
+        row, _, flat = _characters(side.texts[order])
+        by = np.argsort(row << 21 | flat.astype(np.int64))
+        row, flat = row[by], flat[by].astype(np.int64)
+        spot = np.arange(len(row))
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])
+        number = spot - np.maximum.accumulate(np.where(first, spot, 0))
+        tokens.append((side.owners[order][row] + at, flat << 32 | number))
+    name, token = (np.concatenate(x) for x in zip(*tokens))
+    kinds, kind, often = np.unique(token, return_inverse=True, return_counts=True)
+    # A name has a numbered character once, in however many spellings.
+    own = np.sort(name * len(kinds) + kind)
+    name, kind = np.divmod(own[np.diff(own, prepend=-1) > 0], max(len(kinds), 1))
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(kinds))
+    alone = COLUMNS * 3 // 4
+    column = np.where(rank < alone, rank, alone + rank % (COLUMNS - alone))[kind]
+    counts = np.bincount(name * COLUMNS + column, minlength=(left.n + right.n) * COLUMNS).reshape(-1, COLUMNS).astype(np.float32)
+    return counts[: left.n], counts[left.n:]
+
+
+def _coded(left: Spellings, right: Spellings, order: int) -> list[np.ndarray]:
+    """A row of character numbers for each text of this order, as far as its 64th one; both sides have the same numbers, and different ones below 0 beyond a text's end."""
+    parts = [_characters(side.texts[order]) for side in (left, right)]
+    number = np.unique(np.concatenate([flat for _, _, flat in parts]), return_inverse=True)[1]
+    out = []
+    for k, (side, (row, place, flat)) in enumerate(zip((left, right), parts)):
+        codes = np.full((len(side.texts[order]), min(BITS, int(side.sizes[order].max(initial=0)))), -1 - k, np.int32)
+        short = place < BITS
+        codes[row[short], place[short]] = number[k * len(parts[0][2]):][: len(flat)][short]
+        out.append(codes)
+    return out
+
+
+def _subsequences(ours: np.ndarray, theirs: np.ndarray, la: np.ndarray, lb: np.ndarray, threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that tells for places of texts whether their longest common subsequence leaves room for the threshold.
+
+    It is counted by bits, one character of the right texts after the other for many pairs. Texts of more than 64 characters always may;
+    characters that share a number of 256 count as equal, which can only lengthen it.
+    """
+    spots = np.zeros((len(ours), 257), np.uint64)
+    for k in range(ours.shape[1]):
+        own = np.flatnonzero(ours[:, k] >= 0)
+        spots[own, ours[own, k] % 256] |= np.uint64(1 << k)
+    spots = spots.reshape(-1)
+    # 256: no character, found nowhere.
+    codes = np.ascontiguousarray(np.where(theirs >= 0, theirs % 256, 256).T.astype(np.int64))
 
-    Matched characters are shared ones, and a common subsequence. The first bound is one matrix product, from which the two lengths'
-    share is already taken off. The second counts the longest common subsequence by bits, one character of ``b`` after the other for all
-    pairs that are left; it is skipped for texts of more than 64 characters. Characters that share a number count as equal there, which can only lengthen it.
+    def room(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        keep = (la[x] > BITS) | (lb[y] > BITS)
+        short = np.flatnonzero(~keep)
+        for at in range(0, len(short), RUN):
+            run = short[at: at + RUN]
+            i, j = x[run], y[run]
+            base, open_ = i * 257, np.full(len(run), ~np.uint64(0))
+            where, hit, more = np.empty_like(base), np.empty_like(open_), np.empty_like(open_)
+            for code in codes:
+                np.take(code, j, out=where, mode="clip")
+                where += base
+                np.take(spots, where, out=hit, mode="clip")
+                hit &= open_
+                np.add(open_, hit, out=more)
+                open_ -= hit
+                open_ |= more
+            keep[run] = 2 * np.bitwise_count(~open_).astype(np.int64) >= threshold * (la[i] + lb[j]) - 1e-9
+        return keep
+
+    return room
+
+
+def _matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Characters in the matching blocks of pairs of short texts, row by row: what ``SequenceMatcher`` finds, which takes the longest block
+    first (of equal ones the first of ``a``, then of ``b``) and goes on to its left and right.
+    """
+    n, width, height = len(a), a.shape[1], b.shape[1]
+    total = np.zeros(n, np.int64)
+    if not n or not width or not height:
+        return total
+    # Length of the run of equal characters that ends at each place of a and each of b.
+    runs, last = np.zeros((n, width, height), np.uint8), np.zeros((n, height + 1), np.uint8)
+    for k in range(width):
+        np.multiply(last[:, :-1] + np.uint8(1), a[:, k, None] == b, out=runs[:, k])
+        last[:, 1:] = runs[:, k]
+    own, lo, hi, lo2, hi2 = np.arange(n), np.zeros(n, np.int64), la, np.zeros(n, np.int64), lb
+
+    def inside(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Longest run that may end at each place without leaving the part."""
+        at = np.arange(size)
+        return np.where(at < hi[:, None], np.maximum(at + 1 - lo[:, None], 0), 0).astype(np.uint8)
+
+    while len(own):
+        part = np.minimum(runs[own], inside(width, lo, hi)[:, :, None])
+        np.minimum(part, inside(height, lo2, hi2)[:, None, :], out=part)
+        part = part.reshape(len(own), -1)
+        end = part.argmax(axis=1)
+        size = part[np.arange(len(own)), end].astype(np.int64)
+        total += np.bincount(own, size, minlength=n).astype(np.int64)
+        i, j = np.divmod(end, height)
+        rest = [np.concatenate(x) for x in ((own, own), (lo, i + 1), (i + 1 - size, hi), (lo2, j + 1), (j + 1 - size, hi2))]
+        go = np.tile(size > 0, 2) & (rest[2] > rest[1]) & (rest[4] > rest[3])
+        own, lo, hi, lo2, hi2 = (x[go] for x in rest)
+    return total
+
+
+def _ratios(side_a: tuple, side_b: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ratios of pairs of texts; a side is its texts, their sizes and their rows of numbers."""
+    (texts, la, a), (texts2, lb, b) = side_a, side_b
+    out = np.zeros(len(x))
+    short = (la[x] <= BITS) & (lb[y] <= BITS)
+    for k in np.flatnonzero(~short):
+        out[k] = SequenceMatcher(None, texts[x[k]], texts2[y[k]]).ratio()
+    short = np.flatnonzero(short)
+    for at in range(0, len(short), TABLES):
+        run = short[at: at + TABLES]
+        i, j = x[run], y[run]
+        out[run] = 2.0 * _matched(a[i], b[j], la[i], lb[j]) / (la[i] + lb[j])
+    return out
+
+
+def similar_rows(left: Spellings, right: Spellings, threshold: float, turn: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and best ratio of all pairs of two sides' names at or above the threshold, a strip of the left names at a time.
+
+    Matched characters are shared ones, and a common subsequence. The first bound is one matrix product for all spellings of two names, from
+    which the share of their lengths is already taken off. The second one is for the pairs of spellings that are left, and only pairs that pass it are compared.
+
+    ``turn`` says of two arrays of places which pairs go (0), are compared as they are (1), or with the right name first (-1).
     """
-    if not a or not b:
+    if not left.n or not right.n:
         return
-    row, place, flat = _characters(a + b)
-    size = np.array([len(x) for x in a + b], np.int64)
-    counts, n = _counts(row, flat, len(size)), len(a)
-    la, lb, ones = size[:n], size[n:], np.ones(len(size))
-    left = np.column_stack([counts[:n], -threshold / 2 * la, ones[:n]]).astype(np.float32)
-    right = np.column_stack([counts[n:], ones[n:], -threshold / 2 * lb]).astype(np.float32).T.copy()
-    slack = 1e-3 + 1e-5 * float(size.max())
-    number = np.unique(flat, return_inverse=True)[1] % 256
-    ours, theirs = (row < n) & (place < BITS), (row >= n) & (place < BITS)
-    spots = np.zeros((n, 257), np.uint64)
-    np.add.at(spots, (row[ours], number[ours]), np.uint64(1) << place[ours].astype(np.uint64))
-    # 256: no character, found nowhere.
-    codes = np.full((min(BITS, int(lb.max())), len(b)), 256, np.int64)
-    codes[place[theirs], row[theirs] - n] = number[theirs]
-    for at in range(0, n, STRIP):
-        i, j = np.nonzero(left[at: at + STRIP] @ right >= -slack)
+    counts, counts2 = _counts(left, right)
+    ones = np.ones(max(left.n, right.n))
+    a = np.column_stack([counts, -threshold / 2 * left.least, ones[: left.n]]).astype(np.float32)
+    b = np.column_stack([counts2, ones[: right.n], -threshold / 2 * right.least]).astype(np.float32).T.copy()
+    slack = 1e-3 + 1e-5 * float(max(size.max(initial=0) for side in (left, right) for size in side.sizes))
+    orders = []
+    for order in (0, 1):
+        sides = [(side.texts[order], side.sizes[order], codes) for side, codes in zip((left, right), _coded(left, right, order))]
+        orders.append((left.slots(order), right.slots(order), sides, _subsequences(sides[0][2], sides[1][2], sides[0][1], sides[1][1], threshold)))
+    for at in range(0, left.n, STRIP):
+        i, j = np.divmod(np.flatnonzero(a[at: at + STRIP] @ b >= -slack), right.n)
         i += at
-        keep = (la[i] > BITS) | (lb[j] > BITS)
-        short = np.flatnonzero(~keep)
-        x, y = i[short], j[short]
-        open_ = np.full(len(x), ~np.uint64(0))
-        for code in codes:
-            hit = open_ & spots[x, code[y]]
-            open_ = (open_ + hit) | (open_ - hit)
-        keep[short] = 2 * np.bitwise_count(~open_).astype(np.int64) >= threshold * (la[x] + lb[y]) - 1e-9
-        yield i[keep], j[keep]
-
-
-def similar_rows(left: list, right: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and best ratio of all pairs of two lists of variants at or above the threshold."""
-    found = [np.empty(0, np.int64)]
-    for form in (0, 1):
-        spelled = [[(k, x) for k, xs in enumerate(names) for x in {x for x in xs[form::2] if x}] for names in (left, right)]
-        own = [np.array([k for k, _ in s], np.int64) for s in spelled]
-        for i, j in possible_pairs(*[[x for _, x in s] for s in spelled], threshold):
-            found.append(own[0][i] * len(right) + own[1][j])
-    i, j = np.divmod(np.unique(np.concatenate(found)), max(len(right), 1))
-    ratio = np.fromiter((best_ratio(left[a], right[b], threshold) for a, b in zip(i, j)), np.float64, len(i))
-    keep = ratio >= threshold
-    return i[keep], j[keep], ratio[keep]
+        way = np.ones(len(i), np.int64) if turn is None else turn(i, j)
+        i, j, way = i[way != 0], j[way != 0], way[way != 0]
+        best = np.zeros(len(i))
+        for ours, theirs, (one, two), room in orders:
+            for xs in ours:
+                for ys in theirs:
+                    x, y = xs[i], ys[j]
+                    pair = np.flatnonzero((x >= 0) & (y >= 0))
+                    pair = pair[room(x[pair], y[pair])]
+                    forth, back = pair[way[pair] > 0], pair[way[pair] < 0]
+                    best[forth] = np.maximum(best[forth], _ratios(one, two, x[forth], y[forth]))
+                    best[back] = np.maximum(best[back], _ratios(two, one, y[back], x[back]))
+        keep = best >= threshold
+        if keep.any():
+            yield i[keep], j[keep], best[keep]
 
 
 def sorted_words(col: Column) -> Column:
