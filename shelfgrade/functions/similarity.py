@@ -47,8 +47,8 @@ def best_ratio_udf(threshold: float):
 
 
 #: Columns of a matrix of character counts, rows of it that are multiplied at once, the longest text that fits one number of 64 bits, pairs
-#: whose bits are followed at once, and pairs whose runs of equal characters are held at once.
-COLUMNS, STRIP, BITS, RUN, TABLES = 128, 256, 64, 32768, 1024
+#: whose bits are followed at once, pairs whose runs of equal characters are held at once, and numbered characters that are counted without sorting them.
+COLUMNS, STRIP, BITS, RUN, TABLES, KINDS = 128, 256, 64, 16384, 1024, 1 << 22
 
 
 class Spellings:
@@ -84,6 +84,13 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row], flat
 
 
+def _numbered(flat: np.ndarray) -> np.ndarray:
+    """Code points as places among all that occur."""
+    seen = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    seen[flat] = 1
+    return (np.cumsum(seen) - 1)[flat]
+
+
 def _counts(left: Spellings, right: Spellings) -> tuple[np.ndarray, np.ndarray]:
     """Which numbered characters the names of each side have in any spelling.
 
@@ -93,20 +100,24 @@ def _counts(left: Spellings, right: Spellings) -> tuple[np.ndarray, np.ndarray]:
     for at, order in ((0, 0), (0, 1), (left.n, 0), (left.n, 1)):
         side = right if at else left
         row, _, flat = _characters(side.texts[order])
-        by = np.argsort(row << 21 | flat.astype(np.int64))
-        row, flat = row[by], flat[by].astype(np.int64)
+        row, flat = np.divmod(np.sort(row << 21 | flat.astype(np.int64)), 1 << 21)
         spot = np.arange(len(row))
         first = np.ones(len(row), bool)
         first[1:] = (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])
         number = spot - np.maximum.accumulate(np.where(first, spot, 0))
-        tokens.append((side.owners[order][row] + at, flat << 32 | number))
-    name, token = (np.concatenate(x) for x in zip(*tokens))
-    kinds, kind, often = np.unique(token, return_inverse=True, return_counts=True)
+        tokens.append((side.owners[order][row] + at, flat, number))
+    name, flat, number = (np.concatenate(x) for x in zip(*tokens))
+    code = _numbered(flat)
+    kind = code * (int(number.max(initial=0)) + 1) + number
+    if kind.max(initial=0) > KINDS:
+        kind = np.unique(kind, return_inverse=True)[1]
+    often = np.bincount(kind)
+    kinds = len(often)
     # A name has a numbered character once, in however many spellings.
-    own = np.sort(name * len(kinds) + kind)
-    name, kind = np.divmod(own[np.diff(own, prepend=-1) > 0], max(len(kinds), 1))
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(kinds))
+    own = np.sort(name * kinds + kind)
+    name, kind = np.divmod(own[np.diff(own, prepend=-1) > 0], max(kinds, 1))
+    rank = np.empty(kinds, np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(kinds)
     alone = COLUMNS * 3 // 4
     column = np.where(rank < alone, rank, alone + rank % (COLUMNS - alone))[kind]
     counts = np.bincount(name * COLUMNS + column, minlength=(left.n + right.n) * COLUMNS).reshape(-1, COLUMNS).astype(np.float32)
@@ -116,7 +127,7 @@ def _counts(left: Spellings, right: Spellings) -> tuple[np.ndarray, np.ndarray]:
 def _coded(left: Spellings, right: Spellings, order: int) -> list[np.ndarray]:
     """A row of character numbers for each text of this order, as far as its 64th one; both sides have the same numbers, and different ones below 0 beyond a text's end."""
     parts = [_characters(side.texts[order]) for side in (left, right)]
-    number = np.unique(np.concatenate([flat for _, _, flat in parts]), return_inverse=True)[1]
+    number = _numbered(np.concatenate([flat for _, _, flat in parts]))
     out = []
     for k, (side, (row, place, flat)) in enumerate(zip((left, right), parts)):
         codes = np.full((len(side.texts[order]), min(BITS, int(side.sizes[order].max(initial=0)))), -1 - k, np.int32)
@@ -130,33 +141,44 @@ def _subsequences(ours: np.ndarray, theirs: np.ndarray, la: np.ndarray, lb: np.n
     """A function that tells for places of texts whether their longest common subsequence leaves room for the threshold.
 
     It is counted by bits, one character of the right texts after the other for many pairs. Texts of more than 64 characters always may;
-    characters that share a number of 256 count as equal, which can only lengthen it.
+    characters that share a number of 256 count as equal, which can only lengthen it. With the ``need`` of a pair, a character can only be matched with one
+    that is no more than the left text's length less ``need`` further on, or the right one's less ``need`` further back. Pairs go as soon as the characters that are left cannot make up for those missed.
     """
     spots = np.zeros((len(ours), 257), np.uint64)
     for k in range(ours.shape[1]):
         own = np.flatnonzero(ours[:, k] >= 0)
         spots[own, ours[own, k] % 256] |= np.uint64(1 << k)
-    spots = spots.reshape(-1)
+    spots, longer = spots.reshape(-1), max(la.max(initial=0), lb.max(initial=0)) > BITS
     # 256: no character, found nowhere.
     codes = np.ascontiguousarray(np.where(theirs >= 0, theirs % 256, 256).T.astype(np.int64))
 
     def room(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        keep = (la[x] > BITS) | (lb[y] > BITS)
+        keep = (la[x] > BITS) | (lb[y] > BITS) if longer else np.zeros(len(x), bool)
         short = np.flatnonzero(~keep)
         for at in range(0, len(short), RUN):
             run = short[at: at + RUN]
             i, j = x[run], y[run]
-            base, open_ = i * 257, np.full(len(run), ~np.uint64(0))
-            where, hit, more = np.empty_like(base), np.empty_like(open_), np.empty_like(open_)
-            for code in codes:
-                np.take(code, j, out=where, mode="clip")
+            size, size2 = la[i], lb[j]
+            need = np.ceil(threshold / 2 * (size + size2) - 1e-9).astype(np.int64)
+            # How many of the right text's characters may be missed.
+            spare = size2 - need
+            further, back, base = max(int((size - need).max()), 0), max(int(spare.max()), 0), i * 257
+            open_ = np.full(len(run), ~np.uint64(0))
+            for k, code in enumerate(codes):
+                where = np.take(code, j, mode="clip")
                 where += base
-                np.take(spots, where, out=hit, mode="clip")
+                hit = np.take(spots, where, mode="clip")
                 hit &= open_
-                np.add(open_, hit, out=more)
+                hit &= np.uint64((1 << min(k + further + 1, BITS)) - (1 << max(k - back, 0)))
+                more = open_ + hit
                 open_ -= hit
                 open_ |= more
-            keep[run] = 2 * np.bitwise_count(~open_).astype(np.int64) >= threshold * (la[i] + lb[j]) - 1e-9
+                if k % 4 == 3 and 5 * k > 2 * len(codes):
+                    # Places beyond a text's end are missed by all; they are spare as well.
+                    ok = np.flatnonzero(np.bitwise_count(~open_) >= np.minimum(k + 1 - spare, need))
+                    if 2 * len(ok) < len(run):
+                        run, j, base, need, spare, open_ = (z[ok] for z in (run, j, base, need, spare, open_))
+            keep[run] = np.bitwise_count(~open_) >= need
         return keep
 
     return room
